@@ -29,14 +29,18 @@ def with_unknown(vocab: dict[str, list[str]]) -> dict[str, list[str]]:
     return {label: [*names, UNKNOWN] for label, names in vocab.items()}
 
 
-def _first_index(names: list[str], value: Column) -> Column:
-    position = F.array_position(F.lit(names), value)
-    return F.when(position > 0, (position - 1).cast("int"))
+def _clean(answer: Column) -> Column:
+    return strip(F.lower(answer))
+
+
+def _id_at(position: Column, n: int) -> Column:
+    """Class id of a 1-based position; none for position 0."""
+    return F.get(F.lit([None, *range(n)]).cast("array<int>"), position.cast("int"))
 
 
 def match_exact(answer: Column, names: list[str]) -> Column:
     """Id of the class whose name is the whole answer."""
-    return _first_index(names, answer)
+    return _id_at(F.array_position(F.lit(names), answer), len(names))
 
 
 def match_number(answer: Column, names: list[str], strict: bool = True) -> Column:
@@ -44,7 +48,10 @@ def match_number(answer: Column, names: list[str], strict: bool = True) -> Colum
 
     The strict bound also rejects the last real class, as the established result files do.
     """
-    text = strip(F.lower(answer))
+    return _number(_clean(answer), names, strict)
+
+
+def _number(text: Column, names: list[str], strict: bool) -> Column:
     limit = len(names) - (2 if strict else 1)
     number = text.try_cast("int")
     decided = F.when(number < limit, number).otherwise(F.lit(len(names) - 1))
@@ -57,16 +64,20 @@ def match_prefix(answer: Column, names: list[str]) -> Column:
     All names are searched at once: they are joined by a separator, and the place where
     "separator + answer" occurs first tells the class.
     """
+    return _prefix(_clean(answer), names)
+
+
+def _prefix(text: Column, names: list[str]) -> Column:
     squashed = [n.lower().strip().replace(" ", "") for n in names]
     starts, at = [], 1
     for name in squashed:
         starts.append(at)
         at += len(name) + 1
     haystack = _SEPARATOR + _SEPARATOR.join(squashed) + _SEPARATOR
-    text = F.replace(strip(F.lower(answer)), F.lit(" "), F.lit(""))
-    place = F.position(F.concat(F.lit(_SEPARATOR), text), F.lit(haystack))
-    index = F.array_position(F.lit(starts), place)
-    return F.when(~F.contains(text, F.lit(_SEPARATOR)) & (place > 0), (index - 1).cast("int"))
+    head = F.concat(F.lit(_SEPARATOR), F.replace(text, F.lit(" "), F.lit("")))
+    place = F.position(head, F.lit(haystack))
+    found = _id_at(F.array_position(F.lit(starts), place), len(names))
+    return F.when(~F.contains(text, F.lit(_SEPARATOR)), found)
 
 
 def mention_pattern(names: list[str]) -> str:
@@ -76,10 +87,13 @@ def mention_pattern(names: list[str]) -> str:
 
 def match_last_mention(answer: Column, names: list[str]) -> Column:
     """Id of the last class name that occurs in the answer."""
-    text = strip(F.lower(answer))
+    return _last_mention(_clean(answer), names)
+
+
+def _last_mention(text: Column, names: list[str]) -> Column:
     mentions = F.regexp_extract_all(text, F.lit("(?iu)" + mention_pattern(names)), F.lit(0))
-    last = F.try_element_at(mentions, F.lit(-1))
-    return _first_index([n.lower().replace(" ", "") for n in names], squash(last))
+    last = squash(F.try_element_at(mentions, F.lit(-1)))
+    return _id_at(F.array_position(F.lit([n.lower().replace(" ", "") for n in names]), last), len(names))
 
 
 def _parse_large(names: list[str], strict: bool, blank_is_first: bool):
@@ -135,19 +149,15 @@ def parse_answer(
     """
     if len(names) > EXPRESSION_CLASSES:
         return _parse_large(names, strict_numeric, blank_is_first)(answer)
+    return _resolve(answer, _clean(answer), names, strict_numeric, blank_is_first)
+
+
+def _resolve(answer: Column, text: Column, names: list[str], strict: bool, blank_is_first: bool) -> Column:
     unknown = F.lit(len(names) - 1)
-    nothing = F.coalesce(answer == "", F.lit(True))
+    later = F.coalesce(_number(text, names, strict), _prefix(text, names), _last_mention(text, names))
     if not blank_is_first:
-        nothing = nothing | ((strip(answer) == "") & ~answer.isin(names))
-    return F.when(nothing, unknown).otherwise(
-        F.coalesce(
-            match_exact(answer, names),
-            match_number(answer, names, strict_numeric),
-            match_prefix(answer, names),
-            match_last_mention(answer, names),
-            unknown,
-        )
-    )
+        later = F.when(text != "", later)
+    return F.when(answer != "", F.coalesce(match_exact(answer, names), later, unknown)).otherwise(unknown)
 
 
 def json_fields(answer: Column) -> Column:
@@ -180,23 +190,27 @@ def with_class_ids(
 ) -> DataFrame:
     """Add ``into``: a struct with one class id per label.
 
-    With one label the answer is free text; with several it is read as a JSON object. The parsed
-    object is a column of its own so that it is parsed once, whatever the number of labels.
+    With one label the answer is free text; with several it is read as a JSON object.
     """
-    flags = (strict_numeric, blank_is_first)
     if len(vocab) == 1:
-        ((label, names),) = vocab.items()
-        return df.withColumn(into, F.struct(parse_answer(F.col(answer), names, *flags).alias(label)))
-    staged = df.withColumn("_fields", json_fields(F.col(answer)))
-    values = F.struct(
-        *[
-            field_value(F.col("_fields"), label, i, len(vocab)).alias(f"_{i}")
-            for i, label in enumerate(vocab)
-        ]
-    )
-    staged = staged.withColumn("_values", values)
-    ids = [
-        parse_answer(F.col(f"_values._{i}"), names, *flags).alias(label)
-        for i, (label, names) in enumerate(vocab.items())
-    ]
-    return staged.withColumn(into, F.struct(*ids)).drop("_fields", "_values")
+        values = {next(iter(vocab)): F.col(f"`{answer}`")}
+        staged = df
+    else:
+        staged = df.withColumn("_fields", json_fields(F.col(f"`{answer}`")))
+        values = {c: field_value(F.col("_fields"), c, i, len(vocab)) for i, c in enumerate(vocab)}
+    staged = staged.withColumns({f"_a{i}": v for i, v in enumerate(values.values())})
+    staged = staged.withColumns({f"_t{i}": _clean(F.col(f"_a{i}")) for i in range(len(vocab))})
+    large = {i: n for i, n in enumerate(vocab.values()) if len(n) > EXPRESSION_CLASSES}
+    small = {i: n for i, n in enumerate(vocab.values()) if i not in large}
+    for i, names in large.items():
+        staged = staged.withColumn(f"_i{i}", _parse_large(names, strict_numeric, blank_is_first)(F.col(f"_a{i}")))
+    if small:
+        # One row in, one row out: the generator keeps the optimizer from copying the parser
+        # into every expression and filter that uses an id.
+        ids = F.struct(*[
+            _resolve(F.col(f"_a{i}"), F.col(f"_t{i}"), names, strict_numeric, blank_is_first).alias(f"_i{i}")
+            for i, names in small.items()
+        ])
+        staged = staged.select("*", F.inline(F.array(ids)))
+    result = F.struct(*[F.col(f"_i{i}").alias(label) for i, label in enumerate(vocab)])
+    return staged.select(*[F.col(f"`{c}`") for c in df.columns if c != into], result.alias(into))

@@ -39,7 +39,7 @@ def first_text(messages: Column) -> Column:
 
 def last_text(messages: Column) -> Column:
     """The expected answer of a conversation."""
-    return F.try_element_at(messages, F.lit(-1)).getField("content")
+    return F.get(messages, F.size(messages) - 1).getField("content")
 
 
 def chatml_turn(m: Column) -> Column:

@@ -14,7 +14,8 @@ from labelspark.operators.labels import encode_classes
 def train_classifier(train: DataFrame, text: str, label: str, vocab: DataFrame,
                      features: int = 1 << 16, method: str = "bayes"):
     """Fit on rows whose label is a class name; ``method`` is ``bayes`` or ``logistic``."""
-    rows = encode_classes(train.select(F.col(text).alias("text"), F.col(label).alias("label")), "label", vocab)
+    rows = encode_classes(train.select(F.col(text).alias("text"), F.col(label)), label, vocab)
+    rows = rows.withColumnRenamed(label, "label")
     stages = [
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+"),
         HashingTF(inputCol="words", outputCol="features", numFeatures=features),

@@ -16,7 +16,7 @@ def _matched(spark, folder, match):
     return rows.select("o_orderkey", match(F.col("answer"), NAMES).alias("class_id"))
 
 
-@query(f"with {ANSWERS_SQL} select o_orderkey, case when form = 0 then target end as class_id from parsed")
+@query(f"with {ANSWERS_SQL} select o_orderkey, case when form = 0 or (form = 2 and target in (1, 4)) then target end as class_id from parsed")
 def parse_exact(spark, folder):
     return _matched(spark, folder, A.match_exact)
 
