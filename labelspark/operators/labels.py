@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from labelspark.functions.text import strip
 from labelspark.operators.ordering import global_rank
-from labelspark.session import Settled, as_list, require_columns, settle, small_rows
+from labelspark.session import Settled, as_list, require_columns, settle, settle_if_small, small_rows
 
 # Class lists up to this length become an IN predicate, which reaches the file scan.
 IN_LIST = 1_000
@@ -159,6 +159,22 @@ def filter_classes(df: DataFrame, classes: dict[str, list[str]]) -> DataFrame:
     return out
 
 
+def _most_frequent(counts: DataFrame, labels: list[str], n: int) -> DataFrame:
+    """The ``n`` largest classes of every label (ties by name).
+
+    Either form passes on at most ``n`` rows per label and task: the window is cut before its
+    shuffle up to the planner's limit on group sizes, beyond it each label is a top-k of its own.
+    """
+    if n <= IN_LIST:
+        w = Window.partitionBy("label_name").orderBy(F.desc("n"), F.asc("class_name"))
+        return counts.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+    best = [counts.where(F.col("label_name") == c).orderBy(F.desc("n"), F.asc("class_name")).limit(n) for c in labels]
+    out = best[0]
+    for other in best[1:]:
+        out = out.unionByName(other)
+    return out
+
+
 def _keep_ranked(df: DataFrame, chosen: Settled, label: str) -> DataFrame:
     own = chosen.df.where(F.col("label_name") == label).select(F.col("class_name").alias("_name"))
     return df.join(chosen.side(own), _c(label).cast("string") == F.col("_name"), "left_semi")
@@ -182,16 +198,14 @@ def top_n_classes(
     if classes is not None:
         return filter_classes(df, {c: classes[c] for c in labels})
     main = df.where(_c(split_col) == main_split) if split_col else df
-    w = Window.partitionBy("label_name").orderBy(F.desc("n"), F.asc("class_name"))
-    ranked = class_counts(main, labels).withColumn("_rank", F.row_number().over(w))
     n = max(n, 1)
     # The first n of every label also tell how many classes the shortest label has.
-    chosen = settle(ranked.where(F.col("_rank") <= n))
+    chosen = settle(_most_frequent(class_counts(main, labels), labels, n))
     fewest = chosen.df.groupBy("label_name").count().agg(F.min("count").alias("least")).first().least
     if fewest is not None and fewest < n:
         warnings.warn(f"only {fewest} classes in some label, using {fewest} instead of {n}")
         n = fewest
-    kept = chosen.df.where(F.col("_rank") <= n)
+    kept = _most_frequent(chosen.df, labels, n)
     if chosen.small and n <= IN_LIST:
         rows = kept.select("label_name", "class_name").collect()
         lists = {c: [r.class_name for r in rows if r.label_name == c] for c in labels}
@@ -213,9 +227,16 @@ def drop_rare_classes(df: DataFrame, label_cols, max_rare: int = 50) -> DataFram
     """
     out = df
     for label in as_list(label_cols):
-        rare = settle(class_counts(out, label).where(F.col("n") <= max_rare).select(
-            F.col("class_name").alias("_name")))
-        out = out.join(rare.side(), _c(label).cast("string") == F.col("_name"), "left_anti")
+        counts = class_counts(out, label)
+        name = F.col("class_name").alias("_name")
+        same = _c(label).cast("string") == F.col("_name")
+        rare = settle_if_small(counts.where(F.col("n") <= max_rare).select(name))
+        if rare is not None:
+            out = out.join(rare.side(), same, "left_anti")
+        else:
+            # A long tail of rare classes: look up the frequent ones instead.
+            kept = settle(counts.where(F.col("n") > max_rare).select(name))
+            out = out.join(kept.side(), same, "left").where(_c(label).isNull() | F.col("_name").isNotNull()).drop("_name")
     return out
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelspark.functions.text import truncate_label
-from labelspark.session import as_list
+from labelspark.session import as_list, settle
 
 # A dense matrix has one cell for every pair of classes; beyond this many classes only the
 # sparse form is offered, which holds the same counts.
@@ -110,7 +110,8 @@ def classification_report(counts: DataFrame, by=()) -> DataFrame:
     )
     marginals = counts.select(*keys, F.inline(sides)).groupBy(*keys, "class_id").agg(
         F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hits").alias("hits"))
-    classes = marginals.select(
+    # One row per class, used twice below.
+    classes = settle(marginals).df.select(
         *keys, "class_id", "hits", F.col("support").cast("double").alias("support"),
         _ratio(F.col("hits"), F.col("predicted")).alias("precision"),
         _ratio(F.col("hits"), F.col("support")).alias("recall"),

@@ -173,11 +173,13 @@ def global_rank(df: DataFrame, order, rank: str = "rank") -> DataFrame:
     return placed.join(offsets.side(), "_part").select(*_cols(df.columns), (F.col("_offset") + place).alias(rank))
 
 
-def rows_at(ranked: DataFrame, positions: list[int], rank: str = "rank") -> dict[int, dict]:
-    """The rows at a few positions, by position."""
+def rows_at(ranked: DataFrame, positions: list[int], rank: str = "rank") -> dict[int, dict[str, str]]:
+    """The rows at a few positions, by position; values as text, which casts back unchanged."""
     if not positions:
         return {}
-    return {r[rank]: r.asDict() for r in ranked.where(F.col(rank).isin(positions)).collect()}
+    at = ranked.where(F.col(f"`{rank}`").isin(positions))
+    shown = [F.col(f"`{c}`").cast("string").alias(c) for c in ranked.columns if c != rank]
+    return {r[0]: r.asDict() for r in at.select(F.col(f"`{rank}`"), *shown).collect()}
 
 
 def between_ranks(df: DataFrame, order, low: int, high: int, flag: str) -> DataFrame:
@@ -187,8 +189,8 @@ def between_ranks(df: DataFrame, order, low: int, high: int, flag: str) -> DataF
     and need no shuffle; if such a key is not unique, the whole rows are ranked instead.
     """
     order = as_list(order)
-    ranked = global_rank(df.select(*_cols(order)), order)
-    ends = rows_at(ranked, sorted({p for p in (low - 1, low, high - 1, high) if p >= 0}))
+    ranked = global_rank(df.select(*_cols(order)), order, "_rank")
+    ends = rows_at(ranked, sorted({p for p in (low - 1, low, high - 1, high) if p >= 0}), "_rank")
 
     def split_tie(position: int) -> bool:
         left, right = ends.get(position - 1), ends.get(position)

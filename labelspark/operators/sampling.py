@@ -112,18 +112,45 @@ def balance_classes(
     if shuffle and len(labels) == 1:
         return take_first(known, plan, keys, seed, within)
 
+    names = as_list(keys) if shuffle else as_list(order_cols)
+    columns = list(dict.fromkeys([*within, *labels[1:], *(names or df.columns)]))
+    if set(df.columns) - set(columns):
+        # Rank the keys alone and fetch the picked rows, provided the keys tell rows apart.
+        narrow = known.select(*_cols(columns))
+        picked, ranked = _spread_picks(narrow, plan, within, splits, labels, names, shuffle, seed)
+        if ranked.groupBy(*_cols(columns)).count().where("count > 1").isEmpty():
+            return _matching(known, settle(picked), columns)
+    picked, _ = _spread_picks(known, plan, within, splits, labels, names, shuffle, seed)
+    return picked
+
+
+def _cols(names) -> list[Column]:
+    return [F.col(f"`{n}`") for n in names]
+
+
+def _spread_picks(rows, plan, within, splits, labels, names, shuffle, seed) -> tuple[DataFrame, DataFrame]:
+    """Rows spread evenly over the order within their class, and all rows with their ranks."""
+    order = [*within, *labels[1:], *names]
+    ordered = rows
     if shuffle:
-        ordered = known.withColumn("_order", order_hash(as_list(keys) or df.columns, seed))
-        order = [*within, *labels[1:], "_order", *as_list(keys)]
-    else:
-        ordered, order = known, [*within, *labels[1:], *as_list(order_cols)]
+        ordered = rows.withColumn("_order", order_hash(names or rows.columns, seed))
+        order = [*within, *labels[1:], "_order", *names]
     ranked = global_rank(ordered, order, "_rank")
-    classes = ranked.groupBy(*within).agg(F.min("_rank").alias("_first"), F.count("*").alias("_rows"))
+    classes = ranked.groupBy(*_cols(within)).agg(F.min("_rank").alias("_first"), F.count("*").alias("_rows"))
     classes = settle(join_groups(classes, plan, splits))
     biggest = classes.df.agg(F.max("_rows").alias("rows"), F.max("_picks").alias("picks")).first()
     wide = bool(biggest.rows) and biggest.rows * biggest.picks > _MAX_LONG_PRODUCT
     hit = spread_pick(F.col("_rank") - F.col("_first"), F.col("_rows"), F.col("_picks"), wide)
-    return join_groups(ranked, classes, within).where(hit).select(*[F.col(f"`{c}`") for c in df.columns])
+    return join_groups(ranked, classes, within).where(hit).select(*_cols(rows.columns)), ranked
+
+
+def _matching(rows: DataFrame, picked: Settled, columns: list[str]) -> DataFrame:
+    """The rows with a picked combination of the given columns, nulls included."""
+    renamed = picked.df.select(*[F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(columns)])
+    condition = F.lit(True)
+    for i, c in enumerate(columns):
+        condition = condition & F.col(f"`{c}`").eqNullSafe(F.col(f"_g{i}"))
+    return rows.join(picked.side(renamed), condition, "left_semi")
 
 
 def _picks_per_class(known, labels, splits, ratio, size, samples_per_class) -> Settled:

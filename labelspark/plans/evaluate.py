@@ -36,7 +36,8 @@ def evaluate(
     """Ask a model about every record under every configuration and parse its answers.
 
     Returns the predictions, one row per record and run, and the vocabulary with the unknown
-    class. Responses are written to ``path``, or checkpointed, before they fan out into metrics.
+    class. Responses are written to ``path``, or the parsed predictions checkpointed, before they
+    fan out into metrics: no model is asked twice.
     """
     keys = as_list(keys)
     names = with_unknown(vocab)
@@ -44,6 +45,5 @@ def evaluate(
     requests = assemble_requests(texts, configs)
     if path:
         responses = infer_to(requests, make_responder, path, [*keys, "run_id"], **options)
-    else:
-        responses = checkpointed(infer(requests, make_responder, **options))
-    return predictions(responses, names), names
+        return predictions(responses, names), names
+    return checkpointed(predictions(infer(requests, make_responder, **options), names)), names

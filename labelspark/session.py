@@ -95,16 +95,21 @@ class Settled:
         return F.broadcast(df) if self.small else df
 
 
+def settle_if_small(df: DataFrame) -> Settled | None:
+    """``df`` computed once, if it is within the small-table bounds."""
+    table = small_rows(df)
+    if table is None:
+        return None
+    return Settled(df.sparkSession.createDataFrame(table, schema=df.schema), True)
+
+
 def settle(df: DataFrame) -> Settled:
     """Compute ``df`` once and measure it.
 
     A table beyond the small-table bounds is checkpointed and left to a shuffle join, where the
     adaptive planner splits skewed keys.
     """
-    table = small_rows(df)
-    if table is None:
-        return Settled(checkpointed(df), False)
-    return Settled(df.sparkSession.createDataFrame(table, schema=df.schema), True)
+    return settle_if_small(df) or Settled(checkpointed(df), False)
 
 
 def join_groups(rows: DataFrame, table: Settled, keys, how: str = "inner") -> DataFrame:
