@@ -25,7 +25,7 @@ def answers(predictions: DataFrame, vocab: dict[str, list[str]], keep=(), wrong_
     response = F.col("response")
     names = []
     for label in vocab:
-        for side, title in (("pred", "Predicted"), ("true", "True")):
+        for side, title in (("predicted", "Predicted"), ("actual", "True")):
             names.append(class_name(vocab, label, F.col(side).getField(label)).alias(f"{title} {label}"))
     return rows.select(
         *as_list(keep), F.col("text").alias("Text"),
@@ -39,7 +39,7 @@ def wrong_rows(predictions: DataFrame, labels) -> DataFrame:
     """Rows with a wrong prediction for any label."""
     wrong = F.lit(False)
     for label in labels:
-        wrong = wrong | ~F.col("pred").getField(label).eqNullSafe(F.col("true").getField(label))
+        wrong = wrong | ~F.col("predicted").getField(label).eqNullSafe(F.col("actual").getField(label))
     return predictions.where(wrong)
 
 
@@ -111,7 +111,7 @@ def few_shot_examples(
     w = Window.partitionBy("label_name", "true_id", "pred_id").orderBy(h, *keys)
     chosen = settle(hits.withColumn("row_rank", F.row_number().over(w)).where(F.col("row_rank") <= per_pred).select(
         *keys, "label_name", "true_name", "pred_name", "true_rank", "pred_rank", "row_rank"))
-    return join_groups(predictions.select(*keys, "text", "true"), chosen, keys)
+    return join_groups(predictions.select(*keys, "text", "actual"), chosen, keys)
 
 
 def few_shot_text(examples: DataFrame, vocab: dict[str, list[str]]) -> DataFrame:
@@ -119,7 +119,7 @@ def few_shot_text(examples: DataFrame, vocab: dict[str, list[str]]) -> DataFrame
 
     With one label the answer is its class name, with several a JSON object of all of them.
     """
-    names = {c: class_name(vocab, c, F.col("true").getField(c)) for c in vocab}
+    names = {c: class_name(vocab, c, F.col("actual").getField(c)) for c in vocab}
     if len(vocab) == 1:
         answer = next(iter(names.values()))
     else:

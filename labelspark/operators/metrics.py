@@ -3,7 +3,7 @@
 Everything derives from ``confusion_counts``, the only pass over the rows: at most one row per
 pair of classes that occurs, combined before the shuffle.
 
-A predictions table has one row per sample with the columns ``pred`` and ``true``, structs
+A predictions table has one row per sample with the columns ``predicted`` and ``actual``, structs
 holding one class id per label, beside the sample's own columns.
 """
 
@@ -25,8 +25,8 @@ def label_pairs(predictions: DataFrame, labels, by=()) -> DataFrame:
     pairs = F.array(*[
         F.struct(
             F.lit(c).alias("label_name"),
-            F.col("true").getField(c).alias("true_id"),
-            F.col("pred").getField(c).alias("pred_id"),
+            F.col("actual").getField(c).alias("true_id"),
+            F.col("predicted").getField(c).alias("pred_id"),
         )
         for c in as_list(labels)
     ])

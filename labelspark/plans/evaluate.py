@@ -15,13 +15,13 @@ from labelspark.session import as_list, checkpointed
 def predictions(
     responses: DataFrame, vocab: dict[str, list[str]], truth: str = "truth", strict_numeric: bool = True
 ) -> DataFrame:
-    """Parse responses and true answers to ids: the columns ``pred`` and ``true`` are added.
+    """Parse responses and true answers to ids: the columns ``predicted`` and ``actual`` are added.
 
     ``vocab`` ends with the unknown class. The true answer goes through the same parser.
     """
     rows = responses.withColumn("_answer", F.col("response.text"))
-    rows = with_class_ids(rows, "_answer", vocab, "pred", strict_numeric).drop("_answer")
-    return with_class_ids(rows, truth, vocab, "true", strict_numeric)
+    rows = with_class_ids(rows, "_answer", vocab, "predicted", strict_numeric).drop("_answer")
+    return with_class_ids(rows, truth, vocab, "actual", strict_numeric)
 
 
 def evaluate(

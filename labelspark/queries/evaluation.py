@@ -275,7 +275,7 @@ def evaluate_end_to_end(spark, folder):
     rows = rows.withColumn("grade", F.when(F.col("quality") == 1, "odd").otherwise("even"))
     chat, vocab = preprocess_chat(rows, "text", "grade", keep="doc_id")
     result, _ = evaluate(chat, vocabulary_lists(vocab, "grade"), RunConfig("Parity", 4), length_rule, "doc_id", retries=1)
-    return result.select("doc_id", F.col("true.grade").alias("true_id"), F.col("pred.grade").alias("pred_id"))
+    return result.select("doc_id", F.col("actual.grade").alias("true_id"), F.col("predicted.grade").alias("pred_id"))
 
 
 def run_report(spark, folder):

@@ -59,14 +59,14 @@ def split_sink(spark, folder):
 def run_json_roundtrip(spark, folder):
     out = scratch_path(spark, "out")
     config = RunConfig("Round trip", 16, "Choose a priority.")
-    rows = order_predictions(spark, folder).select(KEY, "text", "truth", "response", "pred", "true")
+    rows = order_predictions(spark, folder).select(KEY, "text", "truth", "response", "predicted", "actual")
     path = runs.run_folder(out, config.technique_name)
     runs.write_header(spark, config, VOCAB, 12.5, f"{path}/run")
     runs.write_samples(rows, f"{path}/samples")
     header = runs.read_headers(spark, f"{path}/run").first()
     samples = runs.read_samples(spark, f"{path}/samples", list(VOCAB), f"{KEY} long")
     return samples.select(
-        KEY, F.col(f"pred.{PRIORITY}").alias("pred_id"), F.col(f"true.{PRIORITY}").alias("true_id"),
+        KEY, F.col(f"predicted.{PRIORITY}").alias("pred_id"), F.col(f"actual.{PRIORITY}").alias("true_id"),
         F.col("response.total_tokens").alias("total_tokens"),
         F.lit(header.config.technique_name).alias("technique_name"), F.lit(header.config.max_tokens).alias("max_tokens"),
         F.lit(header.total_time_elapsed).alias("total_time_elapsed"))
@@ -101,7 +101,7 @@ def legacy_run_upgrade(spark, folder):
     return samples.join(names, "run_id").select(
         "run_id", "technique_name", "sample_id", "text", F.col("response.text").alias("answer"),
         F.col("response.total_tokens").alias("total_tokens"),
-        F.col(f"pred.{PRIORITY}").alias("pred_id"), F.col(f"true.{PRIORITY}").alias("true_id"))
+        F.col(f"predicted.{PRIORITY}").alias("pred_id"), F.col(f"actual.{PRIORITY}").alias("true_id"))
 
 
 @query()

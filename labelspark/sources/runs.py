@@ -63,7 +63,7 @@ def read_headers(spark: SparkSession, path) -> DataFrame:
 def read_samples(spark: SparkSession, path, labels, keys: str) -> DataFrame:
     """Samples of a run; ``keys`` is the DDL of the key columns."""
     ids = "struct<" + ",".join(f"`{c}`:int" for c in labels) + ">"
-    schema = f"{keys}, text string, truth string, response {RESPONSE_TYPE}, pred {ids}, true {ids}"
+    schema = f"{keys}, text string, truth string, response {RESPONSE_TYPE}, predicted {ids}, actual {ids}"
     return spark.read.schema(schema).json(path)
 
 
@@ -126,15 +126,16 @@ def document_headers(documents: DataFrame) -> DataFrame:
 
 def document_samples(documents: DataFrame, labels) -> DataFrame:
     """The parallel lists of run documents as one row per sample."""
-    pred = [F.col("labels_pred").getItem(c).alias(f"_p{i}") for i, c in enumerate(labels)]
-    true = [F.col("labels_true").getItem(c).alias(f"_t{i}") for i, c in enumerate(labels)]
+    none = F.array().cast("array<int>")  # a run without the label still has its other samples
+    pred = [F.coalesce(F.col("labels_pred").getItem(c), none).alias(f"_p{i}") for i, c in enumerate(labels)]
+    true = [F.coalesce(F.col("labels_true").getItem(c), none).alias(f"_t{i}") for i, c in enumerate(labels)]
     flat = documents.select("run_id", "texts", "llm_responses", *pred, *true)
     lists = ["texts", "llm_responses", *[f"_p{i}" for i in range(len(labels))], *[f"_t{i}" for i in range(len(labels))]]
     rows = flat.select("run_id", F.posexplode(F.arrays_zip(*lists)).alias("sample_id", "s"))
     return rows.select(
         "run_id", "sample_id", F.col("s.texts").alias("text"), F.col("s.llm_responses").alias("response"),
-        F.struct(*[F.col(f"s._p{i}").alias(c) for i, c in enumerate(labels)]).alias("pred"),
-        F.struct(*[F.col(f"s._t{i}").alias(c) for i, c in enumerate(labels)]).alias("true"),
+        F.struct(*[F.col(f"s._p{i}").alias(c) for i, c in enumerate(labels)]).alias("predicted"),
+        F.struct(*[F.col(f"s._t{i}").alias(c) for i, c in enumerate(labels)]).alias("actual"),
     )
 
 

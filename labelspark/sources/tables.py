@@ -13,20 +13,28 @@ from labelspark.operators.splits import one_split, random_split
 from labelspark.session import as_list, join_groups, settle
 
 FORMATS = ("csv", "json", "parquet")
+# Words that data-frame libraries read as "no value" in a CSV file.
+MISSING_WORDS = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+    "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 SPLIT = "split"
 
 
-def read_csv(spark: SparkSession, path, schema=None) -> DataFrame:
-    """CSV with a header; quoted fields may hold quotes and line breaks.
+def read_csv(spark: SparkSession, path, schema=None, missing=()) -> DataFrame:
+    """CSV with a header; quoted fields may hold quotes and line breaks, empty fields are null.
 
     Give a schema where you can: without one the files are read twice to guess the types.
+    ``missing`` lists words that stand for no value in text columns.
     """
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
+    rows = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
+    text = [f.name for f in rows.schema.fields if missing and isinstance(f.dataType, T.StringType)]
+    return rows.withColumns({c: F.when(~F.col(f"`{c}`").isin(list(missing)), F.col(f"`{c}`")) for c in text})
 
 
 def write_csv(df: DataFrame, path: str, partition_by=()) -> None:
-    """CSV that ``read_csv`` gives back unchanged, blanks and empty strings included."""
+    """CSV that ``read_csv`` gives back unchanged, blanks included; empty strings become null."""
     writer = (
         df.write.mode("overwrite").option("header", True).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
@@ -53,23 +61,26 @@ def read_csv_after(spark: SparkSession, path, skip: int, columns=None) -> DataFr
     header = numbered.where((F.col("_block") == 0) & (index == skip)).select("value").first()
     if header is None:
         raise ValueError(f"no header after {skip} lines in {path}")
-    names = spark.createDataFrame([(header.value,)], "value string").select(
-        F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(header.value.count(",") + 1))))
-    ).first()[0]
-    schema = T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(n for n in names)])
+    one = spark.createDataFrame([(header.value,)], "value string")
+    width = len(T._parse_datatype_string(one.select(F.schema_of_csv(F.lit(header.value))).first()[0]).fields)
+    blank = ", ".join(f"_c{i} string" for i in range(width))
+    names = one.select(F.from_csv("value", F.lit(blank))).first()[0].asDict()
+    ddl = ", ".join(f"`{name or place}` string" for place, name in names.items())
     body = numbered.where((F.col("_block") > 0) | (index > skip))
-    ddl = ", ".join(f"`{f.name}` string" for f in schema.fields)
-    rows = body.select(F.from_csv("value", F.lit(ddl)).alias("r")).select("r.*")
+    rows = body.select(F.from_csv("value", F.lit(ddl), {"escape": '"'}).alias("r")).select("r.*")
     return rows.select(*[F.col(f"`{c}`") for c in as_list(columns)]) if columns else rows
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A table by the suffix of its path: csv, json or parquet."""
+    """A table by the suffix of its path: csv, json or parquet.
+
+    In CSV files the usual words for a missing value are read as null.
+    """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind not in FORMATS:
         raise ValueError(f"{path}: expected a .csv, .json or .parquet path")
     if kind == "csv":
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, MISSING_WORDS)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.json(path) if kind == "json" else reader.parquet(path)
 
