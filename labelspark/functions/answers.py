@@ -165,19 +165,18 @@ def json_fields(answer: Column) -> Column:
     return F.from_json(F.regexp_extract(answer, r"\{[^}]*\}", 0), "map<string,string>", _JSON_OPTIONS)
 
 
-def field_value(fields: Column, label: str, position: int, n_labels: int) -> Column:
+def _label_value(label: str, position: int, n_labels: int) -> Column:
     """The answer given for one label, null when there is none.
 
     The last of repeated fields counts. When the object has as many fields as there are labels,
     a misnamed field is found by its position. A JSON null reads as the text ``None``.
     """
-    keys = F.array_distinct(F.map_keys(fields))
-    key = F.when(F.array_contains(keys, label), F.lit(label)).when(
-        F.size(keys) == n_labels, F.get(keys, F.lit(position))
+    fields = F.col("_names")
+    key = F.when(F.array_contains(fields, label), F.lit(label)).when(
+        F.size(fields) == n_labels, F.get(fields, F.lit(position))
     )
-    hits = F.filter(F.map_entries(fields), lambda e: e.getField("key") == key)
-    value = F.try_element_at(hits, F.lit(-1)).getField("value")
-    return F.when(key.isNotNull(), F.coalesce(value, F.lit("None")))
+    place = F.array_position(F.col("_keys"), key).cast("int") - 1
+    return F.when(key.isNotNull(), F.coalesce(F.get(F.col("_values"), place), F.lit("None")))
 
 
 def with_class_ids(
@@ -196,8 +195,13 @@ def with_class_ids(
         values = {next(iter(vocab)): F.col(f"`{answer}`")}
         staged = df
     else:
-        staged = df.withColumn("_fields", json_fields(F.col(f"`{answer}`")))
-        values = {c: field_value(F.col("_fields"), c, i, len(vocab)) for i, c in enumerate(vocab)}
+        fields = F.col("_fields")
+        staged = df.withColumn("_fields", json_fields(F.col(f"`{answer}`"))).withColumns({
+            "_names": F.array_distinct(F.map_keys(fields)),
+            "_keys": F.reverse(F.map_keys(fields)),
+            "_values": F.reverse(F.map_values(fields)),
+        })
+        values = {c: _label_value(c, i, len(vocab)) for i, c in enumerate(vocab)}
     staged = staged.withColumns({f"_a{i}": v for i, v in enumerate(values.values())})
     staged = staged.withColumns({f"_t{i}": _clean(F.col(f"_a{i}")) for i in range(len(vocab))})
     large = {i: n for i, n in enumerate(vocab.values()) if len(n) > EXPRESSION_CLASSES}

@@ -6,30 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The short escapes of JSON strings; the backslash must come first.
-SHORT_ESCAPES = (
-    ("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"),
-    ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"),
-)
+_ASCII_OPTIONS = {"writeNonAsciiCharacterAsCodePoint": "true"}
+_ESCAPED_BACKSLASH = "\x01"  # no JSON text holds this character as it is
+_REST = 1 << 30
 
 
 def quoted_ascii(c: Column) -> Column:
-    """A JSON string literal in pure ASCII, other characters as lower-case UTF-16 escapes."""
-    escaped = c
-    for plain, replacement in SHORT_ESCAPES:
-        escaped = F.replace(escaped, F.lit(plain), F.lit(replacement))
-    runs = F.regexp_extract_all(escaped, F.lit("[ -~]+|[^ -~]+"), F.lit(0))
-    spelled = F.array_join(
-        F.transform(
-            runs,
-            lambda run: F.when(run.rlike("^[ -~]"), run).otherwise(
-                F.regexp_replace(F.lower(F.hex(F.encode(run, "UTF-16BE"))), "(.{4})", "\\\\u$1")
-            ),
-        ),
-        "",
+    """A JSON string literal in pure ASCII, other characters as lower-case UTF-16 escapes.
+
+    Spark writes the escapes in upper case: the text is cut at the escapes, and the four digits
+    that open every further piece are lowered.
+    """
+    quoted = F.to_json(F.array(c), _ASCII_OPTIONS)
+    # With "escaped backslash" out of the way, every backslash left begins an escape.
+    plain = F.replace(quoted, F.lit("\\\\"), F.lit(_ESCAPED_BACKSLASH))
+    pieces = F.transform(
+        F.split(plain, r"\\u", -1),
+        lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lower(F.substring(p, 1, 4)), F.substring(p, 5, _REST))),
     )
-    body = F.when(escaped.rlike("[^ -~]"), spelled).otherwise(escaped)
-    return F.concat(F.lit('"'), body, F.lit('"'))
+    joined = F.replace(F.array_join(pieces, "\\u"), F.lit(_ESCAPED_BACKSLASH), F.lit("\\\\"))
+    joined = F.replace(joined, F.lit("\x7f"), F.lit("\\u007f"))
+    # The brackets of the array stand outside the quotes of its only element.
+    return F.when(c.isNotNull(), F.btrim(joined, F.lit("[]")))
 
 
 def _value(name: str, data_type: T.DataType) -> Column:

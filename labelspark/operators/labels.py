@@ -215,7 +215,7 @@ def top_n_classes(
         return out
     out = df
     for label in labels:
-        out = _keep_ranked(out, Settled(kept, chosen.small), label)
+        out = _keep_ranked(out, Settled(kept, chosen.table), label)
     return out
 
 

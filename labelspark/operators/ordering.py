@@ -92,6 +92,7 @@ def _boundary(cells: DataFrame, within: list[str]) -> DataFrame:
         .where((F.col("_before") < F.col("_quota")) & (F.col("_quota") <= F.col("_before") + F.col("_n")))
         .select(*_cols(within), F.col("_cell").alias("_cut"), F.col("_n").alias("_held"),
                 (F.col("_quota") - F.col("_before")).alias("_need"))
+        .withColumn("_spare", F.col("_held") - F.col("_need"))
     )
 
 
@@ -99,11 +100,10 @@ def _flag(hashed, columns, cut: Settled, within, seed, flag, level) -> DataFrame
     digits = CELL_DIGITS
     narrow = hashed.select(*_cols(within), "_h")
     while True:
-        state = cut.df.agg(F.max("_held").alias("held"),
-                        F.max(F.col("_held") - F.col("_need")).alias("spare")).first()
-        if state.spare is None or state.spare == 0 or digits == HASH_DIGITS:
+        held, spare = cut.biggest("_held", "_spare")
+        if not spare or digits == HASH_DIGITS:
             break
-        finer = HASH_DIGITS if state.held <= CELL_ROWS else digits + CELL_DIGITS
+        finer = HASH_DIGITS if held <= CELL_ROWS else digits + CELL_DIGITS
         finer = min(finer, HASH_DIGITS)
         inside = join_groups(narrow, cut, within).where(F.substring("_h", 1, digits) == F.col("_cut"))
         cells = inside.groupBy(*_cols(within), F.substring("_h", 1, finer).alias("_cell")).agg(
@@ -112,11 +112,11 @@ def _flag(hashed, columns, cut: Settled, within, seed, flag, level) -> DataFrame
     marked = join_groups(hashed, cut, within, "left")
     prefix = F.substring("_h", 1, digits)
     at_or_before = F.coalesce(prefix <= F.col("_cut"), F.lit(False))
-    if not state.spare:
+    if not spare:
         return marked.select(*_cols(columns), at_or_before.alias(flag))
 
     # Rows with the same hash as the last flagged one, of which only some are wanted.
-    tied = F.coalesce((prefix == F.col("_cut")) & (F.col("_held") > F.col("_need")), F.lit(False))
+    tied = F.coalesce((prefix == F.col("_cut")) & (F.col("_spare") > 0), F.lit(False))
     clear = marked.where(~tied).select(*_cols(columns), at_or_before.alias(flag))
     ties = marked.where(tied)
     if level == 0:

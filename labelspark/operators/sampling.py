@@ -138,8 +138,8 @@ def _spread_picks(rows, plan, within, splits, labels, names, shuffle, seed) -> t
     ranked = global_rank(ordered, order, "_rank")
     classes = ranked.groupBy(*_cols(within)).agg(F.min("_rank").alias("_first"), F.count("*").alias("_rows"))
     classes = settle(join_groups(classes, plan, splits))
-    biggest = classes.df.agg(F.max("_rows").alias("rows"), F.max("_picks").alias("picks")).first()
-    wide = bool(biggest.rows) and biggest.rows * biggest.picks > _MAX_LONG_PRODUCT
+    most_rows, most_picks = classes.biggest("_rows", "_picks")
+    wide = bool(most_rows) and most_rows * most_picks > _MAX_LONG_PRODUCT
     hit = spread_pick(F.col("_rank") - F.col("_first"), F.col("_rows"), F.col("_picks"), wide)
     return join_groups(ranked, classes, within).where(hit).select(*_cols(rows.columns)), ranked
 
@@ -166,7 +166,7 @@ def _picks_per_class(known, labels, splits, ratio, size, samples_per_class) -> S
         share = F.lit(float(size)) / F.col("_rows") if size is not None else F.lit(float(ratio))
         wanted = F.floor(F.col("_rows") / F.col("_classes") * F.least(share, F.lit(1.0)))
     wanted = F.greatest(wanted.cast("long"), F.lit(1))
-    picks = settle(plan.select(*splits, F.least(wanted, "_rarest").alias("_picks"), (wanted > F.col("_rarest")).alias("_cut")))
-    if picks.df.agg(F.max("_cut").alias("cut")).first().cut:
+    picks = settle(plan.select(*splits, F.least(wanted, "_rarest").alias("_picks"), (wanted > F.col("_rarest")).cast("int").alias("_over")))
+    if picks.biggest("_over")[0]:
         warnings.warn(f"some class of {labels[0]} has fewer rows than asked for; every class is cut to the rarest")
-    return Settled(picks.df.drop("_cut"), picks.small)
+    return Settled(picks.df.drop("_over"), picks.table)

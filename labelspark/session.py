@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,7 +89,17 @@ class Settled:
     """A computed table that knows whether it was measured to be small."""
 
     df: DataFrame
-    small: bool
+    table: pa.Table | None
+
+    @property
+    def small(self) -> bool:
+        return self.table is not None
+
+    def biggest(self, *columns: str) -> list:
+        """The maximum of each column, None where there is no value."""
+        if self.table is not None:
+            return [pc.max(self.table[c]).as_py() if self.table.num_rows else None for c in columns]
+        return list(self.df.agg(*[F.max(f"`{c}`") for c in columns]).first())
 
     def side(self, derived: DataFrame | None = None) -> DataFrame:
         """The table, or a projection or filter of it, as a join side: broadcast only if small."""
@@ -100,7 +112,7 @@ def settle_if_small(df: DataFrame) -> Settled | None:
     table = small_rows(df)
     if table is None:
         return None
-    return Settled(df.sparkSession.createDataFrame(table, schema=df.schema), True)
+    return Settled(df.sparkSession.createDataFrame(table, schema=df.schema), table)
 
 
 def settle(df: DataFrame) -> Settled:
@@ -109,7 +121,7 @@ def settle(df: DataFrame) -> Settled:
     A table beyond the small-table bounds is checkpointed and left to a shuffle join, where the
     adaptive planner splits skewed keys.
     """
-    return settle_if_small(df) or Settled(checkpointed(df), False)
+    return settle_if_small(df) or Settled(checkpointed(df), None)
 
 
 def join_groups(rows: DataFrame, table: Settled, keys, how: str = "inner") -> DataFrame:
