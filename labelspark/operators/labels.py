@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelspark.functions.answers import UNKNOWN
 from labelspark.functions.text import strip
 from labelspark.operators.ordering import global_rank
 from labelspark.session import Settled, as_list, require_columns, settle, settle_if_small, small_rows
@@ -106,6 +107,12 @@ def label_vocabulary(df: DataFrame, label_cols, strip_names: bool = True) -> Dat
     return numbered.select("label_name", "class_id", "class_name")
 
 
+def add_unknown(vocab: DataFrame, name: str = UNKNOWN) -> DataFrame:
+    """The vocabulary with one more class at the end of every label, for answers that name none."""
+    last = vocab.groupBy("label_name").agg((F.max("class_id") + 1).alias("class_id"), F.lit(name).alias("class_name"))
+    return vocab.unionByName(last)
+
+
 def vocabulary_lists(vocab: DataFrame, label_cols) -> dict[str, list[str]]:
     """A vocabulary as driver-side lists, for prompts and answer parsing; size-checked."""
     table = small_rows(vocab, max_rows=100_000)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import Column
@@ -16,6 +17,8 @@ CONFIG_TYPE = (
     "struct<technique_name:string,max_tokens:int,prompt:string,prompt_role:string,temperature:double,"
     "top_p:double,reasoning_effort:string,thinking_tokens:int,out_path:string>"
 )
+# Field names of older configurations.
+RENAMED_FIELDS = {"name": "technique_name", "claude_thinking_tokens": "thinking_tokens"}
 EFFORTS = (None, "low", "medium", "high")
 
 
@@ -44,13 +47,21 @@ class RunConfig:
 
     @classmethod
     def from_dict(cls, data: dict) -> RunConfig:
-        """From a dictionary; fields of other versions are ignored."""
+        """From a dictionary; names of older versions are understood, other fields ignored."""
+        data = {RENAMED_FIELDS.get(k, k): v for k, v in data.items()}
         known = {f.name for f in fields(cls)}
         return cls(**{k: v for k, v in data.items() if k in known})
 
+    @classmethod
+    def from_json(cls, text: str) -> RunConfig:
+        return cls.from_dict(json.loads(text))
+
     def to_dict(self) -> dict:
         return asdict(self)
 
+    def to_json(self) -> str:
+        return json.dumps(self.to_dict(), ensure_ascii=False, indent=4)
+
     def as_column(self) -> Column:
         """The configuration as a struct literal."""
         options = F.struct(

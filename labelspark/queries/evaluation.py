@@ -126,11 +126,15 @@ def response_latency(spark, folder):
     return _rounded(rows, "mean_latency")
 
 
-@query()
+@query("""with s as (select 'run' || o_orderkey % 4 as run_id, sum((o_orderkey % 16) / 16) as seconds from orders group by 1)
+          select run_id, cast(floor(seconds / 86400) as int) as days, cast(floor(seconds / 3600) as int) % 24 as hours,
+                 cast(floor(seconds / 60) as int) % 60 as minutes, round(seconds - 60 * floor(seconds / 60), 6) as seconds from s""")
 def elapsed_interval(spark, folder):
     seconds = F.sum(F.col("response.latency"))
-    totals = run_predictions(spark, folder).groupBy("run_id").agg(seconds.alias("seconds"))
-    return totals.select("run_id", M.elapsed_interval(F.col("seconds")).cast("string").alias("elapsed"))
+    totals = run_predictions(spark, folder).groupBy("run_id").agg(M.elapsed_interval(seconds).alias("elapsed"))
+    part = lambda unit, kind: F.extract(F.lit(unit), F.col("elapsed")).cast(kind)
+    return totals.select("run_id", part("DAY", "int").alias("days"), part("HOUR", "int").alias("hours"),
+                         part("MINUTE", "int").alias("minutes"), part("SECOND", "double").alias("seconds"))
 
 
 @query(f"""with {COUNTS_SQL} select 'o_orderpriority' as label_name, true_id, pred_id, n,
@@ -242,7 +246,12 @@ def _document_requests(spark, folder, config):
     return assemble_requests(table(spark, folder, "documents").select("doc_id", "text"), config)
 
 
-@query()
+@query("""with t as (select doc_id, ' ' || lower(text) || ' ' as t from documents),
+               n as (select doc_id, length(t) as len, (length(t) - length(replace(t, ' der ', ''))) // 5 as de,
+                            (length(t) - length(replace(t, ' the ', ''))) // 5 as en, (length(t) - length(replace(t, ' el ', ''))) // 4 as es,
+                            (length(t) - length(replace(t, ' le ', ''))) // 4 as fr from t)
+          select doc_id, 'rule' as run_id, case greatest(de, en, es, fr) when de then 'de' when en then 'en' when es then 'es' else 'fr' end as text,
+                 cast(len + 1 as int) as total_tokens from n""")
 def batch_infer(spark, folder):
     rows = infer(_document_requests(spark, folder, RunConfig("Rule", 4, "Name the language.")), language_rule)
     return rows.select("doc_id", "run_id", "response.text", "response.total_tokens")

@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelspark.functions.answers import UNKNOWN
 from labelspark.operators import metrics as M
 from labelspark.operators.splits import hash_split
 from labelspark.plans.config import RunConfig
-from labelspark.queries.evaluation import KEY, VOCAB, order_counts, order_predictions, run_report
+from labelspark.queries.evaluation import (
+    ANSWER_COLUMNS,
+    ANSWER_TABLE_SQL,
+    KEY,
+    RUN_REPORT_SQL,
+    VOCAB,
+    order_counts,
+    order_predictions,
+    run_report,
+)
 from labelspark.queries.labels import HASH_SPLIT_SQL
 from labelspark.queries.registry import ANSWERS_SQL, PRIORITY, query, table
 from labelspark.session import scratch_path
@@ -104,7 +112,7 @@ def legacy_run_upgrade(spark, folder):
         F.col(f"predicted.{PRIORITY}").alias("pred_id"), F.col(f"actual.{PRIORITY}").alias("true_id"))
 
 
-@query()
+@query(ANSWER_TABLE_SQL + " where pred_id <> true_id")
 def report_sink(spark, folder):
     """A whole run written and its answers read back."""
     out = scratch_path(spark, "results")
@@ -113,15 +121,19 @@ def report_sink(spark, folder):
     path = runs.write_run(order_predictions(spark, folder), VOCAB, config, report, KEY, 12.5, out)
     schema = (f"{KEY} long, Text string, `LLM Response` string, `LLM Reasoning` string, `Prediction Time` double, "
               f"`Total Tokens` int, `Predicted {PRIORITY}` string, `True {PRIORITY}` string")
-    return tables.read_csv(spark, f"{path}/incorrect_answers.csv", schema)
+    back = tables.read_csv(spark, f"{path}/incorrect_answers.csv", schema).drop("LLM Reasoning")
+    # CSV has one form for "no value" and "no text".
+    return back.withColumnsRenamed(ANSWER_COLUMNS).fillna({"answer": ""})
 
 
-@query()
+@query(f"""with {RUN_REPORT_SQL} select run_id, 'o_orderpriority' as label_name, row_key, round(precision, 6) as precision,
+             round(recall, 6) as recall, round(f1, 6) as f1, round(support, 6) as support from report""")
 def report_scan(spark, folder):
-    """Reports of many runs, with and without a label in the file name, read in one scan."""
+    """Reports of many runs written one by one and read in one scan."""
     out = scratch_path(spark, "reports")
     report = run_report(spark, folder)
     names = sorted(r.run_id for r in report.select("run_id").distinct().collect())
     for name in names:
         runs.write_reports(report.where(F.col("run_id") == name).drop("run_id"), [PRIORITY], f"{out}/{name}")
-    return runs.read_reports(spark, f"{out}/*")
+    back = runs.read_reports(spark, f"{out}/*")
+    return back.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "support")})

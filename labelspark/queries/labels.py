@@ -191,24 +191,24 @@ def sort_by_labels(spark, folder):
 
 
 @query("""select p_partkey, regexp_replace(replace(trim(lower(p_name || ' ' || p_brand)), ' ', '_'), '[^a-z0-9_-]', '', 'g') as slug
-          from part""")
+          from part""", name="slug")
 def slug_names(spark, folder):
     part = table(spark, folder, "part")
     return part.select("p_partkey", slug(F.concat_ws(" ", "p_name", BRAND)).alias("slug"))
 
 
-@query("""select doc_id, replace(trim(lower(text), chr(9) || chr(10) || chr(13) || ' '), ' ', '') as squashed from documents""")
+@query("""select doc_id, replace(trim(lower(text), chr(9) || chr(10) || chr(13) || ' '), ' ', '') as squashed from documents""", name="normalise_label")
 def normalise_text(spark, folder):
     return table(spark, folder, "documents").select("doc_id", normalise_label(F.col("text")).alias("squashed"))
 
 
 @query("""select p_partkey, case when length(p_name || p_brand) > 15 then substr(p_name || p_brand, 1, 15) || '...'
-                 else p_name || p_brand end as shown from part""")
+                 else p_name || p_brand end as shown from part""", name="truncate_label")
 def truncate_names(spark, folder):
     part = table(spark, folder, "part")
     return part.select("p_partkey", truncate_label(F.concat("p_name", BRAND)).alias("shown"))
 
 
-@query("""select doc_id, replace(replace(text, chr(10), '\\n'), '"', '\\"') as one_line from documents""")
+@query("""select doc_id, replace(replace(text, chr(10), '\\n'), '"', '\\"') as one_line from documents""", name="escape_prompt")
 def escape_text(spark, folder):
     return table(spark, folder, "documents").select("doc_id", escape_prompt(F.col("text")).alias("one_line"))

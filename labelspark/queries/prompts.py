@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelspark.functions.answers import UNKNOWN
-from labelspark.operators.labels import label_vocabulary
+from labelspark.operators.labels import add_unknown, label_vocabulary
 from labelspark.plans import prompts as P
 from labelspark.plans.config import RunConfig
 from labelspark.queries.registry import PRIORITY, STATUS, query, table
@@ -76,5 +75,4 @@ def assemble_requests_multi(spark, folder):
           union all select cast((select count(*) from v) as int), 'Unknown'""")
 def vocab_with_unknown(spark, folder):
     vocab = label_vocabulary(table(spark, folder, "part"), "p_brand")
-    last = vocab.agg(F.count("*").cast("int").alias("class_id"), F.lit(UNKNOWN).alias("class_name"))
-    return vocab.select("class_id", "class_name").unionByName(last)
+    return add_unknown(vocab).select("class_id", "class_name")

@@ -11,13 +11,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a function under its own name, with SQL that gives the same rows."""
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function, under its own name unless given, with SQL that gives the same rows."""
 
     def register(function):
-        _QUERIES[function.__name__] = function
+        key = name or function.__name__
+        _QUERIES[key] = function
         if sql is not None:
-            _SQL[function.__name__] = sql
+            _SQL[key] = sql
         return function
 
     return register

@@ -41,6 +41,9 @@ def duck(folder):
 def compare(spark, con, name, query, sql, folder):
     """None if equal, else a text on the difference."""
     df = query(spark, folder)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "CartesianProduct" in plan or "NestedLoop" in plan:
+        return "pairs every row with every row"
     got = [tuple(r) for r in df.collect()]
     if sql is None:
         return None if got else "no rows"

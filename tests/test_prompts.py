@@ -54,5 +54,8 @@ def test_requests(spark):
 def test_config():
     config = RunConfig.from_dict({"technique_name": "Zero-shot CoT", "max_tokens": 3, "other": 1})
     assert config.run_id == "zero-shot_cot" and RunConfig.from_dict(config.to_dict()) == config
+    assert RunConfig.from_json(config.to_json()) == config
+    old = RunConfig.from_dict({"name": "é", "max_tokens": 3, "claude_thinking_tokens": 1024})
+    assert (old.technique_name, old.thinking_tokens) == ("é", 1024)
     with pytest.raises(ValueError):
         RunConfig("x", 1, reasoning_effort="extreme")
