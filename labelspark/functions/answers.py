@@ -96,7 +96,7 @@ def _last_mention(text: Column, names: list[str]) -> Column:
     return _id_at(F.array_position(F.lit([n.lower().replace(" ", "") for n in names]), last), len(names))
 
 
-def _parse_large(names: list[str], strict: bool, blank_is_first: bool):
+def _parse_large(names: list[str], strict: bool, blank_is_first: bool, nested: bool = False):
     """The same rules for a large vocabulary: hash look-ups, bisection and one compiled pattern."""
     import bisect
 
@@ -112,7 +112,7 @@ def _parse_large(names: list[str], strict: bool, blank_is_first: bool):
     pattern = mention_pattern(names)
 
     def resolve(answer: str | None, mention: re.Pattern) -> int:
-        if not answer:
+        if answer is None or (answer == "" and not (nested and blank_is_first)):
             return unknown
         if answer in exact:
             return exact[answer]
@@ -152,12 +152,15 @@ def parse_answer(
     return _resolve(answer, _clean(answer), names, strict_numeric, blank_is_first)
 
 
-def _resolve(answer: Column, text: Column, names: list[str], strict: bool, blank_is_first: bool) -> Column:
+def _resolve(answer: Column, text: Column, names: list[str], strict: bool, blank_is_first: bool,
+             nested: bool = False) -> Column:
+    """The rules in order. An empty answer is always unknown, an empty field only as a blank one is."""
     unknown = F.lit(len(names) - 1)
     later = F.coalesce(_number(text, names, strict), _prefix(text, names), _last_mention(text, names))
     if not blank_is_first:
         later = F.when(text != "", later)
-    return F.when(answer != "", F.coalesce(match_exact(answer, names), later, unknown)).otherwise(unknown)
+    given = answer.isNotNull() if nested and blank_is_first else answer != ""
+    return F.when(given, F.coalesce(match_exact(answer, names), later, unknown)).otherwise(unknown)
 
 
 def json_fields(answer: Column) -> Column:
@@ -191,6 +194,7 @@ def with_class_ids(
 
     With one label the answer is free text; with several it is read as a JSON object.
     """
+    rules = (strict_numeric, blank_is_first, len(vocab) > 1)
     if len(vocab) == 1:
         values = {next(iter(vocab)): F.col(f"`{answer}`")}
         staged = df
@@ -207,12 +211,12 @@ def with_class_ids(
     large = {i: n for i, n in enumerate(vocab.values()) if len(n) > EXPRESSION_CLASSES}
     small = {i: n for i, n in enumerate(vocab.values()) if i not in large}
     for i, names in large.items():
-        staged = staged.withColumn(f"_i{i}", _parse_large(names, strict_numeric, blank_is_first)(F.col(f"_a{i}")))
+        staged = staged.withColumn(f"_i{i}", _parse_large(names, *rules)(F.col(f"_a{i}")))
     if small:
         # One row in, one row out: the generator keeps the optimizer from copying the parser
         # into every expression and filter that uses an id.
         ids = F.struct(*[
-            _resolve(F.col(f"_a{i}"), F.col(f"_t{i}"), names, strict_numeric, blank_is_first).alias(f"_i{i}")
+            _resolve(F.col(f"_a{i}"), F.col(f"_t{i}"), names, *rules).alias(f"_i{i}")
             for i, names in small.items()
         ])
         staged = staged.select("*", F.inline(F.array(ids)))

@@ -115,11 +115,13 @@ def balance_classes(
     names = as_list(keys) if shuffle else as_list(order_cols)
     columns = list(dict.fromkeys([*within, *labels[1:], *(names or df.columns)]))
     if set(df.columns) - set(columns):
-        # Rank the keys alone and fetch the picked rows, provided the keys tell rows apart.
+        # Rank the keys alone and fetch the picked rows, provided their keys tell rows apart.
         narrow = known.select(*_cols(columns))
         picked, ranked = _spread_picks(narrow, plan, within, splits, labels, names, shuffle, seed)
-        if ranked.groupBy(*_cols(columns)).count().where("count > 1").isEmpty():
-            return _matching(known, settle(picked), columns)
+        picked = settle(picked)
+        twins = _matching(ranked, picked, columns).groupBy(*_cols(columns)).count().where("count > 1")
+        if twins.isEmpty():
+            return _matching(known, picked, columns)
     picked, _ = _spread_picks(known, plan, within, splits, labels, names, shuffle, seed)
     return picked
 

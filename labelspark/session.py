@@ -35,7 +35,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, set on the context so ``checkpoint()`` works.
+    """The folder named by ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a temporary folder: executors on other machines
     could not read it.
@@ -46,7 +46,6 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="labelspark-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -57,9 +56,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, lineage cut, survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written once to the shared folder and read back.
+
+    Like ``checkpoint()`` it cuts the lineage and survives the loss of executors; being columnar,
+    a pass that needs one column reads one column.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_rows(df: DataFrame, max_rows: int = SMALL_ROWS):

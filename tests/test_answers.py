@@ -116,6 +116,15 @@ def test_json_answers(spark, monkeypatch, limit):
     assert got == MULTI
 
 
+@pytest.mark.parametrize("limit", [1_000, 0])
+def test_empty_fields_as_first_class(spark, monkeypatch, limit):
+    monkeypatch.setattr(A, "EXPRESSION_CLASSES", limit)
+    answers = ['{"nature": "", "part of body": " "}', "", '{"nature": ""}']
+    rows = spark.createDataFrame(list(enumerate(answers)), "i int, answer string")
+    ids = A.with_class_ids(rows, "answer", VOCAB, "ids", blank_is_first=True).orderBy("i").collect()
+    assert [tuple(r.ids) for r in ids] == [(0, 0), (3, 2), (0, 2)]
+
+
 def test_parsing_works_on_a_stream(spark, tmp_path):
     rows = spark.createDataFrame([(a,) for a, _ in CASES], "answer string")
     rows.write.parquet(str(tmp_path / "in"))

@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from labelspark import session
 from labelspark.operators import ordering as O
 from labelspark.operators import sampling as S
 from labelspark.operators import splits as P
@@ -29,8 +30,11 @@ def test_first_n_is_exact_for_any_partitioning(spark, partitions, n, quota):
 
 
 @pytest.mark.parametrize("cell_rows", [200_000, 1])
-def test_first_n_per_group(spark, monkeypatch, cell_rows):
+@pytest.mark.parametrize("small", [True, False])
+def test_first_n_per_group(spark, monkeypatch, cell_rows, small):
     monkeypatch.setattr(O, "CELL_ROWS", cell_rows)  # 1 forces every refinement level
+    if not small:
+        monkeypatch.setattr(session, "small_rows", lambda df, max_rows=0: None)
     rows = numbers(spark, 3000, 6)
     got = O.take_first(rows, lambda size: F.floor(size / 4), "id", 3, ["g"])
     groups = {}

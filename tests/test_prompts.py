@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from labelspark.operators.labels import label_vocabulary
 from labelspark.plans import prompts as P

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from labelspark import session
 from labelspark.operators import sampling as S
 
 
@@ -90,6 +91,16 @@ def test_spread_with_equal_order_values(spark):
     assert S.balance_classes(rows, samples_per_class=10, shuffle=False, order_cols="at").count() == 10
 
 
+@pytest.mark.filterwarnings("ignore::UserWarning")
+@pytest.mark.parametrize("labels", ["NatureTitle", ["NatureTitle", "Part of Body Title"]])
+def test_results_do_not_depend_on_the_size_check(injuries, monkeypatch, labels):
+    take = lambda: {r.id for r in S.balance_classes(injuries.dropna(), labels, ratio=0.5, keys="id").collect()}
+    small = take()
+    monkeypatch.setattr(session, "small_rows", lambda df, max_rows=0: None)
+    assert take() == small
+
+
+@pytest.mark.filterwarnings("ignore::UserWarning")
 def test_several_labels(spark, injuries):
     labels = ["NatureTitle", "Part of Body Title"]
     rows = injuries.dropna()
