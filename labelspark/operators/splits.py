@@ -31,7 +31,8 @@ def random_split(df: DataFrame, test_size: float, keys=None, seed: int = 42, int
 
 def hash_split(df: DataFrame, test_size: float, keys, seed: int = 42, into: str = "split") -> DataFrame:
     """One-pass split of expected size: rows never change side when others are added."""
-    threshold = format(min(int(test_size * 16**8), 16**8), "08x")
+    # "g" lies beyond every hex digit.
+    threshold = "g" if test_size >= 1 else format(int(test_size * 16**8), "08x")
     flag = F.substring(order_hash(as_list(keys), seed), 1, 8) < F.lit(threshold)
     return df.withColumn(into, F.when(flag, TEST).otherwise(TRAIN))
 

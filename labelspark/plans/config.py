@@ -39,6 +39,9 @@ class RunConfig:
     def __post_init__(self):
         if self.reasoning_effort not in EFFORTS:
             raise ValueError("reasoning_effort must be low, medium or high")
+        object.__setattr__(self, "temperature", float(self.temperature))
+        if self.top_p is not None:
+            object.__setattr__(self, "top_p", float(self.top_p))
 
     @property
     def run_id(self) -> str:

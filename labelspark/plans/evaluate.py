@@ -24,6 +24,11 @@ def predictions(
     return with_class_ids(rows, truth, vocab, "actual", strict_numeric)
 
 
+def with_truth(responses: DataFrame, truth: DataFrame, keys) -> DataFrame:
+    """Responses beside the true answers of the same keys; rows are never matched by position."""
+    return responses.join(truth, as_list(keys))
+
+
 def evaluate(
     chat: DataFrame,
     vocab: dict[str, list[str]],

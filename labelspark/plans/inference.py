@@ -75,7 +75,7 @@ def infer(
     """
     rows = requests.repartition(partitions) if partitions else requests
     carried = [f for f in rows.schema.fields if f.name not in ("request", "options")]
-    response = T.StructField("response", T._parse_datatype_string(RESPONSE_TYPE))
+    response = T.StructField("response", T.DataType.fromDDL(RESPONSE_TYPE))
     schema = T.StructType([*carried, response])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,7 +13,7 @@ from labelspark.operators.labels import label_vocabulary, vocabulary_lists
 from labelspark.operators.splits import hash_split, one_split
 from labelspark.plans.baseline import classify, train_classifier
 from labelspark.plans.config import RunConfig
-from labelspark.plans.evaluate import evaluate, predictions
+from labelspark.plans.evaluate import evaluate, predictions, with_truth
 from labelspark.plans.inference import failed, infer
 from labelspark.plans.prompts import assemble_requests
 from labelspark.queries.registry import ANSWERS_SQL, PRIORITIES, PRIORITY, order_answers, query, table, with_response
@@ -215,7 +215,7 @@ def join_predictions(spark, folder):
     graded = table(spark, folder, "labels")
     made = graded.select("doc_id", F.col("toxic").alias("pred_id"))
     truth = table(spark, folder, "documents").select("doc_id").join(graded.select("doc_id", F.col("quality").alias("true_id")), "doc_id")
-    return truth.join(made, "doc_id")
+    return with_truth(made, truth, "doc_id")
 
 
 def language_rule():

@@ -24,6 +24,11 @@ _IDS = "map<string,array<int>>"
 _NAMES = "map<string,array<string>>"
 
 
+def _file_path() -> Column:
+    """Path of the file a row comes from, with blanks and the like as they are on disk."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def run_folder(out: str | None, technique_name: str) -> str:
     """Folder of a run: the file-safe technique name under the output folder."""
     name = slug_text(technique_name)
@@ -109,7 +114,7 @@ def read_run_documents(
         F.coalesce(c["thinking_tokens"], c["claude_thinking_tokens"]), c["out_path"],
     ).cast(CONFIG_TYPE)
     return raw.select(
-        F.coalesce("run_id", F.col("_metadata.file_path")).alias("run_id"),
+        F.coalesce("run_id", _file_path()).alias("run_id"),
         upgraded.alias("config"), "texts",
         _either(F.col("labels_pred"), _IDS, "array<int>", default_label).alias("labels_pred"),
         _either(F.col("labels_true"), _IDS, "array<int>", default_label).alias("labels_true"),
@@ -156,7 +161,7 @@ def read_reports(spark: SparkSession, folders, default_label: str = "label") ->
     paths = [folders] if isinstance(folders, str) else list(folders)
     globs = [f"{p.rstrip('/')}/evaluation{{,_*}}.csv" for p in paths]
     rows = spark.read.option("header", True).option("escape", '"').schema(REPORT_SCHEMA).csv(globs)
-    file = F.col("_metadata.file_path")
+    file = _file_path()
     named = F.regexp_extract(file, REPORT_NAME, 1)
     return rows.select(
         F.regexp_extract(file, r"([^/]+)/evaluation(?:_[^/]*)?\.csv", 1).alias("run_id"),

@@ -62,7 +62,7 @@ def read_csv_after(spark: SparkSession, path, skip: int, columns=None) -> DataFr
     if header is None:
         raise ValueError(f"no header after {skip} lines in {path}")
     one = spark.createDataFrame([(header.value,)], "value string")
-    width = len(T._parse_datatype_string(one.select(F.schema_of_csv(F.lit(header.value))).first()[0]).fields)
+    width = len(T.DataType.fromDDL(one.select(F.schema_of_csv(F.lit(header.value))).first()[0]).fields)
     blank = ", ".join(f"_c{i} string" for i in range(width))
     names = one.select(F.from_csv("value", F.lit(blank))).first()[0].asDict()
     ddl = ", ".join(f"`{name or place}` string" for place, name in names.items())

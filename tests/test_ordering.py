@@ -118,6 +118,8 @@ def test_hash_split_is_stable_under_appends(spark):
     many = {r.id: r.split for r in P.hash_split(spark.range(1000), 0.3, "id").collect()}
     assert all(many[i] == s for i, s in few.items())
     assert 200 < sum(s == "test" for s in many.values()) < 400
+    for size, tests in ((1, 100), (0, 0)):
+        assert P.hash_split(spark.range(100), size, "id").where("split = 'test'").count() == tests
 
 
 @pytest.mark.parametrize("partitions", [1, 7])

@@ -130,13 +130,13 @@ def test_run_round_trip_and_roll_up(spark, predicted, tmp_path):
 
 
 def test_plain_report_files(spark, tmp_path):
-    run = tmp_path / "run 1"
+    run = tmp_path / "run 1+é"
     run.mkdir()
     body = ",precision,recall,f1-score,support\n0,0.5,1.0,0.6,2.0\naccuracy,0.75,0.75,0.75,0.75\nmacro avg,0.1,0.2,0.3,4.0\nweighted avg,0.4,0.5,0.6,4.0\n"
     (run / "evaluation.csv").write_text(body)
     (run / "evaluation_part.csv").write_text(body.replace("0.75", "0.25"))
     reports = runs.read_reports(spark, str(run), default_label="naturetitle")
-    assert {r.label_name for r in reports.collect()} == {"naturetitle", "part"}
+    assert {(r.run_id, r.label_name) for r in reports.collect()} == {("run 1+é", "naturetitle"), ("run 1+é", "part")}
     averages = R.average_metrics(reports).first()
     assert (averages.accuracy, averages.precision_macro, averages.f1_weighted) == (0.5, 0.1, 0.6)
 
