@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelspark.llm.bpe import decode, encode
+from labelspark.llm.simhash import near_groups
 from labelspark.llm.quality import score_quality, train_quality
 
 
@@ -22,6 +23,12 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(_table(spark, folder, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = word_vocabulary()
     return decode(encode(_table(spark, folder, "documents"), path), path).select(
@@ -38,7 +45,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op9_bpe, op10_quality_rules)}
 
 
 def all_sql() -> dict[str, str]:
