@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelspark.llm.bpe import decode, encode
-from labelspark.llm.simhash import near_groups
+from labelspark.llm.pii import PATTERNS, private_spans, span_text
 from labelspark.llm.quality import score_quality, train_quality
+from labelspark.llm.simhash import near_groups
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +30,17 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = private_spans(_table(spark, folder, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in PATTERNS]
+    every = F.concat("base", F.transform("terms", lambda t: t["span"]))
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(every).alias("spans"),
+    )
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = word_vocabulary()
     return decode(encode(_table(spark, folder, "documents"), path), path).select(
@@ -45,7 +57,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op9_bpe, op10_quality_rules)}
 
 
 def all_sql() -> dict[str, str]:
