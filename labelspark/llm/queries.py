@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelspark.llm.bpe import decode, encode
+from labelspark.llm.mixing import mix_counts, mix_plan
 from labelspark.llm.pii import PATTERNS, private_spans, span_text
 from labelspark.llm.quality import score_quality, train_quality
 from labelspark.llm.simhash import near_groups
@@ -41,6 +42,10 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_counts(mix_plan(_table(spark, folder, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = word_vocabulary()
     return decode(encode(_table(spark, folder, "documents"), path), path).select(
@@ -57,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_pii, op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op5_mixing, op9_bpe, op10_quality_rules)}
 
 
 def all_sql() -> dict[str, str]:
