@@ -139,10 +139,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text")
     entities = found.groupBy("entity", row.alias("row")).agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("holding"))
     words = docs.select(F.explode(F.array_distinct(_terms(F.col(text_col)))).alias("term"))
     frequency = words.groupBy("term").agg(F.count("*").alias("frequency"))
-    everything = docs.agg(F.count("*").alias("documents"))  # one row
     rated = (
-        together.join(frequency, "term").join(entities, "entity").join(F.broadcast(everything))
-        .withColumn("information", -F.log2(F.col("holding") / F.col("documents")))
+        together.join(frequency, "term").join(entities, "entity")
+        .withColumn("information", -F.log2(F.col("holding") / F.lit(docs.count())))
         .withColumn("given", F.least(F.col("together") / F.col("frequency"), F.lit(1.0)))
         .withColumn("disclosed", 1 + F.log2("given") / F.col("information"))
     )

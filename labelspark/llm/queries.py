@@ -12,12 +12,25 @@ from labelspark.llm.mixing import mix_counts, mix_plan
 from labelspark.llm.pii import PATTERNS, private_spans, span_text
 from labelspark.llm.quality import score_quality, train_quality
 from labelspark.llm.simhash import near_groups
+from labelspark.llm.urls import filter_urls
+from labelspark.llm.warc import read_archives, write_archives
+from labelspark.session import scratch_path
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Fixed values of the contract: host, path and verdict of every rule.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
 def word_vocabulary() -> str:
     """The public vocabulary with word ends."""
     import public_tokenizers
@@ -46,6 +59,19 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_counts(mix_plan(_table(spark, folder, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(_table(spark, folder, "pages"), rules)
+
+
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    write_archives(_table(spark, folder, "pages"), path)
+    return read_archives(spark, path, payloads=False).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = word_vocabulary()
     return decode(encode(_table(spark, folder, "documents"), path), path).select(
@@ -62,8 +88,44 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_pii, op5_mixing, op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op5_mixing, op6_url_filter, op8_warc, op9_bpe, op10_quality_rules)}
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    rules = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+    return {
+        "op6_url_filter": f"""
+            WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
+            rest AS (
+                SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r
+                FROM pages
+            ),
+            parts AS (
+                SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                       regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+                FROM rest
+            ),
+            fits AS (
+                SELECT p.page_id, p.host, p.path, r.rule_host || r.rule_path AS rule, r.rule_verdict,
+                       row_number() OVER (PARTITION BY p.page_id
+                                          ORDER BY length(r.rule_host || r.rule_path) DESC NULLS LAST) AS place
+                FROM parts p LEFT JOIN rules r
+                  ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
+            )
+            SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM fits WHERE place = 1
+        """,
+        "op8_warc": """
+            WITH rows AS (
+                SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+                FROM pages
+            ),
+            resolved AS (
+                SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS original
+                FROM rows
+            )
+            SELECT page_id, payload_bytes, payload_digest,
+                   CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN page_id = original THEN NULL ELSE original END AS refers_to
+            FROM resolved
+        """,
+    }
