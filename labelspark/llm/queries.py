@@ -13,6 +13,7 @@ from labelspark.llm.pii import PATTERNS, private_spans, span_text
 from labelspark.llm.quality import score_quality, train_quality
 from labelspark.llm.simhash import near_groups
 from labelspark.llm.urls import filter_urls
+from labelspark.llm.vptree import search
 from labelspark.llm.warc import read_archives, write_archives
 from labelspark.session import scratch_path
 
@@ -64,6 +65,11 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(_table(spark, folder, "pages"), rules)
 
 
+def op7_vptree(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "archives")
     write_archives(_table(spark, folder, "pages"), path)
@@ -88,7 +94,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_pii, op5_mixing, op6_url_filter, op8_warc, op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op5_mixing, op6_url_filter, op7_vptree, op8_warc, op9_bpe, op10_quality_rules)}
 
 
 def all_sql() -> dict[str, str]:
@@ -114,6 +120,25 @@ def all_sql() -> dict[str, str]:
             )
             SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM fits WHERE place = 1
         """,
+        "op7_vptree": """
+            WITH usable AS (
+                SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+                WHERE vec_id IS NOT NULL AND len(embedding) > 0
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+            ),
+            scored AS (
+                SELECT q.vec_id AS query_id, c.vec_id,
+                       sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])),
+                                        lambda a, b: a + b)) AS score
+                FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
+                WHERE q.vec_id % 100 = 0
+            ),
+            ranked AS (
+                SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM scored
+            )
+            SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+        """,
         "op8_warc": """
             WITH rows AS (
                 SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
