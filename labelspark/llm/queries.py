@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelspark.llm.bpe import decode, encode
+from labelspark.llm.html import extract, train_extractor
 from labelspark.llm.mixing import mix_counts, mix_plan
 from labelspark.llm.pii import PATTERNS, private_spans, span_text
 from labelspark.llm.quality import score_quality, train_quality
@@ -56,6 +57,11 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_html(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return extract(pages, train_extractor(pages))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_counts(mix_plan(_table(spark, folder, "documents"))).withColumnRenamed("id", "doc_id")
 
@@ -94,7 +100,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_pii, op5_mixing, op6_url_filter, op7_vptree, op8_warc, op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op4_html, op5_mixing, op6_url_filter, op7_vptree, op8_warc, op9_bpe, op10_quality_rules)}
 
 
 def all_sql() -> dict[str, str]:
