@@ -13,6 +13,7 @@ from labelspark.llm.mixing import mix_counts, mix_plan
 from labelspark.llm.pii import PATTERNS, private_spans, span_text
 from labelspark.llm.quality import score_quality, train_quality
 from labelspark.llm.simhash import near_groups
+from labelspark.llm.suffix import remove_repeats
 from labelspark.llm.urls import filter_urls
 from labelspark.llm.vptree import search
 from labelspark.llm.warc import read_archives, write_archives
@@ -57,6 +58,14 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = remove_repeats(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_html(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
     return extract(pages, train_extractor(pages))
@@ -100,7 +109,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_pii, op4_html, op5_mixing, op6_url_filter, op7_vptree, op8_warc, op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_suffix_dedup, op4_html, op5_mixing, op6_url_filter, op7_vptree, op8_warc, op9_bpe, op10_quality_rules)}
 
 
 def all_sql() -> dict[str, str]:
