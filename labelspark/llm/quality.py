@@ -133,7 +133,7 @@ class Trees:
 
 
 def fit_trees(rows: np.ndarray, good: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2,
-              bins: int = 64, penalty: float = 1.0, least: float = 5.0, directions=None) -> Trees | None:
+              bins: int = 64, penalty: float = 1.0, least: float = 1.0, directions=None) -> Trees | None:
     """Boosted trees for a 0/1 target, None unless both values occur.
 
     A split on a constrained feature is taken only if the side with larger values does not score
