@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -260,6 +261,30 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     [pa.array(c, k) for c, (_, k) in zip(zip(*cold), kinds, strict=True)], [k for k, _ in kinds])
 
 
+class Stored:
+    """An array in two files that are written in turns, each from its beginning."""
+
+    def __init__(self, folder: str, name: str, kind):
+        self.files = [open(os.path.join(folder, f"{name}{i}"), "w+b", buffering=0) for i in (0, 1)]
+        self.kind, self.size = kind, 0
+
+    def read(self) -> np.ndarray:
+        self.files[0].seek(0)
+        return np.fromfile(self.files[0], self.kind, self.size)
+
+    def write(self, array: np.ndarray) -> None:
+        self.files.reverse()
+        self.files[0].seek(0)
+        left = memoryview(np.ascontiguousarray(array)).cast("B")
+        while len(left):
+            left = left[self.files[0].write(left):]
+        self.size = len(array)
+
+    def close(self) -> None:
+        for file in self.files:
+            file.close()
+
+
 def suffix_order(strings: list[bytes], folder: str, cap: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """The Burrows-Wheeler transform of a collection (0 stands before a string, then the bytes that occur)
     and the common prefixes, up to ``cap``, of neighbours in its suffix order."""
@@ -272,7 +297,7 @@ def suffix_order(strings: list[bytes], folder: str, cap: int = LENGTH) -> tuple[
     number[used] = np.arange(1, len(used) + 1)
     text = number[text]
     begins = np.cumsum(lengths) - lengths
-    files = [os.path.join(folder, name) for name in ("symbols", "prefixes")]
+    stored = [Stored(folder, "symbols", kind), Stored(folder, "prefixes", np.uint8)]
 
     def before(rows: np.ndarray, length: int) -> np.ndarray:
         """The symbols in front of the suffixes of a length."""
@@ -281,14 +306,16 @@ def suffix_order(strings: list[bytes], folder: str, cap: int = LENGTH) -> tuple[
 
     rows = np.arange(m)  # strings that still grow, and the places of their last suffixes
     place = np.arange(m)
-    before(rows, 0).tofile(files[0])
-    np.zeros(m, np.uint8).tofile(files[1])
+    stored[0].write(before(rows, 0))
+    stored[1].write(np.zeros(m, np.uint8))
     length = 0
     while True:
-        symbols, prefixes = np.fromfile(files[0], kind), np.fromfile(files[1], np.uint8)
+        symbols, prefixes = (s.read() for s in stored)
         on = lengths[rows] > length
         rows, place = rows[on], place[on]
         if not len(rows):
+            for s in stored:
+                s.close()
             return symbols, prefixes
         length += 1
         # Rows in order of their symbols are the suffixes that begin with these, after m empty ones.
@@ -328,8 +355,8 @@ def suffix_order(strings: list[bytes], folder: str, cap: int = LENGTH) -> tuple[
         next_symbols[new] = before(rows, length)
         next_prefixes[new[with_after] + 1] = np.minimum(behind, cap)
         next_prefixes[new] = np.minimum(ahead, cap)
-        next_symbols.tofile(files[0])
-        next_prefixes.tofile(files[1])
+        stored[0].write(next_symbols)
+        stored[1].write(next_prefixes)
         place = new
 
 
@@ -374,11 +401,38 @@ def repeated_windows(strings: list[bytes], windows: np.ndarray, owner: np.ndarra
     return again
 
 
+def trimmed(rows: list[tuple]) -> list[tuple]:
+    """Segments ``(h, id, dig, start, n, bytes)`` without the windows that can't equal another's.
+
+    A window reaches from its anchor over the nearer half of what else it may hold, to the right or to
+    the left. Windows that are equal agree there, so a stretch that no other segment of the anchor has
+    rules out all windows over it. ``rows`` holds all segments of its anchors.
+    """
+    data = b"".join(r[5] for r in rows)
+    begins = np.cumsum([0, *(len(r[5]) for r in rows[:-1])])
+    place = (anchors(np.frombuffer(data + bytes(8), np.uint8))[begins] - begins).tolist()
+    half = (LENGTH - ANCHOR) // 2
+    right, left = Counter(), Counter()
+    for (h, _, _, _, _, text), p in zip(rows, place, strict=True):
+        right[h, text[p:p + ANCHOR + half]] += 1
+        left[h, text[max(p - half, 0):p + ANCHOR]] += 1
+    found = []
+    for (h, id_, dig, start, n, text), p in zip(rows, place, strict=True):
+        middle = min(max(p - half, 0), n)  # windows before it reach far to the left of the anchor
+        first = 0 if left[h, text[max(p - half, 0):p + ANCHOR]] > 1 else middle
+        last = n if right[h, text[p:p + ANCHOR + half]] > 1 else middle
+        if first < last:
+            found.append((h, id_, dig, start + first, last - first, text[first:last + LENGTH - 1]))
+    return found
+
+
 def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments sorted by anchor to repeated runs of windows."""
 
     def ordered(rows: list[tuple]) -> pa.RecordBatch:
-        rows = sorted(set(rows), key=lambda r: r[1:4])
+        rows = sorted(trimmed(list(set(rows))), key=lambda r: r[1:4])
+        if not rows:
+            return none
         columns = [np.array(c, np.int64) for c in list(zip(*rows))[1:5]]
         id_, dig, start, n = columns
         owner = np.cumsum(np.concatenate([[0], (id_[1:] != id_[:-1]) | (dig[1:] != dig[:-1])]))
@@ -389,6 +443,8 @@ def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(found, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["id", "dig", "start", "n"])
 
+    none = pa.RecordBatch.from_arrays(
+        [pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int32())], ["id", "dig", "start", "n"])
     held: list[tuple] = []
     for batch in batches:
         names = ("h", "id", "dig", "start", "n", "bytes")
