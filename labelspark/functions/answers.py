@@ -120,7 +120,8 @@ def _parse_large(names: list[str], strict: bool, blank_is_first: bool, nested: b
         if not text and not blank_is_first:
             return unknown
         if re.fullmatch("[0-9]+", text):
-            return int(text) if len(text) < 10 and int(text) < limit else unknown
+            digits = text.lstrip("0")
+            return int(digits or "0") if len(digits) < 10 and int(digits or "0") < limit else unknown
         head = text.replace(" ", "")
         low = bisect.bisect_left(keys, head)
         high = bisect.bisect_left(keys, head + "\U0010ffff")

@@ -30,14 +30,40 @@ def quoted_ascii(c: Column) -> Column:
     return F.when(c.isNotNull(), F.btrim(joined, F.lit("[]")))
 
 
-def _value(name: str, data_type: T.DataType) -> Column:
-    c = F.col(f"`{name}`")
-    if isinstance(data_type, T.StringType):
+def _number(c: Column) -> Column:
+    """A double as most scripting languages print it: digits up to 16 places before the point and from
+    four after it, else an exponent of two digits at least."""
+    text = c.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    power = F.substring_index(text, "E", -1).try_cast("int")
+    short = F.concat(mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    size = F.abs(c)
+    return (
+        F.when(F.isnan(c) | (size == float("inf")), text)
+        .when(~F.contains(text, F.lit("E")), text)
+        .when((size >= 1e-4) & (size < 1e16), plain)
+        .otherwise(short)
+    )
+
+
+def _value(c: Column, kind: T.DataType) -> Column:
+    """The JSON text of a value; null is the word."""
+    if isinstance(kind, T.StringType):
         text = quoted_ascii(c)
-    elif isinstance(data_type, (T.NumericType, T.BooleanType)):
+    elif isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        text = _number(c.cast("double"))
+    elif isinstance(kind, (T.NumericType, T.BooleanType)):
         text = c.cast("string")
-    elif isinstance(data_type, (T.ArrayType, T.StructType, T.MapType)):
-        text = F.to_json(c)
+    elif isinstance(kind, T.ArrayType):
+        inner = F.transform(c, lambda e: _value(e, kind.elementType))
+        text = F.concat(F.lit("["), F.array_join(inner, ", "), F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        entry = lambda e: F.concat(quoted_ascii(e["key"].cast("string")), F.lit(": "), _value(e["value"], kind.valueType))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(c), entry), ", "), F.lit("}"))
+    elif isinstance(kind, T.StructType):
+        parts = [F.concat(quoted_ascii(F.lit(f.name)), F.lit(": "), _value(c.getField(f.name), f.dataType)) for f in kind.fields]
+        text = F.when(c.isNotNull(), F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))
     else:
         text = quoted_ascii(c.cast("string"))
     return F.coalesce(text, F.lit("null"))
@@ -55,5 +81,5 @@ def json_object(schema: T.StructType, columns: list[str], compact: bool = False)
     parts: list[Column] = []
     for i, c in enumerate(columns):
         parts.append(F.concat(F.lit(", " if i else "{"), quoted_ascii(F.lit(c)), F.lit(": ")))
-        parts.append(_value(c, schema[c].dataType))
+        parts.append(_value(F.col(f"`{c}`"), schema[c].dataType))
     return F.concat(*parts, F.lit("}"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from labelspark.functions.json_text import json_object
 from labelspark.functions.messages import exchange
+from labelspark.functions.text import strip
 from labelspark.operators.labels import decode_classes, label_vocabulary, select_text_labels
 from labelspark.session import as_list, require_columns
 
@@ -58,17 +58,27 @@ def preprocess_chat(
     return rows.select(*[F.col(f"`{k}`") for k in keep], messages), vocab
 
 
-def conversation_messages(
-    turns: DataFrame, conversation: str, turn: str, role: str, text: str, turns_per_part: int = 1_000
-) -> DataFrame:
-    """Turn rows to conversations: ``(conversation, part, messages)``.
+def conversation_messages(turns: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
+    """Turn rows to whole conversations: ``(conversation, messages)``, in order of the turns.
 
-    Turn numbers are unique within a conversation, so a part never holds more than
-    ``turns_per_part`` messages however long the conversation is; parts follow each other in
-    order and together hold every turn.
+    A conversation becomes one value and must fit a row. For its ends or its rendering no such value is
+    needed: :func:`conversation_ends` and :func:`rendered_turns` work on turn rows.
     """
     entry = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content"))
-    part = F.floor(F.col(turn) / turns_per_part).cast(T.LongType()).alias("part")
     ordered = F.array_sort(F.collect_list(entry))
     messages = F.transform(ordered, lambda e: F.struct(e["role"].alias("role"), e["content"].alias("content")))
-    return turns.groupBy(F.col(conversation), part).agg(messages.alias("messages"))
+    return turns.groupBy(F.col(conversation)).agg(messages.alias("messages"))
+
+
+def conversation_ends(turns: DataFrame, conversation: str, turn: str, text: str) -> DataFrame:
+    """``(conversation, first_text, last_text)``: the input and the expected answer of every conversation,
+    combined before the shuffle whatever the length of a conversation."""
+    return turns.groupBy(F.col(conversation)).agg(
+        strip(F.min_by(text, turn)).alias("first_text"), F.max_by(text, turn).alias("last_text"))
+
+
+def rendered_turns(turns: DataFrame, conversation: str, turn: str, role: str, text: str, line) -> DataFrame:
+    """``(conversation, turn, line)``: every turn as ``line`` renders one message. A conversation's text is its
+    lines in order of the turns; no conversation is gathered."""
+    m = F.struct(F.col(role).alias("role"), F.col(text).alias("content"))
+    return turns.select(F.col(conversation), F.col(turn).alias("turn"), line(m).alias("line"))

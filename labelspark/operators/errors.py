@@ -10,9 +10,6 @@ from labelspark.operators.metrics import label_pairs
 from labelspark.operators.ordering import order_hash
 from labelspark.session import as_list, join_groups, settle
 
-# A few-shot prompt is a driver-side string.
-MAX_EXAMPLES = 1_000
-
 
 def class_name(vocab: dict[str, list[str]], label: str, class_id: Column) -> Column:
     """Name of a class id."""
@@ -20,7 +17,10 @@ def class_name(vocab: dict[str, list[str]], label: str, class_id: Column) -> Col
 
 
 def answers(predictions: DataFrame, vocab: dict[str, list[str]], keep=(), wrong_only: bool = False) -> DataFrame:
-    """Text, response, cost and, for every label, predicted and true class names."""
+    """Text, response, cost and, for every label, predicted and true class names.
+
+    The column titles are fixed values: existing answer files have them.
+    """
     rows = wrong_rows(predictions, vocab) if wrong_only else predictions
     response = F.col("response")
     names = []
@@ -102,8 +102,6 @@ def few_shot_examples(
     chosen rows only.
     """
     keys = as_list(keys)
-    if len(vocab) * per_class * per_true * per_pred > MAX_EXAMPLES:
-        raise ValueError(f"more than {MAX_EXAMPLES} examples asked for")
     pairs = settle(few_shot_pairs(counts, vocab, per_class, per_true))
     wrong = label_pairs(wrong_rows(predictions, vocab), list(vocab), by=keys)
     hits = join_groups(wrong, pairs, ["label_name", "true_id", "pred_id"])
@@ -115,9 +113,10 @@ def few_shot_examples(
 
 
 def few_shot_text(examples: DataFrame, vocab: dict[str, list[str]]) -> DataFrame:
-    """The examples as one text of question/answer blocks ending in an open question.
+    """The examples as one numbered text for a prompt; without examples it is empty.
 
-    With one label the answer is its class name, with several a JSON object of all of them.
+    With one label the answer is its class name, with several a JSON object of all of them. The text
+    has ``labels * per_class * per_true * per_pred`` examples at most, as asked for when mining.
     """
     names = {c: class_name(vocab, c, F.col("actual").getField(c)) for c in vocab}
     if len(vocab) == 1:
@@ -127,8 +126,9 @@ def few_shot_text(examples: DataFrame, vocab: dict[str, list[str]]) -> DataFrame
         for i, (label, name) in enumerate(names.items()):
             parts += [F.lit(", " if i else "{"), quoted_ascii(F.lit(label)), F.lit(": "), quoted_ascii(name)]
         answer = F.concat(*parts, F.lit("}"))
-    block = F.concat(F.lit("Question:\n"), F.col("text"), F.lit("\n\nAnswer:\n"), answer, F.lit("\n\n"))
+    block = F.concat(F.lit("text: "), F.col("text"), F.lit("\ncorrect result: "), answer)
     position = F.array_position(F.lit(list(vocab)), F.col("label_name"))
     entry = F.struct(position.alias("label"), "true_rank", "pred_rank", "row_rank", block.alias("block"))
-    blocks = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["block"])
-    return examples.agg(F.concat(F.array_join(blocks, ""), F.lit("Question:\n")).alias("examples"))
+    number = lambda e, i: F.concat(F.lit("Example "), (i + 1).cast("string"), F.lit(" - "), e["block"])
+    blocks = F.transform(F.array_sort(F.collect_list(entry)), number)
+    return examples.agg(F.array_join(blocks, "\n\n").alias("examples"))

@@ -9,16 +9,12 @@ holding one class id per label, beside the sample's own columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelspark.functions.text import truncate_label
 from labelspark.session import as_list, settle
 
-# A dense matrix has one cell for every pair of classes; beyond this many classes only the
-# sparse form is offered, which holds the same counts.
-DENSE_CLASSES = 2_000
-
 
 def label_pairs(predictions: DataFrame, labels, by=()) -> DataFrame:
     """One row per sample and label: ``(by…, label_name, true_id, pred_id)``."""
@@ -45,50 +41,63 @@ def confusion_matrix(counts: DataFrame, by=()) -> DataFrame:
     return counts.withColumn("ratio", F.col("n") / total)
 
 
+def class_table(spark: SparkSession, vocab: dict[str, list[str]]) -> DataFrame:
+    """One row per class of a vocabulary: ``(label_name, class_id, class_name)``."""
+    rows = [(label, i, name) for label, names in vocab.items() for i, name in enumerate(names)]
+    return spark.createDataFrame(rows, "label_name string, class_id int, class_name string")
+
+
+def matrix_rows(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """One row per class of the vocabulary, ``(label_name, true_id, true_name, n, cells)``: how often it was
+    true, and a map from each predicted id to its count.
+
+    This holds a matrix of any number of classes in as many entries as there are pairs that occur.
+    """
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("pred_id", "n"))))
+    rows = counts.groupBy("label_name", F.col("true_id").alias("class_id")).agg(F.sum("n").alias("n"), entries.alias("cells"))
+    none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<bigint>"))
+    return vocab.join(rows, ["label_name", "class_id"], "left").select(
+        "label_name", F.col("class_id").alias("true_id"), F.col("class_name").alias("true_name"),
+        F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("cells", none).alias("cells"))
+
+
 def dense_matrix(counts: DataFrame, vocab: dict[str, list[str]], char_limit: int = 15,
                  text_classes: int = 15) -> DataFrame:
     """Every pair of classes of the vocabulary with count, share and display names.
 
-    ``show_text`` is off for labels with more than ``text_classes`` classes.
+    Rows of :func:`matrix_rows` are spread first and widened in place, so a row of cells is made where
+    its class lies. ``show_text`` is off for labels with more than ``text_classes`` classes.
     """
-    _check_dense(vocab)
-    names = F.array(*[
-        F.struct(F.lit(label).alias("label_name"), F.lit(classes).alias("names"))
-        for label, classes in vocab.items()
-    ])
-    grid = (
-        counts.sparkSession.range(1).select(F.inline(names))
-        .select("*", F.posexplode("names").alias("true_id", "true_name"))
-        .select("*", F.posexplode("names").alias("pred_id", "pred_name"))
-    )
-    cells = grid.join(counts, ["label_name", "true_id", "pred_id"], "left")
-    n = F.coalesce(F.col("n"), F.lit(0))
-    total = F.sum(n).over(Window.partitionBy("label_name", "true_id"))
-    return cells.select(
+    spark = counts.sparkSession
+    classes = class_table(spark, vocab)
+    sizes = F.lit(0)
+    for label, names in vocab.items():
+        sizes = F.when(F.col("label_name") == label, F.lit(len(names))).otherwise(sizes)
+    rows = matrix_rows(counts, classes).withColumn("_size", sizes).repartition("label_name", "true_id")
+    cells = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_size") - 1)).alias("pred_id"))
+    names = classes.select("label_name", F.col("class_id").alias("pred_id"), F.col("class_name").alias("pred_name"))
+    cells = cells.withColumn("_n", F.coalesce(F.try_element_at("cells", F.col("pred_id")), F.lit(0))).drop("cells")
+    return cells.join(names, ["label_name", "pred_id"]).select(
         "label_name", "true_id", "pred_id",
         truncate_label(F.col("true_name"), char_limit).alias("true_name"),
         truncate_label(F.col("pred_name"), char_limit).alias("pred_name"),
-        n.alias("n"),
-        F.when(total > 0, n / total).otherwise(F.lit(0.0)).alias("ratio"),
-        (F.size("names") <= text_classes).alias("show_text"),
+        F.col("_n").alias("n"),
+        F.when(F.col("n") > 0, F.col("_n") / F.col("n")).otherwise(F.lit(0.0)).alias("ratio"),
+        (F.col("_size") <= text_classes).alias("show_text"),
     )
 
 
 def matrix_pivot(counts: DataFrame, label: str, names: list[str]) -> DataFrame:
-    """One row per true class, one count column per predicted class."""
-    _check_dense({label: names})
+    """One row per true class that occurs, one count column per predicted class.
+
+    A column per class suits small vocabularies; :func:`matrix_rows` has the same counts for any.
+    """
     own = counts.where(F.col("label_name") == label)
     wide = own.groupBy("true_id").pivot("pred_id", list(range(len(names)))).agg(F.sum("n"))
     columns = [F.coalesce(F.col(f"`{i}`"), F.lit(0)).alias(name) for i, name in enumerate(names)]
     return wide.select(F.get(F.lit(names), F.col("true_id")).alias("true_name"), *columns)
 
 
-def _check_dense(vocab: dict[str, list[str]]) -> None:
-    for label, names in vocab.items():
-        if len(names) > DENSE_CLASSES:
-            raise ValueError(f"{label} has {len(names)} classes; use confusion_matrix, which is sparse")
-
-
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 

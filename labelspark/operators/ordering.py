@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelspark.session import Settled, as_list, checkpointed, join_groups, settle
 
@@ -140,7 +141,10 @@ def _number_copies(ties: DataFrame, columns, flag: str) -> DataFrame:
     counted = ties.groupBy(*_cols(columns), "_need").agg(F.count("*").alias("_copies"))
     blocks = counted.withColumn(
         "_from", F.explode(F.sequence(F.lit(1), F.col("_copies"), F.lit(COPY_BLOCK)))
-    ).repartition(F.col("_from"))
+    ).withColumn("_row", F.xxhash64(*_cols(columns)))
+    # By group and block, and in a stated number of parts: counted rows look small to the planner.
+    parts = int(ties.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(parts, "_row", "_from")
     last = F.least(F.col("_from") + COPY_BLOCK - 1, F.col("_copies"))
     numbered = blocks.withColumn("_i", F.explode(F.sequence(F.col("_from"), last)))
     return numbered.select(*_cols(columns), (F.col("_i") <= F.col("_need")).alias(flag))
@@ -173,12 +177,31 @@ def global_rank(df: DataFrame, order, rank: str = "rank") -> DataFrame:
     return placed.join(offsets.side(), "_part").select(*_cols(df.columns), (F.col("_offset") + place).alias(rank))
 
 
+def _portable(name: str, kind: T.DataType) -> Column:
+    """A value in a form that the driver holds and :func:`_restored` gives back unchanged.
+
+    The text of an instant depends on the session's zone and is not unique when clocks go back, so
+    instants travel as microseconds; bytes travel as digits.
+    """
+    c = F.col(f"`{name}`")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("string")
+    return F.hex(c) if isinstance(kind, T.BinaryType) else c.cast("string")
+
+
+def _restored(text: str | None, kind: T.DataType) -> Column:
+    value = F.lit(text).cast("string")
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(value.cast("bigint"))
+    return F.unhex(value) if isinstance(kind, T.BinaryType) else value.cast(kind)
+
+
 def rows_at(ranked: DataFrame, positions: list[int], rank: str = "rank") -> dict[int, dict[str, str]]:
-    """The rows at a few positions, by position; values as text, which casts back unchanged."""
+    """The rows at a few positions, by position, in portable form."""
     if not positions:
         return {}
     at = ranked.where(F.col(f"`{rank}`").isin(positions))
-    shown = [F.col(f"`{c}`").cast("string").alias(c) for c in ranked.columns if c != rank]
+    shown = [_portable(f.name, f.dataType).alias(f.name) for f in ranked.schema.fields if f.name != rank]
     return {r[0]: r.asDict() for r in at.select(F.col(f"`{rank}`"), *shown).collect()}
 
 
@@ -202,7 +225,7 @@ def between_ranks(df: DataFrame, order, low: int, high: int, flag: str) -> DataF
     key = F.struct(*_cols(order))
 
     def literal(position: int) -> Column:
-        return F.struct(*[F.lit(ends[position][c]).cast(df.schema[c].dataType).alias(c) for c in order])
+        return F.struct(*[_restored(ends[position][c], df.schema[c].dataType).alias(c) for c in order])
 
     condition = F.lit(True)
     if low > 0:

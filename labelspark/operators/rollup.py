@@ -28,7 +28,7 @@ def average_metrics(reports: DataFrame, run: str = "run_id") -> DataFrame:
 def run_comparison(headers: DataFrame, samples: DataFrame, reports: DataFrame, run: str = "run_id") -> DataFrame:
     """One row per run: token totals, prompt, budget, samples, latency and average metrics.
 
-    Runs without a report are left out; ``missing_runs`` lists them.
+    Runs without a report or without samples are left out; ``missing_runs`` lists them.
     """
     response = F.col("response")
     usage = samples.groupBy(run).agg(
@@ -44,6 +44,9 @@ def run_comparison(headers: DataFrame, samples: DataFrame, reports: DataFrame, r
         "samples", "accuracy", (F.col("total_time_elapsed") / F.col("samples")).alias("latency"), *metrics)
 
 
-def missing_runs(headers: DataFrame, reports: DataFrame, run: str = "run_id") -> DataFrame:
-    """Runs that are listed but have no report."""
-    return headers.join(reports, run, "left_anti").select(run)
+def missing_runs(headers: DataFrame, reports: DataFrame, run: str = "run_id", samples: DataFrame | None = None) -> DataFrame:
+    """Runs that are listed but have no report, or no samples where these are given."""
+    lost = headers.join(reports, run, "left_anti").select(run)
+    if samples is None:
+        return lost
+    return lost.union(headers.join(samples, run, "left_anti").select(run)).distinct()

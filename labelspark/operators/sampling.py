@@ -11,17 +11,15 @@ from labelspark.operators.labels import class_counts
 from labelspark.operators.ordering import global_rank, order_hash, take_first
 from labelspark.session import Settled, as_list, join_groups, require_columns, settle
 
-_MAX_LONG_PRODUCT = 1 << 62
-
 
 def check_sample_size(ratio: float | None, size: int | None) -> None:
     """Exactly one of ratio in (0, 1] and size > 0."""
     if (ratio is None) == (size is None):
-        raise ValueError("give exactly one of ratio and size")
+        raise ValueError("a sample needs a ratio or a size, and not both")
     if ratio is not None and not 0 < ratio <= 1:
-        raise ValueError("ratio must be > 0 and <= 1")
+        raise ValueError(f"a ratio lies above 0 and at most at 1, not at {ratio}")
     if size is not None and size <= 0:
-        raise ValueError("size must be > 0")
+        raise ValueError(f"a sample has at least one row, not {size}")
 
 
 def sample_rows(
@@ -58,17 +56,17 @@ def shuffle_rank(df: DataFrame, keys, seed: int = 42, rank: str = "rank") -> Dat
     return ranked.drop("_h")
 
 
-def spread_pick(rank: Column, rows: Column, picks: Column, wide: bool = False) -> Column:
+def spread_pick(rank: Column, rows: Column, picks: Column) -> Column:
     """True at ``picks`` positions spread evenly from the first to the last of ``rows``.
 
-    Position r is picked iff r = floor(k * (rows - 1) / (picks - 1)) for a whole k, in integers;
-    ``wide`` uses decimals for products beyond 64 bits.
+    Position r is picked iff r = floor(k * (rows - 1) / (picks - 1)) for a whole k. Products of two
+    row counts pass 64 bits, so they are decimals, divided as integers.
     """
-    kind = "decimal(19,0)" if wide else "long"
+    kind = "decimal(19,0)"
     r, span, steps = (c.cast(kind) for c in (rank, rows - 1, picks - 1))
-    whole = lambda a, b: F.floor(a / b) if wide else F.call_function("div", a, b)
-    k = whole(r * steps + span - 1, F.nullif(span, F.lit(0).cast(kind)))
-    hit = whole(k.cast(kind) * span, F.nullif(steps, F.lit(0).cast(kind))) == r
+    whole = lambda a, b: F.call_function("div", a, F.nullif(b, F.lit(0).cast(kind)))
+    k = whole(r * steps + span - 1, span)
+    hit = whole(k.cast(kind) * span, steps) == r
     return F.when(picks >= rows, True).when(picks <= 1, rank == 0).otherwise(hit)
 
 
@@ -140,9 +138,7 @@ def _spread_picks(rows, plan, within, splits, labels, names, shuffle, seed) -> t
     ranked = global_rank(ordered, order, "_rank")
     classes = ranked.groupBy(*_cols(within)).agg(F.min("_rank").alias("_first"), F.count("*").alias("_rows"))
     classes = settle(join_groups(classes, plan, splits))
-    most_rows, most_picks = classes.biggest("_rows", "_picks")
-    wide = bool(most_rows) and most_rows * most_picks > _MAX_LONG_PRODUCT
-    hit = spread_pick(F.col("_rank") - F.col("_first"), F.col("_rows"), F.col("_picks"), wide)
+    hit = spread_pick(F.col("_rank") - F.col("_first"), F.col("_rows"), F.col("_picks"))
     return join_groups(ranked, classes, within).where(hit).select(*_cols(rows.columns)), ranked
 
 

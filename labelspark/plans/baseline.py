@@ -11,9 +11,19 @@ from pyspark.sql import functions as F
 from labelspark.operators.labels import encode_classes
 
 
+# 256 MB of doubles.
+MODEL_WEIGHTS = 1 << 25
+
+
 def train_classifier(train: DataFrame, text: str, label: str, vocab: DataFrame,
                      features: int = 1 << 16, method: str = "bayes"):
-    """Fit on rows whose label is a class name; ``method`` is ``bayes`` or ``logistic``."""
+    """Fit on rows whose label is a class name; ``method`` is ``bayes`` or ``logistic``.
+
+    The driver holds a weight for every class and feature: at most ``MODEL_WEIGHTS`` of them.
+    """
+    classes = vocab.where(F.col("label_name") == label).count()
+    if classes * features > MODEL_WEIGHTS:
+        raise ValueError(f"{classes} classes of {features} features are more than {MODEL_WEIGHTS} weights")
     rows = encode_classes(train.select(F.col(text).alias("text"), F.col(label)), label, vocab)
     rows = rows.withColumnRenamed(label, "label")
     stages = [

@@ -23,7 +23,10 @@ Responder = Callable[[list[dict], dict], dict]
 
 
 def model_options(options: dict) -> dict:
-    """Sampling options for the model call; unset reasoning options are left out."""
+    """Sampling options for the model call; unset reasoning options are left out.
+
+    The names are fixed values of the model interface.
+    """
     call = {k: options.get(k) for k in ("max_tokens", "temperature", "top_p")}
     if options.get("reasoning_effort") is not None:
         call["reasoning_effort"] = options["reasoning_effort"]
@@ -92,19 +95,29 @@ def infer(
     return rows.mapInPandas(run, schema)
 
 
-def infer_to(requests: DataFrame, make_responder, path: str, keys, **options) -> DataFrame:
+def infer_to(requests: DataFrame, make_responder, path: str, keys, steps: int = 8, **options) -> DataFrame:
     """Inference written to a table, so that nothing downstream asks the model again.
 
-    Requests already answered in ``path`` are skipped: a broken run is taken up where it ended.
+    The requests are dealt into ``steps`` by a hash of their keys, and each step commits its answers, so
+    a run that breaks loses one step at most. Requests answered in ``path`` are skipped, failed ones are
+    asked again. An answer belongs to its key and to a digest of request and options: another prompt
+    is another request. The result holds the latest answer, one without an error if there is one, of
+    the given requests and of no others. Keys are not null and tell requests apart.
     """
     spark = requests.sparkSession
-    keys = as_list(keys)
-    pending = requests
-    done = _answered(spark, path)
-    if done is not None:
-        pending = requests.join(done.select(*keys), keys, "left_anti")
-    infer(pending, make_responder, **options).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    marked = requests.withColumn("request_digest", F.sha2(F.to_json(F.struct("request", "options")), 256))
+    names = [*as_list(keys), "request_digest"]
+    for step in range(steps):
+        pending = marked.where(F.pmod(F.xxhash64(*names), F.lit(steps)) == step)
+        done = _answered(spark, path)
+        if done is not None:
+            pending = pending.join(done.where(F.col("response.error").isNull()).select(*names), names, "left_anti")
+        answered = infer(pending, make_responder, **options).withColumn("asked_at", F.lit(time.time_ns()))
+        answered.write.mode("append").parquet(path)
+    columns = [c for c in spark.read.parquet(path).columns if c not in (*names, "asked_at")]
+    best = F.max_by(F.struct(*columns), F.struct(F.col("response.error").isNull(), "asked_at"))
+    rows = spark.read.parquet(path).join(marked.select(*names), names, "left_semi")
+    return rows.groupBy(*names).agg(best.alias("_row")).select(*as_list(keys), "_row.*")
 
 
 def _answered(spark, path: str) -> DataFrame | None:

@@ -75,32 +75,41 @@ def _conversations(spark, folder):
     return C.conversation_messages(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
 
 
-@query("""select conv_id, turn // 1000 as part, '[' || string_agg('{"role":' || cast(to_json(role) as varchar) || ',"content":' ||
+@query("""select conv_id, '[' || string_agg('{"role":' || cast(to_json(role) as varchar) || ',"content":' ||
                  cast(to_json(text) as varchar) || '}', ',' order by turn) || ']' as messages
-          from conversations group by 1, 2""")
+          from conversations group by 1""")
 def conversation_messages(spark, folder):
-    return _conversations(spark, folder).select("conv_id", "part", F.to_json("messages").alias("messages"))
+    return _conversations(spark, folder).select("conv_id", F.to_json("messages").alias("messages"))
 
 
-@query("""select conv_id, turn // 1000 as part, trim(arg_min(text, turn), chr(9) || chr(10) || chr(13) || ' ') as first_text,
-                 arg_max(text, turn) as last_text from conversations group by 1, 2""")
+@query("""select conv_id, trim(arg_min(text, turn), chr(9) || chr(10) || chr(13) || ' ') as first_text,
+                 arg_max(text, turn) as last_text from conversations group by 1""")
 def messages_endpoints(spark, folder):
-    m = F.col("messages")
-    return _conversations(spark, folder).select(
-        "conv_id", "part", M.first_text(m).alias("first_text"), M.last_text(m).alias("last_text"))
+    return C.conversation_ends(table(spark, folder, "conversations"), "conv_id", "turn", "text")
 
 
-@query("""select conv_id, turn // 1000 as part, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by turn)
-                 || '<|im_start|>assistant' || chr(10) as rendered from conversations group by 1, 2""")
+@query("""select conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by turn)
+                 || '<|im_start|>assistant' || chr(10) as rendered from conversations group by 1""")
 def render_chatml(spark, folder):
     rendered = M.render_chatml(F.col("messages"), open_answer=True)
-    return _conversations(spark, folder).select("conv_id", "part", rendered.alias("rendered"))
+    return _conversations(spark, folder).select("conv_id", rendered.alias("rendered"))
 
 
-@query("""select conv_id, turn // 1000 as part, string_agg('<|' || role || '|>' || chr(10) || text || '</s>' || chr(10), '' order by turn)
-                 as rendered from conversations where role in ('user', 'system', 'assistant') group by 1, 2""")
+@query("""select conv_id, string_agg('<|' || role || '|>' || chr(10) || text || '</s>' || chr(10), '' order by turn)
+                 as rendered from conversations where role in ('user', 'system', 'assistant') group by 1""")
 def render_zephyr(spark, folder):
-    return _conversations(spark, folder).select("conv_id", "part", M.render_zephyr(F.col("messages")).alias("rendered"))
+    return _conversations(spark, folder).select("conv_id", M.render_zephyr(F.col("messages")).alias("rendered"))
+
+
+@query("""select conv_id, turn, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as line from conversations""")
+def render_chatml_turns(spark, folder):
+    return C.rendered_turns(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text", M.chatml_turn)
+
+
+@query("""select conv_id, turn, case when role in ('user', 'system', 'assistant') then '<|' || role || '|>' || chr(10) || text || '</s>' || chr(10)
+                 else '' end as line from conversations""")
+def render_zephyr_turns(spark, folder):
+    return C.rendered_turns(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text", M.zephyr_turn)
 
 
 @query("""select doc_id, 'user' as role, text as content, 1 as n from documents""")

@@ -16,7 +16,9 @@ from labelspark.plans.config import RunConfig
 from labelspark.plans.evaluate import evaluate, predictions, with_truth
 from labelspark.plans.inference import failed, infer
 from labelspark.plans.prompts import assemble_requests
+from labelspark.queries.labels import HASH_SPLIT_SQL
 from labelspark.queries.registry import ANSWERS_SQL, PRIORITIES, PRIORITY, order_answers, query, table, with_response
+from labelspark.session import scratch_path
 
 KEY = "o_orderkey"
 VOCAB = {PRIORITY: [*PRIORITIES, UNKNOWN]}
@@ -31,9 +33,18 @@ def order_counts(spark, folder):
     return M.confusion_counts(order_predictions(spark, folder), VOCAB)
 
 
+def _in_runs(rows):
+    return rows.withColumn("run_id", F.concat(F.lit("run"), F.col(KEY) % 4))
+
+
 def run_predictions(spark, folder):
     """Four runs over the orders."""
-    return order_predictions(spark, folder).withColumn("run_id", F.concat(F.lit("run"), F.col(KEY) % 4))
+    return _in_runs(order_predictions(spark, folder))
+
+
+def run_responses(spark, folder):
+    """The runs as they come from the model: counts and times need no parsed answer."""
+    return _in_runs(with_response(order_answers(spark, folder)))
 
 
 COUNTS_SQL = f"""{ANSWERS_SQL},
@@ -93,11 +104,33 @@ def confusion_matrix_pivot(spark, folder):
     return M.matrix_pivot(order_counts(spark, folder), PRIORITY, VOCAB[PRIORITY])
 
 
+@query("""with ids as (select c_custkey, cast(row_number() over (order by c_name) - 1 as int) as id from customer),
+     given as (select o_custkey as t, 1 + (o_custkey + o_orderkey % 3) % (select count(*) from customer) as p from orders),
+     pairs as (select a.id as true_id, b.id as pred_id, count(*) as n
+               from given join ids a on a.c_custkey = t join ids b on b.c_custkey = p group by 1, 2),
+     cells as (select true_id, cast(sum(n) as bigint) as n, string_agg(pred_id || ':' || n, ',' order by pred_id) as cells from pairs group by 1)
+     select 'customer' as label_name, id as true_id, coalesce(n, 0) as n, coalesce(cells, '') as cells
+     from ids left join cells on true_id = id""")
+def confusion_matrix_many(spark, folder):
+    """A matrix over all customers: orders given to a customer or one of the next two."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name")
+    vocab = label_vocabulary(customers.withColumnRenamed("c_name", "customer"), "customer")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    other = 1 + (F.col("o_custkey") + F.col("o_orderkey") % 3) % F.lit(customers.count())
+    named = customers.join(vocab, customers.c_name == vocab.class_name).select("c_custkey", "class_id")
+    rows = orders.withColumn("other", other).join(named.withColumnsRenamed({"c_custkey": "o_custkey", "class_id": "true_id"}), "o_custkey")
+    rows = rows.join(named.withColumnsRenamed({"c_custkey": "other", "class_id": "pred_id"}), "other")
+    ids = {side: F.struct(F.col(c).alias("customer")) for side, c in (("actual", "true_id"), ("predicted", "pred_id"))}
+    found = M.matrix_rows(M.confusion_counts(rows.withColumns(ids), "customer"), vocab)
+    entries = F.transform(F.map_entries("cells"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string")))
+    return found.select("label_name", "true_id", "n", F.array_join(entries, ",").alias("cells"))
+
+
 @query("""select sum(10 + o_orderkey % 7)::bigint as prompt_tokens, sum(o_orderkey % 5)::bigint as completion_tokens,
                  sum(10 + o_orderkey % 7 + o_orderkey % 5)::bigint as total_tokens, 'run' || o_orderkey % 4 as run_id
           from orders group by 4""")
 def token_usage(spark, folder):
-    return M.token_usage(run_predictions(spark, folder), "run_id")
+    return M.token_usage(run_responses(spark, folder), "run_id")
 
 
 HEADER_SQL = "1000.0::double + (2 * cast(substr(run_id, 4) as int))"
@@ -105,7 +138,7 @@ HEADER_SQL = "1000.0::double + (2 * cast(substr(run_id, 4) as int))"
 
 def run_headers(spark, folder):
     """A header for each run found, and one for a run without results."""
-    runs = run_predictions(spark, folder).select("run_id").distinct()
+    runs = run_responses(spark, folder).select("run_id").distinct()
     lost = runs.agg(F.concat(F.max("run_id"), F.lit("0")).alias("run_id"))
     number = F.substring("run_id", 4, 10).cast("int")
     config = F.struct(F.concat(F.lit("Classify as "), "run_id").alias("prompt"), (number + 32).alias("max_tokens"))
@@ -116,13 +149,13 @@ def run_headers(spark, folder):
 @query(f"""with c as (select 'run' || o_orderkey % 4 as run_id, count(*) as samples from orders group by 1)
            select run_id, samples, round(({HEADER_SQL}) / samples, 6) as latency from c""")
 def latency_per_sample(spark, folder):
-    return _rounded(M.latency_per_sample(run_headers(spark, folder), run_predictions(spark, folder)), "latency")
+    return _rounded(M.latency_per_sample(run_headers(spark, folder), run_responses(spark, folder)), "latency")
 
 
-@query("""select 'run' || o_orderkey % 4 as run_id, count(*) as samples, round(avg((o_orderkey % 16) / 16), 6) as mean_latency
-          from orders group by 1""")
+@query("""select 'run' || o_orderkey % 4 as run_id, count(*) as samples, round(avg((o_orderkey % 16) / 16), 6) as mean_latency,
+                 quantile_disc((o_orderkey % 16) / 16, 0.5) as median_latency from orders group by 1""")
 def response_latency(spark, folder):
-    rows = M.response_latency(run_predictions(spark, folder), "run_id").drop("median_latency")
+    rows = M.response_latency(run_responses(spark, folder), "run_id")
     return _rounded(rows, "mean_latency")
 
 
@@ -131,7 +164,7 @@ def response_latency(spark, folder):
                  cast(floor(seconds / 60) as int) % 60 as minutes, round(seconds - 60 * floor(seconds / 60), 6) as seconds from s""")
 def elapsed_interval(spark, folder):
     seconds = F.sum(F.col("response.latency"))
-    totals = run_predictions(spark, folder).groupBy("run_id").agg(M.elapsed_interval(seconds).alias("elapsed"))
+    totals = run_responses(spark, folder).groupBy("run_id").agg(M.elapsed_interval(seconds).alias("elapsed"))
     part = lambda unit, kind: F.extract(F.lit(unit), F.col("elapsed")).cast(kind)
     return totals.select("run_id", part("DAY", "int").alias("days"), part("HOUR", "int").alias("hours"),
                          part("MINUTE", "int").alias("minutes"), part("SECOND", "double").alias("seconds"))
@@ -202,9 +235,9 @@ def few_shot_mine(spark, folder):
 
 
 @query(f"""with {FEW_SHOT_SQL}
-select string_agg('Question:' || chr(10) || 'order ' || o_orderkey || ' of ' || o_custkey || chr(10) || chr(10) || 'Answer:' || chr(10) ||
-                  tn || chr(10) || chr(10), '' order by tr, pr, rr) || 'Question:' || chr(10) as examples
-from picked where rr <= 2""")
+select string_agg('Example ' || i || ' - text: order ' || o_orderkey || ' of ' || o_custkey || chr(10) || 'correct result: ' || tn,
+                  chr(10) || chr(10) order by tr, pr, rr) as examples
+from (select *, row_number() over (order by tr, pr, rr) as i from picked where rr <= 2)""")
 def few_shot_text(spark, folder):
     return E.few_shot_text(_few_shot(spark, folder), VOCAB)
 
@@ -315,7 +348,7 @@ select run_id, prompt_tokens, completion_tokens, total_tokens, 'Classify as ' ||
        cast(substr(run_id, 4) as int) + 32 as max_tokens, samples, round(({HEADER_SQL}) / samples, 6) as latency, {ROUNDED_SQL}
 from u join avgs using (run_id)""")
 def run_comparison(spark, folder):
-    rows = R.run_comparison(run_headers(spark, folder), run_predictions(spark, folder), run_report(spark, folder))
+    rows = R.run_comparison(run_headers(spark, folder), run_responses(spark, folder), run_report(spark, folder))
     return _rounded(rows, "latency", *AVERAGES)
 
 
@@ -324,6 +357,41 @@ def missing_runs(spark, folder):
     return R.missing_runs(run_headers(spark, folder), run_report(spark, folder))
 
 
+def two_rules():
+    """A model that answers two labels as an object: the parity of the text length and whether it is long."""
+
+    def respond(messages, options):
+        n = len(messages[-1]["content"])
+        return {"text": f'Surely {{"length": "{"long" if n > 1000 else "short"}", "parity": "{"odd" if n % 2 else "even"}"}}', "latency": 0.0}
+
+    return respond
+
+
+@query("""with t as (select doc_id, length(trim(text, chr(9) || chr(10) || chr(13) || ' ')) as n, quality, toxic
+                     from documents join labels using (doc_id))
+          select doc_id, cast(case when n > 1000 then 0 else 1 end as int) as length_pred, cast(n % 2 as int) as parity_pred,
+                 cast(case when quality = 1 then 0 else 1 end as int) as length_true, cast(toxic as int) as parity_true from t""")
+def evaluate_multi_label(spark, folder):
+    """Two labels from chat records to ids, with the answers written and read again."""
+    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
+    rows = rows.withColumn("length", F.when(F.col("quality") == 1, "long").otherwise("short"))
+    rows = rows.withColumn("parity", F.when(F.col("toxic") == 1, "odd").otherwise("even"))
+    chat, vocab = preprocess_chat(rows, "text", ["length", "parity"], keep="doc_id")
+    lists = {"length": ["long", "short"], "parity": ["even", "odd"]}
+    path = scratch_path(spark, "responses")
+    result, _ = evaluate(chat, lists, RunConfig("Two rules", 8), two_rules, "doc_id", path=path, steps=3)
+    return result.select("doc_id", *[F.col(f"{side}.{c}").alias(f"{c}_{name}") for side, name in (("predicted", "pred"), ("actual", "true")) for c in lists])
+
+
+@query(f"""with d as (select lang, {HASH_SPLIT_SQL.format(key='doc_id')} as split from documents),
+               ids as (select lang, row_number() over (order by lang) - 1 as id from (select distinct lang from documents where lang is not null))
+          select cast(id as varchar) as row_key, cast(count(*) as double) as support from d join ids using (lang) where split = 'test' group by id""")
+def train_predict_support(spark, folder):
+    """Of the trained classifier's report what SQL can tell: how often each language was true."""
+    report = train_predict(spark, folder)
+    return report.where("row_key rlike '^[0-9]+$' and support > 0").select("row_key", "support")
+
+
 @query()
 def train_predict(spark, folder):
     """A trained classifier of the document language, scored on held-out rows."""

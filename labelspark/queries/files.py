@@ -122,8 +122,7 @@ def report_sink(spark, folder):
     schema = (f"{KEY} long, Text string, `LLM Response` string, `LLM Reasoning` string, `Prediction Time` double, "
               f"`Total Tokens` int, `Predicted {PRIORITY}` string, `True {PRIORITY}` string")
     back = tables.read_csv(spark, f"{path}/incorrect_answers.csv", schema).drop("LLM Reasoning")
-    # CSV has one form for "no value" and "no text".
-    return back.withColumnsRenamed(ANSWER_COLUMNS).fillna({"answer": ""})
+    return back.withColumnsRenamed(ANSWER_COLUMNS)
 
 
 @query(f"""with {RUN_REPORT_SQL} select run_id, 'o_orderpriority' as label_name, row_key, round(precision, 6) as precision,

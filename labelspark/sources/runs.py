@@ -7,6 +7,8 @@ JSON documents with parallel lists; they are read into the same two tables.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,14 +154,34 @@ def write_reports(report: DataFrame, labels, folder: str) -> None:
         write_csv(own.coalesce(1), f"{folder}/evaluation_{slug_text(label)}.csv")
 
 
+def _report_glob(folder: str) -> str:
+    return f"{folder.rstrip('/')}/evaluation{{,_*}}.csv"
+
+
+def report_folders(spark: SparkSession, folders) -> tuple[list[str], list[str]]:
+    """Of the given folders (or patterns) those that hold reports, and those that don't."""
+    found, missing = [], []
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_report_glob(folder))
+        matches = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        (found if matches else missing).append(folder)
+    return found, missing
+
+
 def read_reports(spark: SparkSession, folders, default_label: str = "label") -> DataFrame:
     """All reports of many run folders in one scan: ``(run_id, label_name, row_key, …)``.
 
     The run is the name of the folder and the label comes from the file name, with a default
-    for files named ``evaluation.csv``.
+    for files named ``evaluation.csv``. Folders without reports are skipped with a warning that
+    lists them; ``report_folders`` tells them apart beforehand.
     """
     paths = [folders] if isinstance(folders, str) else list(folders)
-    globs = [f"{p.rstrip('/')}/evaluation{{,_*}}.csv" for p in paths]
+    found, missing = report_folders(spark, paths)
+    if missing:
+        warnings.warn(f"no reports in {', '.join(missing)}")
+    if not found:
+        return spark.createDataFrame([], "run_id string, label_name string, row_key string, precision double, recall double, f1 double, support double")
+    globs = [_report_glob(p) for p in found]
     rows = spark.read.option("header", True).option("escape", '"').schema(REPORT_SCHEMA).csv(globs)
     file = _file_path()
     named = F.regexp_extract(file, REPORT_NAME, 1)

@@ -21,20 +21,23 @@ MISSING_WORDS = (
 SPLIT = "split"
 
 
-def read_csv(spark: SparkSession, path, schema=None, missing=()) -> DataFrame:
-    """CSV with a header; quoted fields may hold quotes and line breaks, empty fields are null.
+def read_csv(spark: SparkSession, path, schema=None, missing=(), multi_line: bool = True) -> DataFrame:
+    """CSV with a header; quoted fields may hold quotes and line breaks. An empty field is null, a quoted
+    empty one is the empty text.
 
     Give a schema where you can: without one the files are read twice to guess the types.
-    ``missing`` lists words that stand for no value in text columns.
+    ``missing`` lists words that stand for no value in text columns. A file whose records may span
+    lines is read by one task; turn ``multi_line`` off where none do, and large files are split.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    # A marker that no file holds: the reader takes empty fields for it, and quoted empty ones not.
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("nullValue", "\0\0")
     rows = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
     text = [f.name for f in rows.schema.fields if missing and isinstance(f.dataType, T.StringType)]
     return rows.withColumns({c: F.when(~F.col(f"`{c}`").isin(list(missing)), F.col(f"`{c}`")) for c in text})
 
 
 def write_csv(df: DataFrame, path: str, partition_by=()) -> None:
-    """CSV that ``read_csv`` gives back unchanged, blanks included; empty strings become null."""
+    """CSV that ``read_csv`` gives back unchanged, blanks, nulls and empty texts included."""
     writer = (
         df.write.mode("overwrite").option("header", True).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)

@@ -61,10 +61,22 @@ def test_endpoints_and_rendering(spark):
     assert r.d == "<|system|>\ns</s>\n<|user|>\n q\n</s>\n<|assistant|>\na</s>\n<|assistant|>\n"
 
 
-def test_conversations_are_bounded_and_whole(spark):
+def test_conversations_are_whole(spark):
     turns = spark.range(2500).select(
         F.expr("if(id < 2400, 0, id)").alias("c"), F.col("id").alias("t"), F.lit("user").alias("r"),
         F.col("id").cast("string").alias("x")).repartition(7)
-    parts = C.conversation_messages(turns, "c", "t", "r", "x", turns_per_part=500).where("c = 0").orderBy("part").collect()
-    assert [len(p.messages) for p in parts] == [500, 500, 500, 500, 400]
-    assert [m.content for p in parts for m in p.messages] == [str(i) for i in range(2400)]
+    whole = C.conversation_messages(turns, "c", "t", "r", "x").where("c = 0").first()
+    assert [m.content for m in whole.messages] == [str(i) for i in range(2400)]
+    ends = {r.c: (r.first_text, r.last_text) for r in C.conversation_ends(turns, "c", "t", "x").collect()}
+    assert len(ends) == 101 and ends[0] == ("0", "2399") and ends[2450] == ("2450", "2450")
+    lines = C.rendered_turns(turns, "c", "t", "r", "x", M.chatml_turn).where("c = 0").orderBy("turn").collect()
+    rendered = turns.sparkSession.createDataFrame([whole]).select(M.render_chatml(F.col("messages")).alias("text")).first().text
+    assert "".join(r.line for r in lines) == rendered
+
+
+def test_doubles_and_nested_values(spark):
+    doubles = [12345678.0, 1e16, 1.5e-5, 0.0001, 0.1, 123456789012345.6, -2.5, 0.0, 1e22, 1e-7, 3.0]
+    rows = [(x, ["é", "b\"", None], (1, "x"), {"k": 2.0}) for x in doubles]
+    df = spark.createDataFrame(rows, "x double, a array<string>, s struct<i:int,t:string>, m map<string,double>")
+    for r in C.combine_columns(df, ["x", "a", "s", "m"], delete=False).collect():
+        assert r.text == json.dumps({"x": r.x, "a": r.a, "s": {"i": 1, "t": "x"}, "m": {"k": 2.0}})

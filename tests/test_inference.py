@@ -89,6 +89,46 @@ def test_a_broken_run_is_taken_up(spark, tmp_path):
     assert I.infer_to(requests(spark, 15), echo, path, ["id", "run_id"]).count() == 15
 
 
+def test_steps_are_kept_when_a_later_one_breaks(spark, tmp_path):
+    path, calls = str(tmp_path / "steps"), []
+    infer = I.infer
+
+    def breaking(rows, *args, **options):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return infer(rows, *args, **options)
+
+    I.infer = breaking
+    try:
+        with pytest.raises(RuntimeError):
+            I.infer_to(requests(spark, 40), echo, path, ["id", "run_id"], steps=4)
+    finally:
+        I.infer = infer
+    kept = spark.read.parquet(path).count()
+    assert 0 < kept < 40
+    again = I.infer_to(requests(spark, 40), echo, path, ["id", "run_id"], steps=4)
+    assert again.count() == 40 and spark.read.parquet(path).count() == 40
+
+
+def test_failed_rows_are_asked_again(spark, tmp_path):
+    path = str(tmp_path / "failed")
+    first = I.infer_to(requests(spark), broken, path, ["id", "run_id"], retries=1)
+    assert I.failed(first).count() == 2
+    second = I.infer_to(requests(spark), echo, path, ["id", "run_id"], retries=1)
+    assert I.failed(second).count() == 0 and second.count() == 20
+    assert spark.read.parquet(path).count() == 22
+
+
+def test_another_prompt_is_another_request(spark, tmp_path):
+    path = str(tmp_path / "prompts")
+    I.infer_to(requests(spark), echo, path, ["id", "run_id"])
+    texts = spark.range(5).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    other = I.infer_to(assemble_requests(texts, RunConfig("run", 4, "another prompt")), echo, path, ["id", "run_id"])
+    assert sorted(r.id for r in other.collect()) == list(range(5))
+    assert spark.read.parquet(path).count() == 25
+
+
 @pytest.mark.parametrize("written", [False, True])
 def test_evaluate(spark, tmp_path, written):
     rows = spark.range(30).select("id", F.concat(F.lit(" class "), F.col("id") % 3).alias("text"),

@@ -93,15 +93,14 @@ def test_spread_pick(spark):
     """Integer form of evenly spaced positions, both ends included."""
     cases = [(m, n, r) for m in range(1, 25) for n in range(1, m + 3) for r in range(m)]
     df = spark.createDataFrame(cases, "m long, n long, r long")
-    for wide in (False, True):
-        hits = df.where(S.spread_pick(F.col("r"), F.col("m"), F.col("n"), wide))
-        got = {}
-        for row in hits.collect():
-            got.setdefault((row.m, row.n), set()).add(row.r)
-        for m in range(1, 25):
-            for n in range(1, m + 3):
-                want = {0} if n == 1 else set(range(m)) if n >= m else {k * (m - 1) // (n - 1) for k in range(n)}
-                assert got[(m, n)] == (want if m > 1 else {0}), (m, n)
+    hits = df.where(S.spread_pick(F.col("r"), F.col("m"), F.col("n")))
+    got = {}
+    for row in hits.collect():
+        got.setdefault((row.m, row.n), set()).add(row.r)
+    for m in range(1, 25):
+        for n in range(1, m + 3):
+            want = {0} if n == 1 else set(range(m)) if n >= m else {k * (m - 1) // (n - 1) for k in range(n)}
+            assert got[(m, n)] == (want if m > 1 else {0}), (m, n)
 
 
 @pytest.mark.parametrize("n,size", [(10, 0.1), (101, 0.2), (7, 0.5), (50, 3)])
@@ -138,3 +137,37 @@ def test_positional_split_with_equal_keys(spark):
     df = spark.range(100).select(F.lit("same").alias("k"), "id")
     parts = P.positional_split(df, 0.33, "k").groupBy("split").count().collect()
     assert {r.split: r["count"] for r in parts} == {"train": 33, "test": 67}
+
+
+def test_spread_pick_beyond_64_bits(spark):
+    """3,000,000,001 rows and 2,000,000,001 picks: two of every three, and both ends."""
+    rows, picks = 3_000_000_001, 2_000_000_001
+    at = [*range(12), *range(rows - 12, rows)]
+    df = spark.createDataFrame([(r,) for r in at], "r long")
+    hits = {x.r for x in df.where(S.spread_pick(F.col("r"), F.lit(rows), F.lit(picks))).collect()}
+    wanted = {k * (rows - 1) // (picks - 1) for k in [*range(12), *range(picks - 12, picks)]}
+    assert hits == {r for r in at if r in wanted}
+
+
+@pytest.mark.parametrize("share", [0.25, 0.5, 0.75])
+def test_cut_at_a_clock_change(spark, share):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        first = 1_792_886_400  # 2026-10-25 00:00 UTC; the hour after it is shown twice
+        rows = spark.range(8).select("id", F.timestamp_seconds(F.lit(first) + F.col("id") * 900).alias("at"),
+                                     F.unhex(F.concat(F.lit("FF"), F.lpad(F.hex("id"), 2, "0"))).alias("raw"))
+        for order in ("at", "raw"):
+            split = {r.id: r.split for r in P.positional_split(rows, share, order).collect()}
+            assert split == {i: "train" if i < 8 * share else "test" for i in range(8)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_many_groups_of_copies_are_spread(spark):
+    rows = spark.range(40_000).select((F.col("id") % 2_000).alias("g"), F.lit("x").alias("x"))
+    ties = rows.withColumn("_need", F.lit(3))
+    numbered = O._number_copies(ties, ["g", "x"], "flag").withColumn("p", F.spark_partition_id())
+    assert numbered.where("flag").count() == 6_000
+    sizes = [r["count"] for r in numbered.groupBy("p").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 20_000

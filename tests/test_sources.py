@@ -17,7 +17,7 @@ def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame(rows, "id int, `a text` string, x double")
     path = str(tmp_path / "t.csv")
     tables.write_csv(df, path)
-    want = [(i, text or None, x) for i, text, x in rows]
+    want = rows
     assert sorted(map(tuple, tables.read_csv(spark, path, df.schema).collect())) == sorted(want)
     assert dict(tables.read_csv(spark, path).dtypes) == {"id": "int", "a text": "string", "x": "double"}
 
@@ -166,3 +166,23 @@ def test_run_documents_of_any_version(spark, tmp_path):
     assert (first.predicted.k, first.predicted.p, samples[1].actual.p) == (0, 1, 0)
     assert (third.response.text, third.response.total_tokens, third.response.latency) == ("bare", 0, 0.0)
     assert (fourth.text, fourth.response.text, fourth.actual.k, fourth.predicted.p) == ("é", '{"looks": "like json"}', 1, None)
+
+
+def test_missing_report_folders_are_listed(spark, tmp_path):
+    report = spark.createDataFrame([("0", "kind", 1.0, 1.0, 1.0, 2.0)], "row_key string, label_name string, precision double, recall double, f1 double, support double")
+    runs.write_reports(report, ["kind"], str(tmp_path / "here"))
+    folders = [str(tmp_path / "here"), str(tmp_path / "lost")]
+    with pytest.warns(UserWarning, match="lost"):
+        rows = runs.read_reports(spark, folders).collect()
+    assert [(r.run_id, r.label_name, r.row_key) for r in rows] == [("here", "kind", "0")]
+    with pytest.warns(UserWarning, match="lost"):
+        assert runs.read_reports(spark, folders[1]).count() == 0
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_empty_text_and_null_differ(spark, tmp_path, multi_line):
+    rows = [(1, ""), (2, None), (3, " "), (4, "a,\"b\"")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    tables.write_csv(df, str(tmp_path / "t"))
+    back = tables.read_csv(spark, str(tmp_path / "t"), df.schema, multi_line=multi_line)
+    assert sorted((r.id, r.text) for r in back.collect()) == rows
