@@ -22,6 +22,17 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [t if t is not None else "" for t in column.to_pylist()]
 
 
+def seeded_share(df: DataFrame, draw: str, rows: int) -> DataFrame:
+    """All rows, or of a larger table those with the smallest draws, ``rows`` of them on average.
+
+    The share is taken where the rows lie; nothing is sorted or sent to the driver for it.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.where(F.pmod(F.col(draw), F.lit(1 << 40)) < int((1 << 40) * rows / total))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges (a, b)``; the component is its smallest node.
 

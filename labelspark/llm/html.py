@@ -30,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Labelled pages: at most so many pages, each at most so long, those with the smallest seeded hashes.
+from labelspark.llm.common import seeded_share
+
+# Labelled pages: all, or so many on average, each at most so long, those with the smallest seeded hashes.
 SAMPLE_PAGES = 300
 SAMPLE_CHARS = 40_000
 SEED = 3
@@ -458,11 +460,13 @@ def labelled(pages: list[str], seed: int = SEED) -> list[tuple[Page, list[int]]]
 
 
 def train_extractor(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES, longest: int = SAMPLE_CHARS, seed: int = SEED) -> Model:
-    """A model fitted on at most ``sample`` pages of at most ``longest`` characters that mark an article."""
+    """A model fitted on some ``sample`` pages of at most ``longest`` characters that mark an article; a page
+    that is repeated counts once."""
     column = F.col(html_col)
+    marked = pages.select(column.alias("html")).where(F.contains(column, F.lit("<article")) & (F.char_length(column) <= longest))
     rows = (
-        pages.select(column.alias("html")).where(F.contains(column, F.lit("<article")) & (F.char_length(column) <= longest))
-        .select("html", F.xxhash64(F.lit(seed), "html").alias("draw")).orderBy("draw", "html").limit(sample).collect()
+        seeded_share(marked.select("html", F.xxhash64(F.lit(seed), "html").alias("draw")), "draw", sample)
+        .groupBy("draw").agg(F.min("html").alias("html")).orderBy("draw").collect()
     )
     return fit(labelled([r.html for r in rows], seed))
 

@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelspark.llm.common import byte_texts
+from labelspark.llm.common import byte_texts, seeded_share
 
 # Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-# The model is fitted on at most so many labelled rows, those with the smallest seeded hashes.
+# The model is fitted on all labelled rows, or so many of them on average, by seeded hashes.
 SAMPLE_ROWS = 20_000
 
 # A document stays when the trees give it at least this probability of being good.
@@ -241,14 +241,15 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                   label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Trees | None:
     """Trees fitted on the labelled documents.
 
-    At most ``sample_rows`` labels are taken, those with the smallest seeded hashes of their ids, and
+    All labels are taken, or ``sample_rows`` of them on average, by seeded hashes of their ids, and
     their statistics (a dozen numbers a row) are fitted in the driver. Scoring covers every row.
     """
-    chosen = (
+    known = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good"))
         .where("id is not null and good in (0, 1)").groupBy("id").agg(F.max("good").alias("good"))
-        .orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample_rows)
+        .withColumn("draw", F.xxhash64(F.lit(seed), "id"))
     )
+    chosen = seeded_share(known, "draw", sample_rows).drop("draw")
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     labelled = labelled.select("id", "good", "text")
     id_type = labels.schema[id_col].dataType.simpleString()
