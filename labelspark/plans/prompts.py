@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.functions.messages import MESSAGES_TYPE, message
-from labelspark.functions.text import slug
 from labelspark.plans.config import RunConfig
 from labelspark.session import as_list
 
@@ -25,37 +24,27 @@ def _class_lists(vocab: DataFrame) -> DataFrame:
 
 
 def single_label_prompt(names: Column, item: str, step_by_step: bool = False) -> Column:
-    """Prompt asking for one of the listed categories."""
-    bullets = F.array_join(F.transform(names, lambda n: F.concat(F.lit("- "), n, F.lit("\n"))), "")
-    sample = F.concat(F.lit('"'), F.get(names, F.lit(0)), F.lit('"'))
-    if step_by_step:
-        how = F.concat(F.lit("Reason through it first, then finish with the category name alone, for example "), sample, F.lit("."))
-    else:
-        how = F.concat(F.lit("Reply with the category name and nothing else, for example "), sample, F.lit("."))
+    """Prompt asking for one of the listed classes: the form of the answer, then a numbered list."""
+    line = lambda n, i: F.concat(F.lit("\n("), (i + 1).cast("string"), F.lit(") "), n)
+    thought = "Write down your reasons, and then, on a line of its own, " if step_by_step else "Write, without a further word, "
     return F.concat(
-        F.lit(f"Your task is to sort {item}s into categories.\n\nCATEGORIES:\n"), bullets,
-        F.lit(f"\nChoose the category that fits the {item} below best.\n"), how)
+        F.lit(f"Which class does the {item} belong to? {thought}the name of one class as it is spelled in this list (say, "),
+        F.get(names, F.lit(0)), F.lit("):\n"), F.array_join(F.transform(names, line), ""))
 
 
 def multi_label_prompt(lists: dict[str, Column], item: str, step_by_step: bool = False) -> Column:
-    """Prompt asking for a JSON object with one field per label."""
+    """Prompt asking for a JSON object with one field per label: a line per field with its possible values."""
     n = count_word(len(lists))
-    parts: list[Column] = [F.lit(f"Your task is to sort {item}s by {n} labels.\nReply with {n} JSON fields: {{")]
-    for i, label in enumerate(lists):
-        parts += [F.lit((", " if i else "") + f'"{label}": "<'), slug(F.lit(label)), F.lit('>"')]
-    parts.append(F.lit("}\n"))
+    thought = "Write down your reasons, and then the object" if step_by_step else "Write the object, without a further word"
+    parts: list[Column] = [F.lit(f"Fill a JSON object of {n} fields for the {item}. {thought}. Fields and their values:\n")]
     for label, names in lists.items():
-        quoted = F.array_join(F.transform(names, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", ")
-        parts += [F.lit("\nPut in place of <"), slug(F.lit(label)), F.lit(f"> the {label} of the {item}, one of ["),
-                  quoted, F.lit("].")]
-    ending = (f"\n\nReason through it first, then finish with the {n} JSON fields."
-              if step_by_step else f"\n\nReply with the {n} JSON fields and nothing else.")
-    return F.concat(*parts, F.lit(ending))
+        parts += [F.lit(f'\n"{label}" = '), F.array_join(F.transform(names, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), " or ")]
+    return F.concat(*parts)
 
 
 def with_closing(prompt: Column, examples: Column | None, step_by_step: bool = False) -> Column:
     """Append worked examples, or a closing line where there are none."""
-    line = F.lit("\nThink it through step by step." if step_by_step else "\nHere is your item.")
+    line = F.lit("\n\nTake one step after the other." if step_by_step else "\n\nNow the item:")
     if examples is None:
         return F.concat(prompt, line)
     given = F.coalesce(F.length(examples) > 0, F.lit(False))

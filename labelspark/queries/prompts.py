@@ -10,39 +10,36 @@ from labelspark.plans.config import RunConfig
 from labelspark.queries.registry import PRIORITY, STATUS, query, table
 
 
-@query("""with v as (select distinct o_orderpriority as c from orders)
-          select 'Your task is to sort orders into categories.' || chr(10) || chr(10) || 'CATEGORIES:' || chr(10) ||
-                 string_agg('- ' || c || chr(10), '' order by c) || chr(10) || 'Choose the category that fits the order below best.' || chr(10) ||
-                 'Reply with the category name and nothing else, for example "' || min(c) || '".' || chr(10) || 'Here is your item.' as prompt
+@query("""with v as (select c, row_number() over (order by c) as i from (select distinct o_orderpriority as c from orders))
+          select 'Which class does the order belong to? Write, without a further word, the name of one class as it is spelled in this list (say, ' ||
+                 min(c) || '):' || chr(10) || string_agg(chr(10) || '(' || i || ') ' || c, '' order by c) ||
+                 chr(10) || chr(10) || 'Now the item:' as prompt
           from v""")
 def prompt_single(spark, folder):
     vocab = label_vocabulary(table(spark, folder, "orders"), PRIORITY)
     return P.prompt_table(vocab, PRIORITY, "order")
 
 
-@query("""with p as (select string_agg('''' || c || '''', ', ' order by c) as names from (select distinct o_orderpriority as c from orders)),
-               s as (select string_agg('''' || c || '''', ', ' order by c) as names from (select distinct o_orderstatus as c from orders))
-          select 'Your task is to sort orders by two labels.' || chr(10) ||
-                 'Reply with two JSON fields: {"o_orderpriority": "<o_orderpriority>", "o_orderstatus": "<o_orderstatus>"}' || chr(10) || chr(10) ||
-                 'Put in place of <o_orderpriority> the o_orderpriority of the order, one of [' || p.names || '].' || chr(10) ||
-                 'Put in place of <o_orderstatus> the o_orderstatus of the order, one of [' || s.names || '].' || chr(10) || chr(10) ||
-                 'Reply with the two JSON fields and nothing else.' || chr(10) || 'Here is your item.' as prompt
+@query("""with p as (select string_agg('"' || c || '"', ' or ' order by c) as names from (select distinct o_orderpriority as c from orders)),
+               s as (select string_agg('"' || c || '"', ' or ' order by c) as names from (select distinct o_orderstatus as c from orders))
+          select 'Fill a JSON object of two fields for the order. Write the object, without a further word. Fields and their values:' || chr(10) ||
+                 chr(10) || '"o_orderpriority" = ' || p.names || chr(10) || '"o_orderstatus" = ' || s.names ||
+                 chr(10) || chr(10) || 'Now the item:' as prompt
           from p, s""")
 def prompt_multi(spark, folder):
     vocab = label_vocabulary(table(spark, folder, "orders"), [PRIORITY, STATUS])
     return P.prompt_table(vocab, [PRIORITY, STATUS], "order")
 
 
-@query("""with v as (select distinct event_type as c from events)
-          select 'Your task is to sort events into categories.' || chr(10) || chr(10) || 'CATEGORIES:' || chr(10) ||
-                 string_agg('- ' || c || chr(10), '' order by c) || chr(10) || 'Choose the category that fits the event below best.' || chr(10) ||
-                 'Reason through it first, then finish with the category name alone, for example "' || min(c) || '".' ||
-                 chr(10) || chr(10) || 'Question:' || chr(10) || max(c) as prompt
+@query("""with v as (select c, row_number() over (order by c) as i from (select distinct event_type as c from events))
+          select 'Which class does the event belong to? Write down your reasons, and then, on a line of its own, ' ||
+                 'the name of one class as it is spelled in this list (say, ' || min(c) || '):' || chr(10) ||
+                 string_agg(chr(10) || '(' || i || ') ' || c, '' order by c) || chr(10) || chr(10) || 'text: ' || max(c) as prompt
           from v""")
 def prompt_examples(spark, folder):
     vocab = label_vocabulary(table(spark, folder, "events"), "event_type")
     last = vocab.agg(F.max("class_name").alias("c")).first().c
-    return P.prompt_table(vocab, "event_type", "event", step_by_step=True, examples=f"Question:\n{last}")
+    return P.prompt_table(vocab, "event_type", "event", step_by_step=True, examples=f"text: {last}")
 
 
 CONFIGS = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -18,9 +20,13 @@ SMALL_CHARS = 4_096
 SMALL_BYTES = 32 << 20
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and the bench; on a cluster the caller brings its own."""
-    return (
+def local_session(cores: str = "*", shuffle_partitions: int = 8, folder: str | None = None) -> SparkSession:
+    """A session for tests and the bench; on a cluster the caller brings its own.
+
+    ``folder`` takes intermediate tables; without it they go to a temporary folder, which is removed
+    when the program ends.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("labelspark")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -30,8 +36,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", folder) if folder else builder).getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,6 +52,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="labelspark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 

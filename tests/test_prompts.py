@@ -15,18 +15,17 @@ def vocab(spark):
 
 def test_single_label(vocab):
     text = P.build_prompt(vocab, "Kind of thing", "report")
-    assert "- a\n- b\n" in text and '"a"' in text and text.endswith("Here is your item.")
+    assert "\n(1) a\n(2) b\n" in text and "(say, a)" in text and text.endswith("Now the item:")
     slow = P.build_prompt(vocab, "Kind of thing", "report", step_by_step=True)
-    assert slow.endswith("step by step.") and slow != text
-    shown = P.build_prompt(vocab, "Kind of thing", "report", examples="Question:\nq")
-    assert shown.endswith("\n\nQuestion:\nq") and "Here is your item." not in shown
+    assert slow.endswith("one step after the other.") and slow != text
+    shown = P.build_prompt(vocab, "Kind of thing", "report", examples="text: q")
+    assert shown.endswith("\n\ntext: q") and "Now the item:" not in shown
     assert P.build_prompt(vocab, "Kind of thing", "report", examples="") == text
 
 
 def test_several_labels(vocab):
     text = P.build_prompt(vocab, ["Kind of thing", "part"], "report")
-    assert '{"Kind of thing": "<kind_of_thing>", "part": "<part>"}' in text
-    assert "one of ['x', 'y z']" in text and "two JSON fields" in text
+    assert '\n"Kind of thing" = "a" or "b"\n"part" = "x" or "y z"' in text and "of two fields" in text
 
 
 def test_count_words():
