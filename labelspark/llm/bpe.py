@@ -32,10 +32,11 @@ from tokenizers import Tokenizer
 
 from labelspark.llm.common import byte_texts
 
-# Bounds on memory, not on results: chunks remembered in a task, words indexed at once, rows in a batch.
-REMEMBERED = 400_000
+# Bounds on memory, not on results: chunks and words remembered in a task, words indexed at once, rows in a batch.
+REMEMBERED = 200_000
+REMEMBERED_WORDS = 400_000
 INDEXED_WORDS = 50_000
-BATCH_ROWS = 1_024
+BATCH_ROWS = 512
 
 
 # Characters below this one, but for two blanks, are their own canonical composition, so that a chunk
@@ -84,10 +85,12 @@ class Encoder:
             made[both] = rank
             self.merges[left << 32 | right] = rank
             self.by_rank.append((left, right, both))
+        self.known: dict[bytes, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, list[int]] = {}
+        if len(self.known) > REMEMBERED_WORDS:
+            self.known = {}
         self.number: dict[bytes, int] = {}
         self.flat = array("i")
         self.starts = array("q", [0])

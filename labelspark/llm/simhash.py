@@ -37,6 +37,8 @@ TILE_ROWS = 65_536
 # Sides of a block that is compared at once, and found links after which a forest is made of them.
 BLOCK = (256, 2_048)
 HELD_LINKS = 1_000_000
+# Parts that the nodes of one component are dealt into when they look it up.
+SPREAD = 16
 # Shingles hashed at once.
 HASHED = 1 << 16
 
@@ -245,10 +247,11 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``(node, component)`` of ``nodes (node, least)``: the smallest ``least`` of the nodes it reaches."""
     root = F.coalesce("component", "node").alias("root")
     rooted = checkpointed(nodes.join(connected_components(links), "node", "left").select("node", "least", root))
-    # Only nodes with links need the look-up.
-    linked = rooted.where("node <> root").select("root").distinct()
-    least = rooted.join(linked, "root").groupBy("root").agg(F.min("least").alias("component"))
-    return rooted.join(least, "root", "left").select("node", F.coalesce("component", "least").alias("component"))
+    # Components of several nodes, each in as many copies as their nodes are spread over.
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n")).where("n > 1").drop("n")
+    least = least.withColumn("spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    rooted = rooted.withColumn("spread", F.pmod(F.xxhash64("node"), F.lit(SPREAD)))
+    return rooted.join(least, ["root", "spread"], "left").select("node", F.coalesce("component", "least").alias("component"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
