@@ -205,7 +205,7 @@ def _next_cut(sized: DataFrame, cuts: DataFrame) -> DataFrame:
     open_ = sized.where("size > 0").join(F.broadcast(ends), "pattern").where("size <= limit and (last is null or draw > last)")
     open_ = open_.select("pattern", "size", "draw", "rest")
     found = None
-    for cell in (F.shiftright("draw", 52), F.shiftright("draw", 40), F.col("draw")):
+    for cell in (F.shiftright("draw", 56), F.shiftright("draw", 48), F.shiftright("draw", 40), F.col("draw")):
         cells = open_.groupBy("pattern", cell.alias("cell")).agg(
             F.sum("size").alias("words"), F.max("draw").alias("end"), F.max("rest").alias("rest"))
         cells = cells.withColumn("before", F.coalesce(F.sum("words").over(in_order), F.lit(0)))
