@@ -9,15 +9,15 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.functions.text import squash, strip
+from labelspark.session import checkpointed
 
 UNKNOWN = "Unknown"
-# Above this many classes the answer is parsed by a vectorised Python function instead of
-# literal arrays and one regular expression inside the plan.
+# Above this many classes answers meet the classes by joins instead of literal arrays and one
+# regular expression inside the plan. The results are the same.
 EXPRESSION_CLASSES = 1_000
 
 _SEPARATOR = "\x00"
@@ -96,46 +96,85 @@ def _last_mention(text: Column, names: list[str]) -> Column:
     return _id_at(F.array_position(F.lit([n.lower().replace(" ", "") for n in names]), last), len(names))
 
 
-def _parse_large(names: list[str], strict: bool, blank_is_first: bool, nested: bool = False):
-    """The same rules for a large vocabulary: hash look-ups, bisection and one compiled pattern."""
-    import bisect
+def _class_rows(df: DataFrame, names: list[str]) -> DataFrame:
+    """The real and the unknown class as rows, in the forms that the rules compare.
 
-    unknown = len(names) - 1
-    exact: dict[str, int] = {}
-    squashed: dict[str, int] = {}
-    for i, n in enumerate(names):
-        exact.setdefault(n, i)
-        squashed.setdefault(n.lower().replace(" ", ""), i)
-    ordered = sorted((n.lower().strip().replace(" ", ""), i) for i, n in enumerate(names))
-    keys = [k for k, _ in ordered]
-    limit = len(names) - (2 if strict else 1)
-    pattern = mention_pattern(names)
-
-    def resolve(answer: str | None, mention: re.Pattern) -> int:
-        if answer is None or (answer == "" and not (nested and blank_is_first)):
-            return unknown
-        if answer in exact:
-            return exact[answer]
-        text = answer.lower().strip()
-        if not text and not blank_is_first:
-            return unknown
-        if re.fullmatch("[0-9]+", text):
-            digits = text.lstrip("0")
-            return int(digits or "0") if len(digits) < 10 and int(digits or "0") < limit else unknown
-        head = text.replace(" ", "")
-        low = bisect.bisect_left(keys, head)
-        high = bisect.bisect_left(keys, head + "\U0010ffff")
-        if low < high:
-            return min(i for _, i in ordered[low:high])
-        found = mention.findall(text)
-        return squashed.get(found[-1].lower().replace(" ", ""), unknown) if found else unknown
-
-    @F.pandas_udf("int")
-    def parse(batch: pd.Series) -> pd.Series:
-        mention = re.compile(pattern, re.IGNORECASE)  # cached by re after the first batch
-        return batch.map(lambda a: resolve(a, mention)).astype("int32")
-
-    return parse
+    ``start`` is what a cut-off answer begins with, ``plain`` a mentioned name, both without blanks.
+    """
+    rows = [
+        (i, n, n.lower().strip().replace(" ", ""), n.lower().replace(" ", ""), f"(?iu)^(?:{mention_pattern([n])})")
+        for i, n in enumerate(names)
+    ]
+    return df.sparkSession.createDataFrame(rows, "id int, name string, start string, plain string, pattern string")
+
+
+def _first_id(classes: DataFrame, form: str, into: str) -> DataFrame:
+    return classes.groupBy(F.col(form).alias(f"_{into}_key")).agg(F.min("id").alias(into))
+
+
+def _last_mentions(answers: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(text, _mentioned)``: for cleaned answers the last class name that a scan from the left meets.
+
+    Places and names meet by the name's characters that are no blanks; its pattern then confirms the
+    blanks. At a place the first name in order counts, and a place within a name met before is passed
+    over.
+    """
+    letters = classes.where("plain <> ''").select("id", "pattern", F.col("plain").alias("_key"))
+    # As many lengths as names have, at most the longest name's.
+    lengths = F.lit([r[0] for r in letters.select(F.char_length("_key")).distinct().collect()]).cast("array<int>")
+    squashed = F.replace(F.substring("text", F.col("_at") + 1, F.char_length("text")), F.lit(" "), F.lit(""))
+    places = answers.select("text", F.explode(F.sequence(F.lit(0), F.char_length("text") - 1)).alias("_at")).withColumn("_rest", squashed)
+    places = places.where(F.substring("text", F.col("_at") + 1, F.lit(1)) != " ")
+    keys = places.select("text", "_at", F.explode(F.transform(
+        F.filter(lengths, lambda n: n <= F.char_length("_rest")), lambda n: F.left("_rest", n))).alias("_key"))
+    keys = keys.join(letters, "_key")
+    found = F.call_function("regexp_extract", F.substring("text", F.col("_at") + 1, F.char_length("text")), F.col("pattern"), F.lit(0))
+    hits = keys.withColumn("_found", found).where("_found <> ''").groupBy("text", "_at").agg(
+        F.min(F.struct("id", "_found")).alias("_hit"))
+    one = F.struct(F.col("_at").alias("at"), F.col("_hit._found").alias("found"))
+    start = F.struct(F.lit(0).alias("end"), F.lit("").alias("last"))
+
+    def step(state: Column, hit: Column) -> Column:
+        free = hit["at"] >= state["end"]
+        end = F.when(free, hit["at"] + F.char_length(hit["found"])).otherwise(state["end"])
+        return F.struct(end.cast("int").alias("end"), F.when(free, hit["found"]).otherwise(state["last"]).alias("last"))
+
+    scanned = hits.groupBy("text").agg(F.array_sort(F.collect_list(one)).alias("_hits"))
+    last = F.aggregate("_hits", start, step, lambda state: state["last"])
+    named = scanned.select("text", squash(last).alias("_plain_key"))
+    return named.join(_first_id(classes, "plain", "plain_id").withColumnsRenamed({"_plain_id_key": "_plain_key"}), "_plain_key").select(
+        "text", F.col("plain_id").alias("_mentioned"))
+
+
+def _with_joined_id(df: DataFrame, answer: str, names: list[str], strict: bool, blank_is_first: bool, nested: bool, into: str) -> DataFrame:
+    """Add the class id of ``answer`` for a large vocabulary: the same rules as joins.
+
+    Each different answer is resolved once. Exact names and cut-off names are looked up by value, the
+    latter among all beginnings of the names; only answers that no earlier rule decides are searched
+    for mentions.
+    """
+    classes = _class_rows(df, names)
+    given = df.select(F.col(answer).alias("answer")).distinct().withColumn("text", _clean(F.col("answer")))
+    exact = _first_id(classes, "name", "exact")
+    beginnings = classes.select("id", F.explode(F.transform(
+        F.sequence(F.lit(0), F.char_length("start")), lambda n: F.left(F.col("start"), n))).alias("start"))
+    begun = _first_id(beginnings, "start", "begun")
+    head = F.replace("text", F.lit(" "), F.lit(""))
+    rows = (
+        given.withColumns({"number": _number(F.col("text"), names, strict), "head": F.when(~F.contains(F.col("text"), F.lit(_SEPARATOR)), head)})
+        .join(exact, F.col("answer") == F.col("_exact_key"), "left").join(begun, F.col("head") == F.col("_begun_key"), "left")
+    )
+    early = checkpointed(rows.select("answer", "text", "exact", F.coalesce("number", "begun").alias("early")))
+    open_ = early.where("exact is null and early is null and text <> ''").select("text").distinct()
+    mentions = _last_mentions(open_, classes).withColumnRenamed("text", "_text")
+    unknown = F.lit(len(names) - 1)
+    later = F.coalesce("early", "_mentioned")
+    if not blank_is_first:
+        later = F.when(F.col("text") != "", later)
+    counts = F.col("answer").isNotNull() if nested and blank_is_first else F.col("answer") != ""
+    resolved = early.join(mentions, F.col("text") == F.col("_text"), "left").select(
+        F.col("answer").alias("_answer"), F.when(counts, F.coalesce("exact", later, unknown)).otherwise(unknown).alias(into))
+    return df.join(resolved, F.col(answer).eqNullSafe(F.col("_answer")), "left").drop("_answer")
 
 
 def parse_answer(
@@ -146,10 +185,9 @@ def parse_answer(
 ) -> Column:
     """Class id of one answer; ``names`` ends with the unknown class.
 
-    An answer of blanks is unknown; ``blank_is_first`` gives it class 0 instead.
+    An answer of blanks is unknown; ``blank_is_first`` gives it class 0 instead. The names are
+    literals of the plan; for large vocabularies use :func:`with_class_ids`, which joins.
     """
-    if len(names) > EXPRESSION_CLASSES:
-        return _parse_large(names, strict_numeric, blank_is_first)(answer)
     return _resolve(answer, _clean(answer), names, strict_numeric, blank_is_first)
 
 
@@ -193,7 +231,8 @@ def with_class_ids(
 ) -> DataFrame:
     """Add ``into``: a struct with one class id per label.
 
-    With one label the answer is free text; with several it is read as a JSON object.
+    With one label the answer is free text; with several it is read as a JSON object. Vocabularies of
+    more than ``EXPRESSION_CLASSES`` classes are joined, which takes a table that is no stream.
     """
     rules = (strict_numeric, blank_is_first, len(vocab) > 1)
     if len(vocab) == 1:
@@ -212,7 +251,7 @@ def with_class_ids(
     large = {i: n for i, n in enumerate(vocab.values()) if len(n) > EXPRESSION_CLASSES}
     small = {i: n for i, n in enumerate(vocab.values()) if i not in large}
     for i, names in large.items():
-        staged = staged.withColumn(f"_i{i}", _parse_large(names, *rules)(F.col(f"_a{i}")))
+        staged = _with_joined_id(staged, f"_a{i}", names, *rules, into=f"_i{i}")
     if small:
         # One row in, one row out: the generator keeps the optimizer from copying the parser
         # into every expression and filter that uses an id.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelspark.functions import answers as A
+from labelspark.operators.labels import label_vocabulary, vocabulary_lists
 from labelspark.queries.registry import ANSWERS_SQL, PRIORITIES, PRIORITY, STATUS, STATUSES, order_answers, query, table
 
 NAMES = [*PRIORITIES, A.UNKNOWN]
@@ -48,6 +49,31 @@ def parse_single_lenient(spark, folder):
     return _matched(spark, folder, lambda c, names: A.parse_answer(c, names, strict_numeric=False))
 
 
+MANY_SQL = """with ids as (select c_custkey, c_name, cast(row_number() over (order by c_name) - 1 as int) as id, count(*) over () as v from customer),
+     given as (select o_orderkey, c_name, id, cast(v as int) as v, o_orderkey % 6 as form from orders join ids on c_custkey = o_custkey)"""
+
+
+@query(MANY_SQL + """
+select o_orderkey, case form when 0 then id when 1 then id when 2 then case when id < v - 1 then id else v end when 3 then 0 when 4 then 0 else v end
+       as class_id from given""")
+def parse_many_classes(spark, folder):
+    """Every customer is a class: named exactly, in a sentence, by a padded number, cut off, twice, or not at all."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name")
+    vocab = label_vocabulary(customers.withColumnRenamed("c_name", "customer"), "customer")
+    names = [*vocabulary_lists(vocab, "customer")["customer"], A.UNKNOWN]
+    classes = customers.join(vocab, customers.c_name == vocab.class_name).select("c_custkey", "c_name", "class_id")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    rows = orders.join(classes, orders.o_custkey == classes.c_custkey)
+    form, name, first = F.col("o_orderkey") % 6, F.col("c_name"), F.lit(names[0].lower())
+    answer = (
+        F.when(form == 0, name).when(form == 1, F.concat(F.lit("I would say "), F.lower(name), F.lit(".")))
+        .when(form == 2, F.lpad(F.col("class_id").cast("string"), 12, "0")).when(form == 3, F.lit(names[0][:9].upper()))
+        .when(form == 4, F.concat(F.lit("First "), name, F.lit(", then "), first)).otherwise(F.lit("nobody"))
+    )
+    parsed = A.with_class_ids(rows.withColumn("answer", answer), "answer", {"customer": names}, "ids")
+    return parsed.select("o_orderkey", F.col("ids.customer").alias("class_id"))
+
+
 # Words to look for in running text, shared by Spark and SQL; the last one stands for unknown.
 WORDS = ["the", "dans", "und", "el", "tion", "Unknown"]
 

@@ -49,19 +49,35 @@ def test_cases(spark):
     assert list(zip([a for a, _ in CASES], got)) == CASES
 
 
-def test_large_vocabulary_path_agrees(spark, monkeypatch):
+def parse_joined(spark, answers, names=NAMES, **options):
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, a string").repartition(3)
+    return [r.ids.x for r in A.with_class_ids(rows, "a", {"x": names}, "ids", **options).orderBy("i").collect()]
+
+
+def test_joined_classes_agree(spark, monkeypatch):
     monkeypatch.setattr(A, "EXPRESSION_CLASSES", 0)
-    got = parse(spark, lambda c: A.parse_answer(c, NAMES), [a for a, _ in CASES])
-    assert list(zip([a for a, _ in CASES], got)) == CASES
+    answers = [a for a, _ in CASES]
+    assert list(zip(answers, parse_joined(spark, answers))) == CASES
+    assert parse_joined(spark, ["4", "5"], strict_numeric=False) == [4, 5]
+    assert parse_joined(spark, [" ", ""], blank_is_first=True) == [0, 5]
+    assert parse_joined(spark, ["heat", "Heat", "heats", "heatb"], ["Heat burn", "Heat stroke", "Heat", "Unknown"]) == [0, 2, 1, 0]
+
+
+def test_numbers_mean_the_same_for_any_vocabulary(spark):
+    answers = ["0000000007", "00000000000000000007", "2147483648", "1" * 5_000, "1498", "1499"]
+    small = [f"class {i:04d}" for i in range(50)] + ["Unknown"]
+    large = [f"class {i:04d}" for i in range(1_500)] + ["Unknown"]
+    assert parse_joined(spark, answers[:4], small) == [7, 7, 50, 50]
+    assert parse_joined(spark, answers, large) == [7, 7, 1500, 1500, 1498, 1500]
 
 
 def test_paths_agree_on_random_answers(spark, monkeypatch):
     rng = random.Random(5)
-    pieces = [*NAMES, "no", "the", "3", " ", "plan", "mean", "of", "(", "É", "\n"]
+    pieces = [*NAMES, "no", "the", "3", " ", "plan", "mean", "of", "(", "É", "\n", "companyplant", "mean  of transportation"]
     answers = ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(0, 5))) for _ in range(500)]
     first = parse(spark, lambda c: A.parse_answer(c, NAMES), answers)
     monkeypatch.setattr(A, "EXPRESSION_CLASSES", 0)
-    assert parse(spark, lambda c: A.parse_answer(c, NAMES), answers) == first
+    assert parse_joined(spark, answers) == first
 
 
 def test_options(spark):
