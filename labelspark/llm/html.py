@@ -94,25 +94,23 @@ class Page:
 
     def _read(self, text: str, labels: bool) -> None:
         stack, tags = [self._node(-1, 0, (), -1)], [""]
-        at, block, hidden = 0, 0, 0
+        at, block, hidden, blank_in = 0, 0, 0, -1
         end = len(text)
 
         def words(a: int, b: int) -> None:
+            nonlocal blank_in
             if hidden or a >= b:
                 return
             found = text[a:b]
             if "&" in found:
                 found = references.unescape(found)
-            if not found.isspace():
-                node = self._node(stack[-1], 1, (), -1)
-                self.texts[node] = found
-                self.block[node] = block
-            else:  # a blank between inline elements keeps words apart
-                last = len(self.parent) - 1
-                if last in self.texts and self.block[last] == block:
-                    self.texts[last] += " "
-                else:
-                    self.leading = block
+            if found.isspace():  # between inline elements it keeps words apart
+                blank_in = block
+                return
+            node = self._node(stack[-1], 1, (), -1)
+            self.texts[node] = " " + found if blank_in == block else found
+            self.block[node] = block
+            blank_in = -1
 
         def close(depth: int) -> None:
             nonlocal block, hidden
@@ -124,7 +122,6 @@ class Page:
                 if tag in HIDDEN:
                     hidden -= 1
 
-        self.leading = -1
         while at < end:
             start = text.find("<", at)
             if start < 0:
@@ -185,7 +182,7 @@ class Page:
                 tags.append(tag)
                 hidden += tag in HIDDEN
             if tag in RAW:
-                stop = text.lower().find("</" + tag, at) if tag not in ("script", "style") else _raw_end(text, tag, at)
+                stop = _raw_end(text, tag, at)
                 at = end if stop < 0 else stop
 
     def _names(self, attributes: str, labels: bool) -> tuple[tuple[int, ...], int]:
@@ -213,7 +210,7 @@ class Page:
 
 
 def _raw_end(text: str, tag: str, at: int) -> int:
-    """Where the end tag of a script or style begins."""
+    """Where the end tag of an element of plain characters begins."""
     while True:
         stop = text.find("</", at)
         if stop < 0 or text[stop + 2:stop + 2 + len(tag)].lower() == tag:

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from labelspark.session import checkpointed
 
 LEAST_BYTES = 1_000
-# Records in a file, and in a batch of what is read.
-FILE_RECORDS = 20_000
+# Bytes of payloads in a file before compression, by their average; and bounds of a batch that is read.
+FILE_BYTES = 128 << 20
 BATCH_RECORDS, BATCH_BYTES = 1_000, 16 << 20
 
 # Fixed names of the format; the fields of this package begin with its name.
@@ -37,12 +37,16 @@ _ID, _REFERS, _BYTES = "Labelspark-Id", "Labelspark-Refers-To-Id", "Labelspark-P
 _END = "\r\n"
 
 
-def resolve_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``(id, digest, original)`` of the rows that become revisits, each id and digest once."""
+def headers_of(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
+    """``(id, digest, bytes)`` of every row, written once."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    headers = checkpointed(pages.select(
-        F.col(id_col).alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")
-    ).where(F.col("bytes") >= least_bytes))
+    return checkpointed(pages.select(
+        F.col(id_col).alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")))
+
+
+def resolve_revisits(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """``(id, digest, original)`` of the rows that become revisits, each id and digest once."""
+    headers = headers.where(F.col("bytes") >= least_bytes)
     originals = headers.groupBy("digest").agg(F.max("id").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null")
     revisits = headers.join(originals.drop("n"), "digest").where("id is null or id <> original")
     return revisits.select("id", "digest", "original").distinct()
@@ -58,7 +62,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """One record per row into gzip-compressed archives below ``path``, which must not exist."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    revisits = resolve_revisits(pages, id_col, payload_col, least_bytes).select(
+    headers = headers_of(pages, id_col, payload_col)
+    average = headers.agg(F.avg("bytes")).first()[0] or 0
+    revisits = resolve_revisits(headers, least_bytes).select(
         F.col("id").alias("_id"), F.col("digest").alias("_digest"), "original")
     joined = rows.join(revisits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     revisit = F.col("original").isNotNull()
@@ -83,7 +89,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     record = F.concat(F.concat_ws("", *fields), F.lit(_END), block)
     # The writer puts the record's end, two line ends, after each value.
     joined.select(record.alias("value")).write.option("lineSep", _END * 2).option("compression", "gzip").option(
-        "maxRecordsPerFile", FILE_RECORDS).text(path)
+        "maxRecordsPerFile", max(1, int(FILE_BYTES // (average + 1_000)))).text(path)
 
 
 def records(file: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -58,7 +58,8 @@ def test_reading():
     assert every("a<script>var t='</p>';<p>no</script><style>x{}</style><!-- <p>no --> b<title>no</title>") == "a b"
     assert every("1 < 2 <p title='a>b'>x</p><p class=\"never closed>y") == "1 < 2\nx\ny"
     assert every("<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table>") == "a\nb\nc\nd\ne"
-    assert every("<b>a</b> <i>b</i>") == "a b"
+    assert every("<b>a</b> <i>b</i>") == every("<b>a</b><span></span> <i>b</i>") == every("<b>a</b> <span> <i>b</i></span>") == "a b"
+    assert every("a<textarea>no</TEXTAREA>b<title>no") == "ab"
     assert every("<p>cut <a href='x") == "cut"
     assert every("") == "" and every("<") == "<" and every("</p></div>") == ""
     assert every("<div>" * 5_000 + "deep" + "</div>" * 5_000) == "deep"
