@@ -42,6 +42,7 @@ from labelspark.session import checkpointed
 LENGTH = 100
 ANCHOR = 24  # bytes of an anchor, three words of eight
 HOT = 2_000
+STEP = 11  # divides the 77 places that an anchor may have in a window
 # Bytes that are searched for anchors at once, and segments whose suffixes are ordered at once.
 CHUNK_BYTES = 4 << 20
 PIECE_BYTES = 8 << 20
@@ -239,13 +240,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [("hot", pa.bool_()), ("h", pa.int64()), ("seg", pa.int64()), ("id", pa.int64()), ("dig", pa.int32()),
              ("start", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())]
     for batch in batches:
-        for id_, dig, text, runs in zip(batch["id"].to_pylist(), batch["dig"].to_pylist(), batch["text"], batch["runs"], strict=True):
+        runs = batch["runs"]
+        values = list(zip(*[f.to_pylist() for f in runs.flatten().flatten()], strict=True))
+        ends = np.cumsum(runs.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+        begins = [0, *ends[:-1]]
+        for id_, dig, text, a, b in zip(batch["id"].to_pylist(), batch["dig"].to_pylist(), batch["text"], begins, ends, strict=True):
             view = memoryview(text.as_buffer())
             cold, windows = [], []
-            for run in runs.as_py():
-                start, n = run["start"], run["n"]
-                if run["kind"] == 1:
-                    cold.append((False, run["h"], 0, id_, dig, start, n, bytes(view[start:start + n + LENGTH - 1])))
+            for kind, h, start, n in values[a:b]:
+                if kind == 1:
+                    cold.append((False, h, 0, id_, dig, start, n, bytes(view[start:start + n + LENGTH - 1])))
                 else:
                     windows += range(start, start + n)
             for first in range(0, len(windows), 65_536):
@@ -320,11 +324,15 @@ def suffix_order(strings: list[bytes], folder: str, cap: int = LENGTH) -> tuple[
         length += 1
         # Rows in order of their symbols are the suffixes that begin with these, after m empty ones.
         order = np.argsort(symbols, kind="stable")
-        ended = np.searchsorted(symbols[order], 1)  # rows in front of which a string begins lead nowhere
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        mine = rank[place]
+        sizes = np.bincount(symbols, minlength=len(used) + 1)
+        ended = int(sizes[0])  # rows in front of which a string begins lead nowhere
         symbol = symbols[place]
+        mine = np.empty(len(place), np.int64)
+        by = np.argsort(symbol, kind="stable")
+        firsts, stops = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+        for part in np.split(by, np.flatnonzero(np.diff(symbol[by])) + 1):
+            first = firsts[symbol[part[0]]]
+            mine[part] = first + np.searchsorted(order[first:stops[symbol[part[0]]]], place[part])
         new = m + mine - ended
         # Common prefixes of a new suffix with its neighbours of the same first symbol: one more than
         # the least between the rows that they extend.
@@ -341,12 +349,10 @@ def suffix_order(strings: list[bytes], folder: str, cap: int = LENGTH) -> tuple[
                 found[by] = np.minimum.reduceat(padded, ends)[::2]
             return found
 
-        with_before = mine > ended
-        with_before[with_before] = symbols[order[mine[with_before] - 1]] == symbol[with_before]
+        with_before = mine > firsts[symbol]
         ahead = np.zeros(len(rows), np.int64)
         ahead[with_before] = 1 + least(order[mine[with_before] - 1], place[with_before])
-        with_after = mine < len(order) - 1
-        with_after[with_after] = symbols[order[mine[with_after] + 1]] == symbol[with_after]
+        with_after = mine + 1 < stops[symbol]
         behind = 1 + least(place[with_after], order[mine[with_after] + 1])
         old = np.ones(size, bool)
         old[new] = False
@@ -367,7 +373,7 @@ def repeated_windows(strings: list[bytes], windows: np.ndarray, owner: np.ndarra
         symbols, prefixes = suffix_order(strings, folder)
     m = len(strings)
     order = np.argsort(symbols, kind="stable")
-    ended = np.searchsorted(symbols[order], 1)
+    ended = len(symbols) - np.count_nonzero(symbols)
     run = np.cumsum(prefixes < LENGTH)
     # A string's first suffix is in front of which it begins; from a suffix the order leads to the next.
     last = order[:ended]
@@ -402,26 +408,26 @@ def repeated_windows(strings: list[bytes], windows: np.ndarray, owner: np.ndarra
 
 
 def trimmed(rows: list[tuple]) -> list[tuple]:
-    """Segments ``(h, id, dig, start, n, bytes)`` without the windows that can't equal another's.
+    """Segments ``(h, id, dig, start, n, bytes)`` without outer windows that can't equal another's.
 
-    A window reaches from its anchor over the nearer half of what else it may hold, to the right or to
-    the left. Windows that are equal agree there, so a stretch that no other segment of the anchor has
-    rules out all windows over it. ``rows`` holds all segments of its anchors.
+    Windows that hold their anchor at nearly the same place, within ``STEP`` bytes, have all but
+    ``STEP`` bytes in common. Equal windows agree there, so a stretch that no other segment of the
+    anchor has rules out the windows over it. ``rows`` holds all segments of its anchors.
     """
     data = b"".join(r[5] for r in rows)
     begins = np.cumsum([0, *(len(r[5]) for r in rows[:-1])])
     place = (anchors(np.frombuffer(data + bytes(8), np.uint8))[begins] - begins).tolist()
-    half = (LENGTH - ANCHOR) // 2
-    right, left = Counter(), Counter()
-    for (h, _, _, _, _, text), p in zip(rows, place, strict=True):
-        right[h, text[p:p + ANCHOR + half]] += 1
-        left[h, text[max(p - half, 0):p + ANCHOR]] += 1
+    known: Counter = Counter()
+    stretches = []
+    for (h, _, _, _, n, text), p in zip(rows, place, strict=True):
+        own = [(h, c, text[p - c * STEP:p - c * STEP + LENGTH - STEP + 1]) for c in range(max(p - n + 1, 0) // STEP, p // STEP + 1)]
+        known.update(own)
+        stretches.append(own)
     found = []
-    for (h, id_, dig, start, n, text), p in zip(rows, place, strict=True):
-        middle = min(max(p - half, 0), n)  # windows before it reach far to the left of the anchor
-        first = 0 if left[h, text[max(p - half, 0):p + ANCHOR]] > 1 else middle
-        last = n if right[h, text[p:p + ANCHOR + half]] > 1 else middle
-        if first < last:
+    for (h, id_, dig, start, n, text), p, own in zip(rows, place, stretches, strict=True):
+        shared = [c for _, c, _ in (k for k in own if known[k] > 1)]
+        if shared:  # the farther the anchor from a window's start, the earlier the window
+            first, last = max(p - shared[-1] * STEP - STEP + 1, 0), min(p - shared[0] * STEP + 1, n)
             found.append((h, id_, dig, start + first, last - first, text[first:last + LENGTH - 1]))
     return found
 
