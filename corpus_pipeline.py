@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelspark.llm.bpe import decode, encode
+from labelspark.llm.bpe import encode
 from labelspark.llm.mixing import mix_plan, mixed
 from labelspark.llm.pii import sanitise
 from labelspark.llm.quality import filter_quality, train_quality
@@ -42,8 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256`` of every document of the mix."""
-    path = word_vocabulary()
-    return decode(encode(docs, path), path).select(
+    return encode(docs, word_vocabulary(), decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256")
     )
 

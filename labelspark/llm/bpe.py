@@ -34,7 +34,7 @@ from labelspark.llm.common import byte_texts
 
 # Bounds on memory, not on results: chunks and words remembered in a task, words indexed at once, rows in a batch.
 REMEMBERED = 200_000
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 200_000
 INDEXED_WORDS = 50_000
 BATCH_ROWS = 512
 
@@ -219,53 +219,65 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, ids array<int>)`` of every whole text, without added special tokens."""
+class Decoder:
+    """Ids to text: their tokens, special ones included, joined by one blank.
+
+    That is how a vocabulary file without a decoder of its own is decoded; others are refused. An id
+    outside the vocabulary has no token and is left out.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        if file.get("decoder"):
+            raise ValueError("the vocabulary has a decoder of its own")
+        named = {i: t for t, i in file["model"]["vocab"].items()} | {t["id"]: t["content"] for t in file["added_tokens"]}
+        self.tokens = pa.array([named.get(i) for i in range(max(named) + 1)], pa.string())
+
+    def decode(self, lists: pa.ListArray) -> pa.StringArray:
+        values = lists.flatten().to_numpy(zero_copy_only=False)
+        known = (values >= 0) & (values < len(self.tokens))
+        lengths = np.array(pc.fill_null(pc.list_value_length(lists), 0))
+        if not known.all():
+            of = np.repeat(np.arange(len(lengths)), lengths)
+            values, lengths = values[known], np.bincount(of[known], minlength=len(lengths))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+        words = pa.ListArray.from_arrays(offsets, self.tokens.take(pa.array(values)))
+        return pc.binary_join(words, pa.scalar(" "))
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """``(id, ids array<int>)`` of every whole text, without added special tokens.
+
+    ``decoded`` adds ``text``, decoded from the ids in the same task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = decoder = None
         for whole in batches:
             encoder = encoder or Encoder(path)
+            decoder = decoder or (Decoder(path) if decoded else None)
             for first in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(first, BATCH_ROWS)
-                yield pa.RecordBatch.from_arrays([batch["id"], encoder.encode(byte_texts(batch["text"]))], ["id", "ids"])
+                ids = encoder.encode(byte_texts(batch["text"]))
+                columns = [batch["id"], ids] + ([decoder.decode(ids)] if decoder else [])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "text"][:len(columns)])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
+    kinds = f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>" + ", text string" * decoded
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, kinds).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``(id, ids, text)``: the tokens of the ids, special ones included, joined by one blank.
-
-    That is how a vocabulary file without a decoder of its own is decoded; others are refused. An id
-    outside the vocabulary has no token and is left out.
-    """
+    """``(id, ids, text)``: every list of ids as text, see :class:`Decoder`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = None
+        decoder = None
         for whole in batches:
-            if tokens is None:
-                with open(path, encoding="utf-8") as f:
-                    file = json.load(f)
-                if file.get("decoder"):
-                    raise ValueError("the vocabulary has a decoder of its own")
-                named = {i: t for t, i in file["model"]["vocab"].items()} | {t["id"]: t["content"] for t in file["added_tokens"]}
-                tokens = pa.array([named.get(i) for i in range(max(named) + 1)], pa.string())
+            decoder = decoder or Decoder(path)
             for first in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(first, BATCH_ROWS)
-                lists = batch["ids"]
-                values = lists.flatten().to_numpy(zero_copy_only=False)
-                known = (values >= 0) & (values < len(tokens))
-                lengths = np.array(pc.fill_null(pc.list_value_length(lists), 0))
-                if not known.all():
-                    of = np.repeat(np.arange(len(lengths)), lengths)
-                    values, lengths = values[known], np.bincount(of[known], minlength=len(lengths))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-                words = pa.ListArray.from_arrays(offsets, tokens.take(pa.array(values)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["id"], lists, pc.binary_join(words, pa.scalar(" "))], ["id", "ids", "text"]
-                )
+                yield pa.RecordBatch.from_arrays([batch["id"], batch["ids"], decoder.decode(batch["ids"])], ["id", "ids", "text"])
 
     id_type = encoded.schema[id_col].dataType.simpleString()
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))

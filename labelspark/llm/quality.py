@@ -210,8 +210,8 @@ def _scored(trees: Trees | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, 1024):
-                batch = whole.slice(first, 1024)
+            for first in range(0, whole.num_rows, 512):
+                batch = whole.slice(first, 512)
                 found = [statistics(t) for t in byte_texts(batch["text"])]
                 base = list(zip(*[b for b, _ in found], strict=True))
                 kept = ~np.array(base[5], bool)
@@ -274,17 +274,15 @@ def score_quality(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id",
 def filter_quality(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
 
-    @F.pandas_udf(T.BooleanType())
-    def good(column):
-        import pandas as pd
-
-        kept = []
-        for first in range(0, len(column), 1024):
-            found = [statistics(t.encode() if t is not None else b"") for t in column.iloc[first:first + 1024]]
+    @F.arrow_udf(T.BooleanType())
+    def good(column: pa.Array) -> pa.Array:
+        kept = np.zeros(len(column), bool)
+        for first in range(0, len(column), 512):
+            found = [statistics(t) for t in byte_texts(column.slice(first, 512))]
             ok = ~np.array([b[5] for b, _ in found], bool)
-            if trees is not None and len(found):
+            if trees is not None:
                 ok &= trees.probability(np.array([f for _, f in found], float)) >= KEEP_PROBABILITY
-            kept.append(pd.Series(ok))
-        return pd.concat(kept) if kept else pd.Series([], dtype=bool)
+            kept[first:first + len(found)] = ok
+        return pa.array(kept)
 
     return docs.where(good(F.col(text_col)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelspark.llm.bpe import decode, encode
+from labelspark.llm.bpe import encode
 from labelspark.llm.html import extract, train_extractor
 from labelspark.llm.mixing import mix_counts, mix_plan
 from labelspark.llm.pii import PATTERNS, private_spans, span_text
@@ -94,8 +94,7 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    path = word_vocabulary()
-    return decode(encode(_table(spark, folder, "documents"), path), path).select(
+    return encode(_table(spark, folder, "documents"), word_vocabulary(), decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),

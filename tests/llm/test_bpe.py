@@ -37,6 +37,8 @@ def test_small_batches_and_forgetting(library, monkeypatch):
 def test_round_trip(odd, none, library):
     path = word_vocabulary()
     rows = bpe.decode(bpe.encode(odd, path), path).collect()
+    at_once = bpe.encode(odd, path, decoded=True).collect()
+    assert sorted((str(r.doc_id), r.text) for r in at_once) == sorted((str(r.doc_id), r.text) for r in rows)
     texts = odd.select("doc_id", "text").collect()
     want = []
     for r in texts:
