@@ -52,14 +52,13 @@ _NO_ID = (1 << 63) - 1
 _RUNS = "h bigint, seg bigint, id bigint, dig int, start bigint, n int"
 
 
-def anchors(data: np.ndarray) -> np.ndarray:
-    """For every window of ``LENGTH`` bytes the place of its anchor (data of at most 2**24 bytes)."""
+def substring_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``ANCHOR`` bytes at every place."""
     n = len(data)
     words = np.empty(n - 7, np.uint64)
     for shift in range(8):
         count = (n - shift) // 8
         words[shift::8] = np.frombuffer(data, "<u8", count, shift)[:len(words[shift::8])]
-    # A mix of the three words of a substring; then its place, so that the leftmost of equals counts.
     a, b, c = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
     m = n - ANCHOR + 1
     key = words[:m] * a
@@ -71,8 +70,13 @@ def anchors(data: np.ndarray) -> np.ndarray:
     key *= c
     key ^= key >> np.uint64(31)
     key *= a
-    key &= ~np.uint64(0xFFFFFF)
-    key |= np.arange(m, dtype=np.uint64)
+    return key
+
+
+def anchors(hashes: np.ndarray) -> np.ndarray:
+    """For every window of ``LENGTH`` bytes the place of its anchor, from the hashes of at most 2**24 places."""
+    # The upper bits of a hash and then its place, so that the leftmost of equals counts.
+    key = (hashes & ~np.uint64(0xFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)
     width, reach = 1, LENGTH - ANCHOR + 1
     while 2 * width <= reach:
         key = np.minimum(key[:-width], key[width:])
@@ -143,7 +147,8 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.array([len(p) for *_, p in held])
         ends = np.cumsum(lengths)
         begins = ends - lengths
-        place = anchors(data)
+        hashes = substring_hashes(data)
+        place = anchors(hashes)
         owner = np.repeat(np.arange(len(held)), lengths)[:len(place)]
         at = np.arange(len(owner))
         valid = at + LENGTH <= ends[owner]
@@ -153,8 +158,7 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = place[new] >= 0
         new, stop = new[good], stop[good]
         whole = memoryview(data)
-        anchor = place[new]
-        h = np.array([xxhash.xxh3_64_intdigest(whole[p:p + ANCHOR]) for p in anchor.tolist()], np.uint64).view(np.int64)
+        h = hashes[place[new]].view(np.int64)
         seg = np.array([xxhash.xxh3_64_intdigest(whole[a:b], 1) for a, b in zip(new.tolist(), (stop + LENGTH - 1).tolist())],
                        np.uint64).view(np.int64)
         of = owner[new]
@@ -296,12 +300,13 @@ def suffix_order(strings: list[bytes], folder: str, cap: int = LENGTH) -> tuple[
     lengths = np.array([len(s) for s in strings])
     text = np.frombuffer(b"".join(strings), np.uint8)
     used = np.flatnonzero(np.bincount(text, minlength=256))
-    kind = np.uint8 if len(used) < 256 else np.uint16
+    # A row of the files has the common prefix in its upper half and the symbol in its lower.
+    kind, both, bits = (np.uint8, np.uint16, 8) if len(used) < 256 else (np.uint16, np.uint32, 16)
     number = np.zeros(256, kind)
     number[used] = np.arange(1, len(used) + 1)
     text = number[text]
     begins = np.cumsum(lengths) - lengths
-    stored = [Stored(folder, "symbols", kind), Stored(folder, "prefixes", np.uint8)]
+    stored = Stored(folder, "rows", both)
 
     def before(rows: np.ndarray, length: int) -> np.ndarray:
         """The symbols in front of the suffixes of a length."""
@@ -310,16 +315,15 @@ def suffix_order(strings: list[bytes], folder: str, cap: int = LENGTH) -> tuple[
 
     rows = np.arange(m)  # strings that still grow, and the places of their last suffixes
     place = np.arange(m)
-    stored[0].write(before(rows, 0))
-    stored[1].write(np.zeros(m, np.uint8))
+    stored.write(before(rows, 0).astype(both))
     length = 0
     while True:
-        symbols, prefixes = (s.read() for s in stored)
+        packed = stored.read()
+        symbols, prefixes = packed.astype(kind), (packed >> both(bits)).astype(np.uint8)
         on = lengths[rows] > length
         rows, place = rows[on], place[on]
         if not len(rows):
-            for s in stored:
-                s.close()
+            stored.close()
             return symbols, prefixes
         length += 1
         # Rows in order of their symbols are the suffixes that begin with these, after m empty ones.
@@ -356,13 +360,12 @@ def suffix_order(strings: list[bytes], folder: str, cap: int = LENGTH) -> tuple[
         behind = 1 + least(place[with_after], order[mine[with_after] + 1])
         old = np.ones(size, bool)
         old[new] = False
-        next_symbols, next_prefixes = np.empty(size, kind), np.empty(size, np.uint8)
-        next_symbols[old], next_prefixes[old] = symbols, prefixes
-        next_symbols[new] = before(rows, length)
-        next_prefixes[new[with_after] + 1] = np.minimum(behind, cap)
-        next_prefixes[new] = np.minimum(ahead, cap)
-        stored[0].write(next_symbols)
-        stored[1].write(next_prefixes)
+        merged_rows = np.empty(size, both)
+        merged_rows[old] = packed
+        after = new[with_after] + 1
+        merged_rows[after] = (merged_rows[after] & both((1 << bits) - 1)) | (np.minimum(behind, cap).astype(both) << both(bits))
+        merged_rows[new] = before(rows, length).astype(both) | (np.minimum(ahead, cap).astype(both) << both(bits))
+        stored.write(merged_rows)
         place = new
 
 
@@ -416,7 +419,7 @@ def trimmed(rows: list[tuple]) -> list[tuple]:
     """
     data = b"".join(r[5] for r in rows)
     begins = np.cumsum([0, *(len(r[5]) for r in rows[:-1])])
-    place = (anchors(np.frombuffer(data + bytes(8), np.uint8))[begins] - begins).tolist()
+    place = (anchors(substring_hashes(np.frombuffer(data + bytes(8), np.uint8)))[begins] - begins).tolist()
     known: Counter = Counter()
     stretches = []
     for (h, _, _, _, n, text), p in zip(rows, place, strict=True):
