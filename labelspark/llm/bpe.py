@@ -33,10 +33,10 @@ from tokenizers import Tokenizer
 from labelspark.llm.common import byte_texts
 
 # Bounds on memory, not on results: chunks and words remembered in a task, words indexed at once, rows in a batch.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 REMEMBERED_WORDS = 400_000
 INDEXED_WORDS = 50_000
-BATCH_ROWS = 512
+BATCH_ROWS = 1_024
 
 
 # Characters below this one, but for two blanks, are their own canonical composition, so that a chunk
