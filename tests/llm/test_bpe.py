@@ -26,7 +26,6 @@ def test_like_the_library(library):
 
 def test_small_batches_and_forgetting(library, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
-    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 2)
     monkeypatch.setattr(bpe, "INDEXED_WORDS", 2)
     encoder = bpe.Encoder(word_vocabulary())
     for _ in range(2):
