@@ -90,14 +90,16 @@ def signature(blocks: list[np.ndarray]) -> bytes:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                 signatures: bool = False) -> DataFrame:
-    """``(id, fp bigint[, signature binary])`` of every whole text."""
+                 signatures: bool = False, distinct: bool = False) -> DataFrame:
+    """``(id, fp bigint[, signature binary])`` of every whole text; ``distinct`` counts a repeated shingle once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, signs = [], []
             for text in byte_texts(batch["text"]):
                 blocks = list(shingle_hashes(text, shingle))
+                if distinct and blocks:
+                    blocks = [np.unique(np.concatenate(blocks))]
                 found.append(fingerprint(blocks))
                 if signatures:
                     signs.append(signature(blocks))
@@ -255,11 +257,11 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-                     radius: int = 14, similar: int = 101, tile_rows: int = TILE_ROWS) -> DataFrame:
+                     radius: int = 21, similar: int = 101, tile_rows: int = TILE_ROWS) -> DataFrame:
     """One document, that with the smallest id, of each group of near-copies, with all its columns.
 
-    Documents whose shingle sets have a similarity of 0.8 or more differ in some 10 of 64 bits, with a
-    deviation of 3: within ``radius`` bits they are candidates, and 128-place signatures that travel with
+    Fingerprints are those of distinct shingles, as similarity is that of sets. Documents of a similarity of
+    0.8 or more differ in some 10 of 64 bits, with a deviation of 3: within ``radius`` bits they are candidates, and 128-place signatures that travel with
     the fingerprints confirm them where ``similar`` places agree (102 of 128 stand for 0.8). Texts with the
     same fingerprint and signature are copies. Of rows without an id, or rows that repeat an id and a
     text, one stays per group.
@@ -268,7 +270,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     node = F.xxhash64("fp", "signature")
     marked = checkpointed(
         fingerprints(docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest")).alias("row"),
-                                 F.col(text_col).alias("text")), "row", "text", shingle, signatures=True)
+                                 F.col(text_col).alias("text")), "row", "text", shingle, signatures=True, distinct=True)
         .select("row.id", "row.digest", "fp", "signature", node.alias("node"))
     )
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest"))

@@ -83,3 +83,14 @@ def test_drop_near_copies(spark, odd, none):
     assert found.columns == odd.columns
     assert 0 < found.count() < odd.count()
     assert simhash.drop_near_copies(none).count() == 0 and simhash.near_groups(none).count() == 0
+
+
+def test_near_copies_with_repeated_lines(spark):
+    draw = random.Random(8)
+    some = lambda n: ["".join(draw.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    docs = []
+    for i in range(60):
+        words, line, times = some(300), some(12), (5, 20, 50)[i % 3]
+        docs += [(i, " ".join(words + line)), (100 + i, " ".join(words + line * times))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == list(range(60))
