@@ -39,6 +39,8 @@ BLOCK = (256, 2_048)
 HELD_LINKS = 1_000_000
 # Parts that the nodes of one component are dealt into when they look it up.
 SPREAD = 16
+# Candidates of a node, or between two parts, that are confirmed before all the others.
+FIRST_LINKS = 2
 # Shingles hashed at once.
 HASHED = 1 << 16
 
@@ -132,25 +134,17 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return other, label[other]
 
 
-def compare(left: np.ndarray, right: np.ndarray, radius: int, alike=None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as positions in ``left`` followed by ``right``, of the links between two tiles.
+def near_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within the radius, each once, as positions in ``left`` and in ``right``, block by block.
 
-    ``alike(i, j)`` may confirm links by other means. With the same array on both sides, links within it.
+    With the same array on both sides, pairs within it; their first sides come before the second in one
+    order of all positions.
     """
     within = left is right
     count_left, count_right = (np.bitwise_count(x).astype(np.int64) for x in (left, right))
     order_left, order_right = (np.argsort(c, kind="stable") for c in (count_left, count_right))
     a, b = left[order_left], right[order_right]
     pops_a, pops_b = count_left[order_left], count_right[order_right]
-    n = len(left) if within else len(left) + len(right)
-    shift = 0 if within else len(left)
-    links: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-
-    def reduced():
-        i, j = (np.concatenate([x[k] for x in links] or [np.empty(0, np.int64)]) for k in (0, 1))
-        return forest(n, i, j)
-
     for i in range(0, len(a), BLOCK[0]):
         block = a[i:i + BLOCK[0], None]
         # counts are sorted: only a run of the other tile can be within the radius
@@ -161,21 +155,44 @@ def compare(left: np.ndarray, right: np.ndarray, radius: int, alike=None) -> tup
             if not near.any():
                 continue
             x, y = np.nonzero(near)
-            x, y = order_left[x + i], order_right[y + j]
+            x, y = x + i, y + j
             if within:
-                x, y = x[x != y], y[x != y]
-            if alike is not None and len(x):
-                sure = alike(x, y)
-                x, y = x[sure], y[sure]
+                x, y = x[x < y], y[x < y]
             if len(x):
-                links.append((x, y + shift))
-                held += len(x)
-            if held > HELD_LINKS:
-                links = [reduced()]
-                held = 0
+                yield order_left[x], order_right[y]
+
+
+def compare(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as positions in ``left`` followed by ``right``, of the links between two tiles.
+
+    With the same array on both sides, links within it.
+    """
+    n, shift = (len(left), 0) if left is right else (len(left) + len(right), len(left))
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def reduced():
+        i, j = (np.concatenate([x[k] for x in links] or [np.empty(0, np.int64)]) for k in (0, 1))
+        return forest(n, i, j)
+
+    for x, y in near_pairs(left, right, radius):
+        links.append((x, y + shift))
+        held += len(x)
+        if held > HELD_LINKS:
+            links = [reduced()]
+            held = 0
     return reduced()
 
 
+def _first_links(x: np.ndarray, y: np.ndarray, score: np.ndarray, by: np.ndarray, most: int):
+    """Of the links with the same ``by``, the ``most`` with the highest scores."""
+    order = np.lexsort((-score, by))
+    by = by[order]
+    place = np.arange(len(by)) - np.searchsorted(by, by, "left")
+    order = order[place < most]
+    return x[order], y[order], score[order]
+
+
 def _tiles(counts: dict[int, int], rows: int, radius: int) -> tuple[list[int], list[int], list[int], list[int]]:
     """For each population count 0 to 64: its first tile, its number of tiles, and the span of tiles
     that may hold links of its tiles. Small neighbouring counts share a tile."""
@@ -200,39 +217,126 @@ def _tiles(counts: dict[int, int], rows: int, radius: int) -> tuple[list[int], l
     return first, number, low, high
 
 
-def tile_links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, similar: int | None = None) -> DataFrame:
-    """``(a, b)``: links that connect what is within ``radius`` bits, of ``nodes (node, fp[, signature])``.
-
-    Nodes are distinct and not null. ``similar`` asks for so many equal places of two signatures too.
-    """
+def _tiled(nodes: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+    """``nodes`` dealt into pairs of tiles ``(x, y)`` that may hold links."""
     counts = {r[0]: r[1] for r in nodes.groupBy(F.bit_count("fp")).count().collect()}  # 65 rows at most
     first, number, low, high = (F.array(*map(F.lit, x)) for x in _tiles(counts, tile_rows, radius))
     pop = F.bit_count("fp")
     named = nodes.withColumn("tile", first[pop] + F.pmod(F.xxhash64("fp", "node"), number[pop]).cast("int"))
     named = named.withColumn("other", F.explode(F.sequence(low[pop], high[pop])))
-    named = named.withColumns({"x": F.least("tile", "other"), "y": F.greatest("tile", "other")}).drop("other")
-    columns = ["x", "y", "tile", "node", "fp"] + ["signature"] * (similar is not None)
+    return named.withColumns({"x": F.least("tile", "other"), "y": F.greatest("tile", "other")}).drop("other")
+
+
+def _sides(key, table: pa.Table) -> list[pa.Table]:
+    x, y = (k.as_py() for k in key)
+    return [table.filter(pc.equal(table["tile"], t)).sort_by("node") for t in ([x] if x == y else [x, y])]
+
+
+def _words(side: pa.Table) -> np.ndarray:
+    return side["fp"].to_numpy().astype(np.int64).view(np.uint64)
+
+
+def tile_links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``(a, b)``: links that connect what is within ``radius`` bits, of ``nodes (node, fp)``.
+
+    Nodes are distinct and not null.
+    """
 
     def run(key, table):
-        x, y = (k.as_py() for k in key)
-        sides = [table.filter(pc.equal(table["tile"], t)).sort_by("node") for t in ([x] if x == y else [x, y])]
-        words = [s["fp"].to_numpy().astype(np.int64).view(np.uint64) for s in sides]
+        sides = _sides(key, table)
+        words = [_words(s) for s in sides]
         nodes = np.concatenate([s["node"].to_numpy() for s in sides])
-        alike = None
-        if similar is not None:
-            signs = [np.frombuffer(b"".join(s["signature"].to_pylist()), np.uint8).reshape(-1, SIGNATURE) for s in sides]
-
-            def alike(i, j):
-                sure = np.empty(len(i), bool)
-                for k in range(0, len(i), 65_536):
-                    p, q = i[k:k + 65_536], j[k:k + 65_536]
-                    sure[k:k + 65_536] = (signs[0][p] == signs[-1][q]).sum(axis=1) >= similar
-                return sure
-
-        i, j = compare(words[0], words[-1], radius, alike)
+        i, j = compare(words[0], words[-1], radius)
         return pa.table({"a": nodes[i], "b": nodes[j]})
 
-    return named.select(columns).groupBy("x", "y").applyInArrow(run, "a bigint, b bigint")
+    return _tiled(nodes, radius, tile_rows).select("x", "y", "tile", "node", "fp").groupBy("x", "y").applyInArrow(run, "a bigint, b bigint")
+
+
+def candidates(nodes: DataFrame, radius: int, least: int, tile_rows: int = TILE_ROWS, most: int | None = None,
+               between: bool = False) -> DataFrame:
+    """``(a, b)``: pairs of ``nodes (node, fp, signature, part)`` from different parts, within ``radius`` bits and
+    with at least ``least`` equal places of their signatures.
+
+    All of them, or of each pair of tiles the ``most`` with the most equal places that start at a node
+    (``between``: that lie between two parts).
+    """
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = _sides(key, pa.Table.from_batches(list(batches)))
+        words = [_words(s) for s in sides]
+        names = [s["node"].to_numpy() for s in sides]
+        parts = [s["part"].to_numpy() for s in sides]
+        signs = [np.frombuffer(b"".join(s["signature"].to_pylist()), np.uint8).reshape(-1, SIGNATURE) for s in sides]
+        draw = np.random.default_rng(SEED)
+        held, size = [], 0
+
+        def chosen():
+            x, y, score = (np.concatenate([h[k] for h in held]) for k in range(3))
+            by = x
+            if between:
+                p, q = parts[0][x], parts[-1][y]
+                by = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0, return_inverse=True)[1].ravel()
+            return _first_links(x, y, score, by, most)
+
+        def batch(x, y):
+            return pa.RecordBatch.from_arrays([pa.array(names[0][x]), pa.array(names[-1][y])], ["a", "b"])
+
+        for x, y in near_pairs(words[0], words[-1], radius):
+            apart = parts[0][x] != parts[-1][y]
+            x, y = x[apart], y[apart]
+            equal = np.empty(len(x), np.int64)
+            for k in range(0, len(x), 65_536):
+                equal[k:k + 65_536] = (signs[0][x[k:k + 65_536]] == signs[-1][y[k:k + 65_536]]).sum(axis=1)
+            near = equal >= least
+            x, y, equal = x[near], y[near], equal[near]
+            if not len(x):
+                continue
+            if most is None:
+                yield batch(x, y)
+                continue
+            held.append((x, y, equal + draw.random(len(x))))  # ties at random, so no node gets all links
+            size += len(x)
+            if size > HELD_LINKS:
+                held = [chosen()]
+                # where little is left out, room for as much again
+                size = max(0, len(held[0][0]) - HELD_LINKS // 2)
+        if held:
+            yield batch(*chosen()[:2])
+
+    columns = ["x", "y", "tile", "node", "fp", "signature", "part"]
+    return _tiled(nodes, radius, tile_rows).select(columns).groupBy("x", "y").applyInArrow(run, "a bigint, b bigint")
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``(node, shingles binary)``: the sorted distinct hashes of ``texts (node, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in byte_texts(batch["text"]):
+                blocks = list(shingle_hashes(text, shingle))
+                found.append(np.unique(np.concatenate(blocks)).astype("<u8").tobytes() if blocks else b"")
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(found, pa.binary())], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node bigint, shingles binary")
+
+
+def confirmed(links: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The ``links (a, b)`` whose shingle sets are as similar as the fraction ``similarity``, or more."""
+    share, whole = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sure = np.zeros(batch.num_rows, bool)
+            for i, (p, q) in enumerate(zip(batch["p"], batch["q"], strict=True)):
+                one, two = (np.frombuffer(s.as_buffer(), "<u8") for s in (p, q))
+                if len(one) and len(two):
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    sure[i] = whole * both >= share * (len(one) + len(two) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(sure))
+
+    named = lambda key, value: sets.select(F.col("node").alias(key), F.col("shingles").alias(value))
+    return links.join(named("a", "p"), "a").join(named("b", "q"), "b").select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -256,15 +360,45 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return rooted.join(least, ["root", "spread"], "left").select("node", F.coalesce("component", "least").alias("component"))
 
 
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int, least: int, similarity: tuple[int, int],
+                  tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``(a, b)``: confirmed links that connect the ``nodes (node, fp, signature, least (none, id, digest))`` whose
+    shingle sets in ``docs (id, digest, text)`` are similar.
+
+    First some candidates of every node are confirmed, then some between the parts that these connect, then
+    all that are left between different parts. So a dense group costs few comparisons, and no candidate is
+    left out that could connect two parts.
+    """
+    bare = nodes.select("node", "fp", "signature")
+    parts = nodes.select("node", F.col("node").alias("part"))
+    sets = found = None
+    for most, between in ((FIRST_LINKS, False), (FIRST_LINKS, True), (None, False)):
+        links = checkpointed(candidates(bare.join(parts, "node"), radius, least, tile_rows, most, between))
+        if links.isEmpty():
+            break
+        if sets is None:  # a node without a link here has none later
+            linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            linked = linked.join(nodes, "node").select("node", F.col("least.id").alias("_id"), F.col("least.digest").alias("_digest"))
+            same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+            texts = docs.join(linked, same).select("node", "text")
+            sets = checkpointed(_shingle_sets(texts, shingle).dropDuplicates(["node"]))
+        sure = checkpointed(confirmed(links, sets, similarity))
+        found = sure if found is None else found.union(sure)
+        if most is not None:
+            joined = connected_components(found)
+            parts = checkpointed(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part")))
+    return links if found is None else found
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-                     radius: int = 21, similar: int = 101, tile_rows: int = TILE_ROWS) -> DataFrame:
+                     radius: int = 21, least: int = 84, similarity: tuple[int, int] = (4, 5), tile_rows: int = TILE_ROWS) -> DataFrame:
     """One document, that with the smallest id, of each group of near-copies, with all its columns.
 
     Fingerprints are those of distinct shingles, as similarity is that of sets. Documents of a similarity of
-    0.8 or more differ in some 10 of 64 bits, with a deviation of 3: within ``radius`` bits they are candidates, and 128-place signatures that travel with
-    the fingerprints confirm them where ``similar`` places agree (102 of 128 stand for 0.8). Texts with the
-    same fingerprint and signature are copies. Of rows without an id, or rows that repeat an id and a
-    text, one stays per group.
+    0.8 or more differ in some 10 of 64 bits, with a deviation of 3: within ``radius`` bits they are
+    candidates where ``least`` places of 128-place signatures agree (102 stand for 0.8, with a deviation of 4.5). Candidates are confirmed by their exact shingle sets:
+    ``similarity`` is a fraction. Texts with the same fingerprint and signature are copies. Of rows without
+    an id, or rows that repeat an id and a text, one stays per group.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     node = F.xxhash64("fp", "signature")
@@ -275,7 +409,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest"))
     nodes = checkpointed(marked.groupBy("node", "fp", "signature").agg(first.alias("least")))
-    links = tile_links(nodes.select("node", "fp", "signature"), radius, tile_rows, similar)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    links = similar_links(texts, nodes, shingle, radius, least, similarity, tile_rows)
     # groups that hold one row are kept as they are, so every group is named by its first row
     kept = _components(nodes.select("node", "least"), links).select("component").distinct()
     kept = kept.select(F.col("component.id").alias("_kept_id"), F.col("component.digest").alias("_kept_digest"))

@@ -94,3 +94,33 @@ def test_near_copies_with_repeated_lines(spark):
         docs += [(i, " ".join(words + line)), (100 + i, " ".join(words + line * times))]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
     assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == list(range(60))
+
+
+@pytest.mark.parametrize("tile_rows", [40, 65_536])
+def test_similarity_is_exact(spark, tile_rows):
+    draw = random.Random(9)
+    some = lambda n: ["".join(draw.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    shingles = lambda words: {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+    texts = {}
+    for i in range(150):  # pairs of 0.74 to 0.85
+        words, cut = some(204), 16 + i % 14
+        texts[2 * i], texts[2 * i + 1] = words, words[:-cut] + some(cut)
+    base = some(204)  # groups of many, alike in pairs and in chains
+    for i in range(60):
+        texts[1_000 + i] = base[:3 * i] + ["changed" + str(i)] + base[3 * i + 1:]
+        texts[2_000 + i] = base[100:] + some(4 * i % 90)
+    sets = {i: shingles(t) for i, t in texts.items()}
+    left, want = dict.fromkeys(sorted(sets)), set()
+    while left:
+        todo = [min(left)]
+        want.add(todo[0])
+        del left[todo[0]]
+        while todo:
+            at = sets[todo.pop()]
+            near = [k for k in left if 5 * len(at & sets[k]) >= 4 * len(at | sets[k])]
+            todo += near
+            for k in near:
+                del left[k]
+    assert 200 < len([i for i in want if i < 1_000]) < 280
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string").repartition(4)
+    assert {r.doc_id for r in simhash.drop_near_copies(df, tile_rows=tile_rows).collect()} == want
