@@ -1,12 +1,13 @@
 """Personal data: patterns, and terms that give a protected value away by the company they keep.
 
 The patterns find the protected entities. Then the corpus is asked how strongly other terms reveal
-them. A term ``t`` near an entity ``e`` has the pointwise mutual information
+them. A term ``t`` in documents with an entity ``e`` has the pointwise mutual information
 ``log2(p(e|t) / p(e))``, at most the information of the entity, ``-log2 p(e)``; their ratio is the
 share of the entity that the term discloses. Terms above the thresholds are spans too, in the
 documents that hold the entity: above ``REMOVE`` they are taken out, above ``GENERALISE`` they are
-replaced by their class. A term needs ``EVIDENCE`` different surroundings with the entity, so copies
-of one text prove nothing. All counts cover all documents.
+replaced by their class. A term needs two different texts with the entity, so copies and near-copies of
+one text prove nothing; and it stands in no text without the entity, or in ``EVIDENCE`` documents with
+it. All counts cover all documents, and whole documents.
 
 Everything is built-in functions: matches are marked with a control character and the text is cut
 there, which gives places in code points.
@@ -25,11 +26,13 @@ from pyspark.sql import functions as F
 from labelspark.session import checkpointed
 
 # Disclosed shares of an entity's information from which a term is removed or generalised,
-# the different surroundings it takes, and the code points on either side that are searched.
+# and the documents with the entity from which the term may occur without it too.
 REMOVE = 0.95
 GENERALISE = 0.85
 EVIDENCE = 3
-AROUND = 60
+# Texts are different if so many of the minima of the hashes of their word triples are.
+MINIMA = 8
+DIFFERENT = 4
 
 # Fixed patterns, in the order of the contract. Possessive repetition and the anchors before runs
 # only keep long runs from being tried again from every place; the matches are the same.
@@ -105,42 +108,60 @@ def _terms(part: Column) -> Column:
     return F.split(F.lower(part), _BETWEEN_TERMS, -1)
 
 
-def _surroundings(found: DataFrame) -> DataFrame:
-    """``(id, digest, entity, terms)``: the whole terms on either side of every entity."""
-    rows = found.where(F.size("base") > 0).select("id", "digest", "text", F.explode("base").alias("s"))
-    entity = F.lit(None).cast("string")
-    for kind in PATTERNS:
-        entity = F.when(F.col("s.kind") == kind, _entity(kind, F.col("s.value"))).otherwise(entity)
-    start, end = F.col("s.start"), F.col("s.end")
-    first = F.greatest(start - AROUND, F.lit(0))
-    left = _terms(F.substring(F.col("text"), first + 1, start - first))
-    right = _terms(F.substring(F.col("text"), end + 1, F.lit(AROUND)))
-    # the outermost terms may be cut in two
-    left = F.slice(left, 2, F.greatest(F.size(left) - 1, F.lit(0)))
-    right = F.slice(right, 1, F.greatest(F.size(right) - 1, F.lit(0)))
-    terms = F.filter(F.array_distinct(F.concat(left, right)), lambda t: F.char_length(t) > 2)
-    return rows.select("id", "digest", entity.alias("entity"), terms.alias("terms"))
+def _triples(terms: Column) -> Column:
+    """Hashes of a text's word triples."""
+    return F.transform(terms, lambda t, i: F.xxhash64(t, F.get(terms, i + 1), F.get(terms, i + 2)))
+
+
+def _least(hashes: Column, k: int) -> Column:
+    return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k))))
+
+
+def _two_texts() -> Column:
+    """Whether the minima of a group's texts differ; two texts have equal ones as often as they share triples."""
+    return sum((F.min(f"m{k}") < F.max(f"m{k}")).cast("int") for k in range(MINIMA)) >= DIFFERENT
+
+
+def _holding(found: DataFrame) -> DataFrame:
+    """``(id, digest, entity, terms, m0, ...)``: the terms outside of all matches, for every row and entity.
+
+    Only entities that occur in different texts; no term can be proven for the others.
+    """
+    def name(s: Column) -> Column:
+        named = F.lit(None).cast("string")
+        for kind in PATTERNS:
+            named = F.when(s["kind"] == kind, _entity(kind, s["value"])).otherwise(named)
+        return named
+
+    outside = F.aggregate("base", F.col("text"), lambda text, s: F.replace(text, s["value"], F.lit(" ")))
+    rows = found.where(F.size("base") > 0).select(
+        "id", "digest", F.array_distinct(F.transform("base", name)).alias("entities"), _terms(outside).alias("words"))
+    least = {f"m{k}": _least(F.col("triples"), k) for k in range(MINIMA)}
+    terms = F.filter(F.array_distinct("words"), lambda t: F.char_length(t) > 2)
+    rows = rows.withColumns({"triples": _triples(F.col("words")), "terms": terms}).withColumns(least)
+    named = checkpointed(rows.select("id", "digest", F.explode("entities").alias("entity"), "terms", *least))
+    several = named.groupBy("entity").agg(_two_texts().alias("several")).where("several").select("entity")
+    return named.join(several, "entity")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """``(entity, term, disclosed)``: terms that disclose at least ``GENERALISE`` of an entity.
 
-    ``found`` is the written result of :func:`detect` with surroundings exploded by :func:`_surroundings`.
+    ``found`` is the written result of :func:`_holding`.
     """
-    row = F.struct("id", "digest")
-    near = found.select("id", "digest", "entity", F.xxhash64("terms").alias("place"), F.explode("terms").alias("term"))
-    together = (
-        near.groupBy("entity", "term", "place", row.alias("row")).agg(F.lit(1).alias("one"))
-        .groupBy("entity", "term", "place").agg(F.count("*").alias("documents"))
-        .groupBy("entity", "term").agg(F.count("*").alias("places"), F.sum("documents").alias("together"))
-        .where(F.col("places") >= EVIDENCE)
+    minima = [f"m{k}" for k in range(MINIMA)]
+    held = found.select("entity", "terms", *minima)
+    together = checkpointed(
+        held.select("entity", F.explode("terms").alias("term"), *minima).groupBy("entity", "term")
+        .agg(F.count("*").alias("together"), _two_texts().alias("several")).where("several").drop("several")
     )
-    together = checkpointed(together)
-    entities = found.groupBy("entity", row.alias("row")).agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("holding"))
+    entities = held.groupBy("entity").agg(F.count("*").alias("holding"))
     words = docs.select(F.explode(F.array_distinct(_terms(F.col(text_col)))).alias("term"))
+    words = words.join(together.select("term").distinct(), "term", "left_semi")
     frequency = words.groupBy("term").agg(F.count("*").alias("frequency"))
     rated = (
         together.join(frequency, "term").join(entities, "entity")
+        .where((F.col("together") >= F.col("frequency")) | (F.col("together") >= EVIDENCE))
         .withColumn("information", -F.log2(F.col("holding") / F.lit(docs.count())))
         .withColumn("given", F.least(F.col("together") / F.col("frequency"), F.lit(1.0)))
         .withColumn("disclosed", 1 + F.log2("given") / F.col("information"))
@@ -153,11 +174,11 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``(start, rank, end, kind, value)`` with the share disclosed beside each as ``(span, disclosed)``."""
     found = detect(docs, id_col, text_col)
     base = checkpointed(found.select("id", "digest", "base"))
-    near = checkpointed(_surroundings(found))
-    flagged = checkpointed(disclosing_terms(docs, near, text_col))
+    held = checkpointed(_holding(found))
+    flagged = checkpointed(disclosing_terms(docs, held, text_col))
     # For each text that holds an entity, the terms that disclose it.
     wanted = (
-        near.join(flagged, "entity").groupBy("id", "digest", "term").agg(F.max("disclosed").alias("disclosed"))
+        held.join(flagged, "entity").where(F.array_contains("terms", F.col("term"))).groupBy("id", "digest", "term").agg(F.max("disclosed").alias("disclosed"))
         .groupBy("id", "digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosed"))).alias("shares"))
         .select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "shares")
     )

@@ -95,3 +95,17 @@ def test_odd_tables(odd, none):
 def test_only_built_in_functions(odd):
     plan = pii.private_spans(odd).select(pii.span_text(F.col("base")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_terms_of_whole_documents(spark):
+    """A name in the heading discloses a rare value far below; words of near-copies disclose nothing."""
+    draw = random.Random(7)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(3)) + "x" for _ in range(150)]
+    some = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    docs = [(i, f"Zebulon: {some(80)} +49 30 1234567{i // 2} {some(20)}; +49 30 1234567{i // 2}") for i in (0, 1)]
+    copy = some(120).split()
+    docs += [(10 + i, " ".join(["Quixotic", *copy[:40], f"edit{i}", *copy[40:], "copy@example.org"])) for i in range(5)]
+    docs += [(100 + i, some(100)) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    rows = {r.id: [t.span.value.lower() for t in r.terms] for r in pii.private_spans(df).collect()}
+    assert {i: set(t) for i, t in rows.items() if t} == {0: {"zebulon"}, 1: {"zebulon"}}
