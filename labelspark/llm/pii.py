@@ -3,8 +3,8 @@
 The patterns find the protected entities. Then the corpus is asked how strongly other terms reveal
 them. A term ``t`` in documents with an entity ``e`` has the pointwise mutual information
 ``log2(p(e|t) / p(e))``, at most the information of the entity, ``-log2 p(e)``; their ratio is the
-share of the entity that the term discloses. Terms above the thresholds are spans too, in the
-documents that hold the entity: above ``REMOVE`` they are taken out, above ``GENERALISE`` they are
+share of the entity that the term discloses. Terms above the thresholds are spans too, in every
+document, as they point to the entity where it is not named: above ``REMOVE`` they are taken out, above ``GENERALISE`` they are
 replaced by their class. A term needs two different texts with the entity, so copies and near-copies of
 one text prove nothing; and it stands in no text without the entity, or in ``EVIDENCE`` documents with
 it. All counts cover all documents, and whole documents.
@@ -176,14 +176,15 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = checkpointed(found.select("id", "digest", "base"))
     held = checkpointed(_holding(found))
     flagged = checkpointed(disclosing_terms(docs, held, text_col))
-    # For each text that holds an entity, the terms that disclose it.
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("digest", F.xxhash64("text"))
+    # For each text, the disclosing terms that it contains.
+    shares = flagged.groupBy("term").agg(F.max("disclosed").alias("disclosed"))
     wanted = (
-        held.join(flagged, "entity").where(F.array_contains("terms", F.col("term"))).groupBy("id", "digest", "term").agg(F.max("disclosed").alias("disclosed"))
-        .groupBy("id", "digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosed"))).alias("shares"))
+        rows.select("id", "digest", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(shares, "term")
+        .groupBy("id", "digest").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("term", "disclosed")))).alias("shares"))
         .select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "shares")
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("digest", F.xxhash64("text"))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
     held = rows.join(wanted, same).dropDuplicates(["id", "digest"])
     either = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("shares"), "|"), F.lit(r")(?![\p{L}\p{N}])"))

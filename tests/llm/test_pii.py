@@ -109,3 +109,17 @@ def test_terms_of_whole_documents(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
     rows = {r.id: [t.span.value.lower() for t in r.terms] for r in pii.private_spans(df).collect()}
     assert {i: set(t) for i, t in rows.items() if t} == {0: {"zebulon"}, 1: {"zebulon"}}
+
+
+def test_terms_where_the_entity_is_not_named(spark):
+    draw = random.Random(10)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(3)) + "x" for _ in range(150)]
+    some = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    docs = [(i, f"Zebulon {some(60)} zeb@example.org {some(20)}") for i in range(20)]
+    docs += [(50, f"{some(30)} ZEBULON {some(30)}")]
+    docs += [(100 + i, some(80)) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    rows = {r.id: [t.span.value.lower() for t in r.terms] for r in pii.private_spans(df).collect()}
+    assert {i for i, t in rows.items() if t == ["zebulon"]} == {*range(20), 50}
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert "zebulon" not in clean[50].lower() and clean[100] == docs[21][1]
