@@ -12,7 +12,7 @@ set into other layouts (sidebars, notices, adverts, forms and comments around an
 
 Defined results: a null, empty or textless page has an empty text; unclosed and stray tags, cut-off
 pages, and very long or deep ones are read as far as they go (elements deeper than ``DEEPEST`` are
-siblings); repeated rows give repeated results; empty tables give empty ones, and so does training:
+children of the open element of that depth, with their own names, texts and end tags); repeated rows give repeated results; empty tables give empty ones, and so does training:
 without labelled pages only layouts of a built-in sentence are learned from. Only the named columns
 are read and returned.
 """
@@ -94,6 +94,7 @@ class Page:
 
     def _read(self, text: str, labels: bool) -> None:
         stack, tags = [self._node(-1, 0, (), -1)], [""]
+        places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
         at, block, hidden, blank_in = 0, 0, 0, -1
         end = len(text)
 
@@ -117,6 +118,7 @@ class Page:
             while len(stack) > depth:
                 stack.pop()
                 tag = tags.pop()
+                places[tag].pop()
                 if tag in BLOCK:
                     block += 1
                 if tag in HIDDEN:
@@ -154,21 +156,15 @@ class Page:
             if found[1]:
                 if tag == "br":
                     block += 1
-                for depth in range(len(tags) - 1, 0, -1):
-                    if tags[depth] == tag:
-                        close(depth)
-                        break
+                if places.get(tag):
+                    close(places[tag][-1])
                 continue
-            if tag in CLOSES_P and "p" in tags:
-                close(len(tags) - 1 - tags[::-1].index("p"))
+            if tag in CLOSES_P and places.get("p"):
+                close(places["p"][-1])
             if tag in CLOSES:
-                same, within = CLOSES[tag]
-                for depth in range(len(tags) - 1, 0, -1):
-                    if tags[depth] in same:
-                        close(depth)
-                        break
-                    if tags[depth] in within:
-                        break
+                last, within = (max((places[t][-1] for t in some if places.get(t)), default=0) for some in CLOSES[tag])
+                if last > within:
+                    close(last)
             if tag in BLOCK:
                 block += 1
             if tag in VOID:
@@ -176,11 +172,11 @@ class Page:
             names, label = (), -1
             if found[3] and "=" in found[3]:
                 names, label = self._names(found[3], labels)
-            if len(stack) <= DEEPEST:
-                node = self._node(stack[-1], TAGS.get(tag, 0), names, label)
-                stack.append(node)
-                tags.append(tag)
-                hidden += tag in HIDDEN
+            node = self._node(stack[min(len(stack) - 1, DEEPEST)], TAGS.get(tag, 0), names, label)
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(node)
+            tags.append(tag)
+            hidden += tag in HIDDEN
             if tag in RAW:
                 stop = _raw_end(text, tag, at)
                 at = end if stop < 0 else stop

@@ -73,3 +73,12 @@ def test_odd_pages(spark, model):
     assert all(r.n_chars == len(r.text) for r in got)
     assert html.extract(df.limit(0), model).count() == 0
     assert html.train_extractor(df.limit(0)).extract(["<article><p>Some words that make a sentence.</p></article>"]) is not None
+
+
+@pytest.mark.parametrize("deep", [250, 3_000])
+def test_text_after_and_in_a_deep_nest(deep):
+    page = html.Page("<body><div><article><p>A</p>" + "<div>" * deep + "<nav>menu</nav><button>no</button>deep" + "</div>" * deep + "<p>B</p></article></div>C")
+    label = html.labels_of(page, html.TAGS["article"])
+    assert page.content(np.ones(9_999, bool)) == "A\nmenu\ndeep\nB\nC"
+    assert page.content(np.array(label, bool)) == "A\ndeep\nB"
+    assert max(page.depth) <= html.DEEPEST + 2
