@@ -68,7 +68,8 @@ N_TAGS = len(TAGS) + 2
 _PARENT, _LENGTH, _LINKS, _WORDS, _NAMED = N_TAGS, 2 * N_TAGS, 2 * N_TAGS + 16, 2 * N_TAGS + 24, 2 * N_TAGS + 32
 N_FEATURES = _NAMED + BUCKETS
 NO_FEATURE = N_FEATURES  # its weight stays zero
-MAX_NAMES = 4
+# Names of a node that have columns of their own; the others are (node, feature) pairs.
+NAME_COLUMNS = 4
 
 
 class Page:
@@ -189,7 +190,7 @@ class Page:
                 label = int(value) if labels and value in ("0", "1") else -1
             else:
                 found += _WORD.findall(value.lower())
-        return tuple(zlib.crc32(w.encode()) % BUCKETS for w in dict.fromkeys(found))[:MAX_NAMES], label
+        return tuple(zlib.crc32(w.encode()) % BUCKETS for w in dict.fromkeys(found)), label
 
     def content(self, chosen: np.ndarray) -> str:
         """Text of the chosen nodes: blank runs of a block become one, blocks are joined by line ends."""
@@ -221,6 +222,7 @@ class Forest:
     parent: np.ndarray
     group: np.ndarray
     features: np.ndarray
+    more: tuple[np.ndarray, np.ndarray]
     levels: list[np.ndarray]
     firsts: np.ndarray
 
@@ -248,7 +250,7 @@ def forest(pages: list[Page]) -> Forest:
     for rows in levels[:0:-1]:
         for sums in (volume, in_links, words):
             sums += np.bincount(parent[rows], sums[rows], len(sums))
-    features = np.full((len(shift), 5 + MAX_NAMES), NO_FEATURE)
+    features = np.full((len(shift), 5 + NAME_COLUMNS), NO_FEATURE)
     features[:, 0] = tag
     features[:, 1] = _PARENT + np.where(parent < 0, 0, tag[parent])
     features[:, 2] = _LENGTH + np.minimum(np.log2(volume + 1).astype(int), 15)
@@ -257,14 +259,17 @@ def forest(pages: list[Page]) -> Forest:
     named = [(first + node, names) for page, first in zip(pages, firsts, strict=False)
              for node, names in enumerate(page.names) if names]
     for row, names in named:
-        features[row, 5:5 + len(names)] = [_NAMED + n for n in names]
+        first_names = names[:NAME_COLUMNS]
+        features[row, 5:5 + len(first_names)] = [_NAMED + n for n in first_names]
+    pairs = [(row, _NAMED + n) for row, names in named for n in names[NAME_COLUMNS:]]
+    more = tuple(np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
     # A pair's potential depends on the child: a text, an inline element, a block, one with names.
     kind = np.full(N_TAGS, 2)
     kind[1] = 0
     kind[[TAGS[t] for t in INLINE]] = 1
     group = kind[tag]
     group[np.array([row for row, _ in named], np.int64)] = 3
-    return Forest(parent, group, features, levels, firsts)
+    return Forest(parent, group, features, more, levels, firsts)
 
 
 N_GROUPS = 4
@@ -274,7 +279,7 @@ def messages(trees: Forest, weights: np.ndarray, pairs: np.ndarray):
     """Marginals of nodes being content, and of the states (parent, child) of every node with a parent."""
     n = len(trees.parent)
     up = np.zeros((n, 2))
-    up[:, 1] = np.append(weights, 0.0)[trees.features].sum(axis=1)
+    up[:, 1] = np.append(weights, 0.0)[trees.features].sum(axis=1) + np.bincount(trees.more[0], weights[trees.more[1]], n)
     sent = np.zeros((n, 2))
     for rows in trees.levels[:0:-1]:
         both = up[rows][:, None, :] + pairs[trees.group[rows]]
@@ -315,12 +320,13 @@ def fit(pages: list[tuple[Page, list[int]]], steps: int = 250, rate: float = 0.3
     rows = np.flatnonzero(inner)
     states[rows, label[trees.parent[rows]].astype(int), label[rows].astype(int)] = 1
     weights, pairs = np.zeros(N_FEATURES), np.zeros((N_GROUPS, 2, 2))
-    seen = np.bincount(trees.features.ravel(), minlength=N_FEATURES + 1)[:-1]
+    node = np.append(np.repeat(np.arange(len(label)), trees.features.shape[1]), trees.more[0])
+    feature = np.append(trees.features.ravel(), trees.more[1])
+    seen = np.bincount(feature, minlength=N_FEATURES + 1)[:-1]
     square_w, square_p = np.full(N_FEATURES, 1e-8), np.full(pairs.shape, 1e-8)
     for _ in range(steps):
         content, together = messages(trees, weights, pairs)
-        wrong = np.repeat(label - content, trees.features.shape[1])
-        slope = np.bincount(trees.features.ravel(), wrong, N_FEATURES + 1)[:-1] / np.maximum(seen, 20) - penalty * weights
+        slope = np.bincount(feature, (label - content)[node], N_FEATURES + 1)[:-1] / np.maximum(seen, 20) - penalty * weights
         slope_p = np.stack([
             (states - together)[inner & (trees.group == g)].sum(axis=0) / max((trees.group == g).sum(), 1) for g in range(N_GROUPS)
         ]) - penalty * pairs / 10

@@ -82,3 +82,18 @@ def test_text_after_and_in_a_deep_nest(deep):
     assert page.content(np.ones(9_999, bool)) == "A\nmenu\ndeep\nB\nC"
     assert page.content(np.array(label, bool)) == "A\ndeep\nB"
     assert max(page.depth) <= html.DEEPEST + 2
+
+
+def test_all_names_count():
+    page = html.Page("<div class='col-md-4 col-xs-12 widget-area sidebar' id='left'>a</div>")
+    trees = html.forest([page])
+    words = "col md xs widget area sidebar left".split()
+    assert len(page.names[1]) == len(words)
+    for word in words:
+        weights, pairs = np.zeros(html.N_FEATURES), np.zeros((html.N_GROUPS, 2, 2))
+        weights[html._NAMED + html.zlib.crc32(word.encode()) % html.BUCKETS] = 3.0
+        content, _ = html.messages(trees, weights, pairs)
+        assert np.allclose(content[1], 1 / (1 + np.exp(-3.0)))
+    label = [0, 1, 1]
+    model = html.fit([(page, label)], steps=5)
+    assert all(model.weights[html._NAMED + html.zlib.crc32(w.encode()) % html.BUCKETS] > 0 for w in words)
