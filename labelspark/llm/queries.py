@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labelspark.llm.bpe import decode, encode
 from labelspark.llm.html import extract, train_extractor
 from labelspark.llm.mixing import mix_counts, mix_plan
+from labelspark.llm.periods import find_runs, plant_periods, strongest
 from labelspark.llm.pii import PATTERNS, private_spans, span_text
 from labelspark.llm.quality import score_quality, train_quality
 from labelspark.llm.simhash import near_groups
@@ -108,8 +109,19 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(docs, trees).drop("probability")
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_runs(plant_periods(_table(spark, folder, "documents"))).withColumn("best", strongest())
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.transform("runs", lambda r: F.concat(line(r), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_suffix_dedup, op4_html, op5_mixing, op6_url_filter, op7_vptree, op8_warc, op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_suffix_dedup, op4_html, op5_mixing, op6_url_filter, op7_vptree, op8_warc, op9_bpe, op10_quality_rules, op13_periodic_runs)}
 
 
 def all_sql() -> dict[str, str]:
