@@ -16,6 +16,7 @@ from labelspark.llm.quality import score_quality, train_quality
 from labelspark.llm.simhash import near_groups
 from labelspark.llm.suffix import remove_repeats
 from labelspark.llm.urls import filter_urls
+from labelspark.llm.variants import spelling_forms, vocabulary
 from labelspark.llm.vptree import search
 from labelspark.llm.warc import read_archives, write_archives
 from labelspark.session import scratch_path
@@ -109,6 +110,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(docs, trees).drop("probability")
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_forms(vocabulary(_table(spark, folder, "documents")))
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     found = find_runs(plant_periods(_table(spark, folder, "documents"))).withColumn("best", strongest())
     line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
@@ -121,7 +126,7 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_suffix_dedup, op4_html, op5_mixing, op6_url_filter, op7_vptree, op8_warc, op9_bpe, op10_quality_rules, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_suffix_dedup, op4_html, op5_mixing, op6_url_filter, op7_vptree, op8_warc, op9_bpe, op10_quality_rules, op11_spelling_variants, op13_periodic_runs)}
 
 
 def all_sql() -> dict[str, str]:
