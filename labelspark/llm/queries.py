@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labelspark.llm.bpe import decode, encode
 from labelspark.llm.html import extract, train_extractor
 from labelspark.llm.mixing import mix_counts, mix_plan
+from labelspark.llm.ngrams import fold_held_out, score_texts
 from labelspark.llm.periods import find_runs, plant_periods, strongest
 from labelspark.llm.pii import PATTERNS, private_spans, span_text
 from labelspark.llm.quality import score_quality, train_quality
@@ -114,6 +115,10 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_forms(vocabulary(_table(spark, folder, "documents")))
 
 
+def op12_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(_table(spark, folder, "documents"), fold_held_out())
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     found = find_runs(plant_periods(_table(spark, folder, "documents"))).withColumn("best", strongest())
     line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
@@ -126,7 +131,7 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_suffix_dedup, op4_html, op5_mixing, op6_url_filter, op7_vptree, op8_warc, op9_bpe, op10_quality_rules, op11_spelling_variants, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_suffix_dedup, op4_html, op5_mixing, op6_url_filter, op7_vptree, op8_warc, op9_bpe, op10_quality_rules, op11_spelling_variants, op12_lm_scoring, op13_periodic_runs)}
 
 
 def all_sql() -> dict[str, str]:
