@@ -1,7 +1,7 @@
 """From a model's free-text or JSON answer to class ids.
 
-A vocabulary is a list of class names whose last entry stands for "unknown". One answer is
-resolved by the first rule that decides it: exact name, class number, cut-off name, last name
+A vocabulary is a list of class names, or a table of them, whose last entry stands for "unknown". One
+answer is resolved by the first rule that decides it: exact name, class number, cut-off name, last name
 mentioned, unknown.
 """
 
@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.functions.text import squash, strip
-from labelspark.session import checkpointed
+from labelspark.session import as_list, checkpointed, settle
 
 UNKNOWN = "Unknown"
 # Above this many classes answers meet the classes by joins instead of literal arrays and one
 # regular expression inside the plan. The results are the same.
 EXPRESSION_CLASSES = 1_000
+# Names meet a text by so many of their first characters, shorter names by all of them.
+GRAM = 8
 
 _SEPARATOR = "\x00"
 _JSON_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"}
@@ -48,13 +50,13 @@ def match_number(answer: Column, names: list[str], strict: bool = True) -> Colum
 
     The strict bound also rejects the last real class, as the established result files do.
     """
-    return _number(_clean(answer), names, strict)
+    return _number(_clean(answer), len(names), strict)
 
 
-def _number(text: Column, names: list[str], strict: bool) -> Column:
-    limit = len(names) - (2 if strict else 1)
+def _number(text: Column, classes: int, strict: bool) -> Column:
+    limit = classes - (2 if strict else 1)
     number = text.try_cast("int")
-    decided = F.when(number < limit, number).otherwise(F.lit(len(names) - 1))
+    decided = F.when(number < limit, number).otherwise(F.lit(classes - 1))
     return F.when(text.rlike(r"^[0-9]+$"), decided)
 
 
@@ -96,64 +98,106 @@ def _last_mention(text: Column, names: list[str]) -> Column:
     return _id_at(F.array_position(F.lit([n.lower().replace(" ", "") for n in names]), last), len(names))
 
 
-def _class_rows(df: DataFrame, names: list[str]) -> DataFrame:
-    """The real and the unknown class as rows, in the forms that the rules compare.
+def _class_forms(classes: DataFrame) -> DataFrame:
+    """Class rows ``(id, name)`` in the forms that the rules compare, written once.
 
-    ``start`` is what a cut-off answer begins with, ``plain`` a mentioned name, both without blanks.
+    ``start`` is what a cut-off answer begins with, ``plain`` a mentioned name, both without blanks;
+    ``pattern`` is a mention with its blanks, which may be left out.
     """
-    rows = [
-        (i, n, n.lower().strip().replace(" ", ""), n.lower().replace(" ", ""), f"(?iu)^(?:{mention_pattern([n])})")
-        for i, n in enumerate(names)
-    ]
-    return df.sparkSession.createDataFrame(rows, "id int, name string, start string, plain string, pattern string")
+    lower = F.lower("name")
+    literal = F.regexp_replace(lower, r"([^\p{L}\p{N} ])", r"\\$1")
+    pattern = F.concat(F.lit("^(?:"), F.replace(literal, F.lit(" "), F.lit(" *")), F.lit(r")\z"))
+    start = F.replace(strip(lower), F.lit(" "), F.lit(""))
+    return checkpointed(classes.select("id", "name", start.alias("start"), squash(F.col("name")).alias("plain"), pattern.alias("pattern")))
 
 
 def _first_id(classes: DataFrame, form: str, into: str) -> DataFrame:
     return classes.groupBy(F.col(form).alias(f"_{into}_key")).agg(F.min("id").alias(into))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _text(letters: Column, start: Column, size: Column) -> Column:
+    return F.array_join(F.slice(letters, start + 1, size), "")
+
+
+def _grams(texts: DataFrame, widths: list[int]) -> DataFrame:
+    """``(tid, at, gram)``: the first characters from each place of the squashed text on."""
+    letters = F.filter(F.split("text", F.lit("")), lambda c: c != " ")
+
+    def places(found: Column) -> Column:
+        one = lambda at, w: F.struct(at.alias("at"), _text(found, at, w).alias("gram"))
+        here = lambda at: F.transform(
+            F.filter(F.lit(widths), lambda w: w <= F.size(found) - at), lambda w: one(at, w))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(found) - 1), here))
+
+    return texts.select("tid", F.inline(_bound(letters, places)))
+
+
+def _mention_keys(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """``(tid, at, size, key, segment)``: at each place found, the text in the lengths of the names that may be there.
+
+    The place index of a text leads from its characters without blanks to their places. ``segment`` is the text with
+    its blanks, null where it has none.
+    """
+
+    def keys(letters: Column) -> Column:
+        index = F.filter(F.sequence(F.lit(0), F.size(letters) - 1), lambda i: F.get(letters, i) != " ")
+        return _bound(index, lambda places: _bound(F.filter(letters, lambda c: c != " "), lambda plain: F.flatten(
+            F.transform("found", lambda f: F.transform(
+                F.filter(f["lengths"], lambda n: f["at"] + n <= F.size(plain)), lambda n: key(letters, places, plain, f["at"], n))))))
+
+    def key(letters: Column, places: Column, plain: Column, at: Column, n: Column) -> Column:
+        begin, end = F.get(places, at), F.get(places, at + n - 1)
+        segment = F.when(end - begin + 1 > n, _text(letters, begin, end - begin + 1))
+        return F.struct(at.alias("at"), n.alias("size"), _text(plain, at, n).alias("key"), segment.alias("segment"))
+
+    return texts.join(found, "tid").select("tid", F.inline(_bound(F.split("text", F.lit("")), keys)))
+
+
 def _last_mentions(answers: DataFrame, classes: DataFrame) -> DataFrame:
     """``(text, _mentioned)``: for cleaned answers the last class name that a scan from the left meets.
 
-    Places and names meet by the name's characters that are no blanks; its pattern then confirms the
-    blanks. At a place the first name in order counts, and a place within a name met before is passed
-    over.
+    Places and names meet by their first characters, then by whole names, without blanks; the blanks are
+    confirmed by the name's pattern. At a place the first name in order counts, and a place within a name
+    met before is passed over. A text costs its length, times the different lengths of the names that
+    begin alike.
     """
-    letters = classes.where("plain <> ''").select("id", "pattern", F.col("plain").alias("_key"))
-    # As many lengths as names have, at most the longest name's.
-    lengths = F.lit([r[0] for r in letters.select(F.char_length("_key")).distinct().collect()]).cast("array<int>")
-    squashed = F.replace(F.substring("text", F.col("_at") + 1, F.char_length("text")), F.lit(" "), F.lit(""))
-    places = answers.select("text", F.explode(F.sequence(F.lit(0), F.char_length("text") - 1)).alias("_at")).withColumn("_rest", squashed)
-    places = places.where(F.substring("text", F.col("_at") + 1, F.lit(1)) != " ")
-    keys = places.select("text", "_at", F.explode(F.transform(
-        F.filter(lengths, lambda n: n <= F.char_length("_rest")), lambda n: F.left("_rest", n))).alias("_key"))
-    keys = keys.join(letters, "_key")
-    found = F.call_function("regexp_extract", F.substring("text", F.col("_at") + 1, F.char_length("text")), F.col("pattern"), F.lit(0))
-    hits = keys.withColumn("_found", found).where("_found <> ''").groupBy("text", "_at").agg(
-        F.min(F.struct("id", "_found")).alias("_hit"))
-    one = F.struct(F.col("_at").alias("at"), F.col("_hit._found").alias("found"))
+    texts = checkpointed(answers.select(F.monotonically_increasing_id().alias("tid"), "text"))
+    names = classes.where("plain <> ''").select("id", "pattern", F.col("plain").alias("key"))
+    grams = settle(names.groupBy(F.left("key", F.lit(GRAM)).alias("gram")).agg(F.collect_set(F.char_length("key")).alias("lengths")))
+    widths = [r[0] for r in grams.df.select(F.char_length("gram")).distinct().collect()]  # at most GRAM numbers
+    found = _grams(texts, sorted(widths)).join(grams.side(), "gram") if widths else None
+    if found is None:
+        return texts.select("text", F.lit(None).cast("int").alias("_mentioned")).limit(0)
+    found = found.groupBy("tid").agg(F.collect_list(F.struct("at", "lengths")).alias("found"))
+    keys = _mention_keys(texts, found).join(names, "key").where(F.col("segment").isNull() | F.regexp_like("segment", F.col("pattern")))
+    hits = keys.groupBy("tid", "at").agg(F.min(F.struct("id", "size", "key")).alias("hit"))
+    one = F.struct("at", F.col("hit.size").alias("size"), F.col("hit.key").alias("key"))
     start = F.struct(F.lit(0).alias("end"), F.lit("").alias("last"))
 
     def step(state: Column, hit: Column) -> Column:
         free = hit["at"] >= state["end"]
-        end = F.when(free, hit["at"] + F.char_length(hit["found"])).otherwise(state["end"])
-        return F.struct(end.cast("int").alias("end"), F.when(free, hit["found"]).otherwise(state["last"]).alias("last"))
+        end = F.when(free, hit["at"] + hit["size"]).otherwise(state["end"])
+        return F.struct(end.alias("end"), F.when(free, hit["key"]).otherwise(state["last"]).alias("last"))
 
-    scanned = hits.groupBy("text").agg(F.array_sort(F.collect_list(one)).alias("_hits"))
-    last = F.aggregate("_hits", start, step, lambda state: state["last"])
-    named = scanned.select("text", squash(last).alias("_plain_key"))
-    return named.join(_first_id(classes, "plain", "plain_id").withColumnsRenamed({"_plain_id_key": "_plain_key"}), "_plain_key").select(
-        "text", F.col("plain_id").alias("_mentioned"))
+    scanned = hits.groupBy("tid").agg(F.array_sort(F.collect_list(one)).alias("hits"))
+    last = scanned.select("tid", F.aggregate("hits", start, step, lambda state: state["last"]).alias("_plain_key"))
+    named = last.join(_first_id(classes, "plain", "plain"), "_plain_key").select("tid", F.col("plain").alias("_mentioned"))
+    return texts.join(named, "tid").select("text", "_mentioned")
 
 
-def _with_joined_id(df: DataFrame, answer: str, names: list[str], strict: bool, blank_is_first: bool, nested: bool, into: str) -> DataFrame:
-    """Add the class id of ``answer`` for a large vocabulary: the same rules as joins.
+def _with_joined_id(df: DataFrame, answer: str, classes: DataFrame, count: int, strict: bool, blank_is_first: bool, nested: bool, into: str) -> DataFrame:
+    """Add the class id of ``answer`` for a table of ``count`` classes: the same rules as joins.
 
     Each different answer is resolved once. Exact names and cut-off names are looked up by value, the
     latter among all beginnings of the names; only answers that no earlier rule decides are searched
     for mentions.
     """
-    classes = _class_rows(df, names)
+    classes = _class_forms(classes)
     given = df.select(F.col(answer).alias("answer")).distinct().withColumn("text", _clean(F.col("answer")))
     exact = _first_id(classes, "name", "exact")
     beginnings = classes.select("id", F.explode(F.transform(
@@ -161,13 +205,13 @@ def _with_joined_id(df: DataFrame, answer: str, names: list[str], strict: bool,
     begun = _first_id(beginnings, "start", "begun")
     head = F.replace("text", F.lit(" "), F.lit(""))
     rows = (
-        given.withColumns({"number": _number(F.col("text"), names, strict), "head": F.when(~F.contains(F.col("text"), F.lit(_SEPARATOR)), head)})
+        given.withColumns({"number": _number(F.col("text"), count, strict), "head": F.when(~F.contains(F.col("text"), F.lit(_SEPARATOR)), head)})
         .join(exact, F.col("answer") == F.col("_exact_key"), "left").join(begun, F.col("head") == F.col("_begun_key"), "left")
     )
     early = checkpointed(rows.select("answer", "text", "exact", F.coalesce("number", "begun").alias("early")))
     open_ = early.where("exact is null and early is null and text <> ''").select("text").distinct()
     mentions = _last_mentions(open_, classes).withColumnRenamed("text", "_text")
-    unknown = F.lit(len(names) - 1)
+    unknown = F.lit(count - 1)
     later = F.coalesce("early", "_mentioned")
     if not blank_is_first:
         later = F.when(F.col("text") != "", later)
@@ -177,6 +221,25 @@ def _with_joined_id(df: DataFrame, answer: str, names: list[str], strict: bool,
     return df.join(resolved, F.col(answer).eqNullSafe(F.col("_answer")), "left").drop("_answer")
 
 
+def last_mentions(df: DataFrame, text: str, vocab: DataFrame, label: str, into: str) -> DataFrame:
+    """Add the id of the last class of ``label`` that a text names, null where it names none.
+
+    ``vocab (label_name, class_id, class_name)`` stays a table. Texts may be whole documents; each different one
+    is searched once.
+    """
+    classes = _class_forms(_classes_of(vocab, label))
+    cleaned = df.withColumn("_clean", _clean(F.col(f"`{text}`")))
+    found = _last_mentions(cleaned.where("_clean <> ''").select(F.col("_clean").alias("text")).distinct(), classes)
+    found = found.select(F.col("text").alias("_text"), F.col("_mentioned"))
+    joined = cleaned.join(found, F.col("_clean") == F.col("_text"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != into], F.col("_mentioned").alias(into))
+
+
+def _classes_of(vocab: DataFrame, label: str) -> DataFrame:
+    own = vocab.where(F.col("label_name") == label)
+    return own.select(F.col("class_id").cast("int").alias("id"), F.col("class_name").alias("name"))
+
+
 def parse_answer(
     answer: Column,
     names: list[str],
@@ -195,7 +258,7 @@ def _resolve(answer: Column, text: Column, names: list[str], strict: bool, blank
              nested: bool = False) -> Column:
     """The rules in order. An empty answer is always unknown, an empty field only as a blank one is."""
     unknown = F.lit(len(names) - 1)
-    later = F.coalesce(_number(text, names, strict), _prefix(text, names), _last_mention(text, names))
+    later = F.coalesce(_number(text, len(names), strict), _prefix(text, names), _last_mention(text, names))
     if not blank_is_first:
         later = F.when(text != "", later)
     given = answer.isNotNull() if nested and blank_is_first else answer != ""
@@ -224,19 +287,24 @@ def _label_value(label: str, position: int, n_labels: int) -> Column:
 def with_class_ids(
     df: DataFrame,
     answer: str,
-    vocab: dict[str, list[str]],
+    vocab: dict[str, list[str]] | DataFrame,
     into: str,
     strict_numeric: bool = True,
     blank_is_first: bool = False,
+    labels=None,
 ) -> DataFrame:
     """Add ``into``: a struct with one class id per label.
 
-    With one label the answer is free text; with several it is read as a JSON object. Vocabularies of
-    more than ``EXPRESSION_CLASSES`` classes are joined, which takes a table that is no stream.
+    With one label the answer is free text; with several it is read as a JSON object. ``vocab`` gives the
+    names of each label in order, or is a table ``(label_name, class_id, class_name)`` of any size with the
+    unknown class last, for which ``labels`` states the order of labels. A table is joined, and so are lists of
+    more than ``EXPRESSION_CLASSES`` classes; that takes answers that are no stream.
     """
-    rules = (strict_numeric, blank_is_first, len(vocab) > 1)
-    if len(vocab) == 1:
-        values = {next(iter(vocab)): F.col(f"`{answer}`")}
+    lists = {} if isinstance(vocab, DataFrame) else vocab
+    labels = as_list(labels) if isinstance(vocab, DataFrame) else list(vocab)
+    rules = (strict_numeric, blank_is_first, len(labels) > 1)
+    if len(labels) == 1:
+        values = {labels[0]: F.col(f"`{answer}`")}
         staged = df
     else:
         fields = F.col("_fields")
@@ -245,13 +313,23 @@ def with_class_ids(
             "_keys": F.reverse(F.map_keys(fields)),
             "_values": F.reverse(F.map_values(fields)),
         })
-        values = {c: _label_value(c, i, len(vocab)) for i, c in enumerate(vocab)}
+        values = {c: _label_value(c, i, len(labels)) for i, c in enumerate(labels)}
     staged = staged.withColumns({f"_a{i}": v for i, v in enumerate(values.values())})
-    staged = staged.withColumns({f"_t{i}": _clean(F.col(f"_a{i}")) for i in range(len(vocab))})
-    large = {i: n for i, n in enumerate(vocab.values()) if len(n) > EXPRESSION_CLASSES}
-    small = {i: n for i, n in enumerate(vocab.values()) if i not in large}
-    for i, names in large.items():
-        staged = _with_joined_id(staged, f"_a{i}", names, *rules, into=f"_i{i}")
+    staged = staged.withColumns({f"_t{i}": _clean(F.col(f"_a{i}")) for i in range(len(labels))})
+    small = {i: lists[c] for i, c in enumerate(labels) if len(lists.get(c, ())) <= EXPRESSION_CLASSES and c in lists}
+    if isinstance(vocab, DataFrame):
+        sizes = vocab.where(F.col("label_name").isin(labels)).groupBy("label_name").agg(F.max("class_id").alias("last"))
+        sizes = {r.label_name: r.last + 1 for r in sizes.collect()}
+    for i, label in enumerate(labels):
+        if i in small:
+            continue
+        if lists:
+            classes, count = _listed(df, lists[label]), len(lists[label])
+        else:
+            if label not in sizes:
+                raise ValueError(f"the vocabulary has no classes of {label}")
+            classes, count = _classes_of(vocab, label), sizes[label]
+        staged = _with_joined_id(staged, f"_a{i}", classes, count, *rules, into=f"_i{i}")
     if small:
         # One row in, one row out: the generator keeps the optimizer from copying the parser
         # into every expression and filter that uses an id.
@@ -260,5 +338,9 @@ def with_class_ids(
             for i, names in small.items()
         ])
         staged = staged.select("*", F.inline(F.array(ids)))
-    result = F.struct(*[F.col(f"_i{i}").alias(label) for i, label in enumerate(vocab)])
+    result = F.struct(*[F.col(f"_i{i}").alias(label) for i, label in enumerate(labels)])
     return staged.select(*[F.col(f"`{c}`") for c in df.columns if c != into], result.alias(into))
+
+
+def _listed(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.sparkSession.createDataFrame(list(enumerate(names)), "id int, name string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelspark.functions import answers as A
-from labelspark.operators.labels import label_vocabulary, vocabulary_lists
+from labelspark.operators.labels import add_unknown, label_vocabulary
 from labelspark.queries.registry import ANSWERS_SQL, PRIORITIES, PRIORITY, STATUS, STATUSES, order_answers, query, table
 
 NAMES = [*PRIORITIES, A.UNKNOWN]
@@ -60,17 +60,17 @@ def parse_many_classes(spark, folder):
     """Every customer is a class: named exactly, in a sentence, by a padded number, cut off, twice, or not at all."""
     customers = table(spark, folder, "customer").select("c_custkey", "c_name")
     vocab = label_vocabulary(customers.withColumnRenamed("c_name", "customer"), "customer")
-    names = [*vocabulary_lists(vocab, "customer")["customer"], A.UNKNOWN]
+    (lowest,) = vocab.where("class_id = 0").select("class_name").first()
     classes = customers.join(vocab, customers.c_name == vocab.class_name).select("c_custkey", "c_name", "class_id")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     rows = orders.join(classes, orders.o_custkey == classes.c_custkey)
-    form, name, first = F.col("o_orderkey") % 6, F.col("c_name"), F.lit(names[0].lower())
+    form, name, first = F.col("o_orderkey") % 6, F.col("c_name"), F.lit(lowest.lower())
     answer = (
         F.when(form == 0, name).when(form == 1, F.concat(F.lit("I would say "), F.lower(name), F.lit(".")))
-        .when(form == 2, F.lpad(F.col("class_id").cast("string"), 12, "0")).when(form == 3, F.lit(names[0][:9].upper()))
+        .when(form == 2, F.lpad(F.col("class_id").cast("string"), 12, "0")).when(form == 3, F.lit(lowest[:9].upper()))
         .when(form == 4, F.concat(F.lit("First "), name, F.lit(", then "), first)).otherwise(F.lit("nobody"))
     )
-    parsed = A.with_class_ids(rows.withColumn("answer", answer), "answer", {"customer": names}, "ids")
+    parsed = A.with_class_ids(rows.withColumn("answer", answer), "answer", add_unknown(vocab), "ids", labels="customer")
     return parsed.select("o_orderkey", F.col("ids.customer").alias("class_id"))
 
 
@@ -88,6 +88,25 @@ def parse_documents(spark, folder):
     return documents.select("doc_id", found.alias("class_id"))
 
 
+# The first long word and the first two words of each document are names; blanks in a name may be left out.
+NAMED = ("[a-z]{8,}", "[a-z]{4,} [a-z]{4,}")
+
+
+@query(f"""
+with given as (select unnest([regexp_extract(lower(text), '{NAMED[0]}'), regexp_extract(lower(text), '{NAMED[1]}')]) as name from documents),
+     names as (select name, row_number() over (order by name) - 1 as id from (select distinct name from given where name <> '')),
+     pattern as (select string_agg(replace(name, ' ', ' *'), '|' order by id) as p from names),
+     found as (select doc_id, regexp_extract_all(lower(text), p) as hits from documents, pattern),
+     plain as (select replace(name, ' ', '') as plain, min(id) as id from names group by 1)
+select doc_id, cast(id as int) as class_id from found left join plain on plain.plain = replace(hits[-1], ' ', '')""")
+def mentions_in_documents(spark, folder):
+    """The last of many names, taken from the documents, that each whole document mentions."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    names = F.array(*[F.regexp_extract(F.lower("text"), p, 0) for p in NAMED])
+    vocab = label_vocabulary(documents.select(F.explode(names).alias("name")).where("name <> ''"), "name")
+    return A.last_mentions(documents, "text", vocab, "name", "class_id").select("doc_id", "class_id")
+
+
 def json_answers(spark, folder):
     """Orders with a JSON answer for two labels; the form follows from the key."""
     p, s = F.col(PRIORITY), F.col(STATUS)
@@ -133,8 +152,6 @@ def parse_multi_repair(spark, folder):
 @query("""with v as (select p_brand, cast(row_number() over (order by p_brand) - 1 as int) as id from (select distinct p_brand from part))
           select p_partkey, id as class_id from part join v using (p_brand)""")
 def truth_ids(spark, folder):
-    from labelspark.operators.labels import label_vocabulary, vocabulary_lists
-
     part = table(spark, folder, "part")
-    vocab = A.with_unknown(vocabulary_lists(label_vocabulary(part, "p_brand"), "p_brand"))
-    return A.with_class_ids(part, "p_brand", vocab, "ids").select("p_partkey", F.col("ids.p_brand").alias("class_id"))
+    vocab = add_unknown(label_vocabulary(part, "p_brand"))
+    return A.with_class_ids(part, "p_brand", vocab, "ids", labels="p_brand").select("p_partkey", F.col("ids.p_brand").alias("class_id"))

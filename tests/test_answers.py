@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +155,64 @@ def test_parsing_works_on_a_stream(spark, tmp_path):
     query.awaitTermination()
     got = {(r.answer, r.ids["label"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == set(CASES)
+
+
+def vocabulary(spark, names, label="x"):
+    return spark.createDataFrame([(label, i, n) for i, n in enumerate(names)], "label_name string, class_id int, class_name string")
+
+
+def test_a_table_of_names_agrees(spark):
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(CASES)], "i int, a string").repartition(3)
+    found = A.with_class_ids(rows, "a", vocabulary(spark, NAMES), "ids", labels="x").orderBy("i").collect()
+    assert [(r.a, r.ids.x) for r in found] == CASES
+    tables = [vocabulary(spark, names, label) for label, names in VOCAB.items()]
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(MULTI)], "i int, answer string")
+    ids = A.with_class_ids(rows, "answer", tables[0].union(tables[1]), "ids", labels=list(VOCAB)).orderBy("i").collect()
+    assert [(a, (r.ids["nature"], r.ids["part of body"])) for (a, _), r in zip(MULTI, ids)] == MULTI
+    with pytest.raises(ValueError, match="no classes of y"):
+        A.with_class_ids(rows, "answer", tables[0], "ids", labels="y")
+
+
+def test_many_names_stay_a_table(spark):
+    n = 150_000
+    vocab = spark.range(n).select(
+        F.lit("x").alias("label_name"), F.col("id").cast("int").alias("class_id"), F.format_string("Name %06d of all", "id").alias("class_name"))
+    vocab = vocab.union(spark.createDataFrame([("x", n, "Unknown")]))
+    answers = [("Name 149999 of all", n - 1), ("so it is name 000123 ofall, I think", 123), ("name000007", 7), ("name 00", 0), ("149000", 149_000),
+               ("149999", n), ("name 150000 of all", n), ("name 1 of all", n), (None, n)]
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(answers)], "i int, a string")
+    found = A.with_class_ids(rows, "a", vocab, "ids", labels="x").orderBy("i").collect()
+    assert [(r.a, r.ids.x) for r in found] == answers
+
+
+def test_last_mentions_equal_a_scan(spark):
+    draw = random.Random(8)
+    words = ["ab", "abc", "b", "cab", "É", "(x)", "😀", "a.b", "ccccccccc", "ccccccccccccc"]
+    names = sorted({" ".join(draw.choice(words) for _ in range(draw.randint(1, 3))) for _ in range(60)}) + ["Unknown"]
+    pattern = re.compile(A.mention_pattern(names).lower())
+    plain = [n.lower().replace(" ", "") for n in names]
+    texts = ["".join(draw.choice([*words, " ", "  ", "z", "\n"]) for _ in range(draw.randint(1, 30))) for _ in range(400)]
+    rows = spark.createDataFrame([*enumerate(texts), (400, ""), (401, None), (402, texts[0])], "i int, t string")
+    found = {r.i: r.c for r in A.last_mentions(rows, "t", vocabulary(spark, names), "x", "c").collect()}
+    for i, text in enumerate([*texts, "", "", texts[0]]):
+        hits = pattern.findall(text.lower().strip())
+        assert found[i] == (plain.index(hits[-1].replace(" ", "")) if hits else None), text
+
+
+def test_long_texts_cost_their_length(spark):
+    vocab = vocabulary(spark, [f"class number {i}" for i in range(1_002)])
+    seconds = {}
+    for size in (2_000, 20_000, 80_000):
+        text = ("class of things, class number seven or class number 7 it was " * (size // 60))[:size]
+        started = time.perf_counter()
+        (row,) = A.last_mentions(spark.createDataFrame([(text,)], "t string"), "t", vocab, "x", "c").collect()
+        seconds[size] = time.perf_counter() - started
+        assert row.c == 7
+    # Four times the text; a cost that grows with the square would be sixteen times as high.
+    assert seconds[80_000] < 6 * seconds[20_000]
+
+
+def test_no_names_and_no_texts(spark):
+    rows = spark.createDataFrame([("a",)], "t string")
+    assert A.last_mentions(rows, "t", vocabulary(spark, ["x"]).limit(0), "x", "c").collect()[0].c is None
+    assert A.last_mentions(rows.limit(0), "t", vocabulary(spark, ["x"]), "x", "c").count() == 0
