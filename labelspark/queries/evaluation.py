@@ -236,7 +236,7 @@ def few_shot_mine(spark, folder):
 
 @query(f"""with {FEW_SHOT_SQL}
 select string_agg('Example ' || i || ' - text: order ' || o_orderkey || ' of ' || o_custkey || chr(10) || 'correct result: ' || tn,
-                  chr(10) || chr(10) order by tr, pr, rr) as examples
+                  chr(10) || chr(10) order by tr, pr, rr) || chr(10) || chr(10) || 'Your turn - text: ' as examples
 from (select *, row_number() over (order by tr, pr, rr) as i from picked where rr <= 2)""")
 def few_shot_text(spark, folder):
     return E.few_shot_text(_few_shot(spark, folder), VOCAB)

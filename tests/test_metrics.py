@@ -153,7 +153,7 @@ def test_few_shot_text(predicted, counts):
     assert text.count("correct result: {") == 2 and '"part": ' in text
     single = {"kind": VOCAB["kind"]}
     one = E.few_shot_text(E.few_shot_examples(predicted, M.confusion_counts(predicted, single), single, "id"), single).first().examples
-    assert one.endswith("correct result: a")
+    assert one.endswith("correct result: a" + E.OPEN_QUESTION) and text.endswith("}" + E.OPEN_QUESTION)
 
 
 def test_perfect_predictions_have_no_examples(predicted):
@@ -161,3 +161,19 @@ def test_perfect_predictions_have_no_examples(predicted):
     counts = M.confusion_counts(right, VOCAB)
     assert E.error_pairs(counts).isEmpty()
     assert E.few_shot_text(few(right, counts), VOCAB).first().examples == ""
+
+
+def test_names_from_a_table(spark, predicted, counts):
+    rows = [(label, i, name) for label, names in VOCAB.items() for i, name in enumerate(names)]
+    vocab = spark.createDataFrame(rows, "label_name string, class_id int, class_name string")
+    labels = list(VOCAB)
+
+    def same(a, b):
+        assert a.columns == b.columns
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+    same(E.answers(predicted, vocab, "id", True, labels), E.answers(predicted, VOCAB, "id", True))
+    same(E.true_vs_predicted(counts, vocab), E.true_vs_predicted(counts, VOCAB))
+    mined = E.few_shot_examples(predicted, counts, vocab, "id", per_class=2, per_pred=3, labels=labels)
+    same(mined, few(predicted, counts, per_class=2, per_pred=3))
+    same(E.few_shot_text(mined, vocab, labels), E.few_shot_text(mined, VOCAB))
