@@ -7,6 +7,7 @@ order of ``md5(seed:keys)``: the same for every partitioning, file layout and en
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ CELL_ROWS = 200_000
 # Identical copies are spread out again in blocks of this many rows.
 COPY_BLOCK = 100_000
 
+# Keys sampled for the bounds of a round, bounds, and rows of a range whose keys are listed.
+SAMPLED_KEYS = 1_008
+BOUNDS = 63
+COUNTED_ROWS = 4_096
+
 _POSITION_BITS = 33
 
 
@@ -189,47 +195,151 @@ def _portable(name: str, kind: T.DataType) -> Column:
     return F.hex(c) if isinstance(kind, T.BinaryType) else c.cast("string")
 
 
-def _restored(text: str | None, kind: T.DataType) -> Column:
-    value = F.lit(text).cast("string")
+def _restored(text: str | None, kind: T.DataType) -> str:
+    """The value as an SQL expression of constants."""
+    if text is None:
+        return f"cast(null as {kind.simpleString()})"
+    value = f"cast(unhex('{text.encode().hex()}') as string)"
     if isinstance(kind, T.TimestampType):
-        return F.timestamp_micros(value.cast("bigint"))
-    return F.unhex(value) if isinstance(kind, T.BinaryType) else value.cast(kind)
+        return f"timestamp_micros(cast({value} as bigint))"
+    return f"unhex({value})" if isinstance(kind, T.BinaryType) else f"cast({value} as {kind.simpleString()})"
 
 
-def rows_at(ranked: DataFrame, positions: list[int], rank: str = "rank") -> dict[int, dict[str, str]]:
-    """The rows at a few positions, by position, in portable form."""
-    if not positions:
-        return {}
-    at = ranked.where(F.col(f"`{rank}`").isin(positions))
-    shown = [_portable(f.name, f.dataType).alias(f.name) for f in ranked.schema.fields if f.name != rank]
-    return {r[0]: r.asDict() for r in at.select(F.col(f"`{rank}`"), *shown).collect()}
+@dataclass(frozen=True)
+class Cut:
+    """A position in an order: the key of the row there, and how many of the ``ties`` with that key lie before it.
 
+    Without a key all rows lie before the position.
+    """
 
-def between_ranks(df: DataFrame, order, low: int, high: int, flag: str) -> DataFrame:
-    """Flag the rows whose position in the given order is in ``[low, high)``.
+    key: dict[str, str | None] | None
+    need: int = 0
+    ties: int = 0
+
+    def literal(self, schema: T.StructType) -> Column:
+        return _literal(self.key, schema)
+
+
+def _literal_sql(key: dict[str, str | None], schema: T.StructType) -> str:
+    return f"struct({', '.join(_restored(v, schema[c].dataType) for c, v in key.items())})"
+
+
+def _literal(key: dict[str, str | None], schema: T.StructType) -> Column:
+    return F.expr(_literal_sql(key, schema))
 
-    Only the order columns are sorted. The rows are compared with the key found at either end
-    and need no shuffle; if such a key is not unique, the whole rows are ranked instead.
-    """
-    order = as_list(order)
-    ranked = global_rank(df.select(*_cols(order)), order, "_rank")
-    ends = rows_at(ranked, sorted({p for p in (low - 1, low, high - 1, high) if p >= 0}), "_rank")
 
-    def split_tie(position: int) -> bool:
-        left, right = ends.get(position - 1), ends.get(position)
-        return bool(left and right) and all(left[c] == right[c] for c in order)
+def _listed_keys(keys: DataFrame, order: list[str], rows: int, *more: str) -> list:
+    """The first keys in order, in portable form; ``rows`` at most reach the driver."""
+    shown = [_portable(c, keys.schema[c].dataType).alias(c) for c in order]
+    return keys.orderBy(*_cols(order)).limit(rows).select(*shown, *more).collect()
 
-    if split_tie(low) or split_tie(high):
-        whole = global_rank(df, order, "_rank")
-        return whole.withColumn(flag, (F.col("_rank") >= low) & (F.col("_rank") < high)).drop("_rank")
+
+def _range_cells(inside: DataFrame, order: list[str]) -> list[tuple]:
+    """``(lower, upper, rows)`` in order: keys from a sample, and the open ranges between them.
+
+    A sampled key is a cell of its own (``lower`` is ``upper``), so a key that many rows share ends the search. Each
+    task keeps a sample of bounded size and counts its rows per cell.
+    """
+    sample = inside.orderBy(F.rand(1)).limit(SAMPLED_KEYS).distinct()
+    keys = [{c: r[c] for c in order} for r in _listed_keys(sample, order, SAMPLED_KEYS)]
+    if not keys:
+        return []
+    step = -(-len(keys) // BOUNDS)
+    bounds = keys[step // 2::step]
+    # One text for the parser: a tree of comparisons built column by column would take seconds.
+    literals = [_literal_sql(k, inside.schema) for k in bounds]
+    key = f"struct({', '.join('`' + c.replace('`', '``') + '`' for c in order)})"
+
+    def cell(low: int, high: int) -> str:
+        """Twice the place of the last bound that is not above the key, and one more if it is below."""
+        if low == high:
+            return "-1" if low == 0 else f"if({key} = {literals[low - 1]}, {2 * low - 2}, {2 * low - 1})"
+        middle = (low + high) // 2
+        return f"if({key} < {literals[middle]}, {cell(low, middle)}, {cell(middle + 1, high)})"
+
+    counted = inside.groupBy(F.expr(cell(0, len(bounds))).alias("cell")).agg(F.count("*").alias("n"))
+    sizes = dict(counted.collect())  # twice the bounds, and one
+    cells = [(None, bounds[0], sizes.get(-1, 0))]
+    for i, bound in enumerate(bounds):
+        cells.append((bound, bound, sizes.get(2 * i, 0)))
+        cells.append((bound, bounds[i + 1] if i + 1 < len(bounds) else None, sizes.get(2 * i + 1, 0)))
+    return cells
+
+
+def find_cuts(df: DataFrame, order, positions) -> list[Cut]:
+    """The cut at each 0-based position in the order of the given columns, found by counting.
+
+    Nothing is sorted or written: the rows are counted per range of keys, and the range that holds the position is
+    divided again, until it is one key or its few keys are listed. Passes read the order columns only; their number
+    grows with the logarithm of the rows.
+    """
+    order = as_list(order)
+    narrow = df.select(*_cols(order))
     key = F.struct(*_cols(order))
+    seen: dict[str, list[tuple]] = {}
+
+    def within(lower, upper) -> DataFrame:
+        rows = narrow
+        if lower is not None:
+            rows = rows.where(key > _literal(lower, narrow.schema))
+        return rows if upper is None else rows.where(key < _literal(upper, narrow.schema))
+
+    def cells(lower, upper) -> list[tuple]:
+        at = repr((lower, upper))
+        if at not in seen:
+            seen[at] = _range_cells(within(lower, upper), order)
+        return seen[at]
+
+    def find(position: int) -> Cut:
+        lower = upper = None
+        before = 0
+        while True:
+            for first, last, rows in cells(lower, upper):
+                if before + rows > position:
+                    break
+                before += rows
+            else:
+                return Cut(None)
+            if first is last:
+                return Cut(first, position - before, rows)
+            lower, upper = first if first is not None else lower, last if last is not None else upper
+            if rows <= COUNTED_ROWS:
+                keys = within(lower, upper).groupBy(*_cols(order)).agg(F.count("*").alias("_n"))
+                for r in _listed_keys(keys, order, COUNTED_ROWS, "_n"):
+                    if before + r["_n"] > position:
+                        return Cut({c: r[c] for c in order}, position - before, r["_n"])
+                    before += r["_n"]
+
+    return [find(p) for p in positions]
+
+
+def _mark_before(df: DataFrame, order: list[str], cut: Cut, flag: str) -> DataFrame:
+    """Flag the rows before a cut in place; only where rows of one key lie on both sides are those told apart."""
+    if cut.key is None:
+        return df.withColumn(flag, F.lit(True))
+    key, at = F.struct(*_cols(order)), cut.literal(df.schema)
+    if not cut.need:
+        return df.withColumn(flag, key < at)
+    tied = mark_first(df.where(key == at), lambda size: F.lit(cut.need), flag=flag)
+    return df.where(key != at).withColumn(flag, key < at).unionByName(tied)
 
-    def literal(position: int) -> Column:
-        return F.struct(*[_restored(ends[position][c], df.schema[c].dataType).alias(c) for c in order])
 
-    condition = F.lit(True)
-    if low > 0:
-        condition = condition & (key >= literal(low) if low in ends else F.lit(False))
-    if high in ends:
-        condition = condition & (key < literal(high))
-    return df.withColumn(flag, condition)
+def between_ranks(df: DataFrame, order, low: int, high: int, flag: str) -> DataFrame:
+    """Flag the rows whose position in the given order is in ``[low, high)``.
+
+    The keys at either end are found by counting and the rows compared with them, without a shuffle. Of equal keys the
+    first in the hash order of the whole rows count.
+    """
+    order = as_list(order)
+    if high <= low:
+        return df.withColumn(flag, F.lit(False))
+    if low <= 0:
+        return _mark_before(df, order, *find_cuts(df, order, [high]), flag)
+    start, end = find_cuts(df, order, [low, high])
+    below = _mark_before(df, order, end, flag)
+    if start.key is None:
+        return df.withColumn(flag, F.lit(False))
+    if not start.need:
+        return below.withColumn(flag, F.col(f"`{flag}`") & (F.struct(*_cols(order)) >= start.literal(df.schema)))
+    inside = _mark_before(below.where(F.col(f"`{flag}`")).drop(flag), order, start, flag)
+    return inside.withColumn(flag, ~F.col(f"`{flag}`")).unionByName(below.where(~F.col(f"`{flag}`")))

@@ -171,3 +171,38 @@ def test_many_groups_of_copies_are_spread(spark):
     assert numbered.where("flag").count() == 6_000
     sizes = [r["count"] for r in numbered.groupBy("p").count().collect()]
     assert len(sizes) > 1 and max(sizes) < 20_000
+
+
+@pytest.mark.parametrize("rows, bounds, counted", [(0, 127, 4096), (1, 127, 4096), (700, 3, 1), (700, 5, 20), (9_000, 127, 64)])
+def test_cuts_equal_sorting(spark, monkeypatch, rows, bounds, counted):
+    monkeypatch.setattr(O, "BOUNDS", bounds)
+    monkeypatch.setattr(O, "COUNTED_ROWS", counted)
+    draw = random.Random(rows)
+    values = [(draw.choice([None, "a", "é", "b" * 9]), draw.choice([None, float("nan"), -1.5, 2.0, 3.25]) if i % 3 else float(i), i % 2) for i in range(rows)]
+    df = spark.createDataFrame(values, "s string, x double, extra int").repartition(4)
+    expected = [tuple(r) for r in df.select("s", "x").orderBy("s", "x").collect()]
+    positions = sorted({0, 1, rows // 3, rows // 2, max(rows - 1, 0), rows, rows + 5})
+    for position, cut in zip(positions, O.find_cuts(df, ["s", "x"], positions)):
+        if position >= rows:
+            assert cut.key is None
+            continue
+        at = expected[position]
+        before = next(i for i, k in enumerate(expected) if repr(k) == repr(at))
+        (found,) = spark.range(1).select(cut.literal(df.schema).alias("k")).collect()
+        assert repr(tuple(found.k)) == repr(at)
+        assert (cut.need, cut.ties) == (position - before, sum(repr(k) == repr(at) for k in expected))
+
+
+def test_shards_of_a_hot_key_take_every_row_once(spark, monkeypatch):
+    monkeypatch.setattr(O, "COUNTED_ROWS", 5)
+    df = spark.range(4_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), (F.col("id") % 10).alias("v")).repartition(6)
+    parts = [P.shard(df, 9, i, "k").collect() for i in range(9)]
+    assert [len(p) for p in parts] == [445] * 4 + [444] * 5
+    assert Counter(map(tuple, df.collect())) == sum((Counter(map(tuple, p)) for p in parts), Counter())
+    assert all(max(r.k for r in a) <= min(r.k for r in b) for a, b in zip(parts, parts[1:]))
+
+
+def test_cuts_need_no_sort_and_no_write(spark):
+    df = spark.range(50_000).select(F.xxhash64("id").alias("k"), "id")
+    plan = P.positional_split(df, 0.5, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan and "Scan parquet" not in plan
