@@ -11,7 +11,7 @@ from labelspark.operators import rollup as R
 from labelspark.operators.chat import preprocess_chat
 from labelspark.operators.labels import label_vocabulary, vocabulary_lists
 from labelspark.operators.splits import hash_split, one_split
-from labelspark.plans.baseline import classify, train_classifier
+from labelspark.plans.bayes import classify_bayes, train_bayes
 from labelspark.plans.config import RunConfig
 from labelspark.plans.evaluate import evaluate, predictions, with_truth
 from labelspark.plans.inference import failed, infer
@@ -392,14 +392,35 @@ def train_predict_support(spark, folder):
     return report.where("row_key rlike '^[0-9]+$' and support > 0").select("row_key", "support")
 
 
-@query()
+TRAINED_SQL = f"""
+with d as (select doc_id, lower(text) as text, lang, {HASH_SPLIT_SQL.format(key='doc_id')} as split from documents),
+     ids as (select lang, row_number() over (order by lang) - 1 as id from (select distinct lang from documents where lang is not null)),
+     w as (select doc_id, split, lang, unnest(regexp_extract_all(text, '\\p{{L}}+')) as word from d),
+     n as (select lang, word, count(*) as n from w where split = 'train' and lang is not null group by 1, 2),
+     v as (select greatest(count(distinct word), 1) as v from n),
+     classes as (select lang, count(*) as docs from d where split = 'train' and lang is not null group by 1),
+     sized as (select lang, ln(docs / (sum(docs) over ())) as prior, ln(coalesce((select sum(n) from n where n.lang = c.lang), 0) + v) as width from classes c, v),
+     known as (select doc_id, word, count(*) as k from w where split = 'test' and word in (select word from n) group by 1, 2),
+     shared as (select doc_id, n.lang, sum(k * ln(n + 1)) as s from known join n using (word) group by 1, 2),
+     lengths as (select doc_id, sum(k) as k from known group by 1),
+     scores as (select d.doc_id, c.lang, round(prior + coalesce(s, 0) - coalesce(k, 0) * width, 6) as score
+                from d cross join sized c left join shared x on x.doc_id = d.doc_id and x.lang = c.lang
+                     left join lengths y on y.doc_id = d.doc_id where split = 'test'),
+     best as (select doc_id, lang as pred from scores qualify row_number() over (partition by doc_id order by score desc, lang) = 1),
+     counts as (select coalesce(t.id, 4) as true_id, p.id as pred_id, count(*) as n
+                from best join d using (doc_id) join ids p on p.lang = pred left join ids t on t.lang = d.lang group by 1, 2)"""
+
+
+@query(f"""{TRAINED_SQL},{REPORT_SQL.format(by='', group='')}
+select 'lang' as label_name, row_key, round(precision, 6) as precision, round(recall, 6) as recall,
+       round(f1, 6) as f1, round(support, 6) as support from report""")
 def train_predict(spark, folder):
-    """A trained classifier of the document language, scored on held-out rows."""
+    """A classifier of the document language, trained on counts of words and scored on held-out rows."""
     rows = hash_split(table(spark, folder, "documents"), 0.2, "doc_id")
-    vocab = label_vocabulary(rows, "lang")
-    names = vocabulary_lists(vocab, "lang")
-    model = train_classifier(one_split(rows, "train"), "text", "lang", vocab)
+    vocab = vocabulary_lists(label_vocabulary(rows, "lang"), "lang")
+    model = train_bayes(one_split(rows, "train"), "text", "lang")
     test = one_split(rows, "test").withColumn("truth", F.col("lang"))
-    scored = classify(model, test, "text", names["lang"], keep=["doc_id", "truth"])
-    result = predictions(scored, {"lang": [*names["lang"], UNKNOWN]})
-    return M.classification_report(M.confusion_counts(result, ["lang"]))
+    scored = classify_bayes(model, test, "text", "doc_id", keep=["doc_id", "truth"])
+    result = predictions(scored, {"lang": [*vocab["lang"], UNKNOWN]})
+    report = M.classification_report(M.confusion_counts(result, ["lang"]))
+    return _rounded(report, "precision", "recall", "f1", "support")
