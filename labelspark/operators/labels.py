@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from labelspark.functions.answers import UNKNOWN
 from labelspark.functions.text import strip
-from labelspark.operators.ordering import global_rank
-from labelspark.session import Settled, as_list, require_columns, settle, settle_if_small, small_rows
+from labelspark.operators.ordering import find_cuts, global_rank
+from labelspark.session import Settled, as_list, checkpointed, require_columns, settle, settle_if_small, small_rows
 
 # Class lists up to this length become an IN predicate, which reaches the file scan.
 IN_LIST = 1_000
@@ -169,17 +169,31 @@ def filter_classes(df: DataFrame, classes: dict[str, list[str]]) -> DataFrame:
 def _most_frequent(counts: DataFrame, labels: list[str], n: int) -> DataFrame:
     """The ``n`` largest classes of every label (ties by name).
 
-    Either form passes on at most ``n`` rows per label and task: the window is cut before its
-    shuffle up to the planner's limit on group sizes, beyond it each label is a top-k of its own.
+    Up to the planner's limit on group sizes a window is cut before its shuffle. Beyond it, the smallest count that is
+    still among the largest is found in a histogram of the counts, and of the classes with that count the last name.
     """
     if n <= IN_LIST:
         w = Window.partitionBy("label_name").orderBy(F.desc("n"), F.asc("class_name"))
         return counts.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
-    best = [counts.where(F.col("label_name") == c).orderBy(F.desc("n"), F.asc("class_name")).limit(n) for c in labels]
-    out = best[0]
-    for other in best[1:]:
-        out = out.unionByName(other)
-    return out
+    counts = checkpointed(counts)
+    # As many rows as counts differ: at most the square root of twice the rows.
+    histogram = counts.groupBy("label_name", F.col("n").alias("_cut")).agg(F.count("*").alias("_ties"))
+    upto = F.sum("_ties").over(Window.partitionBy("label_name").orderBy(F.desc("_cut")))
+    cuts = histogram.withColumn("_need", F.lit(n) - upto + F.col("_ties")).where("_need > 0 and _need <= _ties").collect()
+    at = {r["label_name"]: r for r in cuts}
+    kept = F.lit(False)
+    for label in labels:
+        own, found = F.col("label_name") == label, at.get(label)
+        if found is None:
+            kept = kept | own
+            continue
+        last = F.lit(True)
+        if found["_need"] < found["_ties"]:
+            names = counts.where(own & (F.col("n") == found["_cut"])).select("class_name")
+            (cut,) = find_cuts(names, "class_name", [found["_need"]])
+            last = F.struct("class_name") < cut.literal(names.schema)
+        kept = kept | (own & ((F.col("n") > found["_cut"]) | ((F.col("n") == found["_cut"]) & last)))
+    return counts.where(kept)
 
 
 def _keep_ranked(df: DataFrame, chosen: Settled, label: str) -> DataFrame:
@@ -212,7 +226,9 @@ def top_n_classes(
     if fewest is not None and fewest < n:
         warnings.warn(f"only {fewest} classes in some label, using {fewest} instead of {n}")
         n = fewest
-    kept = _most_frequent(chosen.df, labels, n)
+        kept = _most_frequent(chosen.df, labels, n)
+    else:
+        kept = chosen.df
     if chosen.small and n <= IN_LIST:
         rows = kept.select("label_name", "class_name").collect()
         lists = {c: [r.class_name for r in rows if r.label_name == c] for c in labels}

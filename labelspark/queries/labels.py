@@ -167,6 +167,16 @@ def top_n_classes(spark, folder):
     return L.encode_classes(kept, BRAND).select("p_partkey", BRAND)
 
 
+@query("""with c as (select c_custkey, cast(c_custkey * 7 % 1300 as varchar) as bucket from customer),
+             n as (select bucket, row_number() over (order by count(*) desc, bucket) as r from c group by 1)
+          select c_custkey, bucket from c join n using (bucket) where r <= 1100""")
+def top_n_classes_many(spark, folder):
+    """More classes than a window would rank in one task."""
+    bucket = (F.col("c_custkey") * 7 % 1300).cast("string")
+    rows = table(spark, folder, "customer").select("c_custkey", bucket.alias("bucket"))
+    return L.top_n_classes(rows, 1_100, "bucket")
+
+
 @query("""with n as (select least(10, count(distinct p_brand), count(distinct p_type)) as n from part),
                b as (select p_brand, row_number() over (order by count(*) desc, p_brand) as r from part group by 1),
                t as (select p_type, row_number() over (order by count(*) desc, p_type) as r from part group by 1)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 
 import pytest
@@ -121,3 +122,19 @@ def test_settled_tables_are_measured(spark):
     long_text = spark.range(1).select(F.repeat(F.lit("x"), session.SMALL_CHARS + 1).alias("s"))
     settled = session.settle(long_text)
     assert not settled.small and len(settled.df.first().s) == session.SMALL_CHARS + 1
+
+
+@pytest.mark.parametrize("n", [1, 7, 40, 60])
+def test_top_n_by_a_threshold(spark, monkeypatch, n):
+    monkeypatch.setattr(L, "IN_LIST", 0)
+    rows = [(f"a{i * i % 61}", f"b{i % 47}") for i in range(500)] + [("only", None)] * 3
+    df = spark.createDataFrame(rows, "a string, b string")
+    counts = {c: Counter(r[k] for r in rows if r[k] is not None) for k, c in enumerate("ab")}
+    n_cut = min(n, min(len(c) for c in counts.values()))
+    kept = {c: set(top(counts[c], n_cut)) for c in "ab"}
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        got = L.top_n_classes(df, n, ["a", "b"])
+    assert Counter(map(tuple, got.collect())) == Counter(r for r in rows if r[0] in kept["a"] and r[1] in kept["b"])
+    chosen = L._most_frequent(L.class_counts(df, ["a", "b"]), ["a", "b"], n).collect()
+    assert {c: {r.class_name for r in chosen if r.label_name == c} for c in "ab"} == {c: set(top(counts[c], n)) for c in "ab"}
