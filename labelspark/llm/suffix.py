@@ -26,6 +26,7 @@ an empty one. Ids are whole numbers; only the id and text columns are read.
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 from collections import Counter
@@ -49,7 +50,7 @@ PIECE_BYTES = 8 << 20
 COLLECTION = 16_384
 _NO_ID = (1 << 63) - 1
 
-_RUNS = "h bigint, seg bigint, id bigint, dig int, start bigint, n int"
+_RUNS = "h bigint, seg bigint, id bigint, dig bigint, start bigint, n int"
 
 
 def substring_hashes(data: np.ndarray) -> np.ndarray:
@@ -101,7 +102,7 @@ def collapse(h, seg, id_, dig, start, n):
 
 def _batch(*columns) -> pa.RecordBatch:
     names = ["h", "seg", "id", "dig", "start", "n"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
@@ -187,7 +188,7 @@ def _meet_runs(hot: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "h", "id", "dig", "start", "n"]
-        kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+        kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         anchor = None  # the anchor at hand, its segments so far (until they are too many), their number
         waiting: list[tuple] = []
         number = 0
@@ -241,7 +242,7 @@ def _rows(kind: int, rows: list[tuple]) -> list[np.ndarray]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments of a document, and runs of single windows of hot anchors."""
-    kinds = [("hot", pa.bool_()), ("h", pa.int64()), ("seg", pa.int64()), ("id", pa.int64()), ("dig", pa.int32()),
+    kinds = [("hot", pa.bool_()), ("h", pa.int64()), ("seg", pa.int64()), ("id", pa.int64()), ("dig", pa.int64()),
              ("start", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())]
     for batch in batches:
         runs = batch["runs"]
@@ -450,10 +451,10 @@ def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = start[of] + np.arange(len(of)) - (np.cumsum(n) - n)[of]
         found = merged(id_[of[again]], dig[of[again]], place[again], np.ones(len(again), np.int64))
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(found, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["id", "dig", "start", "n"])
+            [pa.array(c, k) for c, k in zip(found, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["id", "dig", "start", "n"])
 
     none = pa.RecordBatch.from_arrays(
-        [pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int32())], ["id", "dig", "start", "n"])
+        [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32())], ["id", "dig", "start", "n"])
     held: list[tuple] = []
     for batch in batches:
         names = ("h", "id", "dig", "start", "n", "bytes")
@@ -494,24 +495,45 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch["id"], pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
 
+def _documents(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(given, text)`` with the ``(id, dig)`` of their documents, and each document once.
+
+    Different texts under one id, or without one, are told apart by 64 bits of digest. A second digest shows
+    whether two of them agree in the first; then another seed is taken.
+    """
+    for seed in itertools.count():
+        digest = lambda s: F.xxhash64(F.lit(s), F.col("given").isNull(), "text")
+        keyed = rows.select("given", F.coalesce("given", F.lit(_NO_ID)).alias("id"), digest(seed).alias("dig"), "text")
+        second = F.xxhash64(F.lit(-1 - seed), "text")
+        groups = keyed.select("id", "dig", second.alias("other")).groupBy("id", "dig").agg(
+            F.count("*").alias("rows"), (F.min("other") != F.max("other")).alias("clash"))
+        several = checkpointed(groups.where("rows > 1"))
+        if several.where("clash").isEmpty():
+            break
+    keyed = keyed.select("given", "id", "dig", F.col("text").cast("binary").alias("text"))
+    if several.isEmpty():
+        return keyed, keyed
+    copies = keyed.join(several.select("id", "dig"), ["id", "dig"], "left_semi").dropDuplicates(["id", "dig"])
+    single = keyed.join(several.select("id", "dig"), ["id", "dig"], "left_anti")
+    return keyed, single.unionByName(copies)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``(id, n_bytes, spans, kept)`` of every row: its size, the maximal removed runs of bytes, the rest."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.hash(text).alias("dig"), text.cast("binary").alias("text"))
+    rows, once = _documents(docs.select(F.col(id_col).cast("bigint").alias("given"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     in_order = ["h", "seg", "id", "dig", "start"]
-    found = rows.mapInArrow(_find_runs, _RUNS).repartition("h").sortWithinPartitions(*in_order)
-    kinds = "kind tinyint, h bigint, id bigint, dig int, start bigint, n int"
+    found = once.mapInArrow(_find_runs, _RUNS).repartition("h").sortWithinPartitions(*in_order)
+    kinds = "kind tinyint, h bigint, id bigint, dig bigint, start bigint, n int"
     met = checkpointed(found.mapInArrow(_meet_runs(hot), kinds))
     wanted = met.where("kind > 0").groupBy("id", "dig").agg(F.collect_list(F.struct("kind", "h", "start", "n")).alias("runs"))
-    cut = checkpointed(rows.join(wanted, ["id", "dig"]).select("id", "dig", "text", "runs").mapInArrow(
-        _cut, "hot boolean, h bigint, seg bigint, id bigint, dig int, start bigint, n int, bytes binary"))
+    cut = checkpointed(once.join(wanted, ["id", "dig"]).select("id", "dig", "text", "runs").mapInArrow(
+        _cut, "hot boolean, h bigint, seg bigint, id bigint, dig bigint, start bigint, n int, bytes binary"))
     ordered = cut.where("not hot").select("h", "id", "dig", "start", "n", "bytes").repartition("h").sortWithinPartitions("h")
-    ordered = ordered.mapInArrow(_order, "id bigint, dig int, start bigint, n int")
+    ordered = ordered.mapInArrow(_order, "id bigint, dig bigint, start bigint, n int")
     single = cut.where("hot").drop("hot", "bytes").repartition("h").sortWithinPartitions(*in_order).mapInArrow(_meet_runs(0), kinds)
     runs = ["id", "dig", "start", "n"]
     repeats = met.where("kind = 0").select(runs).union(ordered).union(single.where("kind = 0").select(runs))
     lists = repeats.groupBy("id", "dig").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    kept = rows.join(lists, ["id", "dig"], "left").select("id", "text", "runs").mapInArrow(
+    kept = rows.join(lists, ["id", "dig"], "left").select(F.col("given").alias("id"), "text", "runs").mapInArrow(
         _keep, "id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
-    return kept.withColumn("id", F.when(F.col("id") != _NO_ID, F.col("id")).cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
+    return kept.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)

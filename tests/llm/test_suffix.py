@@ -5,6 +5,7 @@ import tempfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelspark.llm import suffix
 
@@ -90,3 +91,24 @@ def test_against_brute_force(spark, monkeypatch, hot, collection, chunk):
 def test_empty_table(spark, odd):
     assert suffix.remove_repeats(odd.limit(0)).count() == 0
     assert suffix.remove_repeats(odd).count() == odd.count()
+
+
+def test_texts_whose_short_hashes_collide_stay_apart(spark):
+    texts = spark.range(300_000).select(F.concat(*[F.md5(F.concat(F.lit(str(k)), "id")) for k in range(6)]).alias("text"))
+    twin = texts.groupBy(F.hash("text").alias("h")).agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").first()
+    df = spark.createDataFrame([(1, twin.a), (None, twin.a), (None, twin.b), (7, twin.b[:150]), (7, twin.a[:150] + "z")], "doc_id bigint, text string")
+    rows = {(r.doc_id, r.n_bytes): bytes(r.kept).decode() for r in suffix.remove_repeats(df).where("doc_id is not null").collect()}
+    assert rows == {(1, 192): twin.a, (7, 150): twin.b[:150], (7, 151): "z"}
+    # Without an id: the text of document 1 goes; of the other one the first 150 bytes stand in document 7.
+    kept = sorted(bytes(r.kept).decode() for r in suffix.remove_repeats(df).where("doc_id is null").collect())
+    assert kept == sorted(["", twin.b[150:]])
+
+
+def test_many_identical_rows_are_one_document(spark, monkeypatch):
+    text = "".join(chr(97 + (i * i) % 23) + str(i) for i in range(200))
+    copies = spark.range(50_000).select(F.lit(3).cast("bigint").alias("doc_id"), F.lit(text).alias("text"))
+    df = copies.union(spark.createDataFrame([(4, text + "tail")], "doc_id bigint, text string"))
+    rows, once = suffix._documents(df.select(F.col("doc_id").alias("given"), "text"))
+    assert (rows.count(), once.count()) == (50_001, 2)
+    got = suffix.remove_repeats(df).groupBy("doc_id", "kept").count().collect()
+    assert {(r.doc_id, bytes(r.kept).decode(), r["count"]) for r in got} == {(3, text, 50_000), (4, "tail", 1)}
