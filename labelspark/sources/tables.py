@@ -10,7 +10,8 @@ from labelspark.operators.chat import preprocess_chat
 from labelspark.operators.labels import labelled_dataset
 from labelspark.operators.sampling import balance_classes, check_sample_size, sample_rows
 from labelspark.operators.splits import one_split, random_split
-from labelspark.session import as_list, join_groups, settle
+from labelspark.session import as_list
+from labelspark.sources.csv_records import csv_records, guessed_types
 
 FORMATS = ("csv", "json", "parquet")
 # Words that data-frame libraries read as "no value" in a CSV file.
@@ -21,17 +22,49 @@ MISSING_WORDS = (
 SPLIT = "split"
 
 
+# How a record is read: a marker that no file holds stands for no value; the reader takes empty fields for it, and
+# quoted empty ones not.
+_CSV = {"escape": '"', "nullValue": "\0\0"}
+
+
+def _named(spark: SparkSession, header: str) -> list[str]:
+    one = spark.createDataFrame([(header,)], "value string")
+    width = len(T.DataType.fromDDL(one.select(F.schema_of_csv(F.lit(header), _CSV)).first()[0]).fields)
+    blank = ", ".join(f"_c{i} string" for i in range(width))
+    names = one.select(F.from_csv("value", F.lit(blank), _CSV)).first()[0].asDict()
+    return [name or place for place, name in names.items()]
+
+
+def _parsed(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """Records as columns, those that the folders' names hold last."""
+    folders = {c: F.col(f"`{c}`") for c in records.columns[1:]}
+    own = [f for f in schema.fields if f.name not in folders]
+    folders |= {f.name: folders[f.name].cast(f.dataType) for f in schema.fields if f.name in folders}
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in own)
+    parsed = records.select(F.from_csv("record", F.lit(ddl), _CSV).alias("_r"), *[v.alias(c) for c, v in folders.items()])
+    return parsed.select("_r.*", *[F.col(f"`{c}`") for c in folders])
+
+
 def read_csv(spark: SparkSession, path, schema=None, missing=(), multi_line: bool = True) -> DataFrame:
     """CSV with a header; quoted fields may hold quotes and line breaks. An empty field is null, a quoted
     empty one is the empty text.
 
-    Give a schema where you can: without one the files are read twice to guess the types.
-    ``missing`` lists words that stand for no value in text columns. A file whose records may span
-    lines is read by one task; turn ``multi_line`` off where none do, and large files are split.
+    Large files are read by many tasks, also where records span lines. Give a schema where you can: without one all
+    values are read once more to guess the types. ``missing`` lists words that stand for no value in text columns.
+    ``multi_line=False`` leaves the joining of lines out, which is quicker where no record spans lines.
     """
-    # A marker that no file holds: the reader takes empty fields for it, and quoted empty ones not.
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("nullValue", "\0\0")
-    rows = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
+    if multi_line:
+        header, records = csv_records(spark, path)
+        if schema is None:
+            texts = T.StructType([T.StructField(n, T.StringType()) for n in (_named(spark, header) if header else [])])
+            rows = _parsed(records, texts) if header else spark.createDataFrame([], texts)
+            kinds = guessed_types(rows.select(*[F.col(f"`{c}`") for c in texts.names])) if header else {}
+            rows = rows.withColumns({c: F.col(f"`{c}`").cast(k) for c, k in kinds.items()})
+        else:
+            rows = _parsed(records, T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+    else:
+        reader = spark.read.option("header", True).options(**_CSV)
+        rows = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
     text = [f.name for f in rows.schema.fields if missing and isinstance(f.dataType, T.StringType)]
     return rows.withColumns({c: F.when(~F.col(f"`{c}`").isin(list(missing)), F.col(f"`{c}`")) for c in text})
 
@@ -49,28 +82,12 @@ def write_csv(df: DataFrame, path: str, partition_by=()) -> None:
 def read_csv_after(spark: SparkSession, path, skip: int, columns=None) -> DataFrame:
     """CSV whose header follows ``skip`` preamble lines in every file; all columns are strings.
 
-    The lines of a file's first block are counted from its first line, so a file may be split
-    over many tasks. Records must not span lines.
+    A file may be split over many tasks, and records may span lines. All files have the same header.
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
-    )
-    head = lines.where(F.col("_block") == 0)
-    starts = settle(head.groupBy("_file").agg(F.min("_line").alias("_first")))
-    numbered = join_groups(lines, starts, "_file")
-    index = F.col("_line") - F.col("_first")
-    header = numbered.where((F.col("_block") == 0) & (index == skip)).select("value").first()
+    header, records = csv_records(spark, path, skip)
     if header is None:
         raise ValueError(f"no header after {skip} lines in {path}")
-    one = spark.createDataFrame([(header.value,)], "value string")
-    width = len(T.DataType.fromDDL(one.select(F.schema_of_csv(F.lit(header.value))).first()[0]).fields)
-    blank = ", ".join(f"_c{i} string" for i in range(width))
-    names = one.select(F.from_csv("value", F.lit(blank))).first()[0].asDict()
-    ddl = ", ".join(f"`{name or place}` string" for place, name in names.items())
-    body = numbered.where((F.col("_block") > 0) | (index > skip))
-    rows = body.select(F.from_csv("value", F.lit(ddl), {"escape": '"'}).alias("r")).select("r.*")
+    rows = _parsed(records, T.StructType([T.StructField(n, T.StringType()) for n in _named(spark, header)]))
     return rows.select(*[F.col(f"`{c}`") for c in as_list(columns)]) if columns else rows
 
 

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from labelspark import session
 from labelspark.operators import metrics as M
 from labelspark.operators import rollup as R
 from labelspark.operators.splits import random_split
@@ -186,3 +188,47 @@ def test_empty_text_and_null_differ(spark, tmp_path, multi_line):
     tables.write_csv(df, str(tmp_path / "t"))
     back = tables.read_csv(spark, str(tmp_path / "t"), df.schema, multi_line=multi_line)
     assert sorted((r.id, r.text) for r in back.collect()) == rows
+
+
+def quoted(value):
+    return "" if value is None else '"' + value.replace('"', '""') + '"' if value == "" or set(value) & set('",\n\r') else value
+
+
+@pytest.mark.parametrize("block", ["64b", "1k", "64m"])
+def test_records_over_lines_in_many_blocks(spark, tmp_path, block):
+    draw = random.Random(6)
+    pieces = ["a", "é", "\n", '"', ",", "\r\n", " ", "long line of text " * 6, "\n\n", '""']
+    want = [(i, draw.choice([None, "", "".join(draw.choice(pieces) for _ in range(draw.randint(1, 8))).strip(" ") or "x"]), draw.random()) for i in range(400)]
+    for part in range(3):
+        lines = ["Title, with \" a quote", "", "id,a text,x"] + [f"{i},{quoted(t)},{x}" for i, t, x in want[part::3]]
+        (tmp_path / f"p{part}.csv").write_bytes("\n".join(lines).encode() + (b"\n" if part else b""))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = tables.read_csv_after(spark, str(tmp_path), 2)
+        assert rows.columns == ["id", "a text", "x"]
+        assert sorted((int(r[0]), r[1], float(r[2])) for r in rows.collect()) == sorted(want)
+        if block == "64b":
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_blocks_beyond_the_small_bounds(spark, tmp_path, monkeypatch):
+    want = [(i, f"line\n{i}") for i in range(500)]
+    (tmp_path / "t.csv").write_text("id,t\n" + "".join(f'{i},"{t}"\n' for i, t in want))
+    monkeypatch.setattr(session, "small_rows", lambda df, max_rows=0: None)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512b")
+    try:
+        assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "t.csv"), "id int, t string").collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_different_headers_are_named(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,t\n1,x\n")
+    (tmp_path / "b.csv").write_text("t,id\nx,1\n")
+    with pytest.raises(ValueError, match="different headers"):
+        tables.read_csv(spark, str(tmp_path))
