@@ -26,7 +26,7 @@ def _lines(spark: SparkSession, path) -> DataFrame:
     """Lines in file order within a task, with file and block, and what the folders' names say."""
     meta = F.col("_metadata")
     return spark.read.option("lineSep", "\n").text(path).select(
-        meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), "*")
+        meta["file_path"].alias("_file"), meta["file_block_start"].alias("_block"), "*")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], skip: int, inside) -> Iterator[tuple]:
@@ -34,7 +34,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], skip: int, inside) -> Iterator[tu
     at, seen, odd = None, 0, False
     for batch in batches:
         states = batch["inside"].to_pylist() if inside else [False] * len(batch)
-        for file, block, line, starts in zip(batch["file"].to_pylist(), batch["block"].to_pylist(), batch["value"].to_pylist(), states):
+        for file, block, line, starts in zip(batch["_file"].to_pylist(), batch["_block"].to_pylist(), batch["value"].to_pylist(), states):
             if at != (file, block):
                 at, seen, odd = (file, block), 0, bool(starts)
             seen += 1
@@ -57,7 +57,7 @@ def _quotes(skip: int):
         rows = [(f, b, n, "\n".join(lines).rstrip("\r") if done else None) for (f, b), (n, lines, done) in counts.items()]
         columns = list(zip(*rows)) or [[], [], [], []]
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["file", "block", "quotes", "header"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["_file", "_block", "quotes", "header"])
 
     return run
 
@@ -97,7 +97,7 @@ def _records(skip: int):
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [[], [], [], []]
     kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["file", "block", "kind", "record"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["_file", "_block", "kind", "record"])
 
 
 def csv_records(spark: SparkSession, path, skip: int = 0) -> tuple[str | None, DataFrame]:
@@ -108,31 +108,31 @@ def csv_records(spark: SparkSession, path, skip: int = 0) -> tuple[str | None, D
     """
     given = _lines(spark, path)
     folders = given.columns[3:]
-    lines = given.select("file", "block", "value")
-    blocks = settle(lines.mapInArrow(_quotes(skip), "file string, block bigint, quotes bigint, header string"))
+    lines = given.select("_file", "_block", "value")
+    blocks = settle(lines.mapInArrow(_quotes(skip), "_file string, _block bigint, quotes bigint, header string"))
     headers = [r.header for r in blocks.df.where("header is not null").select("header").distinct().limit(2).collect()]
     if len(headers) > 1:
         raise ValueError(f"the files in {path} have different headers: {headers[0]!r} and {headers[1]!r}")
-    before = F.sum("quotes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    states = blocks.df.select("file", "block", (F.coalesce(before, F.lit(0)) % 2 == 1).alias("inside"))
+    before = F.sum("quotes").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    states = blocks.df.select("_file", "_block", (F.coalesce(before, F.lit(0)) % 2 == 1).alias("inside"))
     known = lines if blocks.small else lines.withColumn("line", F.monotonically_increasing_id())
-    known = known.join(blocks.side(states), ["file", "block"])
+    known = known.join(blocks.side(states), ["_file", "_block"])
     if not blocks.small:
         # So many blocks that their states are joined by a shuffle: put the lines of each block in order again.
-        known = known.repartition("file", "block").sortWithinPartitions("file", "block", "line").drop("line")
-    found = known.select("file", "block", "value", "inside").mapInArrow(_records(skip), "file string, block bigint, kind string, record string")
+        known = known.repartition("_file", "_block").sortWithinPartitions("_file", "_block", "line").drop("line")
+    found = known.select("_file", "_block", "value", "inside").mapInArrow(_records(skip), "_file string, _block bigint, kind string, record string")
     pieces = checkpointed(found.where(F.col("kind") != _BODY))
-    begun = F.last(F.when(F.col("kind") == _TAIL, F.col("block")), ignorenulls=True).over(
-        Window.partitionBy("file").orderBy("block", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    begun = F.last(F.when(F.col("kind") == _TAIL, F.col("_block")), ignorenulls=True).over(
+        Window.partitionBy("_file").orderBy("_block", "kind").rowsBetween(Window.unboundedPreceding, 0))
     # Of one block the end of a record comes before the beginning of the next: "head" before "tail".
-    grouped = pieces.withColumn("begun", begun).groupBy("file", "begun").agg(F.array_sort(F.collect_list(F.struct("block", "kind", "record"))).alias("p"))
-    joined = grouped.select("file", F.array_join(F.transform("p", lambda p: p["record"]), "\n").alias("record"))
-    records = found.where(F.col("kind") == _BODY).select("file", "record").unionByName(joined)
+    grouped = pieces.withColumn("begun", begun).groupBy("_file", "begun").agg(F.array_sort(F.collect_list(F.struct("_block", "kind", "record"))).alias("p"))
+    joined = grouped.select("_file", F.array_join(F.transform("p", lambda p: p["record"]), "\n").alias("record"))
+    records = found.where(F.col("kind") == _BODY).select("_file", "record").unionByName(joined)
     records = records.withColumn("record", F.rtrim(F.col("record"), F.lit("\r")))
     if folders:
-        files = settle(given.select("file", *[F.col(f"`{c}`") for c in folders]).distinct())
-        records = records.join(files.side(), "file")
-    return (headers[0] if headers else None), records.drop("file")
+        files = settle(given.select("_file", *[F.col(f"`{c}`") for c in folders]).distinct())
+        records = records.join(files.side(), "_file")
+    return (headers[0] if headers else None), records.drop("_file")
 
 
 def guessed_types(rows: DataFrame) -> dict[str, str]:
