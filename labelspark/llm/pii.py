@@ -156,9 +156,10 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text")
         .agg(F.count("*").alias("together"), _two_texts().alias("several")).where("several").drop("several")
     )
     entities = held.groupBy("entity").agg(F.count("*").alias("holding"))
+    # Counted in the tasks before anything is shuffled: what travels is a vocabulary per task, not the words.
     words = docs.select(F.explode(F.array_distinct(_terms(F.col(text_col)))).alias("term"))
-    words = words.join(together.select("term").distinct(), "term", "left_semi")
     frequency = words.groupBy("term").agg(F.count("*").alias("frequency"))
+    frequency = frequency.join(together.select("term").distinct(), "term", "left_semi")
     rated = (
         together.join(frequency, "term").join(entities, "entity")
         .where((F.col("together") >= F.col("frequency")) | (F.col("together") >= EVIDENCE))
