@@ -47,7 +47,7 @@ KINDS = (*PATTERNS, "term")
 _MAY_HOLD = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _MARK, _OTHER = "\x01", "\x02"
-_BETWEEN_TERMS = r"[^\p{L}\p{N}]+"
+_BETWEEN_TERMS = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def _holds(kind: str, match: Column) -> Column:
@@ -137,7 +137,7 @@ def _holding(found: DataFrame) -> DataFrame:
     rows = found.where(F.size("base") > 0).select(
         "id", "digest", F.array_distinct(F.transform("base", name)).alias("entities"), _terms(outside).alias("words"))
     least = {f"m{k}": _least(F.col("triples"), k) for k in range(MINIMA)}
-    terms = F.filter(F.array_distinct("words"), lambda t: F.char_length(t) > 2)
+    terms = F.filter(F.array_distinct("words"), lambda t: t != "")
     rows = rows.withColumns({"triples": _triples(F.col("words")), "terms": terms}).withColumns(least)
     named = checkpointed(rows.select("id", "digest", F.explode("entities").alias("entity"), "terms", *least))
     several = named.groupBy("entity").agg(_two_texts().alias("several")).where("several").select("entity")
@@ -188,7 +188,7 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
     held = rows.join(wanted, same).dropDuplicates(["id", "digest"])
-    either = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("shares"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    either = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(F.map_keys("shares"), "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
     terms = held.select(
         F.col("id").alias("_id"), F.col("digest").alias("_digest"),
         F.transform(

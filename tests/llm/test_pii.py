@@ -123,3 +123,15 @@ def test_terms_where_the_entity_is_not_named(spark):
     assert {i for i, t in rows.items() if t == ["zebulon"]} == {*range(20), 50}
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert "zebulon" not in clean[50].lower() and clean[100] == docs[21][1]
+
+
+def test_short_and_marked_names(spark):
+    draw = random.Random(12)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(3)) + "x" for _ in range(150)]
+    some = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    names = ["Ng", "王伟", "मीनाक्षी"]
+    docs = [(20 * k + i, f"{some(40)} {name} {some(30)} person{k}@example.org") for k, name in enumerate(names) for i in range(12)]
+    docs += [(100 + i, some(80)) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    rows = {r.id: [t.span.value for t in r.terms] for r in pii.private_spans(df).collect()}
+    assert {i: t for i, t in rows.items() if t} == {20 * k + i: [name] for k, name in enumerate(names) for i in range(12)}
