@@ -11,9 +11,9 @@ Labelled pages are a bounded sample of pages that mark their article, and the te
 set into other layouts (sidebars, notices, adverts, forms and comments around and within the article).
 
 Defined results: a null, empty or textless page has an empty text; unclosed and stray tags, cut-off
-pages, and very long or deep ones are read as far as they go (elements deeper than ``DEEPEST`` are
-children of the open element of that depth, with their own names, texts and end tags); repeated rows give repeated results; empty tables give empty ones, and so does training:
-without labelled pages only layouts of a built-in sentence are learned from. Only the named columns
+pages, and very long or deep ones are read as far as they go (a nest of any depth keeps its elements;
+a level of the deepest page costs a pass over that level); repeated rows give repeated results; empty
+tables give empty ones, and so does training: without labelled pages only layouts of a built-in sentence are learned from. Only the named columns
 are read and returned.
 """
 
@@ -36,7 +36,6 @@ from labelspark.llm.common import seeded_share
 SAMPLE_PAGES = 300
 SAMPLE_CHARS = 40_000
 SEED = 3
-DEEPEST = 200
 BATCH_PAGES = 256
 
 # Fixed names of the markup language.
@@ -84,6 +83,30 @@ class Page:
         self.block: dict[int, int] = {}
         self.own_label: list[int] = []
         self._read(text, labels)
+        self._merge()
+
+    def _merge(self) -> None:
+        """Elements of one tag and without names that hold nothing but one another become one node."""
+        children = [0] * len(self.parent)
+        for parent in self.parent[1:]:
+            children[parent] += 1
+        bare = [not names and label < 0 for names, label in zip(self.names, self.own_label, strict=True)]
+        number, kept = [], []
+        for node, parent in enumerate(self.parent):
+            if parent > 0 and children[parent] == 1 and self.tag[node] == self.tag[parent] and bare[node] and bare[parent]:
+                number.append(number[parent])
+            else:
+                number.append(len(kept))
+                kept.append(node)
+        if len(kept) == len(number):
+            return
+        self.parent = [-1 if self.parent[k] < 0 else number[self.parent[k]] for k in kept]
+        self.tag, self.names, self.own_label = ([x[k] for k in kept] for x in (self.tag, self.names, self.own_label))
+        self.depth = [0]
+        for parent in self.parent[1:]:
+            self.depth.append(self.depth[parent] + 1)
+        self.texts = {number[k]: v for k, v in self.texts.items()}
+        self.block = {number[k]: v for k, v in self.block.items()}
 
     def _node(self, parent: int, tag: int, names: tuple[int, ...], label: int) -> int:
         self.parent.append(parent)
@@ -173,7 +196,7 @@ class Page:
             names, label = (), -1
             if found[3] and "=" in found[3]:
                 names, label = self._names(found[3], labels)
-            node = self._node(stack[min(len(stack) - 1, DEEPEST)], TAGS.get(tag, 0), names, label)
+            node = self._node(stack[-1], TAGS.get(tag, 0), names, label)
             places.setdefault(tag, []).append(len(stack))
             stack.append(node)
             tags.append(tag)
@@ -249,7 +272,7 @@ def forest(pages: list[Page]) -> Forest:
     volume, in_links, words = size.copy(), size * linked, count.copy()
     for rows in levels[:0:-1]:
         for sums in (volume, in_links, words):
-            sums += np.bincount(parent[rows], sums[rows], len(sums))
+            np.add.at(sums, parent[rows], sums[rows])
     features = np.full((len(shift), 5 + NAME_COLUMNS), NO_FEATURE)
     features[:, 0] = tag
     features[:, 1] = _PARENT + np.where(parent < 0, 0, tag[parent])
@@ -284,8 +307,7 @@ def messages(trees: Forest, weights: np.ndarray, pairs: np.ndarray):
     for rows in trees.levels[:0:-1]:
         both = up[rows][:, None, :] + pairs[trees.group[rows]]
         sent[rows] = np.logaddexp(both[:, :, 0], both[:, :, 1])
-        for state in (0, 1):
-            up[:, state] += np.bincount(trees.parent[rows], sent[rows, state], n)
+        np.add.at(up, trees.parent[rows], sent[rows])
     belief = up.copy()
     together = np.zeros((n, 2, 2))
     for rows in trees.levels[1:]:

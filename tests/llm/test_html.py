@@ -81,7 +81,22 @@ def test_text_after_and_in_a_deep_nest(deep):
     label = html.labels_of(page, html.TAGS["article"])
     assert page.content(np.ones(9_999, bool)) == "A\nmenu\ndeep\nB\nC"
     assert page.content(np.array(label, bool)) == "A\ndeep\nB"
-    assert max(page.depth) <= html.DEEPEST + 2
+
+
+@pytest.mark.parametrize("deep", [0, 100, 250, 3_000])
+def test_extraction_below_a_deep_nest(model, deep):
+    text = "".join(f"<p>Sentence {i} of an article that stands far below the root of its page.</p>" for i in range(8))
+    nested = lambda opened, closed: f"<html><body><nav><a href='/'>menu</a></nav>{opened}<article>{opened}<h1>Title</h1>{text}{closed}</article>{closed}<footer><p>foot</p></footer></body></html>"
+    flat = model.extract([nested("", "")])[0]
+    assert flat.startswith("Title\nSentence 0") and flat.endswith("its page.") and flat.count("\n") == 8
+    assert model.extract([nested("<div>" * deep, "</div>" * deep)])[0] == flat
+    assert model.extract([nested("<div><section>" * deep, "</section></div>" * deep)])[0] == flat
+
+
+def test_nests_are_one_node():
+    page = html.Page("<div><div><div><p>a</p></div></div></div><div><div class='x'><div>b</div></div></div>")
+    assert len(page.parent) == 8 and page.content(np.ones(9, bool)) == "a\nb"
+    assert html.Page("<b>" * 50_000 + "x").depth == [0, 1, 2]
 
 
 def test_all_names_count():
