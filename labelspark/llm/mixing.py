@@ -9,8 +9,9 @@ is found by counting the hash space in cells that get finer, so no group is ever
 What the document at the cut would overfill goes to later, smaller ones, in ``ROUNDS`` rounds.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source, or an empty or
-null list of sources, is a source of its own, last in order; repeated rows share a hash and are taken
-alike; an empty table gives an empty one. Only the id and the named results are returned by
+null list of sources, is a source of its own, last in order; repeated rows (also rows without
+an id that share a text) are numbered, each with a hash of its own, so a mix may take some of them;
+a very long text is one document and is taken whole or not at all; an empty table gives an empty one. Only the id and the named results are returned by
 :func:`mix_plan`; :func:`mixed` returns all columns, whatever their names.
 """
 
@@ -25,14 +26,15 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from labelspark.llm.common import WORD
-from labelspark.session import checkpointed
+from labelspark.session import Settled, checkpointed, settle
 
 # Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 SEED = 11
 ROUNDS = 3
-# Patterns are rows of a broadcast table; a corpus with more is not mixed by named sources.
+# Patterns reach the driver, which finds the flow; a corpus with more is not mixed by named sources. Spark
+# measures their tables and broadcasts only small ones.
 MAX_PATTERNS = 100_000
 
 
@@ -66,6 +68,7 @@ def cheapest_flow(patterns: list[tuple[list[int], int]], quotas: list[int], most
     """
     n, m = len(patterns), len(quotas)
     given: list[dict[int, int]] = [dict.fromkeys(sources, 0) for sources, _ in patterns]
+    arcs_p = [list(g) for g in given]
     of_source: list[list[int]] = [[] for _ in range(m)]
     for p, (sources, _) in enumerate(patterns):
         for s in sources:
@@ -95,27 +98,37 @@ def cheapest_flow(patterns: list[tuple[list[int], int]], quotas: list[int], most
                             queue.append(("p", p))
             if reached is None:
                 break
-            arcs_p = [iter(list(g)) for g in given]
-            arcs_s = [iter(ps) for ps in of_source]
+            # Where each one's arcs go on: an arc that led nowhere does so until the next levels.
+            at_p, at_s = [0] * n, [0] * m
             for first in range(n):
                 while supply[first] > 0:
                     path: list[int] = [first]  # patterns and sources in turns
                     while path:
                         at = path[-1]
                         if len(path) % 2:
-                            step = next((s for s in arcs_p[at] if level_s[s] == level_p[at] + 1), None)
-                            if step is None:
+                            arcs, i = arcs_p[at], at_p[at]
+                            while i < len(arcs) and level_s[arcs[i]] != level_p[at] + 1:
+                                i += 1
+                            at_p[at] = i
+                            if i == len(arcs):
                                 path.pop()
+                                if path:
+                                    at_s[path[-1]] += 1
                                 continue
+                            step = arcs[i]
                             path.append(step)
                             if room[step] > 0:
                                 break
                         else:
-                            step = next((p for p in arcs_s[at] if level_p[p] == level_s[at] + 1 and given[p][at] > 0), None)
-                            if step is None:
+                            arcs, i = of_source[at], at_s[at]
+                            while i < len(arcs) and (level_p[arcs[i]] != level_s[at] + 1 or given[arcs[i]][at] <= 0):
+                                i += 1
+                            at_s[at] = i
+                            if i == len(arcs):
                                 path.pop()
+                                at_p[path[-1]] += 1
                                 continue
-                            path.append(step)
+                            path.append(arcs[i])
                     if not path:
                         break
                     amount = min(supply[first], room[path[-1]])
@@ -127,8 +140,6 @@ def cheapest_flow(patterns: list[tuple[list[int], int]], quotas: list[int], most
                         given[path[i]][path[i + 1]] += amount
                         if i:
                             given[path[i]][path[i - 1]] -= amount
-                    arcs_p = [iter(list(g)) for g in given]
-                    arcs_s = [iter(ps) for ps in of_source]
     return given
 
 
@@ -138,6 +149,7 @@ class Plan:
 
     patterns: DataFrame
     sized: DataFrame
+    repeats: Settled
     sizes: list[int]
     targets: list[float]
     taken: list[int]
@@ -159,14 +171,35 @@ def _draw(id_col: str, text: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(id_col), text)
 
 
+def _numbered(rows: DataFrame, repeats: Settled) -> DataFrame:
+    """``rows`` with draws of their own: those that share a ``_mix_draw`` are numbered from 0.
+
+    They are numbered within the parts that they are read in, and the parts after one another, so rows that
+    occur very often are never gathered in one task; rows that occur once are not moved for it.
+    """
+    if repeats.small and not repeats.table.num_rows:
+        return rows
+    alone = rows.join(repeats.side(), "_mix_draw", "left_anti")
+    many = checkpointed(rows.join(repeats.side(), "_mix_draw", "left_semi").withColumn("_mix_part", F.spark_partition_id()))
+    parts = many.groupBy("_mix_draw", "_mix_part").agg(F.count("*").alias("_mix_n"))
+    before = F.sum("_mix_n").over(W.partitionBy("_mix_draw").orderBy("_mix_part").rowsBetween(W.unboundedPreceding, -1))
+    parts = settle(parts.select("_mix_draw", "_mix_part", F.coalesce(before, F.lit(0)).alias("_mix_before")))
+    place = F.row_number().over(W.partitionBy("_mix_draw", "_mix_part").orderBy(F.lit(0)))
+    placed = many.withColumn("_mix_place", place).join(parts.side(), ["_mix_draw", "_mix_part"])
+    own = F.xxhash64("_mix_draw", F.col("_mix_before") + F.col("_mix_place"))
+    return alone.unionByName(placed.withColumn("_mix_draw", own).select(*[F.col(f"`{c}`") for c in rows.columns]))
+
+
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "source",
              weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> Plan:
     """The flow and the seeded selection for all documents."""
     text = F.col(text_col)
     sized = checkpointed(docs.select(
         F.col(id_col).alias("id"), _pattern(docs, sources_col).alias("pattern"), _size(text).alias("size"),
-        _draw(id_col, text, seed).alias("draw"),
+        _draw(id_col, text, seed).alias("_mix_draw"),
     ))
+    repeats = settle(sized.groupBy("_mix_draw").count().where("count > 1").select("_mix_draw"))
+    sized = checkpointed(_numbered(sized, repeats).withColumnRenamed("_mix_draw", "draw"))
     rows = sized.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -193,8 +226,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
                         F.array().cast("array<bigint>").alias("limits"))
     for _ in range(ROUNDS):
         cuts = _next_cut(sized, cuts)
-    found = flows.drop("rest").join(F.broadcast(cuts.drop("rest")), "pattern")
-    return Plan(checkpointed(found), sized, sizes, wanted, taken)
+    found = flows.drop("rest").join(cuts.drop("rest"), "pattern")
+    return Plan(checkpointed(found), sized, repeats, sizes, wanted, taken)
 
 
 def _next_cut(sized: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -202,7 +235,7 @@ def _next_cut(sized: DataFrame, cuts: DataFrame) -> DataFrame:
     the rest are taken in order of their draws while they fit. The first that doesn't ends the round."""
     in_order = W.partitionBy("pattern").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     ends = cuts.where("rest > 0").select("pattern", "rest", F.col("rest").alias("limit"), F.try_element_at("cuts", F.lit(-1)).alias("last"))
-    open_ = sized.where("size > 0").join(F.broadcast(ends), "pattern").where("size <= limit and (last is null or draw > last)")
+    open_ = sized.where("size > 0").join(ends, "pattern").where("size <= limit and (last is null or draw > last)")
     open_ = open_.select("pattern", "size", "draw", "rest")
     found = None
     for cell in (F.shiftright("draw", 56), F.shiftright("draw", 48), F.shiftright("draw", 40), F.col("draw")):
@@ -215,12 +248,12 @@ def _next_cut(sized: DataFrame, cuts: DataFrame) -> DataFrame:
             F.max(F.when(whole, F.col("end"))).alias("end"), F.coalesce(F.max(F.when(whole, F.col("before") + F.col("words"))), F.lit(0)).alias("used"),
             F.min(F.when(~whole, F.col("cell"))).alias("cell")))
         each = level.select("pattern", "end", "used")
-        found = each if found is None else found.join(F.broadcast(each.withColumnsRenamed({"end": "e", "used": "u"})), "pattern", "left").select(
+        found = each if found is None else found.join(each.withColumnsRenamed({"end": "e", "used": "u"}), "pattern", "left").select(
             "pattern", F.coalesce("e", "end").alias("end"), (F.col("used") + F.coalesce("u", F.lit(0))).alias("used"))
         # one row a pattern
-        open_ = open_.withColumn("cell", cell).join(F.broadcast(level.drop("end")), ["pattern", "cell"])
+        open_ = open_.withColumn("cell", cell).join(level.drop("end"), ["pattern", "cell"])
         open_ = open_.select("pattern", "size", "draw", (F.col("rest") - F.col("used")).alias("rest"))
-    joined = cuts.join(F.broadcast(found), "pattern", "left")
+    joined = cuts.join(found, "pattern", "left")
     cut = F.coalesce("end", F.try_element_at("cuts", F.lit(-1)))
     return checkpointed(joined.select(
         "pattern", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"),
@@ -239,7 +272,7 @@ def _taken(times: Column, cuts: Column, limits: Column, draw: Column, size: Colu
 def mix_counts(plan: Plan) -> DataFrame:
     """``(id, size, source_size, target, taken)`` of every row; size and target are those of the first
     source of the row's pattern, ``taken`` counts words with their repeats."""
-    rows = plan.sized.join(F.broadcast(plan.patterns), "pattern")
+    rows = plan.sized.join(plan.patterns, "pattern")
     times = _taken(F.col("times"), F.col("cuts"), F.col("limits"), F.col("draw"), F.col("size"))
     return rows.select("id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
 
@@ -249,11 +282,12 @@ def mixed(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "
     """The mix: every document as often as it is taken, with all its columns."""
     names = {c: f"_mix_{c}" for c in ("pattern", "times", "cuts", "limits")}
     chosen = plan.patterns.select(*[F.col(c).alias(n) for c, n in names.items()])
-    rows = docs.withColumn("_mix_docs_pattern", _pattern(docs, sources_col)).join(
-        F.broadcast(chosen), F.col("_mix_docs_pattern") == F.col("_mix_pattern")
-    )
     text = F.col(text_col)
-    times = _taken(F.col("_mix_times"), F.col("_mix_cuts"), F.col("_mix_limits"), _draw(id_col, text, seed), _size(text)).cast("int")
+    rows = _numbered(docs.withColumn("_mix_draw", _draw(id_col, text, seed)), plan.repeats)
+    rows = rows.withColumn("_mix_docs_pattern", _pattern(docs, sources_col)).join(
+        chosen, F.col("_mix_docs_pattern") == F.col("_mix_pattern")
+    )
+    times = _taken(F.col("_mix_times"), F.col("_mix_cuts"), F.col("_mix_limits"), F.col("_mix_draw"), _size(text)).cast("int")
     return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), times))).select(
         *[F.col(f"`{c}`") for c in docs.columns]
     )

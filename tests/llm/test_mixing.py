@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -67,6 +68,39 @@ def test_overlapping_sources(spark):
     assert sum(len(r.text.split()) for r in taken) == pytest.approx(total, rel=0.02)
 
 
+def test_flow_of_many_patterns():
+    draw = random.Random(5)
+    patterns = [(draw.sample(range(60), draw.randint(1, 5)), draw.randint(1, 900)) for _ in range(50_000)]
+    total = sum(size for _, size in patterns)
+    quotas = [total // 60 if s % 3 else total // 40 for s in range(60)]
+    began = time.process_time()
+    given = mixing.cheapest_flow(patterns, quotas)
+    assert time.process_time() - began < 60
+    assert all(sum(g.values()) <= 3 * size for g, (_, size) in zip(given, patterns))
+    filled = [0] * 60
+    for g in given:
+        for s, amount in g.items():
+            filled[s] += amount
+    assert filled == quotas
+
+
+@pytest.mark.parametrize("ids", [True, False])
+def test_repeated_rows_reach_the_target(spark, ids):
+    """A source of one row 600 times, among sources of different documents; more columns tell its rows apart."""
+    rows = [(7 if ids else None, "a", "word " * 50, i) for i in range(600)]
+    rows += [(1_000 + i, "b" if i % 2 else "c", f"{i} " * 50, i) for i in range(1_200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, draw int").repartition(7)
+    plan = mixing.mix_plan(docs)
+    count = lambda p: sorted((r.id or 0, r.taken) for r in mixing.mix_counts(p).collect())
+    counts = count(plan)
+    copies = [t for i, t in counts if i in (0, 7)]
+    assert len(copies) == 600 and len(set(copies)) == 2 and max(copies) <= 150
+    assert abs(sum(copies) - plan.targets[0]) <= 50
+    assert count(mixing.mix_plan(docs.repartition(3))) == counts
+    taken = [r.draw for r in mixing.mixed(docs, plan).collect() if r.source == "a"]
+    assert 50 * len(taken) == sum(copies) and len(set(taken)) == 600
+
+
 def test_odd_tables(odd, none):
     plan = mixing.mix_plan(odd)
     counts = mixing.mix_counts(plan).collect()
