@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.llm.common import byte_texts, connected_components
-from labelspark.session import checkpointed
+from labelspark.session import checkpointed, settle
 
 SEED = 42
 SHINGLE = 3
@@ -39,8 +39,10 @@ BLOCK = (256, 2_048)
 HELD_LINKS = 1_000_000
 # Parts that the nodes of one component are dealt into when they look it up.
 SPREAD = 16
-# Candidates of a node, or between two parts, that are confirmed before all the others.
-FIRST_LINKS = 2
+# Nodes with signatures, and with shingle sets, in a tile; and tiles that a smaller table is cut into.
+SIGNATURE_ROWS = 262_144
+SET_ROWS = 8_192
+FEWEST_TILES = 8
 # Shingles hashed at once.
 HASHED = 1 << 16
 
@@ -184,13 +186,27 @@ def compare(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarra
     return reduced()
 
 
-def _first_links(x: np.ndarray, y: np.ndarray, score: np.ndarray, by: np.ndarray, most: int):
-    """Of the links with the same ``by``, the ``most`` with the highest scores."""
-    order = np.lexsort((-score, by))
-    by = by[order]
-    place = np.arange(len(by)) - np.searchsorted(by, by, "left")
-    order = order[place < most]
-    return x[order], y[order], score[order]
+def best_forest(n: int, a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Positions of the links of a spanning forest with the highest scores: every part takes its best link
+    to another part, round by round. Ties go by ``a``, then ``b``."""
+    order = np.lexsort((b, a, -score))
+    a, b = a[order], b[order]
+    label, chosen, left = np.arange(n), np.zeros(len(a), bool), np.arange(len(a))
+    while True:
+        x, y = label[a[left]], label[b[left]]
+        apart = x != y
+        left, x, y = left[apart], x[apart], y[apart]
+        if not len(left):
+            return order[chosen]
+        best = np.full(n, len(a))
+        np.minimum.at(best, x, left)
+        np.minimum.at(best, y, left)
+        picked = np.unique(best[best < len(a)])
+        chosen[picked] = True
+        move = np.arange(n)
+        other, least = forest(n, label[a[picked]], label[b[picked]])
+        move[other] = least
+        label = move[label]
 
 
 def _tiles(counts: dict[int, int], rows: int, radius: int) -> tuple[list[int], list[int], list[int], list[int]]:
@@ -252,61 +268,82 @@ def tile_links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROW
     return _tiled(nodes, radius, tile_rows).select("x", "y", "tile", "node", "fp").groupBy("x", "y").applyInArrow(run, "a bigint, b bigint")
 
 
-def candidates(nodes: DataFrame, radius: int, least: int, tile_rows: int = TILE_ROWS, most: int | None = None,
-               between: bool = False) -> DataFrame:
-    """``(a, b)``: pairs of ``nodes (node, fp, signature, part)`` from different parts, within ``radius`` bits and
-    with at least ``least`` equal places of their signatures.
+def _signature_pairs(sides: list[pa.Table], radius: int, least: int):
+    """``(x, y, equal places)`` of the pairs of two sides that are candidates, block by block."""
+    words = [_words(s) for s in sides]
+    signs = [np.frombuffer(b"".join(s["signature"].to_pylist()), np.uint8).reshape(-1, SIGNATURE) for s in sides]
+    for x, y in near_pairs(words[0], words[-1], radius):
+        equal = np.empty(len(x), np.int64)
+        for k in range(0, len(x), 65_536):
+            equal[k:k + 65_536] = (signs[0][x[k:k + 65_536]] == signs[-1][y[k:k + 65_536]]).sum(axis=1)
+        near = equal >= least
+        if near.any():
+            yield x[near], y[near], equal[near]
 
-    All of them, or of each pair of tiles the ``most`` with the most equal places that start at a node
-    (``between``: that lie between two parts).
-    """
 
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = _sides(key, pa.Table.from_batches(list(batches)))
-        words = [_words(s) for s in sides]
-        names = [s["node"].to_numpy() for s in sides]
-        parts = [s["part"].to_numpy() for s in sides]
-        signs = [np.frombuffer(b"".join(s["signature"].to_pylist()), np.uint8).reshape(-1, SIGNATURE) for s in sides]
-        draw = np.random.default_rng(SEED)
+def candidates(nodes: DataFrame, radius: int, least: int, tile_rows: int) -> DataFrame:
+    """``(a, b)``: pairs of ``nodes (node, fp, signature)`` within ``radius`` bits and with at least ``least``
+    equal places of their signatures; of each pair of tiles a spanning forest of those with the most."""
+
+    def run(key, table):
+        sides = _sides(key, table)
+        nodes = np.concatenate([s["node"].to_numpy() for s in sides])
+        shift = 0 if len(sides) == 1 else sides[0].num_rows
         held, size = [], 0
 
-        def chosen():
-            x, y, score = (np.concatenate([h[k] for h in held]) for k in range(3))
-            by = x
-            if between:
-                p, q = parts[0][x], parts[-1][y]
-                by = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0, return_inverse=True)[1].ravel()
-            return _first_links(x, y, score, by, most)
-
-        def batch(x, y):
-            return pa.RecordBatch.from_arrays([pa.array(names[0][x]), pa.array(names[-1][y])], ["a", "b"])
-
-        for x, y in near_pairs(words[0], words[-1], radius):
-            apart = parts[0][x] != parts[-1][y]
-            x, y = x[apart], y[apart]
-            equal = np.empty(len(x), np.int64)
-            for k in range(0, len(x), 65_536):
-                equal[k:k + 65_536] = (signs[0][x[k:k + 65_536]] == signs[-1][y[k:k + 65_536]]).sum(axis=1)
-            near = equal >= least
-            x, y, equal = x[near], y[near], equal[near]
-            if not len(x):
-                continue
-            if most is None:
-                yield batch(x, y)
-                continue
-            held.append((x, y, equal + draw.random(len(x))))  # ties at random, so no node gets all links
+        def reduced():
+            x, y, score = (np.concatenate([h[k] for h in held] or [np.empty(0, np.int64)]) for k in range(3))
+            best = best_forest(len(nodes), x, y, score)
+            return x[best], y[best], score[best]
+
+        for x, y, equal in _signature_pairs(sides, radius, least):
+            held.append((x, y + shift, equal))
             size += len(x)
             if size > HELD_LINKS:
-                held = [chosen()]
-                # where little is left out, room for as much again
-                size = max(0, len(held[0][0]) - HELD_LINKS // 2)
-        if held:
-            yield batch(*chosen()[:2])
+                held = [reduced()]
+                size = 0
+        x, y, _ = reduced()
+        return pa.table({"a": nodes[x], "b": nodes[y]})
+
+    columns = ["x", "y", "tile", "node", "fp", "signature"]
+    return _tiled(nodes, radius, tile_rows).select(columns).groupBy("x", "y").applyInArrow(run, "a bigint, b bigint")
+
+
+def similar_between(nodes: DataFrame, radius: int, least: int, similarity: tuple[int, int], tile_rows: int = SET_ROWS) -> DataFrame:
+    """``(a, b)``: links that connect what is similar by its shingle set, of the candidates between different parts
+    of one group, of ``nodes (node, fp, signature, group, part, shingles)``. A task compares the sets of two tiles
+    and passes over pairs whose parts its links connect already, so it returns a forest and never all pairs."""
 
-    columns = ["x", "y", "tile", "node", "fp", "signature", "part"]
+    def run(key, table):
+        sides = _sides(key, table)
+        names, groups, parts = ([s[c].to_numpy() for s in sides] for c in ("node", "group", "part"))
+        sets = [[np.frombuffer(v.as_buffer(), "<u8") for v in s["shingles"].combine_chunks()] for s in sides]
+        number, label = np.unique(np.concatenate(parts), return_inverse=True)
+        label = [label[:len(parts[0])], label[-len(parts[-1]):]]
+        root, a, b = np.arange(len(number)), [], []
+        for x, y, equal in _signature_pairs(sides, radius, least):
+            todo = np.flatnonzero((groups[0][x] == groups[-1][y]) & (root[label[0][x]] != root[label[1][y]]))
+            for i in todo[np.argsort(-equal[todo], kind="stable")].tolist():
+                p, q = root[label[0][x[i]]], root[label[1][y[i]]]
+                if p != q and _similar(sets[0][x[i]], sets[-1][y[i]], similarity):
+                    root[root == max(p, q)] = min(p, q)
+                    a.append(names[0][x[i]])
+                    b.append(names[-1][y[i]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    columns = ["x", "y", "tile", "node", "fp", "signature", "group", "part", "shingles"]
     return _tiled(nodes, radius, tile_rows).select(columns).groupBy("x", "y").applyInArrow(run, "a bigint, b bigint")
 
 
+def _similar(one: np.ndarray, two: np.ndarray, similarity: tuple[int, int]) -> bool:
+    """Whether two sets of distinct hashes are as similar as the fraction, or more; empty ones are not."""
+    share, whole = similarity
+    if not len(one) or not len(two) or whole * min(len(one), len(two)) < share * max(len(one), len(two)):
+        return False
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return whole * both >= share * (len(one) + len(two) - both)
+
+
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """``(node, shingles binary)``: the sorted distinct hashes of ``texts (node, text)``."""
 
@@ -323,16 +360,13 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 def confirmed(links: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The ``links (a, b)`` whose shingle sets are as similar as the fraction ``similarity``, or more."""
-    share, whole = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sure = np.zeros(batch.num_rows, bool)
             for i, (p, q) in enumerate(zip(batch["p"], batch["q"], strict=True)):
                 one, two = (np.frombuffer(s.as_buffer(), "<u8") for s in (p, q))
-                if len(one) and len(two):
-                    both = len(np.intersect1d(one, two, assume_unique=True))
-                    sure[i] = whole * both >= share * (len(one) + len(two) - both)
+                sure[i] = _similar(one, two, similarity)
             yield batch.select(["a", "b"]).filter(pa.array(sure))
 
     named = lambda key, value: sets.select(F.col("node").alias(key), F.col("shingles").alias(value))
@@ -361,37 +395,33 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int, least: int, similarity: tuple[int, int],
-                  tile_rows: int = TILE_ROWS) -> DataFrame:
+                  tile_rows: int | None = None) -> DataFrame:
     """``(a, b)``: confirmed links that connect the ``nodes (node, fp, signature, least (none, id, digest))`` whose
     shingle sets in ``docs (id, digest, text)`` are similar.
 
-    First some candidates of every node are confirmed, then some between the parts that these connect, then
-    all that are left between different parts. So a dense group costs few comparisons, and no candidate is
-    left out that could connect two parts.
+    One pass over all tiles gives forests of the best candidates, whose links are confirmed. Nodes that candidates
+    connect and confirmed links don't are compared once more, with their sets in the tasks. So no candidate is left
+    out that could connect two parts, and no pass writes more links than it reads nodes.
     """
-    bare = nodes.select("node", "fp", "signature")
-    parts = nodes.select("node", F.col("node").alias("part"))
-    sets = found = None
-    for most, between in ((FIRST_LINKS, False), (FIRST_LINKS, True), (None, False)):
-        links = checkpointed(candidates(bare.join(parts, "node"), radius, least, tile_rows, most, between))
-        if links.isEmpty():
-            break
-        if sets is None:  # a node without a link here has none later
-            linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            linked = linked.join(nodes, "node").select("node", F.col("least.id").alias("_id"), F.col("least.digest").alias("_digest"))
-            same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
-            texts = docs.join(linked, same).select("node", "text")
-            sets = checkpointed(_shingle_sets(texts, shingle).dropDuplicates(["node"]))
-        sure = checkpointed(confirmed(links, sets, similarity))
-        found = sure if found is None else found.union(sure)
-        if most is not None:
-            joined = connected_components(found)
-            parts = checkpointed(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part")))
-    return links if found is None else found
+    rows = tile_rows or min(SIGNATURE_ROWS, max(-(-nodes.count() // FEWEST_TILES), 1))
+    links = checkpointed(candidates(nodes.select("node", "fp", "signature"), radius, least, rows))
+    if links.isEmpty():
+        return links
+    groups = checkpointed(connected_components(links).withColumnRenamed("component", "group"))
+    linked = checkpointed(groups.join(nodes, "node").select("node", F.col("least.id").alias("_id"), F.col("least.digest").alias("_digest")))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    texts = docs.join(linked, same).select("node", "text")
+    sets = checkpointed(_shingle_sets(texts, shingle).dropDuplicates(["node"]))
+    sure = checkpointed(confirmed(links, sets, similarity))
+    parts = groups.join(connected_components(sure), "node", "left").select("node", "group", F.coalesce("component", "node").alias("part"))
+    parts = checkpointed(parts)
+    open_ = parts.groupBy("group").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("group")
+    left = checkpointed(parts.join(open_, "group").join(nodes.select("node", "fp", "signature"), "node").join(sets, "node"))
+    return sure.union(checkpointed(similar_between(left, radius, least, similarity, min(rows, SET_ROWS))))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-                     radius: int = 21, least: int = 84, similarity: tuple[int, int] = (4, 5), tile_rows: int = TILE_ROWS) -> DataFrame:
+                     radius: int = 21, least: int = 84, similarity: tuple[int, int] = (4, 5), tile_rows: int | None = None) -> DataFrame:
     """One document, that with the smallest id, of each group of near-copies, with all its columns.
 
     Fingerprints are those of distinct shingles, as similarity is that of sets. Documents of a similarity of
@@ -413,8 +443,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = similar_links(texts, nodes, shingle, radius, least, similarity, tile_rows)
     # groups that hold one row are kept as they are, so every group is named by its first row
     kept = _components(nodes.select("node", "least"), links).select("component").distinct()
-    kept = kept.select(F.col("component.id").alias("_kept_id"), F.col("component.digest").alias("_kept_digest"))
+    kept = checkpointed(kept.select(F.col("component.id").alias("_kept_id"), F.col("component.digest").alias("_kept_digest")))
     rows = docs.withColumn("_row_digest", F.xxhash64(text))
     same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_row_digest") == F.col("_kept_digest"))
-    found = rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_row_digest"])
+    found = rows.join(kept, same, "left_semi")
+    # Only rows that repeat an id and a text are brought together.
+    again = marked.groupBy("id", "digest").count().where("count > 1")
+    again = settle(again.select(F.col("id").alias("_kept_id"), F.col("digest").alias("_kept_digest")))
+    if not again.small or again.table.num_rows:
+        twice = found.join(again.side(), same, "left_semi").dropDuplicates([id_col, "_row_digest"])
+        found = found.join(again.side(), same, "left_anti").unionByName(twice)
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -65,6 +65,33 @@ def test_forest_is_bounded():
     assert len(a) == 2_999 and (b == 0).all()
 
 
+def test_best_forest():
+    draw = np.random.default_rng(4)
+    for _ in range(100):
+        n, m = int(draw.integers(2, 12)), int(draw.integers(0, 40))
+        a, b, score = draw.integers(0, n, m), draw.integers(0, n, m), draw.integers(0, 5, m)
+        best = simhash.best_forest(n, a, b, score)
+        label, total, links = list(range(n)), 0, 0
+        for i in np.argsort(-score, kind="stable"):
+            if label[a[i]] != label[b[i]]:
+                label = [label[a[i]] if x == label[b[i]] else x for x in label]
+                total, links = total + score[i], links + 1
+        assert len(best) == links and score[best].sum() == total
+
+
+def test_dense_group_below_the_similarity(spark):
+    """Some 80,000 candidate pairs, none similar: each pass writes fewer links than nodes, and all rows stay."""
+    draw = random.Random(12)
+    some = lambda n: ["".join(draw.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    base = some(300)
+    docs = [(i, " ".join(base[:265] + some(35))) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    prints = simhash.fingerprints(df, shingle=5, signatures=True, distinct=True)
+    nodes = prints.withColumnRenamed("doc_id", "node")
+    assert 0 < simhash.candidates(nodes, 21, 84, 1_000).count() < 400
+    assert simhash.drop_near_copies(df).count() == 400
+
+
 def test_drop_near_copies(spark, odd, none):
     draw = random.Random(3)
     words = ["".join(draw.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(4_000)]
