@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import sys
+import threading
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -129,6 +131,59 @@ def test_another_prompt_is_another_request(spark, tmp_path):
     assert spark.read.parquet(path).count() == 25
 
 
+def test_requests_are_read_once(spark, tmp_path):
+    path, read = str(tmp_path / "once"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = requests(spark, 40)
+    watched = rows.mapInPandas(counted, rows.schema)
+    assert I.infer_to(watched, echo, path, ["id", "run_id"], steps=8).count() == 40
+    assert read.value == 40
+    assert I.infer_to(watched, refuse, path, ["id", "run_id"], steps=5).where("response.text = ''").count() == 0
+    assert read.value == 80
+
+
+def test_an_unreadable_store_is_no_empty_one(spark, tmp_path):
+    path = tmp_path / "spoilt"
+    path.mkdir()
+    (path / "part-00000.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        I.infer_to(requests(spark), echo, str(path), ["id", "run_id"])
+    assert [f.name for f in path.iterdir()] == ["part-00000.parquet"]
+
+
+def test_no_requests(spark, tmp_path):
+    got = I.infer_to(requests(spark, 0), echo, str(tmp_path / "none"), ["id", "run_id"])
+    assert got.count() == 0 and "response" in got.columns
+
+
+def slow():
+    state = {"now": 0, "most": 0}
+    lock = threading.Lock()
+
+    def respond(messages, options):
+        with lock:
+            state["now"] += 1
+            state["most"] = max(state["most"], state["now"])
+        time.sleep(0.02)
+        with lock:
+            state["now"] -= 1
+        return {"text": messages[-1]["content"], "total_tokens": state["most"]}
+
+    return respond
+
+
+@pytest.mark.parametrize("calls", [1, 4])
+def test_calls_in_flight(spark, calls):
+    rows = I.infer(requests(spark, 40), slow, partitions=1, calls=calls).collect()
+    assert all(r.response.text == f"text {r.id}" for r in rows) and len(rows) == 40
+    assert max(r.response.total_tokens for r in rows) == calls
+
+
 @pytest.mark.parametrize("written", [False, True])
 def test_evaluate(spark, tmp_path, written):
     rows = spark.range(30).select("id", F.concat(F.lit(" class "), F.col("id") % 3).alias("text"),
