@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.operators import metrics as M
@@ -10,7 +13,10 @@ from labelspark.plans.config import RunConfig
 from labelspark.queries.evaluation import (
     ANSWER_COLUMNS,
     ANSWER_TABLE_SQL,
+    COUNTS_SQL,
     KEY,
+    NAMES_SQL,
+    REPORT_SQL,
     RUN_REPORT_SQL,
     VOCAB,
     order_counts,
@@ -19,7 +25,7 @@ from labelspark.queries.evaluation import (
 )
 from labelspark.queries.labels import HASH_SPLIT_SQL
 from labelspark.queries.registry import ANSWERS_SQL, PRIORITY, query, table
-from labelspark.session import scratch_path
+from labelspark.session import checkpointed, scratch_path
 from labelspark.sources import runs, tables
 
 
@@ -112,6 +118,10 @@ def legacy_run_upgrade(spark, folder):
         F.col(f"predicted.{PRIORITY}").alias("pred_id"), F.col(f"actual.{PRIORITY}").alias("true_id"))
 
 
+ANSWER_SCHEMA = (f"{KEY} long, Text string, `LLM Response` string, `LLM Reasoning` string, `Prediction Time` double, "
+                 f"`Total Tokens` int, `Predicted {PRIORITY}` string, `True {PRIORITY}` string")
+
+
 @query(ANSWER_TABLE_SQL + " where pred_id <> true_id")
 def report_sink(spark, folder):
     """A whole run written and its answers read back."""
@@ -119,20 +129,55 @@ def report_sink(spark, folder):
     config = RunConfig("Known answers", 16, "Choose a priority.")
     report = M.classification_report(order_counts(spark, folder))
     path = runs.write_run(order_predictions(spark, folder), VOCAB, config, report, KEY, 12.5, out)
-    schema = (f"{KEY} long, Text string, `LLM Response` string, `LLM Reasoning` string, `Prediction Time` double, "
-              f"`Total Tokens` int, `Predicted {PRIORITY}` string, `True {PRIORITY}` string")
-    back = tables.read_csv(spark, f"{path}/incorrect_answers.csv", schema).drop("LLM Reasoning")
+    back = tables.read_csv(spark, f"{path}/incorrect_answers.csv", ANSWER_SCHEMA).drop("LLM Reasoning")
     return back.withColumnsRenamed(ANSWER_COLUMNS)
 
 
 @query(f"""with {RUN_REPORT_SQL} select run_id, 'o_orderpriority' as label_name, row_key, round(precision, 6) as precision,
              round(recall, 6) as recall, round(f1, 6) as f1, round(support, 6) as support from report""")
 def report_scan(spark, folder):
-    """Reports of many runs written one by one and read in one scan."""
+    """Reports of many runs written in one job and read in one scan."""
     out = scratch_path(spark, "reports")
-    report = run_report(spark, folder)
-    names = sorted(r.run_id for r in report.select("run_id").distinct().collect())
-    for name in names:
-        runs.write_reports(report.where(F.col("run_id") == name).drop("run_id"), [PRIORITY], f"{out}/{name}")
+    runs.write_reports(run_report(spark, folder), [PRIORITY], out, run="run_id")
     back = runs.read_reports(spark, f"{out}/*")
     return back.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "support")})
+
+
+RUN_FILES_SQL = f"""{COUNTS_SQL},{REPORT_SQL.format(by='', group='')},
+named as (select {NAMES_SQL} as names),
+given as (select o_orderkey, 'order ' || o_orderkey || ' of ' || o_custkey as text, names[pred_id + 1] as predicted, pred_id, true_id,
+                 o_orderpriority as actual, (o_orderkey % 16) / 16 as latency, 10 + o_orderkey % 7 + o_orderkey % 5 as tokens from parsed, named)"""
+
+
+@query(f"""with {RUN_FILES_SQL}
+select 'run' as part, 'Known answers' as name, null as text, null as predicted, null as actual, 16.0::double as a, 12.5::double as b, null::double as c, null::double as d
+union all select 'samples', cast(o_orderkey as varchar), text, cast(pred_id as varchar), cast(true_id as varchar), latency, tokens::double, null, null from given
+union all select 'report', row_key, 'o_orderpriority', null, null, round(precision, 6), round(recall, 6), round(f1, 6), round(support, 6) from report
+union all select 'answers', cast(o_orderkey as varchar), text, predicted, actual, latency, tokens::double, null, null from given
+union all select 'incorrect', cast(o_orderkey as varchar), text, predicted, actual, latency, tokens::double, null, null from given where pred_id <> true_id""")
+def run_sink(spark, folder):
+    """A whole run written, and its five outputs read back."""
+    rows = checkpointed(order_predictions(spark, folder))
+    config = RunConfig("Known answers", 16, "Choose a priority.")
+    report = M.classification_report(M.confusion_counts(rows, VOCAB))
+    path = runs.write_run(rows, VOCAB, config, report, KEY, 12.5, scratch_path(spark, "results"))
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    names = ("part", "name", "text", "predicted", "actual", "a", "b", "c", "d")
+
+    def part(df, *columns):
+        return df.select(*[c.alias(n) for c, n in zip(columns, names)])
+
+    parts = [
+        part(runs.read_headers(spark, f"{path}/run"), F.lit("run"), F.col("config.technique_name"), text, text, text,
+             F.col("config.max_tokens").cast("double"), F.col("total_time_elapsed"), number, number),
+        part(runs.read_samples(spark, f"{path}/samples", list(VOCAB), f"{KEY} long"), F.lit("samples"), F.col(KEY).cast("string"), F.col("text"),
+             F.col(f"predicted.{PRIORITY}").cast("string"), F.col(f"actual.{PRIORITY}").cast("string"), F.col("response.latency"),
+             F.col("response.total_tokens").cast("double"), number, number),
+        part(runs.read_reports(spark, path), F.lit("report"), F.col("row_key"), F.col("label_name"), text, text,
+             *[F.round(c, 6) for c in ("precision", "recall", "f1", "support")]),
+    ]
+    for name, file in (("answers", "answers.csv"), ("incorrect", "incorrect_answers.csv")):
+        parts.append(part(tables.read_csv(spark, f"{path}/{file}", ANSWER_SCHEMA), F.lit(name), F.col(KEY).cast("string"), F.col("Text"),
+                          F.col(f"Predicted {PRIORITY}"), F.col(f"True {PRIORITY}"), F.col("Prediction Time"),
+                          F.col("Total Tokens").cast("double"), number, number))
+    return reduce(DataFrame.unionByName, parts)

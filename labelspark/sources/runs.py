@@ -7,7 +7,9 @@ JSON documents with parallel lists; they are read into the same two tables.
 
 from __future__ import annotations
 
+import uuid
 import warnings
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from labelspark.functions.text import slug_text
 from labelspark.operators.errors import answers
 from labelspark.plans.config import CONFIG_TYPE, RunConfig
 from labelspark.plans.inference import RESPONSE_TYPE
+from labelspark.session import as_list
 from labelspark.sources.tables import write_csv
 
 # Columns and layout of report files.
@@ -146,12 +149,39 @@ def document_samples(documents: DataFrame, labels) -> DataFrame:
     )
 
 
-def write_reports(report: DataFrame, labels, folder: str) -> None:
-    """One report per label, a few rows each, in the layout of report files."""
-    for label in labels:
-        own = report.where(F.col("label_name") == label).select(
-            F.col("row_key").alias("row_key"), "precision", "recall", F.col("f1").alias("f1-score"), "support")
-        write_csv(own.coalesce(1), f"{folder}/evaluation_{slug_text(label)}.csv")
+def write_reports(report: DataFrame, labels, folder: str, run: str | None = None) -> None:
+    """One file ``evaluation_<label>.csv`` per label, in the layout of report files; with ``run``, the column that
+    names a run, in a folder per run.
+
+    All reports are one job, whatever their number: they are written by run and label beside the reports, and the
+    files then take their names. A report that exists is replaced. Names of runs are not null or empty and are no paths.
+    """
+    labels = as_list(labels)
+    if len({slug_text(c) for c in labels}) < len(labels):
+        raise ValueError("labels with the same file name")
+    spark = report.sparkSession
+    file = F.element_at(F.create_map(*[F.lit(v) for c in labels for v in (c, slug_text(c))]), F.col("label_name"))
+    rows = report.where(F.col("label_name").isin(labels)).select(
+        F.col("row_key").alias("row_key"), "precision", "recall", F.col("f1").alias("f1-score"), "support",
+        (F.col(f"`{run}`").cast("string") if run else F.lit("_")).alias("_run"), file.alias("_file"))
+    staged = f"{folder.rstrip('/')}/_reports-{uuid.uuid4().hex}"
+    write_csv(rows.repartition("_run", "_file"), staged, ["_run", "_file"])
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    made = set()
+    for found in fs.globStatus(path(f"{staged}/_run=*/_file=*/part-*")):
+        part = found.getPath()
+        file, run_name = (unquote(p.getName().split("=", 1)[1]) for p in (part.getParent(), part.getParent().getParent()))
+        home = path(path(folder), run_name) if run else path(folder)
+        target = path(home, f"evaluation_{file}.csv")
+        if target.toString() in made:
+            raise ValueError(f"more than one file for {target}")
+        made.add(target.toString())
+        fs.mkdirs(home)
+        fs.delete(target, True)
+        if not fs.rename(part, target):
+            raise OSError(f"cannot write {target}")
+    fs.delete(path(staged), True)
 
 
 def _report_glob(folder: str) -> str:

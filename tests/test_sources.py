@@ -181,6 +181,22 @@ def test_missing_report_folders_are_listed(spark, tmp_path):
         assert runs.read_reports(spark, folders[1]).count() == 0
 
 
+def test_reports_of_many_runs_are_one_write(spark, tmp_path):
+    schema = "run string, row_key string, label_name string, precision double, recall double, f1 double, support double"
+    rows = [(f"run {i}=é%", str(k), label, i / 8, 0.5, 0.25, float(k)) for i in range(7) for label in ("Kind of", "part") for k in range(3)]
+    report, out = spark.createDataFrame(rows, schema), str(tmp_path / "out")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    for _ in range(2):  # an old report is replaced
+        runs.write_reports(report, ["Kind of", "part"], out, run="run")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before <= 6
+    assert sorted(f.name for f in (tmp_path / "out" / "run 3=é%").glob("*.csv")) == ["evaluation_kind_of.csv", "evaluation_part.csv"]
+    assert (tmp_path / "out" / "run 3=é%" / "evaluation_part.csv").is_file() and not list((tmp_path / "out").glob("_reports*"))
+    back = {(r.run_id, r.row_key, r.label_name, r.precision, r.support) for r in runs.read_reports(spark, f"{out}/*").collect()}
+    assert back == {(run, key, {"Kind of": "kind_of"}.get(label, label), p, s) for run, key, label, p, _, _, s in rows}
+    with pytest.raises(ValueError, match="same file name"):
+        runs.write_reports(report, ["Kind of", "kind_of"], out, run="run")
+
+
 @pytest.mark.parametrize("multi_line", [True, False])
 def test_empty_text_and_null_differ(spark, tmp_path, multi_line):
     rows = [(1, ""), (2, None), (3, " "), (4, "a,\"b\"")]
