@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelspark.functions.text import truncate_label
-from labelspark.session import as_list, settle
+from labelspark.operators.ordering import group_quantile
+from labelspark.session import as_list, join_groups, settle
 
 
 def label_pairs(predictions: DataFrame, labels, by=()) -> DataFrame:
@@ -87,6 +88,27 @@ def dense_matrix(counts: DataFrame, vocab: dict[str, list[str]], char_limit: int
     )
 
 
+def matrix_blocks(counts: DataFrame, side: int = 64) -> DataFrame:
+    """A matrix cut into squares of ``side`` classes: ``(label_name, true_from, pred_from, n, cells)``, the squares in
+    which a pair occurs.
+
+    ``cells`` are the ``(true_id, pred_id, n)`` of the pairs that occur, in order, at most ``side`` squared. A writer of
+    a matrix of any number of classes gets one square after the other; :func:`block_values` fills a square up.
+    """
+    corner = lambda c: (F.floor(F.col(c) / side) * side).cast("int")
+    squares = counts.groupBy("label_name", corner("true_id").alias("true_from"), corner("pred_id").alias("pred_from"))
+    return squares.agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("true_id", "pred_id", "n"))).alias("cells"))
+
+
+def block_values(side: int = 64) -> Column:
+    """The rows of a square of :func:`matrix_blocks` as arrays of counts, zeros included."""
+    places = F.map_from_entries(F.transform("cells", lambda c: F.struct(
+        ((c["true_id"] - F.col("true_from")) * side + c["pred_id"] - F.col("pred_from")).alias("at"), c["n"].alias("n"))))
+    count = lambda i, j: F.coalesce(F.try_element_at(places, (i * side + j).cast("int")), F.lit(0).cast("long"))
+    along = F.sequence(F.lit(0), F.lit(side - 1))
+    return F.transform(along, lambda i: F.transform(along, lambda j: count(i, j)))
+
+
 def matrix_pivot(counts: DataFrame, label: str, names: list[str]) -> DataFrame:
     """One row per true class that occurs, one count column per predicted class.
 
@@ -156,11 +178,11 @@ def token_usage(predictions: DataFrame, by=()) -> DataFrame:
 
 
 def response_latency(predictions: DataFrame, by=()) -> DataFrame:
-    """Rows, mean and approximate median of the response latency in seconds."""
+    """Rows, mean and median of the response latency in seconds; the median is exact, the lower one of two."""
     latency = F.col("response").getField("latency")
-    return predictions.groupBy(*as_list(by)).agg(
-        F.count("*").alias("samples"), F.avg(latency).alias("mean_latency"),
-        F.percentile_approx(latency, 0.5).alias("median_latency"))
+    medians = group_quantile(predictions, latency, 0.5, by, "median_latency")
+    means = predictions.groupBy(*as_list(by)).agg(F.count("*").alias("samples"), F.avg(latency).alias("mean_latency"))
+    return join_groups(means, medians, by, "left")
 
 
 def latency_per_sample(headers: DataFrame, predictions: DataFrame, run: str = "run_id") -> DataFrame:

@@ -27,6 +27,8 @@ COPY_BLOCK = 100_000
 SAMPLED_KEYS = 1_008
 BOUNDS = 63
 COUNTED_ROWS = 4_096
+# Steps of the sketch that proposes bounds around a quantile.
+QUANTILE_STEPS = 128
 
 _POSITION_BITS = 33
 
@@ -343,3 +345,41 @@ def between_ranks(df: DataFrame, order, low: int, high: int, flag: str) -> DataF
         return below.withColumn(flag, F.col(f"`{flag}`") & (F.struct(*_cols(order)) >= start.literal(df.schema)))
     inside = _mark_before(below.where(F.col(f"`{flag}`")).drop(flag), order, start, flag)
     return inside.withColumn(flag, ~F.col(f"`{flag}`")).unionByName(below.where(~F.col(f"`{flag}`")))
+
+
+def group_quantile(df: DataFrame, value: Column, q: float = 0.5, by=(), into: str = "quantile") -> Settled:
+    """``(by…, into)``: the smallest value of each group that at least the share ``q`` of its values does not exceed.
+
+    Exact at any size, by counting: two values on either side of the place, taken from a sketch, cut a group's values
+    into five cells (the two values themselves are cells); the cells are counted and the one in question is cut again,
+    until it is one value or holds few. The sketch decides only how fast that goes: each cell lacks a value at least.
+    Every pass combines before the shuffle, and no group is sorted or gathered. Nulls and NaN do not count; a group
+    without values is left out.
+    """
+    by = as_list(by)
+    rows = df.select(*_cols(by), value.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    steps = F.percentile_approx("_v", [i / QUANTILE_STEPS for i in range(QUANTILE_STEPS + 1)]).alias("_steps")
+    held = [F.count("*").alias("_held"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), steps]
+
+    def bounds(cells: DataFrame) -> DataFrame:
+        at = F.col("_need") / F.col("_held") * QUANTILE_STEPS
+        low, high = F.greatest(F.floor(at) - 1, F.lit(0)), F.least(F.ceil(at) + 1, F.lit(QUANTILE_STEPS))
+        return cells.select(*_cols(by), "_held", "_need", "_lo", "_hi", F.get("_steps", low.cast("int")).alias("_a"),
+                            F.get("_steps", high.cast("int")).alias("_b"))
+
+    need = F.greatest(F.ceil(F.col("_held") * q), F.lit(1)).cast("long")
+    state = settle(bounds(rows.groupBy(*_cols(by)).agg(*held).where("_held > 0").withColumn("_need", need)))
+    v, a, b = F.col("_v"), F.col("_a"), F.col("_b")
+    wide, between = F.col("_lo") < F.col("_hi"), v.between(F.col("_lo"), F.col("_hi"))
+    many = wide & (F.col("_held") > COUNTED_ROWS)
+    while not state.df.where(many).isEmpty():
+        inside = join_groups(rows, Settled(state.df.where(many), state.table), by).where(between)
+        cell = F.when(v < a, 0).when(v == a, 1).when(v < b, 2).when(v == b, 3).otherwise(4).alias("_cell")
+        cells = inside.groupBy(*_cols(by), cell).agg(*held, F.first("_need").alias("_need"))
+        before = F.sum("_held").over(Window.partitionBy(*_cols(by)).orderBy("_cell")) - F.col("_held")
+        hit = cells.withColumn("_need", F.col("_need") - before).where(F.col("_need").between(F.lit(1), F.col("_held")))
+        state = settle(state.df.where(~many).unionByName(bounds(hit)))
+    few = join_groups(rows, Settled(state.df.where(wide), state.table), by).where(between)
+    listed = few.groupBy(*_cols(by)).agg(F.sort_array(F.collect_list("_v")).alias("_l"), F.first("_need").alias("_need"))
+    picked = listed.select(*_cols(by), F.get("_l", (F.col("_need") - 1).cast("int")).alias(into)).where(F.col(f"`{into}`").isNotNull())
+    return settle(state.df.where(~wide).select(*_cols(by), F.col("_lo").alias(into)).unionByName(picked))

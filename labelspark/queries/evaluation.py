@@ -104,15 +104,14 @@ def confusion_matrix_pivot(spark, folder):
     return M.matrix_pivot(order_counts(spark, folder), PRIORITY, VOCAB[PRIORITY])
 
 
-@query("""with ids as (select c_custkey, cast(row_number() over (order by c_name) - 1 as int) as id from customer),
+CUSTOMER_PAIRS_SQL = """ids as (select c_custkey, cast(row_number() over (order by c_name) - 1 as int) as id from customer),
      given as (select o_custkey as t, 1 + (o_custkey + o_orderkey % 3) % (select count(*) from customer) as p from orders),
      pairs as (select a.id as true_id, b.id as pred_id, count(*) as n
-               from given join ids a on a.c_custkey = t join ids b on b.c_custkey = p group by 1, 2),
-     cells as (select true_id, cast(sum(n) as bigint) as n, string_agg(pred_id || ':' || n, ',' order by pred_id) as cells from pairs group by 1)
-     select 'customer' as label_name, id as true_id, coalesce(n, 0) as n, coalesce(cells, '') as cells
-     from ids left join cells on true_id = id""")
-def confusion_matrix_many(spark, folder):
-    """A matrix over all customers: orders given to a customer or one of the next two."""
+               from given join ids a on a.c_custkey = t join ids b on b.c_custkey = p group by 1, 2)"""
+
+
+def _customer_counts(spark, folder):
+    """The customers as a vocabulary, and orders given to a customer or one of the next two."""
     customers = table(spark, folder, "customer").select("c_custkey", "c_name")
     vocab = label_vocabulary(customers.withColumnRenamed("c_name", "customer"), "customer")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
@@ -121,11 +120,32 @@ def confusion_matrix_many(spark, folder):
     rows = orders.withColumn("other", other).join(named.withColumnsRenamed({"c_custkey": "o_custkey", "class_id": "true_id"}), "o_custkey")
     rows = rows.join(named.withColumnsRenamed({"c_custkey": "other", "class_id": "pred_id"}), "other")
     ids = {side: F.struct(F.col(c).alias("customer")) for side, c in (("actual", "true_id"), ("predicted", "pred_id"))}
-    found = M.matrix_rows(M.confusion_counts(rows.withColumns(ids), "customer"), vocab)
+    return vocab, M.confusion_counts(rows.withColumns(ids), "customer")
+
+
+@query(f"""with {CUSTOMER_PAIRS_SQL},
+     cells as (select true_id, cast(sum(n) as bigint) as n, string_agg(pred_id || ':' || n, ',' order by pred_id) as cells from pairs group by 1)
+     select 'customer' as label_name, id as true_id, coalesce(n, 0) as n, coalesce(cells, '') as cells
+     from ids left join cells on true_id = id""")
+def confusion_matrix_many(spark, folder):
+    """A matrix over all customers."""
+    vocab, counts = _customer_counts(spark, folder)
+    found = M.matrix_rows(counts, vocab)
     entries = F.transform(F.map_entries("cells"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string")))
     return found.select("label_name", "true_id", "n", F.array_join(entries, ",").alias("cells"))
 
 
+@query(f"""with {CUSTOMER_PAIRS_SQL}
+     select 'customer' as label_name, true_id // 64 * 64 as true_from, pred_id // 64 * 64 as pred_from, cast(sum(n) as bigint) as n,
+            string_agg(true_id || ':' || pred_id || ':' || n, ',' order by true_id, pred_id) as cells
+     from pairs group by 2, 3""")
+def confusion_matrix_blocks(spark, folder):
+    """The same matrix in squares of 64 customers."""
+    _, counts = _customer_counts(spark, folder)
+    cell = lambda c: F.concat_ws(":", *[c[f].cast("string") for f in ("true_id", "pred_id", "n")])
+    return M.matrix_blocks(counts).withColumn("cells", F.array_join(F.transform("cells", cell), ","))
+
+
 @query("""select sum(10 + o_orderkey % 7)::bigint as prompt_tokens, sum(o_orderkey % 5)::bigint as completion_tokens,
                  sum(10 + o_orderkey % 7 + o_orderkey % 5)::bigint as total_tokens, 'run' || o_orderkey % 4 as run_id
           from orders group by 4""")

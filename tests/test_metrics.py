@@ -177,3 +177,22 @@ def test_names_from_a_table(spark, predicted, counts):
     mined = E.few_shot_examples(predicted, counts, vocab, "id", per_class=2, per_pred=3, labels=labels)
     same(mined, few(predicted, counts, per_class=2, per_pred=3))
     same(E.few_shot_text(mined, vocab, labels), E.few_shot_text(mined, VOCAB))
+
+
+def test_matrix_blocks(counts):
+    rows = M.matrix_blocks(counts, 2).withColumn("values", M.block_values(2)).where("label_name = 'kind'").collect()
+    assert {(c.true_id, c.pred_id): c.n for r in rows for c in r.cells} == pairs(0)
+    for r in rows:
+        assert r.n == sum(c.n for c in r.cells) and r.true_from % 2 == 0 and r.pred_from % 2 == 0
+        assert [list(v) for v in r["values"]] == [[pairs(0)[(r.true_from + i, r.pred_from + j)] for j in range(2)] for i in range(2)]
+    assert len(rows) == len({(t // 2, p // 2) for t, p in pairs(0)})
+
+
+def test_latency_by_run_and_without_rows(spark, predicted):
+    rng = random.Random(1)
+    rows = [("many", rng.expovariate(1.0)) for _ in range(9000)] + [("one", 3.0), ("none", None), (None, 1.0), (None, 2.0), (None, 9.0)]
+    made = spark.createDataFrame(rows, "run string, latency double").select("run", F.struct("latency").alias("response"))
+    got = {r.run: (r.samples, r.median_latency) for r in M.response_latency(made, "run").collect()}
+    assert got == {"many": (9000, sorted(v for k, v in rows if k == "many")[4499]), "one": (1, 3.0), "none": (1, None), None: (3, 2.0)}
+    empty = M.response_latency(made.where("false")).first()
+    assert (empty.samples, empty.mean_latency, empty.median_latency) == (0, None, None)

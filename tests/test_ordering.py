@@ -206,3 +206,24 @@ def test_cuts_need_no_sort_and_no_write(spark):
     df = spark.range(50_000).select(F.xxhash64("id").alias("k"), "id")
     plan = P.positional_split(df, 0.5, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in plan and "Exchange" not in plan and "Scan parquet" not in plan
+
+
+@pytest.mark.parametrize("q", [0.25, 1.0])
+def test_group_quantile(spark, monkeypatch, q):
+    monkeypatch.setattr(O, "COUNTED_ROWS", 20)
+    monkeypatch.setattr(O, "QUANTILE_STEPS", 8)
+    groups = {
+        "even": [float(i) for i in range(500)],
+        "far": [(-1.0) ** i * 10.0 ** (i % 300) for i in range(500)],
+        "tied": [7.0] * 300 + [7.0 + i / 64 for i in range(100)],
+        "few": [2.0, 1.0],
+        None: [5.0],
+    }
+    rows = [(g, v) for g, values in groups.items() for v in values] + [("few", float("nan")), ("lost", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    at = lambda of: sorted(of)[max(math.ceil(len(of) * q), 1) - 1]
+    got = {r.g: r.quantile for r in O.group_quantile(df, F.col("v"), q, "g").df.collect()}
+    assert got == {g: at(values) for g, values in groups.items()}
+    whole = O.group_quantile(df, F.col("v"), q).df.collect()
+    assert [r.quantile for r in whole] == [at([v for values in groups.values() for v in values])]
+    assert O.group_quantile(df.where("false"), F.col("v"), q).df.count() == 0
