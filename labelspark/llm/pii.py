@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelspark.session import checkpointed
+from labelspark.session import SMALL_BYTES, SMALL_ROWS, checkpointed
 
 # Disclosed shares of an entity's information from which a term is removed or generalised,
 # and the documents with the entity from which the term may occur without it too.
@@ -144,6 +144,12 @@ def _holding(found: DataFrame) -> DataFrame:
     return named.join(several, "entity")
 
 
+def _side(table: DataFrame, width: Column) -> DataFrame:
+    """A written table as a join side: broadcast if it, measured whole, is within the bounds; ``width`` is about the bytes of a row."""
+    rows, size = table.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(table) if rows <= SMALL_ROWS and size <= SMALL_BYTES else table
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """``(entity, term, disclosed)``: terms that disclose at least ``GENERALISE`` of an entity.
 
@@ -156,10 +162,13 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text")
         .agg(F.count("*").alias("together"), _two_texts().alias("several")).where("several").drop("several")
     )
     entities = held.groupBy("entity").agg(F.count("*").alias("holding"))
-    # Counted in the tasks before anything is shuffled: what travels is a vocabulary per task, not the words.
+    candidates = checkpointed(together.select("term").distinct())
     words = docs.select(F.explode(F.array_distinct(_terms(F.col(text_col)))).alias("term"))
-    frequency = words.groupBy("term").agg(F.count("*").alias("frequency"))
-    frequency = frequency.join(together.select("term").distinct(), "term", "left_semi")
+    side = _side(candidates, F.octet_length("term"))
+    if side is not candidates:  # only these words are counted, and only their counts travel
+        frequency = words.join(side, "term", "left_semi").groupBy("term").agg(F.count("*").alias("frequency"))
+    else:  # counted in the tasks before the join: what travels is a vocabulary per task, not the words
+        frequency = words.groupBy("term").agg(F.count("*").alias("frequency")).join(candidates, "term", "left_semi")
     rated = (
         together.join(frequency, "term").join(entities, "entity")
         .where((F.col("together") >= F.col("frequency")) | (F.col("together") >= EVIDENCE))
@@ -180,22 +189,25 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.xxhash64("text"))
     # For each text, the disclosing terms that it contains.
-    shares = flagged.groupBy("term").agg(F.max("disclosed").alias("disclosed"))
-    wanted = (
+    shares = _side(checkpointed(flagged.groupBy("term").agg(F.max("disclosed").alias("disclosed"))), F.octet_length("term") + 8)
+    wanted = checkpointed(
         rows.select("id", "digest", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(shares, "term")
         .groupBy("id", "digest").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("term", "disclosed")))).alias("shares"))
         .select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "shares")
     )
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    # Few documents are looked up where the texts lie.
+    wanted = _side(wanted, F.octet_length(F.array_join(F.map_keys("shares"), " ")) + 64)
     held = rows.join(wanted, same).dropDuplicates(["id", "digest"])
     either = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(F.map_keys("shares"), "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
-    terms = held.select(
+    terms = checkpointed(held.select(
         F.col("id").alias("_id"), F.col("digest").alias("_digest"),
         F.transform(
             _spans(F.col("text"), "term", either),
             lambda s: F.struct(s.alias("span"), F.coalesce(F.col("shares")[F.lower(s["value"])], F.lit(GENERALISE)).alias("disclosed")),
         ).alias("terms"),
-    )
+    ))
+    terms = _side(terms, F.aggregate("terms", F.lit(64).cast("long"), lambda n, t: n + F.octet_length(t["span"]["value"]) + 64))
     none = F.array().cast(f"array<struct<span:{_SPAN},disclosed:double>>")
     # a term inside a pattern's span is covered already
     outside = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["span"]["end"]) & (t["span"]["start"] < b["end"])))
