@@ -91,16 +91,16 @@ def read_csv_after(spark: SparkSession, path, skip: int, columns=None) -> DataFr
     return rows.select(*[F.col(f"`{c}`") for c in as_list(columns)]) if columns else rows
 
 
-def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
     """A table by the suffix of its path: csv, json or parquet.
 
-    In CSV files the usual words for a missing value are read as null.
+    In CSV files the usual words for a missing value are read as null; ``multi_line`` is that of :func:`read_csv`.
     """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind not in FORMATS:
         raise ValueError(f"{path}: expected a .csv, .json or .parquet path")
     if kind == "csv":
-        return read_csv(spark, path, schema, MISSING_WORDS)
+        return read_csv(spark, path, schema, MISSING_WORDS, multi_line)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.json(path) if kind == "json" else reader.parquet(path)
 
@@ -144,9 +144,9 @@ def prepare_labelled(
     return preprocess_chat(rows, text_cols, label_cols, keep=[*extra, *as_list(splits)], compact=compact)
 
 
-def load_labelled(spark: SparkSession, path: str, text_cols, label_cols, schema=None, **options):
-    """``prepare_labelled`` on a csv, json or parquet path."""
-    return prepare_labelled(read_table(spark, path, schema), text_cols, label_cols, **options)
+def load_labelled(spark: SparkSession, path: str, text_cols, label_cols, schema=None, multi_line: bool = True, **options):
+    """``prepare_labelled`` on a csv, json or parquet path, read as by :func:`read_table`."""
+    return prepare_labelled(read_table(spark, path, schema, multi_line), text_cols, label_cols, **options)
 
 
 def write_splits(df: DataFrame, path: str, split_col: str = SPLIT) -> None:

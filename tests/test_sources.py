@@ -181,6 +181,14 @@ def test_missing_report_folders_are_listed(spark, tmp_path):
         assert runs.read_reports(spark, folders[1]).count() == 0
 
 
+def test_load_labelled_without_joining_lines(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text, {i}", "a" if i % 2 else "b") for i in range(20)], "id long, text string, label string")
+    path = str(tmp_path / "t.csv")
+    tables.write_csv(df, path)
+    one, two = (tables.load_labelled(spark, path, "text", "label", keys="id", multi_line=m)[0] for m in (True, False))
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and two.count() == 20
+
+
 def test_reports_of_many_runs_are_one_write(spark, tmp_path):
     schema = "run string, row_key string, label_name string, precision double, recall double, f1 double, support double"
     rows = [(f"run {i}=é%", str(k), label, i / 8, 0.5, 0.25, float(k)) for i in range(7) for label in ("Kind of", "part") for k in range(3)]
