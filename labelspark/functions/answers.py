@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelspark.functions.mentions import candidates, name_filter
 from labelspark.functions.text import squash, strip
 from labelspark.session import as_list, checkpointed, settle
 
@@ -19,8 +20,6 @@ UNKNOWN = "Unknown"
 # Above this many classes answers meet the classes by joins instead of literal arrays and one
 # regular expression inside the plan. The results are the same.
 EXPRESSION_CLASSES = 1_000
-# Names meet a text by so many of their first characters, shorter names by all of them.
-GRAM = 8
 
 _SEPARATOR = "\x00"
 _JSON_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"}
@@ -115,79 +114,31 @@ def _first_id(classes: DataFrame, form: str, into: str) -> DataFrame:
     return classes.groupBy(F.col(form).alias(f"_{into}_key")).agg(F.min("id").alias(into))
 
 
-def _bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _last_mentions(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(tid, _mentioned)``: for cleaned ``texts (tid, text)`` the last class name that a scan from the left meets.
 
-
-def _text(letters: Column, start: Column, size: Column) -> Column:
-    return F.array_join(F.slice(letters, start + 1, size), "")
-
-
-def _grams(texts: DataFrame, widths: list[int]) -> DataFrame:
-    """``(tid, at, gram)``: the first characters from each place of the squashed text on."""
-    letters = F.filter(F.split("text", F.lit("")), lambda c: c != " ")
-
-    def places(found: Column) -> Column:
-        one = lambda at, w: F.struct(at.alias("at"), _text(found, at, w).alias("gram"))
-        here = lambda at: F.transform(
-            F.filter(F.lit(widths), lambda w: w <= F.size(found) - at), lambda w: one(at, w))
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(found) - 1), here))
-
-    return texts.select("tid", F.inline(_bound(letters, places)))
-
-
-def _mention_keys(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """``(tid, at, size, key, segment)``: at each place found, the text in the lengths of the names that may be there.
-
-    The place index of a text leads from its characters without blanks to their places. ``segment`` is the text with
-    its blanks, null where it has none.
-    """
-
-    def keys(letters: Column) -> Column:
-        index = F.filter(F.sequence(F.lit(0), F.size(letters) - 1), lambda i: F.get(letters, i) != " ")
-        return _bound(index, lambda places: _bound(F.filter(letters, lambda c: c != " "), lambda plain: F.flatten(
-            F.transform("found", lambda f: F.transform(
-                F.filter(f["lengths"], lambda n: f["at"] + n <= F.size(plain)), lambda n: key(letters, places, plain, f["at"], n))))))
-
-    def key(letters: Column, places: Column, plain: Column, at: Column, n: Column) -> Column:
-        begin, end = F.get(places, at), F.get(places, at + n - 1)
-        segment = F.when(end - begin + 1 > n, _text(letters, begin, end - begin + 1))
-        return F.struct(at.alias("at"), n.alias("size"), _text(plain, at, n).alias("key"), segment.alias("segment"))
-
-    return texts.join(found, "tid").select("tid", F.inline(_bound(F.split("text", F.lit("")), keys)))
-
-
-def _last_mentions(answers: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(text, _mentioned)``: for cleaned answers the last class name that a scan from the left meets.
-
-    Places and names meet by their first characters, then by whole names, without blanks; the blanks are
-    confirmed by the name's pattern. At a place the first name in order counts, and a place within a name
-    met before is passed over. A text costs its length, times the different lengths of the names that
-    begin alike.
+    Texts are scanned where they lie, through a filter of all names; what passes it meets the names by equal strings
+    without blanks, and blanks are confirmed by the name's pattern. At a place the first name in order counts, and a
+    place within a name met before is passed over. Texts without a name have no row.
     """
-    texts = checkpointed(answers.select(F.monotonically_increasing_id().alias("tid"), "text"))
     names = classes.where("plain <> ''").select("id", "pattern", F.col("plain").alias("key"))
-    grams = settle(names.groupBy(F.left("key", F.lit(GRAM)).alias("gram")).agg(F.collect_set(F.char_length("key")).alias("lengths")))
-    widths = [r[0] for r in grams.df.select(F.char_length("gram")).distinct().collect()]  # at most GRAM numbers
-    found = _grams(texts, sorted(widths)).join(grams.side(), "gram") if widths else None
+    plain = _first_id(names, "key", "plain").withColumnRenamed("_plain_key", "key")
+    found = name_filter(plain)
     if found is None:
-        return texts.select("text", F.lit(None).cast("int").alias("_mentioned")).limit(0)
-    found = found.groupBy("tid").agg(F.collect_list(F.struct("at", "lengths")).alias("found"))
-    keys = _mention_keys(texts, found).join(names, "key").where(F.col("segment").isNull() | F.regexp_like("segment", F.col("pattern")))
-    hits = keys.groupBy("tid", "at").agg(F.min(F.struct("id", "size", "key")).alias("hit"))
-    one = F.struct("at", F.col("hit.size").alias("size"), F.col("hit.key").alias("key"))
-    start = F.struct(F.lit(0).alias("end"), F.lit("").alias("last"))
+        return texts.select("tid", F.lit(None).cast("int").alias("_mentioned")).limit(0)
+    named = settle(names.join(plain, "key"))
+    met = candidates(texts, found).join(named.side(), "key").where(
+        F.col("segment").isNull() | F.regexp_like("segment", F.col("pattern")))
+    hits = met.select(F.inline("places"), "id", F.char_length("key").alias("size"), "plain")
+    start = F.struct(F.lit(0).alias("end"), F.lit(None).cast("int").alias("last"))
 
     def step(state: Column, hit: Column) -> Column:
         free = hit["at"] >= state["end"]
         end = F.when(free, hit["at"] + hit["size"]).otherwise(state["end"])
-        return F.struct(end.alias("end"), F.when(free, hit["key"]).otherwise(state["last"]).alias("last"))
+        return F.struct(end.alias("end"), F.when(free, hit["plain"]).otherwise(state["last"]).alias("last"))
 
-    scanned = hits.groupBy("tid").agg(F.array_sort(F.collect_list(one)).alias("hits"))
-    last = scanned.select("tid", F.aggregate("hits", start, step, lambda state: state["last"]).alias("_plain_key"))
-    named = last.join(_first_id(classes, "plain", "plain"), "_plain_key").select("tid", F.col("plain").alias("_mentioned"))
-    return texts.join(named, "tid").select("text", "_mentioned")
+    scanned = hits.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("at", "id", "size", "plain"))).alias("hits"))
+    return scanned.select("tid", F.aggregate("hits", start, step, lambda state: state["last"]).alias("_mentioned"))
 
 
 def _with_joined_id(df: DataFrame, answer: str, classes: DataFrame, count: int, strict: bool, blank_is_first: bool, nested: bool, into: str) -> DataFrame:
@@ -208,15 +159,15 @@ def _with_joined_id(df: DataFrame, answer: str, classes: DataFrame, count: int,
         given.withColumns({"number": _number(F.col("text"), count, strict), "head": F.when(~F.contains(F.col("text"), F.lit(_SEPARATOR)), head)})
         .join(exact, F.col("answer") == F.col("_exact_key"), "left").join(begun, F.col("head") == F.col("_begun_key"), "left")
     )
-    early = checkpointed(rows.select("answer", "text", "exact", F.coalesce("number", "begun").alias("early")))
-    open_ = early.where("exact is null and early is null and text <> ''").select("text").distinct()
-    mentions = _last_mentions(open_, classes).withColumnRenamed("text", "_text")
+    tid = F.monotonically_increasing_id().alias("tid")
+    early = checkpointed(rows.select(tid, "answer", "text", "exact", F.coalesce("number", "begun").alias("early")))
+    mentions = _last_mentions(early.where("exact is null and early is null and text <> ''"), classes)
     unknown = F.lit(count - 1)
     later = F.coalesce("early", "_mentioned")
     if not blank_is_first:
         later = F.when(F.col("text") != "", later)
     counts = F.col("answer").isNotNull() if nested and blank_is_first else F.col("answer") != ""
-    resolved = early.join(mentions, F.col("text") == F.col("_text"), "left").select(
+    resolved = early.join(mentions, "tid", "left").select(
         F.col("answer").alias("_answer"), F.when(counts, F.coalesce("exact", later, unknown)).otherwise(unknown).alias(into))
     return df.join(resolved, F.col(answer).eqNullSafe(F.col("_answer")), "left").drop("_answer")
 
@@ -224,14 +175,14 @@ def _with_joined_id(df: DataFrame, answer: str, classes: DataFrame, count: int,
 def last_mentions(df: DataFrame, text: str, vocab: DataFrame, label: str, into: str) -> DataFrame:
     """Add the id of the last class of ``label`` that a text names, null where it names none.
 
-    ``vocab (label_name, class_id, class_name)`` stays a table. Texts may be whole documents; each different one
-    is searched once.
+    ``vocab (label_name, class_id, class_name)`` stays a table. Texts may be whole documents; rows are written
+    once and numbered, and texts are searched where they lie.
     """
     classes = _class_forms(_classes_of(vocab, label))
-    cleaned = df.withColumn("_clean", _clean(F.col(f"`{text}`")))
-    found = _last_mentions(cleaned.where("_clean <> ''").select(F.col("_clean").alias("text")).distinct(), classes)
-    found = found.select(F.col("text").alias("_text"), F.col("_mentioned"))
-    joined = cleaned.join(found, F.col("_clean") == F.col("_text"), "left")
+    rows = checkpointed(df.withColumn("_tid", F.monotonically_increasing_id()))
+    texts = rows.select(F.col("_tid").alias("tid"), _clean(F.col(f"`{text}`")).alias("text")).where("text <> ''")
+    found = _last_mentions(texts, classes).withColumnRenamed("tid", "_tid")
+    joined = rows.join(found, "_tid", "left")
     return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != into], F.col("_mentioned").alias(into))
 
 
