@@ -3,10 +3,11 @@
 Documents are coded in chunks of words, with A to Z in lower case. Order by order, each chunk sends its different n-grams, with their
 counts in training documents, to the task that holds their context; contexts that are frequent anywhere are
 dealt over several tasks by the next word. The task builds its part of the trie level: contexts, pointers to
-their words and the words themselves are monotone sequences in Elias-Fano form, with quantised smoothed
-probabilities beside them, in a memory-mapped file. Words are numbered relative to their context, and an n-gram
-is found by a successor search in the stretch of its context. Place, counts and probability go back to the
-chunk; the place of an n-gram is the context of the next order.
+their words and the words themselves are monotone sequences in Elias-Fano form, with the counts beside them and,
+in the last order, quantised smoothed probabilities, in a memory-mapped file. Words are numbered relative to their
+context, and an n-gram is found by a successor search in the stretch of its context. Place and counts go back to the
+chunk, which works out the probability, and the place of an n-gram is the context of the next order; the last order
+sends probabilities.
 
 A probability is ``(count + prior * lower) / (count of the context + prior)``; the lowest order is the count plus
 one half. All values between orders are quantised to 1/1024 of a decimal logarithm, so sums are exact and the
@@ -39,8 +40,8 @@ from labelspark.session import checkpointed
 FOLDS = 5
 HELD_OUT = 1
 
-# Pairs of words; each further order sends about as much again between tasks.
-ORDER = 2
+# Up to five words, as n-gram tries are commonly built; in running text few of the longer ones are unknown.
+ORDER = 5
 # Weight of the lower order in occurrences, from the second order on (the last one counts for all further ones).
 PRIORS = (1000.0, 5.0)
 STEPS = 1024
@@ -196,10 +197,13 @@ class _Chunk:
             into[by_part] = np.concatenate([_unpacked(r["data"][k]) for r in self.answers[1]])
         self.word, every = rank * parts + part, known + other
         self.known = known[self.tokens]
+        self.word_rank = _ranks(self.word)
         single = (known + 0.5) / (total + 0.5 * (distinct + 1))
         self.base, self.code = np.log10(single)[self.tokens], _codes(single)[self.tokens]
-        self.node, self.count, self.every = self.word[self.tokens], self.known, every[self.tokens]
-        self.start = (self.word[end], known[end], every[end])
+        # The n-grams below the order are numbered in the chunk; of each, its place in the trie and the rank of that.
+        self.nodes, self.ranks = self.word, self.word_rank
+        self.gram, self.count, self.every = self.tokens, self.known, every[self.tokens]
+        self.start = (end, known[end], every[end])
 
     def ask(self, order: int, priors: tuple, tasks: int):
         """What is unknown of the n-grams of this order: one row each, by task, context and word.
@@ -209,32 +213,37 @@ class _Chunk:
         Returns the asking tokens, the row of each, the rows' tasks and columns.
         """
         before = []
-        for values, at_start in zip((self.node, self.count, self.every), self.start if order == 2 else (-1, 0, 0)):
+        for values, at_start in zip((self.gram, self.count, self.every), self.start if order == 2 else (-1, 0, 0)):
             shifted = np.empty_like(values)
             shifted[1:] = values[:-1]
             shifted[self.first] = at_start
             before.append(shifted)
-        context, count, every = before
+        gram, count, every = before
         seen = count > 0
         one = seen & (self.count > 0) & ((self.every == 1) | (every == 1))
         asked = np.flatnonzero(seen & (self.count > 0) & ~one)
         certain = np.flatnonzero(seen & ((self.count == 0) | one))
         shorter = self.code[asked].astype(np.int64)
         self.code[certain] = _smoothed(one[certain], self.code[certain], count[certain], _prior(priors, order))
-        self.node = np.full(len(context), -1, np.int64)
+        self.gram = np.full(len(gram), -1, np.int64)
         self.count, self.every = one.astype(np.int64), one.astype(np.int64)
-        _, place = np.unique(context[asked], return_inverse=True)
-        _, first, inverse = np.unique(place * len(self.word) + self.tokens[asked], return_index=True, return_inverse=True)
+        # By context and word, then by task: the second sort is stable, and quick on short numbers.
+        key = self.ranks[gram[asked]] * len(self.word) + self.word_rank[self.tokens[asked]]
+        sort = np.argsort(key)
+        starts = _starts(key[sort])
+        inverse = np.empty(len(sort), np.int64)
+        inverse[sort] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(sort))))
+        first = sort[starts]
         of = asked[first]
         trained = np.bincount(inverse, self.train[asked], len(first)).astype(np.int64)
         held = np.bincount(inverse, minlength=len(first)) - trained
-        word = self.word[self.tokens[of]]
+        context, word = self.nodes[gram[of]], self.word[self.tokens[of]]
         share = _mixed(word) % (every[of] // CONTEXT_WORDS + 1).astype(np.uint64)
-        task = (_mixed(_mixed(context[of]) + share) % np.uint64(tasks)).astype(np.int64)
-        sort = np.lexsort([word, context[of], task])
+        task = (_mixed(_mixed(context) + share) % np.uint64(tasks)).astype(np.int64)
+        sort = np.argsort(task.astype(np.uint16) if tasks < 1 << 16 else task, kind="stable")
         place = np.empty(len(sort), np.int64)
         place[sort] = np.arange(len(sort))
-        columns = [c[sort] for c in (context[of], word, trained, held, shorter[first], count[of])]
+        columns = [c[sort] for c in (context, word, trained, held, shorter[first], count[of])]
         return asked, place[inverse], task[sort], columns
 
     def advance(self, order: int, priors: tuple, tasks: int):
@@ -242,18 +251,18 @@ class _Chunk:
         for below in range(2, order):
             asked, place, _, columns = self.ask(below, priors, tasks)
             if not len(asked):
-                continue
+                continue  # then no token has a count of two, and none is asked about in a longer order
             answers = self.answers[below]
-            count, other, codes, nodes = ([_unpacked(r["data"][k], t) for r in answers] for k, t in enumerate(_ANSWER))
+            count, other, nodes = ([_unpacked(r["data"][k]) for r in answers] for k in range(3))
             nodes = [np.cumsum(n) * tasks + r["part"] for n, r in zip(nodes, answers)]
             count = np.concatenate(count)
             every = count + np.concatenate(other)
             hit = count > 0
-            code = _smoothed(0, columns[4], columns[5], _prior(priors, below))
-            code[hit] = np.concatenate(codes)
-            node = np.full(len(count), -1, np.int64)
-            node[hit & (every > 1)] = np.concatenate(nodes)
-            self.code[asked], self.node[asked], self.count[asked], self.every[asked] = code[place], node[place], count[place], every[place]
+            code = _smoothed(count, columns[4], columns[5], _prior(priors, below))
+            self.nodes = np.full(len(count), -1, np.int64)
+            self.nodes[hit & (every > 1)] = np.concatenate(nodes)
+            self.ranks = _ranks(self.nodes)
+            self.code[asked], self.gram[asked], self.count[asked], self.every[asked] = code[place], place, count[place], every[place]
         return self.ask(order, priors, tasks)
 
 
@@ -261,27 +270,47 @@ def _prior(priors: tuple, order: int) -> float:
     return priors[min(order - 2, len(priors) - 1)]
 
 
+def _ranks(numbers: np.ndarray) -> np.ndarray:
+    """Place of each number in their order."""
+    rank = np.empty(len(numbers), np.int64)
+    rank[np.argsort(numbers)] = np.arange(len(numbers))
+    return rank
+
+
+def _by_pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The order of pairs: as one number each where 63 bits hold both."""
+    bits = int(word.max()).bit_length()
+    if int(context.max()) >> 63 - bits:
+        return np.lexsort([word, context])
+    return np.argsort(context << bits | word)
+
+
 def _starts(row: np.ndarray) -> np.ndarray:
     """Places where a sorted row takes a new value."""
     return np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
 
 
-def _question(columns: list[np.ndarray]) -> list[bytes]:
-    """Contexts once, with their rows; words by their distance from the one before."""
+def _question(columns: list[np.ndarray], last: bool) -> list[bytes]:
+    """Contexts once, with their rows; words by their distance from the one before.
+
+    Only the last order answers with probabilities, and is told the lower ones and the counts of the contexts.
+    """
     context, word, trained, held, code, count = columns
     first = _starts(context)
     steps = np.diff(word, prepend=0)
     steps[first] = word[first]
     rows = np.diff(np.append(first, len(context)))
-    return [_packed(c) for c in (np.diff(context[first], prepend=0), rows, count[first], steps, trained, held, code)]
+    told = [np.diff(context[first], prepend=0), rows, steps, trained, held] + last * [code, count[first]]
+    return [_packed(c) for c in told]
 
 
 def _read_question(data: list[bytes]) -> list[np.ndarray]:
-    context, rows, count, steps, trained, held, code = (_unpacked(d) for d in data)
+    context, rows, steps, trained, held, *told = (_unpacked(d) for d in data)
     first = np.cumsum(rows) - rows
     sums = np.cumsum(steps)
     word = sums - np.repeat(sums[first] - steps[first], rows)
-    return [np.repeat(np.cumsum(context), rows), word, trained, held, code, np.repeat(count, rows)]
+    code, count = (told[0], np.repeat(told[1], rows)) if told else np.zeros((2, 0), np.int64)
+    return [np.repeat(np.cumsum(context), rows), word, trained, held, code, count]
 
 
 def _asking(order: int, orders: int, priors: tuple, parts: int, tasks: int, total: int, distinct: int):
@@ -297,7 +326,7 @@ def _asking(order: int, orders: int, priors: tuple, parts: int, tasks: int, tota
         if order <= orders:
             asked, place, task, columns = chunk.advance(order, priors, tasks)
             cuts = np.append(_starts(task), len(task))
-            rows = [_row(chunk.chunk, ASKED, int(task[i]), data=_question([c[i:j] for c in columns])) for i, j in zip(cuts, cuts[1:])]
+            rows = [_row(chunk.chunk, ASKED, int(task[i]), data=_question([c[i:j] for c in columns], order == orders)) for i, j in zip(cuts, cuts[1:])]
         if order >= orders:
             code = chunk.code.astype(np.int64)
             code[asked] = 0
@@ -316,7 +345,7 @@ def _asking(order: int, orders: int, priors: tuple, parts: int, tasks: int, tota
 
 
 class Level:
-    """Contexts, pointers and context-relative words in monotone sequences, with codes and counts."""
+    """Contexts, pointers and context-relative words in monotone sequences, with counts, and codes in the last order."""
 
     def __init__(self, context: np.ndarray, word: np.ndarray, code: np.ndarray, count: np.ndarray, other: np.ndarray):
         """Different (context, word) pairs in that order."""
@@ -352,13 +381,14 @@ class Level:
         return found
 
 
-# Training count, other occurrences, code of what has a count, step to the place of what occurs twice or more.
-_ANSWER = (np.int64, np.int64, np.uint16, np.int64)
-
-
 def _level(order: int, orders: int, priors: tuple, tasks: int):
-    """Build the part of a level and answer what the chunks ask of it."""
+    """Build the part of a level and answer what the chunks ask of it.
+
+    Below the last order: the training count, other occurrences and the step to the place of what occurs twice or more;
+    a chunk works out the probabilities from the counts. The last order: the probability.
+    """
     prior = _prior(priors, order)
+    last = order >= orders
 
     def run(table: pa.Table) -> pa.Table:
         passed = table.filter(pc.equal(table["kind"], STATE))
@@ -368,25 +398,26 @@ def _level(order: int, orders: int, priors: tuple, tasks: int):
         asked.sort(key=lambda r: r["chunk"])
         questions = [_read_question(r["data"]) for r in asked]
         context, word, trained, held, code, before = (np.concatenate(c) for c in zip(*questions))
-        sort = np.lexsort([word, context])
+        sort = _by_pair(context, word)
         context, word = context[sort], word[sort]
         first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
         count = np.add.reduceat(trained[sort], first)
         other = np.add.reduceat(held[sort], first)
-        codes = _smoothed(count, code[sort][first], before[sort][first], prior)
         kept = count > 0
-        level = Level(context[first][kept], word[first][kept], codes[kept], count[kept], other[kept])
+        of = sort[first][kept]
+        codes = _smoothed(count[kept], code[of], before[of], prior) if last else np.zeros(0, np.uint16)
+        level = Level(context[first][kept], word[first][kept], codes, count[kept], other[kept])
         rows = []
         for r, (context, word, _, _, code, before) in zip(asked, questions):
             place = level.find(context, word)
             hit = place >= 0
             found = place[hit]
-            if order < orders:
+            if not last:
                 count, other = np.zeros((2, len(place)), np.int64)
                 count[hit], other[hit] = level.count[found], level.other[found]
                 often = place[count + other > 1]
                 often = often[often >= 0]
-                data = [count, other, np.asarray(level.code[found]), np.diff(often, prepend=0)]
+                data = [count, other, np.diff(often, prepend=0)]
             else:
                 answer = _smoothed(0, code, before, prior)
                 answer[hit] = level.code[found]
@@ -439,11 +470,12 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     distinct = words.agg(F.sum("n")).first()[0] or 0
     # Held-out documents are as long as others, on average; contexts of a part are bounded by their words.
     tasks = max(parts, -(-2 * total // TASK_WORDS))
-    known = state.unionByName(words)
+    # What a chunk knows is dealt by chunk once: the orders share these exchanges.
+    known = state.unionByName(words).repartition(parts, "chunk")
     for order in range(2, max(orders, 2) + 1):
         asked = known.groupBy("chunk").applyInArrow(_asking(order, orders, priors, parts, tasks, total, distinct), schema)
         answers = asked.groupBy("part").applyInArrow(_level(order, orders, priors, tasks), schema)
-        known = known.unionByName(answers)
+        known = known.unionByName(answers.repartition(parts, "chunk"))
     kinds = f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return answers.groupBy("chunk").applyInArrow(_scored(total), kinds).withColumnRenamed("id", id_col)
 

@@ -142,3 +142,11 @@ def test_empty_table_long_text_and_no_training_rows(spark, none, odd):
     assert row.n_tokens == 27_001 and row.score > row.base_score
     (row,) = score_texts(odd.where("doc_id = 4"), F.lit(True)).collect()
     assert (row.train_tokens, row.n_known, row.base_score, row.score) == (0, 0, 0.0, 0.0)
+
+
+def test_a_word_depends_on_the_four_before_it(spark):
+    rows = [(i, f"{'ab'[i % 2]} x y z {'pq'[i % 2]}", False) for i in range(40)]
+    rows += [(100, "a x y z p", True), (101, "a x y z q", True)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, out boolean")
+    score = {r.doc_id: r.score for r in score_texts(docs, F.col("out")).where("held_out").collect()}
+    assert score[100] > score[101] + 0.5
