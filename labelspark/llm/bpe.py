@@ -21,6 +21,7 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,9 @@ from tokenizers import Tokenizer
 
 from labelspark.llm.common import byte_texts
 
-# Bounds on memory, not on results: chunks remembered in a task, words indexed at once, rows in a batch.
+# Bounds on memory, not on results: chunks and words remembered in a task, words indexed at once, rows in a batch.
 REMEMBERED = 400_000
+REMEMBERED_WORDS = 400_000
 INDEXED_WORDS = 50_000
 BATCH_ROWS = 1_024
 
@@ -84,10 +86,13 @@ class Encoder:
             made[both] = rank
             self.merges[left << 32 | right] = rank
             self.by_rank.append((left, right, both))
+        self.known: dict[bytes, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, list[int]] = {}
+        """Chunks go when they are many; their words, which are fewer, stay up to a bound of their own."""
+        if len(self.known) > REMEMBERED_WORDS:
+            self.known = {}
         self.number: dict[bytes, int] = {}
         self.flat = array("i")
         self.starts = array("q", [0])
@@ -98,7 +103,7 @@ class Encoder:
         plain, kept = [], []
         for i, chunk in enumerate(chunks):
             text = chunk.decode()
-            if self.plain and PLAIN.fullmatch(text) and "<|" not in text:
+            if self.plain and (chunk.isascii() or PLAIN.fullmatch(text)) and "<|" not in text:
                 plain.append(text)
                 kept.append(i)
                 continue
@@ -117,8 +122,8 @@ class Encoder:
                 words.append(word.encode())
         return found
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of every word; all words share one index of pair occurrences."""
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of every word, four bytes each; all words share one index of pair occurrences."""
         symbol: list[int] = []
         follows: list[int] = []
         before: list[int] = []
@@ -175,8 +180,11 @@ class Encoder:
                         else:
                             index[rank] = [ahead]
                             heapq.heappush(active, rank)
-        firsts.append(len(symbol))
-        return [[s for s in symbol[a:b] if s >= 0] for a, b in zip(firsts, firsts[1:])]
+        symbols = np.array(symbol, np.int32)
+        left_over = symbols >= 0
+        ids = symbols[left_over].tobytes()
+        ends = (4 * np.append(0, np.cumsum(left_over))[[*firsts, len(symbol)]]).tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
     def learn(self, chunks: list[bytes]) -> None:
         """Remember the ids of chunks not seen so far."""
@@ -191,7 +199,7 @@ class Encoder:
             number[chunk] = len(number)
             for w in words:
                 if w.__class__ is bytes:
-                    flat.extend(known[w])
+                    flat.frombytes(known[w])
                 else:
                     flat.append(w)
             starts.append(len(flat))
@@ -202,11 +210,11 @@ class Encoder:
         if len(self.number) > REMEMBERED:
             self.forget()
         number = self.number
-        new = list(dict.fromkeys(c for of in chunks for c in of if c not in number))
+        new = [c for c in dict.fromkeys(chain.from_iterable(chunks)) if c not in number]
         if new:
             self.learn(new)
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        at = np.fromiter((number[c] for of in chunks for c in of), np.int64, int(sizes.sum()))
+        at = np.fromiter(map(number.__getitem__, chain.from_iterable(chunks)), np.int64, int(sizes.sum()))
         starts = np.frombuffer(self.starts, np.int64)
         lengths = np.diff(starts)[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])

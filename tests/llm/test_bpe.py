@@ -52,3 +52,17 @@ def test_decoding_odd_ids(spark):
     rows = spark.createDataFrame([(1, None), (2, []), (3, [49407, 10**6, -1, 320])], "doc_id bigint, ids array<int>")
     got = {r.doc_id: r.text for r in bpe.decode(rows, word_vocabulary()).collect()}
     assert got == {1: "", 2: "", 3: "<|endoftext|> a</w>"}
+
+
+def test_words_stay_known_when_chunks_are_forgotten(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    encoder = bpe.Encoder(word_vocabulary())
+    texts = [b"some words, which come again", "déjà vu <|endoftext|> 12".encode()]
+    first = encoder.encode(texts).to_pylist()
+    indexed = []
+    index = encoder.encode_words
+    monkeypatch.setattr(encoder, "encode_words", lambda words: indexed.extend(words) or index(words))
+    assert encoder.encode(texts).to_pylist() == first and indexed == []
+    # Words have a bound of their own.
+    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 3)
+    assert encoder.encode(texts).to_pylist() == first and b"some" in indexed
