@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 # The shortest beginning; shorter names are looked up at every place.
 HEAD = 8
 # Bits of the field for a name, and at most; places of a name.
-NAME_BITS, MOST_BITS, PROBES = 64, 1 << 27, 3
+NAME_BITS, MOST_BITS, PROBES = 256, 1 << 27, 6
 # Characters hashed at once, and gathered before rows are sent on.
 WINDOW, GATHERED = 1 << 18, 1 << 22
 
