@@ -66,3 +66,30 @@ def test_words_stay_known_when_chunks_are_forgotten(monkeypatch):
     # Words have a bound of their own.
     monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 3)
     assert encoder.encode(texts).to_pylist() == first and b"some" in indexed
+
+
+def test_short_words_are_merged_side_by_side(library, monkeypatch):
+    # The rounds that all short words share are few: no more than the bytes of the longest one.
+    encoder = bpe.Encoder(word_vocabulary())
+    draw = random.Random(5)
+    words = ["".join(draw.choice("aaabcdehiklnorstu") for _ in range(draw.randint(1, bpe.SHORT))) for _ in range(3_000)]
+    words += ["a" * n for n in range(1, 2 * bpe.SHORT)] + ["\x00", "é" * bpe.SHORT]
+    rounds = []
+    rank = encoder.rank
+    monkeypatch.setattr(encoder, "rank", lambda left, right: rounds.append(len(left)) or rank(left, right))
+    got = encoder.encode([w.encode() for w in words]).to_pylist()
+    assert got == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+    assert 0 < len(rounds) <= bpe.SHORT
+    # The bound divides the work and changes nothing.
+    for bound in (0, 10_000):
+        monkeypatch.setattr(bpe, "SHORT", bound)
+        assert bpe.Encoder(word_vocabulary()).encode([w.encode() for w in words]).to_pylist() == got
+
+
+def test_blanks_and_slices(library):
+    import pyarrow as pa
+
+    texts = ["", " ", "\n a  b\t", None, "a\x0bb\x0cc\rd", "x\x1cy\x85z\xa0w", "last "]
+    column = pa.array(["before", *texts, "after"]).slice(1, len(texts))
+    got = bpe.Encoder(word_vocabulary()).encode(column).to_pylist()
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
