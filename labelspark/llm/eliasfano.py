@@ -12,7 +12,8 @@ from collections.abc import Sequence
 import numpy as np
 
 _BLOCK = 16  # bytes
-_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
+_BYTES = np.uint64(0x0101010101010101)
+_TOPS = np.uint64(0x8080808080808080)
 # Place of the k-th one within a byte.
 _PLACE = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.uint8)
 _SLICE = 1 << 17
@@ -27,7 +28,7 @@ def mapped(arrays: Sequence[np.ndarray]) -> list[np.ndarray]:
         places.append(file.tell())
         file.write(a.tobytes())
     file.flush()
-    found = [np.memmap(file, a.dtype, "r", at, a.shape) if a.size else a for a, at in zip(arrays, places)]
+    found = [np.asarray(np.memmap(file, a.dtype, "r", at, a.shape)) if a.size else a for a, at in zip(arrays, places)]
     file.close()
     return found
 
@@ -45,35 +46,50 @@ class EliasFano:
         upper = np.packbits(bits, bitorder="little")
         ones = np.cumsum(bits.reshape(-1, 8 * _BLOCK).sum(1, dtype=np.int64))
         ones = np.append(0, ones[:-1])
-        low = (values[:, None] >> np.arange(self.shift)).astype(np.uint8) & 1
-        lower = np.append(np.packbits(low.reshape(-1), bitorder="little"), np.zeros(8, np.uint8))
+        lower = np.zeros(2 * 8, np.uint8)
+        if self.shift:
+            low = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :(self.shift + 7) // 8]
+            low = np.unpackbits(low, axis=1, bitorder="little")[:, :self.shift]
+            lower = np.append(np.packbits(low.reshape(-1), bitorder="little"), lower)
         self.arrays = [upper, lower, ones, np.arange(len(ones)) * (8 * _BLOCK) - ones]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.shift:
             return np.zeros(len(i), np.int64)
         lower, at = self.arrays[1], i * self.shift
-        byte = at >> 3
-        word = np.zeros(len(i), np.uint64)
-        for k in range((self.shift + 14) // 8):
-            word |= lower[np.minimum(byte + k, len(lower) - 1)].astype(np.uint64) << np.uint64(8 * k)
-        return ((word >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.shift) - 1)).astype(np.int64)
+        byte, bit = at >> 3, (at & 7).astype(np.uint64)
+        # Eight bytes from any byte on.
+        word = np.ndarray(len(lower) - 7, "<u8", lower, strides=(1,))[byte] >> bit
+        if self.shift > 57:
+            word |= np.where(bit > 0, lower[byte + 8].astype(np.uint64) << (np.uint64(64) - np.maximum(bit, np.uint64(1))), np.uint64(0))
+        return (word & np.uint64((1 << self.shift) - 1)).astype(np.int64)
 
     def _select(self, i: np.ndarray, zeros: bool) -> np.ndarray:
         """Place of the ``i``-th one, or zero, of the upper bits."""
         counts = self.arrays[3] if zeros else self.arrays[2]
-        upper = self.arrays[0].reshape(-1, _BLOCK)
+        upper = self.arrays[0].view("<u8")
         found = np.empty(len(i), np.int64)
         for start in range(0, len(i), _SLICE):
             wanted = i[start:start + _SLICE]
             block = np.searchsorted(counts, wanted, side="right") - 1
             rest = wanted - counts[block]
-            rows = upper[block] ^ np.uint8(255 if zeros else 0)
-            sums = np.cumsum(_ONES[rows], axis=1, dtype=np.int16)
-            byte = (sums <= rest[:, None]).sum(1)
-            line = np.arange(len(wanted))
-            rest = rest - np.where(byte > 0, sums[line, byte - 1], 0)
-            found[start:start + len(wanted)] = block * (8 * _BLOCK) + byte * 8 + _PLACE[rows[line, byte], rest]
+            flip = np.uint64(0xFFFFFFFFFFFFFFFF if zeros else 0)
+            half = block * 2
+            word = upper[half] ^ flip
+            ones = np.bitwise_count(word).astype(np.int64)
+            second = rest >= ones
+            rest = (rest - ones * second).astype(np.uint64)
+            half += second
+            word = upper[half] ^ flip
+            # Ones up to the end of each byte, side by side; those bytes are passed that hold no more than are left.
+            sums = word - ((word >> np.uint64(1)) & np.uint64(0x5555555555555555))
+            sums = (sums & np.uint64(0x3333333333333333)) + ((sums >> np.uint64(2)) & np.uint64(0x3333333333333333))
+            sums = ((sums + (sums >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES
+            passed = np.bitwise_count(((rest * _BYTES | _TOPS) - sums) & _TOPS).astype(np.uint64) * np.uint64(8)
+            passed = np.minimum(passed, np.uint64(56))
+            rest -= ((sums << np.uint64(8)) >> passed) & np.uint64(255)
+            byte = (word >> passed) & np.uint64(255)
+            found[start:start + len(wanted)] = half * 64 + passed.astype(np.int64) + _PLACE[byte, rest]
         return found
 
     def access(self, i: np.ndarray) -> np.ndarray:

@@ -32,9 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelspark.llm.common import byte_texts
 from labelspark.llm.eliasfano import EliasFano, mapped
-from labelspark.session import checkpointed
 
 # Fixed values of the contract: every fifth document, by a checksum of its id, is held out.
 FOLDS = 5
@@ -46,8 +44,9 @@ ORDER = 5
 PRIORS = (1000.0, 5.0)
 STEPS = 1024
 
-# Words of a chunk; occurrences of a context that may share a task; words of a task's contexts on average.
+# Words of a chunk, and texts added to it at once; occurrences of a context that may share a task; words of a task's contexts on average.
 CHUNK_WORDS = 1 << 20
+BATCH_ROWS = 1_024
 CONTEXT_WORDS = 1 << 18
 TASK_WORDS = 1 << 21
 
@@ -73,12 +72,12 @@ def _codes(probability: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(probability) * STEPS), 0, 65_535).astype(np.uint16)
 
 
-def _probability(codes: np.ndarray) -> np.ndarray:
-    return 10.0 ** (codes.astype(np.float64) / -STEPS)
+# The probability of every code.
+_PROBABILITY = 10.0 ** (np.arange(65_536) / -STEPS)
 
 
 def _smoothed(count, lower: np.ndarray, context, prior: float) -> np.ndarray:
-    return _codes((count + prior * _probability(lower)) / (context + prior))
+    return _codes((count + prior * _PROBABILITY[lower]) / (context + prior))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -87,6 +86,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _share(chunk: int, parts: int) -> int:
+    return int(_mixed(np.array([chunk]))[0] % np.uint64(parts))
+
+
 def _row(chunk, kind, part=None, ids=None, held=None, data=None, n=None) -> tuple:
     return chunk, ids, kind, part, held, data, n
 
@@ -101,20 +104,17 @@ def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
 # Chunks of documents ---------------------------------------------------------------------------
 
 
-def _chunk_rows(chunk: int, ids: list, held: list, texts: list[list[int]], words: dict[bytes, int], parts: int) -> list[tuple]:
-    """The chunk itself, and what it asks about its words. Words are numbered by falling count."""
-    sizes = np.array([len(t) for t in texts], np.int32)
-    tokens = np.concatenate([np.array(t, np.int64) for t in texts])
+def _chunk_rows(chunk: int, ids: list, held: list, sizes: np.ndarray, tokens: np.ndarray, words: list[bytes], parts: int) -> list[tuple]:
+    """The chunk itself, and what it asks about its words, of which the first is the end. Words are numbered by falling count."""
     train = np.repeat(~np.array(held, bool), sizes)
     every, trained = np.bincount(tokens, minlength=len(words)), np.bincount(tokens[train], minlength=len(words))
     order = np.argsort(-every, kind="stable")
     number = np.empty(len(order), np.uint32)
     number[order] = np.arange(len(order))
-    names = list(words)
-    names = [names[i] for i in order.tolist()]
+    names = [words[i] for i in order.tolist()]
     part = np.fromiter((zlib.crc32(w) % parts for w in names), np.int32, len(names))
-    rows = [_row(chunk, STATE, ids=ids, held=held, n=int(train.sum()),
-                 data=[_packed(sizes), _packed(number[tokens]), _packed(part), _packed(number[:1])])]
+    rows = [_row(chunk, STATE, _share(chunk, parts), ids, held, n=int(train.sum()),
+                 data=[_packed(sizes.astype(np.int32)), _packed(number[tokens]), _packed(part), _packed(number[:1])])]
     by_part = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[by_part], np.arange(parts + 1))
     for p in range(parts):
@@ -125,34 +125,59 @@ def _chunk_rows(chunk: int, ids: list, held: list, texts: list[list[int]], words
     return rows
 
 
+def _numbered(texts: pa.Array, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words of every text with its end, and the words by their numbers; new words are added."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    pieces = split.flatten().dictionary_encode()
+    different = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+    number = np.fromiter((words.setdefault(w, len(words)) for w in different), np.int64, len(different))
+    numbers = number[np.asarray(pieces.indices)]
+    # Blanks at both ends of a text leave empty pieces.
+    bounds = np.asarray(split.offsets).astype(np.int64) - split.offsets[0].as_py()
+    real = numbers != 0
+    ends = np.append(0, np.cumsum(real))[bounds[1:]]
+    return np.diff(ends, prepend=0) + 1, np.insert(numbers[real], ends, 0)
+
+
 def _chunks(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 33
-        ids, held, texts, words, size = [], [], [], {END: 0}, 0
+        ids, held, sizes, tokens, words, size = [], [], [], [], {"": 0}, 0
         id_type = None
-        for batch in batches:
-            id_type = batch["id"].type
-            for i, out, text in zip(batch["id"].to_pylist(), batch["held_out"].to_pylist(), byte_texts(batch["text"])):
-                found = [words.setdefault(w, len(words)) for w in text.lower().split()]
-                found.append(0)
-                ids.append(i)
-                held.append(out)
-                texts.append(found)
-                size += len(found)
+
+        def rows() -> pa.RecordBatch:
+            names = [w.encode() for w in words]
+            return _batch(_chunk_rows(chunk, ids, held, np.concatenate(sizes), np.concatenate(tokens), names, parts), id_type)
+
+        for whole in batches:
+            id_type = whole["id"].type
+            for first in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(first, BATCH_ROWS)
+                found, numbers = _numbered(batch["text"].cast(pa.string()), words)
+                ids += batch["id"].to_pylist()
+                held += batch["held_out"].to_pylist()
+                sizes.append(found)
+                tokens.append(numbers)
+                size += len(numbers)
                 if size >= CHUNK_WORDS:
-                    yield _batch(_chunk_rows(chunk, ids, held, texts, words, parts), id_type)
-                    chunk, ids, held, texts, words, size = chunk + 1, [], [], [], {END: 0}, 0
+                    yield rows()
+                    chunk, ids, held, sizes, tokens, words, size = chunk + 1, [], [], [], [], {"": 0}, 0
         if ids:
-            yield _batch(_chunk_rows(chunk, ids, held, texts, words, parts), id_type)
+            yield rows()
 
     return run
 
 
 def _word_level(parts: int):
-    """Numbers and counts of the words of a part; ``n`` of the first answer tells how many are training words."""
+    """Numbers and counts of the words of a part; ``n`` of the first answer tells how many are training words.
+
+    Chunks pass through, so that they are written with the answers.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        asked = sorted(table.select(["chunk", "part", "data"]).to_pylist(), key=lambda r: r["chunk"])
+        passed, asked = _asked(table)
+        if not asked:
+            return passed
         number: dict[bytes, int] = {}
         places, trained, every = [], [], []
         for r in asked:
@@ -167,13 +192,37 @@ def _word_level(parts: int):
         ranked[np.argsort(-both, kind="stable")] = np.arange(len(number))
         rows = []
         for k, (r, p) in enumerate(zip(asked, places)):
-            data = [_packed(ranked[p]), _packed(train[p]), _packed(both[p] - train[p])]
+            data = [_packed(ranked[p]), _packed(train[p]), _packed(_others(train, both - train)[p])]
             rows.append(_row(r["chunk"], 1, r["part"], data=data, n=0 if k else int((train > 0).sum())))
-        return pa.Table.from_batches([_batch(rows, table.schema.field("ids").type.value_type)])
+        return _with(passed, rows, table)
 
     return run
 
 
+def _others(count: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """What a chunk has to know of the other occurrences: one, if they make two in all, and their number in frequent contexts."""
+    return np.where(count + other >= CONTEXT_WORDS, other, (count == 1) & (other > 0))
+
+
+def _asked(table: pa.Table) -> tuple[pa.Table, list[dict]]:
+    """The rows that pass through a task, and its questions by chunk."""
+    asked = table.filter(pc.equal(table["kind"], ASKED)).select(["chunk", "part", "data"]).to_pylist()
+    names = ["chunk", "ids", "kind", "part", "held", "data", "n"]
+    return table.filter(pc.equal(table["kind"], STATE)).select(names), sorted(asked, key=lambda r: r["chunk"])
+
+
+def _with(passed: pa.Table, rows: list[tuple], table: pa.Table) -> pa.Table:
+    answers = pa.Table.from_batches([_batch(rows, table.schema.field("ids").type.value_type)])
+    return pa.concat_tables([passed.cast(answers.schema), answers])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training tokens of the chunks, and different training words of the parts."""
+    for batch in batches:
+        total, distinct = (pc.sum(pc.if_else(pc.equal(batch["kind"], kind), batch["n"], 0)).as_py() or 0 for kind in (STATE, 1))
+        yield pa.RecordBatch.from_pydict({"total": [total], "different": [distinct]})
+
+
 class _Chunk:
     """A chunk with what it knows of its tokens: per token the n-gram that ends there, its counts and its code."""
 
@@ -205,12 +254,12 @@ class _Chunk:
         self.gram, self.count, self.every = self.tokens, self.known, every[self.tokens]
         self.start = (end, known[end], every[end])
 
-    def ask(self, order: int, priors: tuple, tasks: int):
+    def ask(self, order: int, priors: tuple, tasks: int, answered: bool = False):
         """What is unknown of the n-grams of this order: one row each, by task, context and word.
 
         A context without training words adds nothing. An n-gram is unknown only if its context and its shorter form both
         occur twice or more: what occurs once does so here, and of what no training text has nothing longer is there.
-        Returns the asking tokens, the row of each, the rows' tasks and columns.
+        Returns the asking tokens, the row of each, the rows' tasks and columns, of a question that is ``answered`` the last two.
         """
         before = []
         for values, at_start in zip((self.gram, self.count, self.every), self.start if order == 2 else (-1, 0, 0)):
@@ -229,27 +278,30 @@ class _Chunk:
         self.count, self.every = one.astype(np.int64), one.astype(np.int64)
         # By context and word, then by task: the second sort is stable, and quick on short numbers.
         key = self.ranks[gram[asked]] * len(self.word) + self.word_rank[self.tokens[asked]]
-        sort = np.argsort(key)
-        starts = _starts(key[sort])
+        sort, key = _sorted(key, len(self.ranks) * len(self.word))
+        starts = _starts(key)
         inverse = np.empty(len(sort), np.int64)
         inverse[sort] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(sort))))
         first = sort[starts]
         of = asked[first]
-        trained = np.bincount(inverse, self.train[asked], len(first)).astype(np.int64)
-        held = np.bincount(inverse, minlength=len(first)) - trained
         context, word = self.nodes[gram[of]], self.word[self.tokens[of]]
         share = _mixed(word) % (every[of] // CONTEXT_WORDS + 1).astype(np.uint64)
         task = (_mixed(_mixed(context) + share) % np.uint64(tasks)).astype(np.int64)
         sort = np.argsort(task.astype(np.uint16) if tasks < 1 << 16 else task, kind="stable")
         place = np.empty(len(sort), np.int64)
         place[sort] = np.arange(len(sort))
-        columns = [c[sort] for c in (context, word, trained, held, shorter[first], count[of])]
+        columns = [shorter[first], count[of]]
+        if not answered:
+            trained = np.bincount(inverse[self.train[asked]], minlength=len(first))
+            held = np.bincount(inverse, minlength=len(first)) - trained
+            columns = [context, word, trained, held, *columns]
+        columns = [c[sort] for c in columns]
         return asked, place[inverse], task[sort], columns
 
     def advance(self, order: int, priors: tuple, tasks: int):
         """Take in the answers to the orders below, then ask for this one."""
         for below in range(2, order):
-            asked, place, _, columns = self.ask(below, priors, tasks)
+            asked, place, _, (shorter, context) = self.ask(below, priors, tasks, answered=True)
             if not len(asked):
                 continue  # then no token has a count of two, and none is asked about in a longer order
             answers = self.answers[below]
@@ -258,7 +310,7 @@ class _Chunk:
             count = np.concatenate(count)
             every = count + np.concatenate(other)
             hit = count > 0
-            code = _smoothed(count, columns[4], columns[5], _prior(priors, below))
+            code = _smoothed(count, shorter, context, _prior(priors, below))
             self.nodes = np.full(len(count), -1, np.int64)
             self.nodes[hit & (every > 1)] = np.concatenate(nodes)
             self.ranks = _ranks(self.nodes)
@@ -271,18 +323,21 @@ def _prior(priors: tuple, order: int) -> float:
 
 
 def _ranks(numbers: np.ndarray) -> np.ndarray:
-    """Place of each number in their order."""
-    rank = np.empty(len(numbers), np.int64)
-    rank[np.argsort(numbers)] = np.arange(len(numbers))
+    """Place of each number in their order, -1 for -1."""
+    rank = np.full(len(numbers), -1, np.int64)
+    used = np.flatnonzero(numbers >= 0)
+    rank[used[np.argsort(numbers[used])]] = np.arange(len(used))
     return rank
 
 
-def _by_pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The order of pairs: as one number each where 63 bits hold both."""
-    bits = int(word.max()).bit_length()
-    if int(context.max()) >> 63 - bits:
-        return np.lexsort([word, context])
-    return np.argsort(context << bits | word)
+def _sorted(key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys below ``limit``, and the keys in it; with their places in one number each where 63 bits hold both."""
+    bits = len(key).bit_length()
+    if limit.bit_length() + bits > 63:
+        sort = np.argsort(key)
+        return sort, key[sort]
+    both = np.sort(key << bits | np.arange(len(key)))
+    return both & (1 << bits) - 1, both >> bits
 
 
 def _starts(row: np.ndarray) -> np.ndarray:
@@ -293,34 +348,38 @@ def _starts(row: np.ndarray) -> np.ndarray:
 def _question(columns: list[np.ndarray], last: bool) -> list[bytes]:
     """Contexts once, with their rows; words by their distance from the one before.
 
-    Only the last order answers with probabilities, and is told the lower ones and the counts of the contexts.
+    Only the last order answers with probabilities; it is told the lower ones and the counts of the contexts, and no other counts.
     """
     context, word, trained, held, code, count = columns
     first = _starts(context)
     steps = np.diff(word, prepend=0)
     steps[first] = word[first]
     rows = np.diff(np.append(first, len(context)))
-    told = [np.diff(context[first], prepend=0), rows, steps, trained, held] + last * [code, count[first]]
+    told = [np.diff(context[first], prepend=0), rows, steps, trained, held * (not last)] + last * [code, count[first]]
     return [_packed(c) for c in told]
 
 
 def _read_question(data: list[bytes]) -> list[np.ndarray]:
+    """Contexts and their numbers of rows; for each row its word, training and other count, and what the last order is told."""
     context, rows, steps, trained, held, *told = (_unpacked(d) for d in data)
     first = np.cumsum(rows) - rows
     sums = np.cumsum(steps)
     word = sums - np.repeat(sums[first] - steps[first], rows)
     code, count = (told[0], np.repeat(told[1], rows)) if told else np.zeros((2, 0), np.int64)
-    return [np.repeat(np.cumsum(context), rows), word, trained, held, code, count]
+    return [np.cumsum(context), rows, word, trained, held, code, count]
 
 
-def _asking(order: int, orders: int, priors: tuple, parts: int, tasks: int, total: int, distinct: int):
+def _asking(order: int, orders: int, priors: tuple, parts: int):
     """The questions of a chunk about one order; with the last order, also what the answers are added to.
 
     That row goes with the questions and comes back with the answers: sums per document, and the documents of each question.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        chunk = _Chunk(table.to_pylist(), parts, total, distinct)
+        total, distinct = next(t for t in table["totals"].to_pylist() if t is not None)
+        # Held-out documents are as long as others, on average; contexts of a part are bounded by their words.
+        tasks = max(parts, -(-2 * total // TASK_WORDS))
+        chunk = _Chunk(table.drop_columns("totals").to_pylist(), parts, total, distinct)
         rows = []
         asked, place = np.zeros((2, 0), np.int64)
         if order <= orders:
@@ -334,8 +393,7 @@ def _asking(order: int, orders: int, priors: tuple, parts: int, tasks: int, tota
             sums = [np.add.reduceat(v, chunk.first) for v in ((chunk.known > 0).astype(np.int64), chunk.base, code)]
             by_place = np.argsort(place, kind="stable")
             data = [chunk.sizes, *sums, of[by_place], np.bincount(place)]
-            rows.append(_row(chunk.chunk, STATE, int(_mixed(np.array([chunk.chunk]))[0] % np.uint64(tasks)), chunk.ids, chunk.held,
-                             [_packed(d) for d in data]))
+            rows.append(_row(chunk.chunk, STATE, _share(chunk.chunk, tasks), chunk.ids, chunk.held, [_packed(d) for d in data], total))
         return pa.Table.from_batches([_batch(rows, table.schema.field("ids").type.value_type)])
 
     return run
@@ -381,40 +439,45 @@ class Level:
         return found
 
 
-def _level(order: int, orders: int, priors: tuple, tasks: int):
+def _level(order: int, orders: int, priors: tuple):
     """Build the part of a level and answer what the chunks ask of it.
 
-    Below the last order: the training count, other occurrences and the step to the place of what occurs twice or more;
+    Below the last order: the training count, what matters of other occurrences, the step to the place of what occurs twice or more;
     a chunk works out the probabilities from the counts. The last order: the probability.
     """
     prior = _prior(priors, order)
     last = order >= orders
 
     def run(table: pa.Table) -> pa.Table:
-        passed = table.filter(pc.equal(table["kind"], STATE))
-        asked = table.filter(pc.equal(table["kind"], ASKED)).select(["chunk", "part", "data"]).to_pylist()
+        passed, asked = _asked(table)
         if not asked:
             return passed
-        asked.sort(key=lambda r: r["chunk"])
         questions = [_read_question(r["data"]) for r in asked]
-        context, word, trained, held, code, before = (np.concatenate(c) for c in zip(*questions))
-        sort = _by_pair(context, word)
-        context, word = context[sort], word[sort]
-        first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
+        contexts, rows, word, trained, held, code, before = (np.concatenate(c) for c in zip(*questions))
+        # A pair is one number: the place of its context in their order, then its word.
+        contexts, context = np.unique(contexts, return_inverse=True)
+        bits = int(word.max()).bit_length()
+        sort, key = _sorted(np.repeat(context, rows) << bits | word, len(contexts) << bits)
+        first = _starts(key)
+        context, word = contexts[key[first] >> bits], key[first] & (1 << bits) - 1
+        inverse = np.empty(len(sort), np.int64)
+        inverse[sort] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sort))))
         count = np.add.reduceat(trained[sort], first)
         other = np.add.reduceat(held[sort], first)
         kept = count > 0
         of = sort[first][kept]
         codes = _smoothed(count[kept], code[of], before[of], prior) if last else np.zeros(0, np.uint16)
-        level = Level(context[first][kept], word[first][kept], codes, count[kept], other[kept])
+        level = Level(context[kept], word[kept], codes, count[kept], other[kept])
+        # Each different n-gram is searched once, for all chunks that ask for it.
+        places = level.find(context, word)[inverse]
+        cuts = np.cumsum([len(q[2]) for q in questions])
         rows = []
-        for r, (context, word, _, _, code, before) in zip(asked, questions):
-            place = level.find(context, word)
+        for r, place, (*_, code, before) in zip(asked, np.split(places, cuts[:-1]), questions):
             hit = place >= 0
             found = place[hit]
             if not last:
                 count, other = np.zeros((2, len(place)), np.int64)
-                count[hit], other[hit] = level.count[found], level.other[found]
+                count[hit], other[hit] = level.count[found], _others(level.count[found], level.other[found])
                 often = place[count + other > 1]
                 often = often[often >= 0]
                 data = [count, other, np.diff(often, prepend=0)]
@@ -423,8 +486,7 @@ def _level(order: int, orders: int, priors: tuple, tasks: int):
                 answer[hit] = level.code[found]
                 data = [answer]
             rows.append(_row(r["chunk"], order, r["part"], data=[_packed(d) for d in data]))
-        answers = pa.Table.from_batches([_batch(rows, table.schema.field("ids").type.value_type)])
-        return pa.concat_tables([passed.select(answers.column_names).cast(answers.schema), answers])
+        return _with(passed, rows, table)
 
     return run
 
@@ -433,22 +495,18 @@ _SCORES = [("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.in
            ("base_score", pa.float64()), ("score", pa.float64())]
 
 
-def _scored(total: int):
+def _scored(table: pa.Table) -> pa.Table:
     """Add the answers of the last order to the sums of the documents."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["part"]))
-        state, answers = rows[0], rows[1:]
-        sizes, known, code, of, times = (_unpacked(state["data"][k]) for k in (0, 1, 3, 4, 5))
-        if answers:
-            given = np.concatenate([_unpacked(r["data"][0], np.uint16) for r in answers])
-            code = code + np.bincount(of, np.repeat(given, times), len(sizes)).astype(np.int64)
-        columns = [state["held"], sizes, known, np.full(len(sizes), total), _unpacked(state["data"][2], np.float64), code / -STEPS]
-        id_type = table.schema.field("ids").type.value_type
-        return pa.table([pa.array(state["ids"], id_type), *[pa.array(c, t) for c, (_, t) in zip(columns, _SCORES)]],
-                        ["id", *[n for n, _ in _SCORES]])
-
-    return run
+    rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["part"]))
+    state, answers = rows[0], rows[1:]
+    sizes, known, code, of, times = (_unpacked(state["data"][k]) for k in (0, 1, 3, 4, 5))
+    if answers:
+        given = np.concatenate([_unpacked(r["data"][0], np.uint16) for r in answers])
+        code = code + np.bincount(of, np.repeat(given, times), len(sizes)).astype(np.int64)
+    columns = [state["held"], sizes, known, np.full(len(sizes), state["n"]), _unpacked(state["data"][2], np.float64), code / -STEPS]
+    id_type = table.schema.field("ids").type.value_type
+    return pa.table([pa.array(state["ids"], id_type), *[pa.array(c, t) for c, (_, t) in zip(columns, _SCORES)]],
+                    ["id", *[n for n, _ in _SCORES]])
 
 
 def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", orders: int = ORDER,
@@ -456,28 +514,24 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     """A row per document: ``held_out``, token counts, ``base_score`` of single words and ``score`` of the model.
 
     ``held_out`` is a condition on the documents; those it does not hold for (or is null for) train the model. Scores
-    are decimal logarithms. Only the number of training tokens and of different ones reach the driver.
+    are decimal logarithms. The number of training tokens and of different ones is added to what the chunks know.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"chunk bigint, ids array<{id_type}>, {_TAIL}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    table = checkpointed(rows.mapInArrow(_chunks(parts), schema))
-    state = table.where(F.col("kind") == STATE)
-    words = checkpointed(table.where(F.col("kind") == ASKED).groupBy("part").applyInArrow(_word_level(parts), schema))
-    total = state.agg(F.sum("n")).first()[0] or 0
-    distinct = words.agg(F.sum("n")).first()[0] or 0
-    # Held-out documents are as long as others, on average; contexts of a part are bounded by their words.
-    tasks = max(parts, -(-2 * total // TASK_WORDS))
-    # What a chunk knows is dealt by chunk once: the orders share these exchanges.
-    known = state.unionByName(words).repartition(parts, "chunk")
+    table = rows.mapInArrow(_chunks(parts), schema).groupBy("part").applyInArrow(_word_level(parts), schema)
+    # What a chunk knows is dealt by chunk once: the totals and all orders share this exchange.
+    known = table.repartition(parts, "chunk")
+    totals = known.mapInArrow(_counted, "total bigint, different bigint").agg(F.array(F.sum("total"), F.sum("different")))
+    known = known.withColumn("totals", totals.scalar())
     for order in range(2, max(orders, 2) + 1):
-        asked = known.groupBy("chunk").applyInArrow(_asking(order, orders, priors, parts, tasks, total, distinct), schema)
-        answers = asked.groupBy("part").applyInArrow(_level(order, orders, priors, tasks), schema)
-        known = known.unionByName(answers.repartition(parts, "chunk"))
+        asked = known.groupBy("chunk").applyInArrow(_asking(order, orders, priors, parts), schema)
+        answers = asked.groupBy("part").applyInArrow(_level(order, orders, priors), schema)
+        known = known.unionByName(answers.repartition(parts, "chunk"), allowMissingColumns=True)
     kinds = f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return answers.groupBy("chunk").applyInArrow(_scored(total), kinds).withColumnRenamed("id", id_col)
+    return answers.groupBy("chunk").applyInArrow(_scored, kinds).withColumnRenamed("id", id_col)
 
 
 def fold_held_out(id_col: str = "doc_id"):

@@ -150,3 +150,43 @@ def test_a_word_depends_on_the_four_before_it(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, out boolean")
     score = {r.doc_id: r.score for r in score_texts(docs, F.col("out")).where("held_out").collect()}
     assert score[100] > score[101] + 0.5
+
+
+def test_select_and_low_bits_of_wide_numbers():
+    draw = np.random.default_rng(8)
+    for top, size in ((1 << 61, 5), (1 << 60, 1), (1 << 57, 40), (4_000, 3_000), (1, 500)):
+        values = np.sort(draw.integers(0, top, size))
+        sequence = EliasFano(values)
+        assert (sequence.access(np.arange(size)) == values).all()
+        place, equal = sequence.successor(values)
+        assert (place == np.searchsorted(values, values)).all() and equal.all()
+
+
+def test_each_ngram_is_searched_once_for_all_chunks(monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+    find = Level.find
+    monkeypatch.setattr(Level, "find", lambda self, context, word: asked.append(len(word)) or find(self, context, word))
+    columns = [np.array(c, np.int64) for c in ([3, 3, 8], [1, 4, 4], [1, 0, 2], [0, 1, 0], [0, 0, 0], [0, 0, 0])]
+    rows = [ngrams._row(c, ngrams.ASKED, 0, data=ngrams._question(columns, False)) for c in range(6)]
+    table = pa.Table.from_batches([ngrams._batch(rows, pa.int64())])
+    answers = ngrams._level(2, 3, ngrams.PRIORS)(table).to_pylist()
+    assert asked == [3] and len(answers) == 6
+    assert all(ngrams._unpacked(r["data"][0]).tolist() == [6, 0, 12] for r in answers)
+
+
+def test_other_occurrences_are_told_where_they_matter(monkeypatch):
+    monkeypatch.setattr(ngrams, "CONTEXT_WORDS", 10)
+    count, other = np.array([1, 1, 1, 5, 5, 0]), np.array([0, 1, 4, 3, 6, 12])
+    assert ngrams._others(count, other).tolist() == [0, 1, 1, 0, 6, 12]
+
+
+def test_nothing_is_written_before_the_exchanges(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    docs = spark.createDataFrame([(i, "a b c d e f a b c") for i in range(9)], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    scored = score_texts(spark.read.parquet(f"{tmp_path}/docs"), fold_held_out())
+    # The plan reads the texts and no table that was written on the way.
+    assert {f.rsplit("/", 2)[-2] for f in scored.inputFiles()} == {"docs"}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before and scored.count() == 9
