@@ -20,7 +20,8 @@ from __future__ import annotations
 from collections import deque
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -37,6 +38,11 @@ ROUNDS = 3
 # measures their tables and broadcasts only small ones.
 MAX_PATTERNS = 100_000
 
+_LONGS = pa.list_(pa.int64())
+_PATTERN = ("pattern", pa.list_(pa.string()))
+_FOUND = [_PATTERN, ("times", pa.int64()), ("source_size", pa.int64()), ("target", pa.float64()), ("cuts", _LONGS), ("limits", _LONGS)]
+_OPEN = [_PATTERN, *[(c, pa.int64()) for c in ("p", "limit", "rest", "last", "within")]]
+
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = REPEATS, total: int | None = None) -> list[float]:
     """Shares of all sizes by repeating weights; what exceeds ``most`` times a size is reshared by weight."""
@@ -199,7 +205,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         _draw(id_col, text, seed).alias("_mix_draw"),
     ))
     repeats = settle(sized.groupBy("_mix_draw").count().where("count > 1").select("_mix_draw"))
-    sized = checkpointed(_numbered(sized, repeats).withColumnRenamed("_mix_draw", "draw"))
+    again = _numbered(sized, repeats)
+    sized = (sized if again is sized else checkpointed(again)).withColumnRenamed("_mix_draw", "draw")
     rows = sized.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -214,50 +221,61 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     wanted = targets(sizes, weights, REPEATS, sum(size for _, size in members))
     given = cheapest_flow(members, [round(t) for t in wanted])
     taken = [sum(g.values()) for g in given]
-    spark = docs.sparkSession
-    kind = "pattern array<string>, times bigint, rest bigint, source_size bigint, target double"
+    rest = [t % size if size else 0 for t, (_, size) in zip(taken, members, strict=True)]
+    patterns, room = [list(r.pattern) for r in rows], rest
+    cuts: list[list] = [[] for _ in rows]
+    limits: list[list[int]] = [[] for _ in rows]
+    for _ in range(ROUNDS):
+        ends, used = _next_cut(sized, patterns, room, [c[-1] if c else None for c in cuts])
+        for p, end in enumerate(ends):
+            cuts[p].append(end)
+            limits[p].append(room[p])
+        room = [r - u for r, u in zip(room, used, strict=True)]
     data = [
-        (list(r.pattern), t // size if size else 0, t % size if size else 0, sizes[sources[0]], wanted[sources[0]])
-        for r, (sources, size), t in zip(rows, members, taken, strict=True)
+        (pattern, t // size if size else 0, sizes[sources[0]], wanted[sources[0]], c, most)
+        for pattern, (sources, size), t, c, most in zip(patterns, members, taken, cuts, limits, strict=True)
     ]
-    flows = spark.createDataFrame(data, kind)
+    found = _table(docs.sparkSession, _FOUND, data)
+    return Plan(found, sized, repeats, sizes, wanted, taken)
 
-    cuts = flows.select("pattern", F.col("rest"), F.array().cast("array<bigint>").alias("cuts"),
-                        F.array().cast("array<bigint>").alias("limits"))
-    for _ in range(ROUNDS):
-        cuts = _next_cut(sized, cuts)
-    found = flows.drop("rest").join(cuts.drop("rest"), "pattern")
-    return Plan(checkpointed(found), sized, repeats, sizes, wanted, taken)
-
-
-def _next_cut(sized: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``cuts (pattern, rest, cuts, limits)`` with one more cut: documents beyond the last cut that fit into
-    the rest are taken in order of their draws while they fit. The first that doesn't ends the round."""
-    in_order = W.partitionBy("pattern").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    ends = cuts.where("rest > 0").select("pattern", "rest", F.col("rest").alias("limit"), F.try_element_at("cuts", F.lit(-1)).alias("last"))
-    open_ = sized.where("size > 0").join(ends, "pattern").where("size <= limit and (last is null or draw > last)")
-    open_ = open_.select("pattern", "size", "draw", "rest")
-    found = None
-    for cell in (F.shiftright("draw", 56), F.shiftright("draw", 48), F.shiftright("draw", 40), F.col("draw")):
-        cells = open_.groupBy("pattern", cell.alias("cell")).agg(
+
+def _table(spark: SparkSession, fields: list, rows: list[tuple]) -> DataFrame:
+    """Rows of the driver, one a pattern, as a table whose size Spark knows."""
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return spark.createDataFrame(pa.table([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], [n for n, _ in fields]))
+
+
+def _next_cut(sized: DataFrame, patterns: list[list], room: list[int], last: list) -> tuple[list, list[int]]:
+    """One more cut of every pattern, and the words it takes: documents beyond the ``last`` cut that fit into the
+    ``room`` are taken in order of their draws while they fit. The first that doesn't ends the round.
+
+    Each pass counts the cells within the one that holds the cut. What it finds is one row a pattern; the driver keeps it
+    and hands it to the next pass as one table, so a pass is one scan and one join.
+    """
+    in_order = W.partitionBy("p").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    ends, used = list(last), [0] * len(patterns)
+    within: dict[int, int | None] = {p: None for p, r in enumerate(room) if r > 0}
+    before = None
+    for shift in (56, 48, 40, 0):
+        if not within:
+            break
+        state = _table(sized.sparkSession, _OPEN, [(patterns[p], p, room[p], room[p] - used[p], last[p], c) for p, c in within.items()])
+        open_ = sized.where("size > 0").join(state, "pattern").where("size <= limit and (last is null or draw > last)")
+        if before is not None:
+            open_ = open_.where(F.shiftright("draw", before) == F.col("within"))
+        cells = open_.groupBy("p", F.shiftright("draw", shift).alias("cell")).agg(
             F.sum("size").alias("words"), F.max("draw").alias("end"), F.max("rest").alias("rest"))
-        cells = cells.withColumn("before", F.coalesce(F.sum("words").over(in_order), F.lit(0)))
+        cells = cells.withColumn("upto", F.coalesce(F.sum("words").over(in_order), F.lit(0)) + F.col("words"))
         # of a pattern: where its whole cells end, what they take, and the cell that holds the cut
-        whole = F.col("before") + F.col("words") <= F.col("rest")
-        level = checkpointed(cells.groupBy("pattern").agg(
-            F.max(F.when(whole, F.col("end"))).alias("end"), F.coalesce(F.max(F.when(whole, F.col("before") + F.col("words"))), F.lit(0)).alias("used"),
-            F.min(F.when(~whole, F.col("cell"))).alias("cell")))
-        each = level.select("pattern", "end", "used")
-        found = each if found is None else found.join(each.withColumnsRenamed({"end": "e", "used": "u"}), "pattern", "left").select(
-            "pattern", F.coalesce("e", "end").alias("end"), (F.col("used") + F.coalesce("u", F.lit(0))).alias("used"))
-        # one row a pattern
-        open_ = open_.withColumn("cell", cell).join(level.drop("end"), ["pattern", "cell"])
-        open_ = open_.select("pattern", "size", "draw", (F.col("rest") - F.col("used")).alias("rest"))
-    joined = cuts.join(found, "pattern", "left")
-    cut = F.coalesce("end", F.try_element_at("cuts", F.lit(-1)))
-    return checkpointed(joined.select(
-        "pattern", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"),
-        F.array_append("cuts", cut).alias("cuts"), F.array_append("limits", F.col("rest")).alias("limits")))
+        whole = F.col("upto") <= F.col("rest")
+        found = cells.groupBy("p").agg(
+            F.max(F.when(whole, F.col("end"))).alias("end"), F.coalesce(F.max(F.when(whole, F.col("upto"))), F.lit(0)).alias("used"),
+            F.min(F.when(~whole, F.col("cell"))).alias("cell")).collect()
+        for r in found:
+            ends[r.p] = ends[r.p] if r.end is None else r.end
+            used[r.p] += r.used
+        within, before = {r.p: r.cell for r in found if r.cell is not None}, shift
+    return ends, used
 
 
 def _taken(times: Column, cuts: Column, limits: Column, draw: Column, size: Column) -> Column:

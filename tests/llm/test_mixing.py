@@ -110,3 +110,32 @@ def test_odd_tables(odd, none):
     got = sum(len((r.text or "").encode().split()) for r in taken.collect())
     assert got == sum(r.taken for r in counts)
     assert mixing.mix_counts(mixing.mix_plan(none)).count() == 0
+
+
+def test_cuts_against_lists(spark, monkeypatch):
+    """Every round takes documents in order of their draws; what the rounds find is written to no table."""
+    draw = random.Random(8)
+    kinds = [["a"], ["a", "b"], ["b"], None]
+    rows = [(i, " ".join(["w"] * draw.choice([0, 1, 7, 60, 400])), draw.choice(kinds)) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, sources array<string>")
+    written, write = [], mixing.checkpointed
+    monkeypatch.setattr(mixing, "checkpointed", lambda df: written.append(df) or write(df))
+    plan = mixing.mix_plan(docs, sources_col="sources")
+    assert len(written) <= 2
+    of = {tuple(r.pattern): r for r in plan.patterns.collect()}
+    sized = [(tuple(r.pattern), r["size"], r.draw) for r in plan.sized.collect()]
+    members = sorted(of, key=lambda p: [(s is None, s or "") for s in p])
+    names = sorted({s for p in members for s in p}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(size for q, size, _ in sized if q == p) for p in members]
+    given = mixing.cheapest_flow([([names.index(s) for s in p], n) for p, n in zip(members, sizes)], [round(t) for t in plan.targets])
+    for p, n, g in zip(members, sizes, given):
+        rest, last, cuts, limits = sum(g.values()) % n, None, [], []
+        for _ in range(mixing.ROUNDS):
+            limit = rest
+            for at, size in sorted((at, size) for q, size, at in sized if q == p and 0 < size <= limit and (last is None or at > last)):
+                if size > rest:
+                    break
+                last, rest = at, rest - size
+            cuts.append(last)
+            limits.append(limit)
+        assert of[p].times == sum(g.values()) // n and (of[p].cuts, of[p].limits) == (cuts, limits)
