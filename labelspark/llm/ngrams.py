@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +59,20 @@ _TAIL = "kind int, part int, held array<boolean>, data array<binary>, n bigint"
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Numbers by their bytes' places, compressed."""
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
+    """Numbers by their bytes' places, compressed; whole numbers in as few bytes as hold them all, which the first byte tells."""
+    if values.dtype.kind != "f":
+        least, most = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+        kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= least and most <= np.iinfo(k).max)
+        values = values.astype(kind, copy=False)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return bytes([values.itemsize]) + zstandard.compress(planes.tobytes(), 1)
 
 
 def _unpacked(data: bytes, kind=np.int64) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    width = data[0]
+    planes = np.frombuffer(zstandard.decompress(memoryview(data)[1:]), np.uint8).reshape(width, -1)
+    stored = np.dtype(kind) if np.dtype(kind).kind == "f" else np.dtype(f"i{width}")
+    return np.ascontiguousarray(planes.T).reshape(-1).view(stored).astype(kind, copy=False)
 
 
 def _codes(probability: np.ndarray) -> np.ndarray:
@@ -80,6 +87,13 @@ def _smoothed(count, lower: np.ndarray, context, prior: float) -> np.ndarray:
     return _codes((count + prior * _PROBABILITY[lower]) / (context + prior))
 
 
+@lru_cache
+def _after_one(prior: float) -> np.ndarray:
+    """The code in a context that occurs once, by count (none, or the one) and by lower code."""
+    every = np.arange(len(_PROBABILITY))
+    return np.array([_smoothed(count, every, 1, prior) for count in (0, 1)])
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -125,43 +139,49 @@ def _chunk_rows(chunk: int, ids: list, held: list, sizes: np.ndarray, tokens: np
     return rows
 
 
-def _numbered(texts: pa.Array, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words of every text with its end, and the words by their numbers; new words are added."""
+def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Number of words of every text with its end, and the words with an empty one as the end of each text."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    pieces = split.flatten().dictionary_encode()
-    different = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
-    number = np.fromiter((words.setdefault(w, len(words)) for w in different), np.int64, len(different))
-    numbers = number[np.asarray(pieces.indices)]
+    pieces = split.flatten().cast(pa.large_string())
     # Blanks at both ends of a text leave empty pieces.
     bounds = np.asarray(split.offsets).astype(np.int64) - split.offsets[0].as_py()
-    real = numbers != 0
+    real = np.asarray(pc.not_equal(pc.binary_length(pieces), 0).cast(pa.uint8())).view(bool)
     ends = np.append(0, np.cumsum(real))[bounds[1:]]
-    return np.diff(ends, prepend=0) + 1, np.insert(numbers[real], ends, 0)
+    return np.diff(ends, prepend=0) + 1, pieces if real.all() else pieces.filter(pa.array(real))
+
+
+def _numbered(pieces: list[pa.Array], sizes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The words of a chunk by their numbers, with the end of each text, and the words; the end has number 0."""
+    encoded = pa.chunked_array(pieces, pa.large_string()).dictionary_encode()
+    indices = [np.asarray(c.indices) for c in encoded.chunks]
+    numbers = np.concatenate([*indices, np.zeros(0, np.int32)]).astype(np.int64) + 1
+    words = encoded.chunk(0).dictionary.cast(pa.large_binary()).to_pylist() if encoded.num_chunks else []
+    return np.insert(numbers, np.cumsum(sizes - 1), 0), [END, *words]
 
 
 def _chunks(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 33
-        ids, held, sizes, tokens, words, size = [], [], [], [], {"": 0}, 0
+        ids, held, sizes, pieces, size = [], [], [], [], 0
         id_type = None
 
         def rows() -> pa.RecordBatch:
-            names = [w.encode() for w in words]
-            return _batch(_chunk_rows(chunk, ids, held, np.concatenate(sizes), np.concatenate(tokens), names, parts), id_type)
+            tokens, words = _numbered(pieces, np.concatenate(sizes))
+            return _batch(_chunk_rows(chunk, ids, held, np.concatenate(sizes), tokens, words, parts), id_type)
 
         for whole in batches:
             id_type = whole["id"].type
             for first in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(first, BATCH_ROWS)
-                found, numbers = _numbered(batch["text"].cast(pa.string()), words)
+                found, words = _split(batch["text"].cast(pa.string()))
                 ids += batch["id"].to_pylist()
                 held += batch["held_out"].to_pylist()
                 sizes.append(found)
-                tokens.append(numbers)
-                size += len(numbers)
+                pieces.append(words)
+                size += int(found.sum())
                 if size >= CHUNK_WORDS:
                     yield rows()
-                    chunk, ids, held, sizes, tokens, words, size = chunk + 1, [], [], [], [], {"": 0}, 0
+                    chunk, ids, held, sizes, pieces, size = chunk + 1, [], [], [], [], 0
         if ids:
             yield rows()
 
@@ -178,18 +198,16 @@ def _word_level(parts: int):
         passed, asked = _asked(table)
         if not asked:
             return passed
-        number: dict[bytes, int] = {}
-        places, trained, every = [], [], []
-        for r in asked:
-            names = zstandard.decompress(r["data"][0]).split(b"\n")
-            places.append(np.fromiter((number.setdefault(w, len(number)) for w in names), np.int64, len(names)))
-            trained.append(_unpacked(r["data"][1]))
-            every.append(_unpacked(r["data"][2]))
+        names = [pc.split_pattern(pa.array([zstandard.decompress(r["data"][0])], pa.large_binary()), b"\n").flatten() for r in asked]
+        encoded = pa.chunked_array(names).dictionary_encode()
+        places = [np.asarray(c.indices) for c in encoded.chunks]
+        different = len(encoded.chunk(0).dictionary)
+        trained, every = ([_unpacked(r["data"][k]) for r in asked] for k in (1, 2))
         place = np.concatenate(places)
-        train = np.bincount(place, np.concatenate(trained), len(number)).astype(np.int64)
-        both = np.bincount(place, np.concatenate(every), len(number)).astype(np.int64)
-        ranked = np.empty(len(number), np.int64)
-        ranked[np.argsort(-both, kind="stable")] = np.arange(len(number))
+        train = np.bincount(place, np.concatenate(trained), different).astype(np.int64)
+        both = np.bincount(place, np.concatenate(every), different).astype(np.int64)
+        ranked = np.empty(different, np.int64)
+        ranked[np.argsort(-both, kind="stable")] = np.arange(different)
         rows = []
         for k, (r, p) in enumerate(zip(asked, places)):
             data = [_packed(ranked[p]), _packed(train[p]), _packed(_others(train, both - train)[p])]
@@ -234,25 +252,26 @@ class _Chunk:
             else:
                 self.answers.setdefault(r["kind"], []).append(r)
         self.chunk, self.ids, self.held = state["chunk"], state["ids"], state["held"]
-        self.sizes = _unpacked(state["data"][0], np.int32).astype(np.int64)
-        self.tokens = _unpacked(state["data"][1], np.uint32).astype(np.int64)
-        part = _unpacked(state["data"][2], np.int32)
-        end = int(_unpacked(state["data"][3], np.uint32)[0])
+        self.sizes = _unpacked(state["data"][0])
+        self.tokens = _unpacked(state["data"][1], np.int32)
+        part = _unpacked(state["data"][2])
+        end = int(_unpacked(state["data"][3])[0])
         self.first = np.cumsum(self.sizes) - self.sizes
         self.train = np.repeat(~np.array(self.held, bool), self.sizes)
         rank, known, other = np.empty((3, len(part)), np.int64)
-        by_part = np.argsort(part, kind="stable")
+        by_part = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
         for into, k in ((rank, 0), (known, 1), (other, 2)):
             into[by_part] = np.concatenate([_unpacked(r["data"][k]) for r in self.answers[1]])
         self.word, every = rank * parts + part, known + other
-        self.known = known[self.tokens]
         self.word_rank = _ranks(self.word)
         single = (known + 0.5) / (total + 0.5 * (distinct + 1))
-        self.base, self.code = np.log10(single)[self.tokens], _codes(single)[self.tokens]
-        # The n-grams below the order are numbered in the chunk; of each, its place in the trie and the rank of that.
-        self.nodes, self.ranks = self.word, self.word_rank
-        self.gram, self.count, self.every = self.tokens, self.known, every[self.tokens]
-        self.start = (end, known[end], every[end])
+        self.known, self.single, self.code = known, single, _codes(single)[self.tokens]
+        # The n-grams below the order are numbered in the chunk; of each, its counts, its place in the trie and the rank of that.
+        self.count, self.every, self.nodes, self.ranks = known, every, self.word, self.word_rank
+        # Of each token the number, and the kind: in no training text, once in all, or more often.
+        kinds = _kinds(known, every)
+        self.gram, self.kind = self.tokens, kinds[self.tokens]
+        self.start = (end, kinds[end])
 
     def ask(self, order: int, priors: tuple, tasks: int, answered: bool = False):
         """What is unknown of the n-grams of this order: one row each, by task, context and word.
@@ -261,42 +280,56 @@ class _Chunk:
         occur twice or more: what occurs once does so here, and of what no training text has nothing longer is there.
         Returns the asking tokens, the row of each, the rows' tasks and columns, of a question that is ``answered`` the last two.
         """
-        before = []
-        for values, at_start in zip((self.gram, self.count, self.every), self.start if order == 2 else (-1, 0, 0)):
-            shifted = np.empty_like(values)
-            shifted[1:] = values[:-1]
-            shifted[self.first] = at_start
-            before.append(shifted)
-        gram, count, every = before
-        seen = count > 0
-        one = seen & (self.count > 0) & ((self.every == 1) | (every == 1))
-        asked = np.flatnonzero(seen & (self.count > 0) & ~one)
-        certain = np.flatnonzero(seen & ((self.count == 0) | one))
-        shorter = self.code[asked].astype(np.int64)
-        self.code[certain] = _smoothed(one[certain], self.code[certain], count[certain], _prior(priors, order))
-        self.gram = np.full(len(gram), -1, np.int64)
-        self.count, self.every = one.astype(np.int64), one.astype(np.int64)
+        prior = _prior(priors, order)
+        gram, before = (_shifted(values, self.first, at_start) for values, at_start in
+                        zip((self.gram, self.kind), self.start if order == 2 else (-1, 0)))
+        asking = (before == _MORE) & (self.kind == _MORE)
+        asked = np.flatnonzero(asking)
+        shorter = self.code[asked]
+        rare = np.flatnonzero(before == _ONCE)
+        seldom = self.kind[rare] != _NONE
+        none = np.flatnonzero((before == _MORE) & (self.kind == _NONE))
+        once = np.flatnonzero((before == _MORE) & (self.kind == _ONCE))
+        self.code[rare] = _after_one(prior)[seldom.view(np.uint8), self.code[rare]]
+        for at, count in ((none, 0), (once, 1)):
+            self.code[at] = _smoothed(count, self.code[at], self.count[gram[at]], prior)
+        self.gram = np.full(len(gram), -1, np.int32)
+        self.kind = np.zeros(len(gram), np.uint8)
+        self.kind[rare] = seldom.view(np.uint8) * _ONCE
+        self.kind[once] = _ONCE
         # By context and word, then by task: the second sort is stable, and quick on short numbers.
-        key = self.ranks[gram[asked]] * len(self.word) + self.word_rank[self.tokens[asked]]
+        contexts = gram[asked]
+        key = self.ranks[contexts] * len(self.word) + self.word_rank[self.tokens[asked]]
         sort, key = _sorted(key, len(self.ranks) * len(self.word))
         starts = _starts(key)
-        inverse = np.empty(len(sort), np.int64)
-        inverse[sort] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(sort))))
+        times = np.diff(np.append(starts, len(sort)))
         first = sort[starts]
-        of = asked[first]
-        context, word = self.nodes[gram[of]], self.word[self.tokens[of]]
-        share = _mixed(word) % (every[of] // CONTEXT_WORDS + 1).astype(np.uint64)
-        task = (_mixed(_mixed(context) + share) % np.uint64(tasks)).astype(np.int64)
-        sort = np.argsort(task.astype(np.uint16) if tasks < 1 << 16 else task, kind="stable")
-        place = np.empty(len(sort), np.int64)
-        place[sort] = np.arange(len(sort))
-        columns = [shorter[first], count[of]]
+        of = contexts[first]
+        word = self.word[self.tokens[asked[first]]]
+        task = self._tasks(of, word, tasks)
+        by_task = np.argsort(task.astype(np.uint16) if tasks < 1 << 16 else task, kind="stable")
+        place = np.empty(len(by_task), np.int32)
+        place[by_task] = np.arange(len(by_task), dtype=np.int32)
+        row = np.empty(len(sort), np.int32)
+        row[sort] = np.repeat(place, times)
+        columns = [shorter[first], self.count[of]]
         if not answered:
-            trained = np.bincount(inverse[self.train[asked]], minlength=len(first))
-            held = np.bincount(inverse, minlength=len(first)) - trained
-            columns = [context, word, trained, held, *columns]
-        columns = [c[sort] for c in columns]
-        return asked, place[inverse], task[sort], columns
+            trained = np.add.reduceat(self.train[asked[sort]].astype(np.int64), starts) if len(starts) else starts
+            columns = [self.nodes[of], word, trained, times - trained, *columns]
+        return asked, row, task[by_task], [c[by_task] for c in columns]
+
+    def _tasks(self, context: np.ndarray, word: np.ndarray, tasks: int) -> np.ndarray:
+        """The tasks of rows by context: one for a context, or one for each share of the words of a frequent one."""
+        starts = _starts(context)
+        runs = np.diff(np.append(starts, len(context)))
+        each = context[starts]
+        node = _mixed(self.nodes[each])
+        task = np.repeat((_mixed(node) % np.uint64(tasks)).astype(np.int64), runs)
+        shares = self.every[each] // CONTEXT_WORDS + 1
+        many = np.flatnonzero(np.repeat(shares > 1, runs))
+        share = _mixed(word[many]) % np.repeat(shares, runs)[many].astype(np.uint64)
+        task[many] = (_mixed(np.repeat(node, runs)[many] + share) % np.uint64(tasks)).astype(np.int64)
+        return task
 
     def advance(self, order: int, priors: tuple, tasks: int):
         """Take in the answers to the orders below, then ask for this one."""
@@ -307,17 +340,33 @@ class _Chunk:
             answers = self.answers[below]
             count, other, nodes = ([_unpacked(r["data"][k]) for r in answers] for k in range(3))
             nodes = [np.cumsum(n) * tasks + r["part"] for n, r in zip(nodes, answers)]
-            count = np.concatenate(count)
-            every = count + np.concatenate(other)
-            hit = count > 0
-            code = _smoothed(count, shorter, context, _prior(priors, below))
-            self.nodes = np.full(len(count), -1, np.int64)
-            self.nodes[hit & (every > 1)] = np.concatenate(nodes)
+            self.count = np.concatenate(count)
+            self.every = self.count + np.concatenate(other)
+            code = _smoothed(self.count, shorter, context, _prior(priors, below))
+            kinds = _kinds(self.count, self.every)
+            self.nodes = np.full(len(kinds), -1, np.int64)
+            self.nodes[kinds == _MORE] = np.concatenate(nodes)
             self.ranks = _ranks(self.nodes)
-            self.code[asked], self.gram[asked], self.count[asked], self.every[asked] = code[place], place, count[place], every[place]
+            self.code[asked], self.gram[asked], self.kind[asked] = code[place], place, kinds[place]
         return self.ask(order, priors, tasks)
 
 
+_NONE, _ONCE, _MORE = range(3)
+
+
+def _kinds(count: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """In no training text, once in all, or more often."""
+    return np.where(count > 0, np.where(every > 1, _MORE, _ONCE), _NONE).astype(np.uint8)
+
+
+def _shifted(values: np.ndarray, first: np.ndarray, at_start) -> np.ndarray:
+    """The value of the token before each, ``at_start`` for the first ones of texts."""
+    shifted = np.empty_like(values)
+    shifted[1:] = values[:-1]
+    shifted[first] = at_start
+    return shifted
+
+
 def _prior(priors: tuple, order: int) -> float:
     return priors[min(order - 2, len(priors) - 1)]
 
@@ -326,10 +375,19 @@ def _ranks(numbers: np.ndarray) -> np.ndarray:
     """Place of each number in their order, -1 for -1."""
     rank = np.full(len(numbers), -1, np.int64)
     used = np.flatnonzero(numbers >= 0)
-    rank[used[np.argsort(numbers[used])]] = np.arange(len(used))
+    rank[used[_sorted(numbers[used], int(numbers.max(initial=0)) + 1)[0]]] = np.arange(len(used))
     return rank
 
 
+def _unique(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers, none below 0, in order, and the place of each number among them."""
+    sort, ordered = _sorted(numbers, int(numbers.max(initial=0)) + 1)
+    starts = _starts(ordered)
+    place = np.empty(len(sort), np.int64)
+    place[sort] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(sort))))
+    return ordered[starts], place
+
+
 def _sorted(key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of keys below ``limit``, and the keys in it; with their places in one number each where 63 bits hold both."""
     bits = len(key).bit_length()
@@ -387,10 +445,10 @@ def _asking(order: int, orders: int, priors: tuple, parts: int):
             cuts = np.append(_starts(task), len(task))
             rows = [_row(chunk.chunk, ASKED, int(task[i]), data=_question([c[i:j] for c in columns], order == orders)) for i, j in zip(cuts, cuts[1:])]
         if order >= orders:
-            code = chunk.code.astype(np.int64)
+            code, base, trained = chunk.code.astype(np.int64), np.log10(chunk.single), (chunk.known > 0).astype(np.int64)
             code[asked] = 0
             of = np.repeat(np.arange(len(chunk.sizes)), chunk.sizes)[asked]
-            sums = [np.add.reduceat(v, chunk.first) for v in ((chunk.known > 0).astype(np.int64), chunk.base, code)]
+            sums = [np.add.reduceat(v, chunk.first) for v in (trained[chunk.tokens], base[chunk.tokens], code)]
             by_place = np.argsort(place, kind="stable")
             data = [chunk.sizes, *sums, of[by_place], np.bincount(place)]
             rows.append(_row(chunk.chunk, STATE, _share(chunk.chunk, tasks), chunk.ids, chunk.held, [_packed(d) for d in data], total))
@@ -407,7 +465,7 @@ class Level:
 
     def __init__(self, context: np.ndarray, word: np.ndarray, code: np.ndarray, count: np.ndarray, other: np.ndarray):
         """Different (context, word) pairs in that order."""
-        self.alphabet, letter = np.unique(word, return_inverse=True)
+        self.alphabet, letter = _unique(word)
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
         bounds = np.append(first, len(context))
         widths = letter[bounds[1:] - 1] + 1 if len(first) else np.zeros(0, np.int64)
@@ -455,7 +513,7 @@ def _level(order: int, orders: int, priors: tuple):
         questions = [_read_question(r["data"]) for r in asked]
         contexts, rows, word, trained, held, code, before = (np.concatenate(c) for c in zip(*questions))
         # A pair is one number: the place of its context in their order, then its word.
-        contexts, context = np.unique(contexts, return_inverse=True)
+        contexts, context = _unique(contexts)
         bits = int(word.max()).bit_length()
         sort, key = _sorted(np.repeat(context, rows) << bits | word, len(contexts) << bits)
         first = _starts(key)

@@ -4,8 +4,11 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +193,43 @@ def test_nothing_is_written_before_the_exchanges(spark, tmp_path):
     # The plan reads the texts and no table that was written on the way.
     assert {f.rsplit("/", 2)[-2] for f in scored.inputFiles()} == {"docs"}
     assert spark.conf.get("spark.sql.shuffle.partitions") == before and scored.count() == 9
+
+
+def test_tokens_after_a_single_one_need_no_logarithm(monkeypatch):
+    """In a context that occurs once a probability depends on the lower one alone, so it is looked up."""
+    monkeypatch.setattr(ngrams, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [" ".join(f"w{i}x{j}" for j in range(100)) for i in range(20)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(20)), "text": texts, "held_out": [False] * 20})
+    table = pa.Table.from_batches(ngrams._chunks(2)(iter([batch])))
+    rows = pa.concat_tables([ngrams._word_level(2)(table.filter(pc.equal(table["part"], p))) for p in range(2)]).to_pylist()
+    made, codes = [], ngrams._codes
+    for _ in range(2):
+        chunk = ngrams._Chunk(rows, 2, 2_020, 2_001)
+        with monkeypatch.context() as m:
+            m.setattr(ngrams, "_codes", lambda p: made.append(np.size(p)) or codes(p))
+            del made[:]
+            chunk.ask(2, ngrams.PRIORS, 2)
+    assert sum(made) <= 40
+
+
+def test_numbers_of_words():
+    """Batches without words, blanks at the ends and non-ASCII words; the end of each text has number 0."""
+    batches = [[None, ""], [" b a\tb ", "É é a"], ["  "], ["c b"]]
+    found = [ngrams._split(pa.array(b, pa.string())) for b in batches]
+    sizes = np.concatenate([n for n, _ in found])
+    tokens, words = ngrams._numbered([w for _, w in found], sizes)
+    assert sizes.tolist() == [1, 1, 4, 4, 1, 3]
+    expected = [w for b in batches for t in b for w in [*(t or "").encode().lower().split(), ngrams.END]]
+    assert [words[i] for i in tokens] == expected and len(set(words)) == len(words)
+    tokens, words = ngrams._numbered([ngrams._split(pa.array([None], pa.string()))[1]], np.ones(1, np.int64))
+    assert tokens.tolist() == [0] and words == [ngrams.END]
+
+
+@pytest.mark.parametrize("kind", [np.int8, np.int16, np.int32, np.int64, np.uint16, np.uint32, np.float64])
+def test_packed_numbers(kind):
+    for values in ([], [0], [127, 5], [128], [32_768 % 2**15, 1], *([[-1, -129], [-(2**7)]] if np.dtype(kind).kind != "u" else [])):
+        values = np.array(values).astype(kind)
+        assert ngrams._unpacked(ngrams._packed(values), kind).tolist() == values.tolist()
+    if np.dtype(kind).kind != "f":
+        ends = np.array([np.iinfo(kind).min, np.iinfo(kind).max], kind)
+        assert ngrams._unpacked(ngrams._packed(ends), kind).tolist() == ends.tolist()
